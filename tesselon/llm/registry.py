@@ -1,11 +1,14 @@
 """Queries of this subpackage and their SQL."""
 
-from . import jaccard
+from . import jaccard, language, packing, sketch
 
 
 def queries() -> dict:
     return {
+        "op1_language": language.op1_language,
+        "op2_packing": packing.op2_packing,
         "op4_jaccard": jaccard.op4_jaccard,
+        "op6_sketch": sketch.op6_sketch,
     }
 
 
