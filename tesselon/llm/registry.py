@@ -1,16 +1,20 @@
 """Queries of this subpackage and their SQL."""
 
-from . import jaccard, language, packing, sketch
+from . import chat, jaccard, language, lines, packing, sketch
 
 
 def queries() -> dict:
     return {
         "op1_language": language.op1_language,
         "op2_packing": packing.op2_packing,
+        "op3_lines": lines.op3_lines,
         "op4_jaccard": jaccard.op4_jaccard,
         "op6_sketch": sketch.op6_sketch,
+        "op9_chat": chat.op9_chat,
     }
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {
+        "op9_chat": chat.OP9_SQL,
+    }
