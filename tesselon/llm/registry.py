@@ -1,6 +1,6 @@
 """Queries of this subpackage and their SQL."""
 
-from . import chat, jaccard, language, lines, packing, sketch
+from . import chat, decontaminate, jaccard, language, lines, packing, sharding, sketch
 
 
 def queries() -> dict:
@@ -10,6 +10,8 @@ def queries() -> dict:
         "op3_lines": lines.op3_lines,
         "op4_jaccard": jaccard.op4_jaccard,
         "op6_sketch": sketch.op6_sketch,
+        "op7_decontaminate": decontaminate.op7_decontaminate,
+        "op8_sharding": sharding.op8_sharding,
         "op9_chat": chat.op9_chat,
     }
 
