@@ -2,9 +2,42 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tesselon.llm import decontaminate, jaccard, language, lines, packing
 from tesselon.llm.common import Scratch
 
-STAGES = []
+
+def known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of a language that the prototypes know; those without letters or likeness to any go."""
+    return language.keep_known(docs)
+
+
+def fresh_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without later copies of line runs of 50 words or more; documents left empty go."""
+    return lines.without_copies(docs)
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of five-word shingle sets with a similarity of 0.8 or more."""
+    return jaccard.one_per_class(docs)
+
+
+def no_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that share no passage with the benchmark."""
+    return decontaminate.without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences for training."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("language", known_languages),
+    ("lines", fresh_lines),
+    ("jaccard", one_of_each),
+    ("decontaminate", no_leaks),
+    ("pack", packed),
+]
 
 #: Suffix doubling, exact set joins and tokenizers have no SQL form; tests hold each stage against brute force.
 ORACLE_SQL = None

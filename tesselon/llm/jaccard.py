@@ -265,5 +265,21 @@ def similar_classes(docs: DataFrame, *, words: int = 5, percent: int = 80) -> Da
         (F.coalesce("links", F.lit(0)) + F.coalesce(F.col("copies") - 1, F.lit(0))).alias("n_links"))
 
 
+def one_per_class(docs: DataFrame, *, words: int = 5, percent: int = 80) -> DataFrame:
+    """Pipeline stage: of each class the document with the least doc_id, with all its columns.
+
+    Rows without doc_id stay. Of rows that share a doc_id one stays if it is the least of its
+    class: that with the least hash of its text."""
+    scratch = Scratch(docs.sparkSession, "classes")
+    found = scratch.write(similar_classes(docs, words=words, percent=percent), "found")
+    gone = scratch.write(found.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
+    left = docs.join(small(gone, 1_000_000), "doc_id", "left_anti").select(*docs.columns)
+    if found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
+        return left
+    order = Window.partitionBy("doc_id").orderBy(F.xxhash64(F.col("text").cast("string")))
+    left = left.withColumn("turn_", F.when(F.col("doc_id").isNull(), 1).otherwise(F.row_number().over(order)))
+    return left.where("turn_ = 1").drop("turn_")
+
+
 def op4_jaccard(spark, sf_dir: str) -> DataFrame:
     return similar_classes(spark.read.parquet(f"{sf_dir}/documents.parquet"), words=3, percent=90)

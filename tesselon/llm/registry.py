@@ -1,6 +1,6 @@
 """Queries of this subpackage and their SQL."""
 
-from . import chat, decontaminate, jaccard, language, lines, packing, sharding, sketch
+from . import chat, decontaminate, jaccard, language, licenses, lines, packing, pii, sharding, sketch
 
 
 def queries() -> dict:
@@ -9,10 +9,12 @@ def queries() -> dict:
         "op2_packing": packing.op2_packing,
         "op3_lines": lines.op3_lines,
         "op4_jaccard": jaccard.op4_jaccard,
+        "op5_pii": pii.op5_pii,
         "op6_sketch": sketch.op6_sketch,
         "op7_decontaminate": decontaminate.op7_decontaminate,
         "op8_sharding": sharding.op8_sharding,
         "op9_chat": chat.op9_chat,
+        "op10_licenses": licenses.op10_licenses,
     }
 
 
