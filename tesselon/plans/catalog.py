@@ -1,6 +1,6 @@
 """All queries over the reference tables, with their SQL."""
 
-from . import cellular, forecast, selection, timeseries  # noqa: F401  they register their queries
+from . import cellular, forecast, models, selection, timeseries  # noqa: F401  they register their queries
 from .base import QUERIES
 
 
