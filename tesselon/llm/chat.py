@@ -66,7 +66,8 @@ def _known() -> dict[str, str]:
         must, may = {f for f in fields if f[-1] != "?"}, [f[:-1] for f in fields if f[-1] == "?"]
         for n in range(len(may) + 1):
             for some in combinations(may, n):
-                out[fingerprint(must | set(some))] = name
+                if found := must | set(some):
+                    out[fingerprint(found)] = name
     return out
 
 

@@ -105,40 +105,47 @@ class Space:
             self.codes, self.place = both[order], place[order]
         return out
 
-    def bundle(self, text: str) -> np.ndarray | None:
-        """Sum of a text's n-gram vectors; None if it has no letter."""
-        total, seen = None, False
+    def counts(self, text: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Distinct n-grams and their counts, a piece of the text at a time; a piece counts as standing between gaps."""
         for at in range(0, len(text), CHUNK):
-            # pieces overlap by nothing: each ends at a gap or counts as ending there
             symbols = Letters.symbols(text[at : at + CHUNK])
-            if not symbols.any():
-                continue
-            seen = True
-            codes, counts = self.grams(np.concatenate([[0], symbols[int(symbols[0] == 0) :], [0] * int(symbols[-1] != 0)]))
-            for i in range(0, len(codes), 4096):
-                part = counts[i : i + 4096].astype(np.float32) @ self.vectors(codes[i : i + 4096]).astype(np.float32)
-                total = part.astype(np.float64) if total is None else total + part
-        return total if seen else None
+            if symbols.any():
+                yield self.grams(np.concatenate([[0], symbols[int(symbols[0] == 0) :], [0] * int(symbols[-1] != 0)]))
+
+    def total(self, codes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        out = np.zeros(self.dims)
+        for i in range(0, len(codes), 4096):
+            out += counts[i : i + 4096].astype(np.float32) @ self.vectors(codes[i : i + 4096]).astype(np.float32)
+        return out
+
+    def bundle(self, text: str) -> np.ndarray | None:
+        """Sum of a text's n-gram vectors; None if it has no letter."""
+        parts = [self.total(*found) for found in self.counts(text)]
+        return sum(parts) if parts else None
 
 
 def _learn(dims: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         space, sums = Space(dims, gram), {}
+        pending: dict[str, list] = {}
+        waiting = 0
+
+        def add():
+            for lang, found in pending.items():
+                codes, at = np.unique(np.concatenate([c for c, _ in found]), return_inverse=True)
+                counts = np.bincount(at, weights=np.concatenate([n for _, n in found]))
+                sums[lang] = sums.get(lang, 0) + space.total(codes, counts)
+            pending.clear()
+
         for batch in batches:
-            by_lang: dict[str, list[str]] = {}
             for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                by_lang.setdefault(lang, []).append(text)
-            for lang, texts in by_lang.items():
-                pending, size = [], 0
-                for text in [*texts, None]:
-                    if text is not None:
-                        pending.append(text)
-                        size += len(text)
-                    if pending and (text is None or size >= CHUNK):
-                        found = space.bundle("\n".join(pending))
-                        if found is not None:
-                            sums[lang] = sums.get(lang, 0) + found
-                        pending, size = [], 0
+                for found in space.counts(text):
+                    pending.setdefault(lang, []).append(found)
+                    waiting += len(found[0])
+                if waiting >= CHUNK:
+                    add()
+                    waiting = 0
+        add()
         langs = sorted(sums)
         yield pa.RecordBatch.from_arrays(
             [pa.array(langs, pa.string()), pa.array([np.rint(sums[k]).astype(np.int64) for k in langs], pa.list_(pa.int64()))],

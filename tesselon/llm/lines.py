@@ -115,7 +115,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     run_type = pa.list_(pa.struct([("line", pa.int32()), ("lines", pa.int32()), ("first_doc", pa.int64())]))
     for batch in batches:
         texts, before, removed, spans = [], [], [], []
-        for text, runs in zip(batch.column("text").to_pylist(), batch.column("runs").to_pylist(), strict=True):
+        for text, runs in zip(batch.column("text").to_pylist(), batch.column("runs_").to_pylist(), strict=True):
             lines = [] if text is None else text.split("\n")
             solid = [i for i, x in enumerate(lines) if x.encode().strip()] if runs else []
             gone, joined = set(), []
@@ -130,7 +130,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             before.append(len(lines))
             removed.append(len(gone))
             spans.append(joined)
-        rest = [n for n in batch.schema.names if n not in ("text", "runs", "t")]
+        rest = [n for n in batch.schema.names if n not in ("text", "runs_", "t_")]
         yield pa.RecordBatch.from_arrays(
             [batch.column(n) for n in rest] + [pa.array(texts, pa.string()), pa.array(before, pa.int32()), pa.array(removed, pa.int32()), pa.array(spans, run_type)],
             names=rest + ["text", "n_lines", "n_removed", "removed_runs"])
@@ -139,7 +139,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keys = [None if t is None else text_key(t) for t in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.int64())], names=[*batch.schema.names, "t"])
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.int64())], names=[*batch.schema.names, "t_"])
 
 
 def dedup_lines(docs: DataFrame, *, words: int = WORDS) -> DataFrame:
@@ -156,11 +156,11 @@ def dedup_lines(docs: DataFrame, *, words: int = WORDS) -> DataFrame:
     copies = later_copies(docs, scratch, words)
     runs = copies.groupBy("d", "t").agg(F.collect_set(F.struct("j", "l", F.col("r.d").alias("first"))).alias("runs"))
     runs = scratch.write(runs, "runs")
-    clash = [c for c in docs.columns if c in ("n_lines", "n_removed", "removed_runs", "t", "d", "runs")]
-    kept = docs.drop(*clash).withColumn("text", F.col("text").cast("string"))
-    kept = kept.mapInArrow(_keyed, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema) + ", t long")
-    joined = kept.withColumn("d", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST))).join(small(runs), ["d", "t"], "left").drop("d")
-    names = [f for f in kept.schema if f.name not in ("text", "t")]
+    kept = docs.drop("n_lines", "n_removed", "removed_runs").withColumn("text", F.col("text").cast("string"))
+    kept = kept.mapInArrow(_keyed, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema) + ", t_ long")
+    runs = runs.toDF("d_", "t_", "runs_")
+    joined = kept.withColumn("d_", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST))).join(small(runs), ["d_", "t_"], "left").drop("d_")
+    names = [f for f in kept.schema if f.name not in ("text", "t_")]
     head = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in names)
     return joined.mapInArrow(_cut, head + "text string, n_lines int, n_removed int, removed_runs array<struct<line:int,lines:int,first_doc:long>>")
 
@@ -172,6 +172,7 @@ def op3_lines(spark, sf_dir: str) -> DataFrame:
 
 def without_copies(docs: DataFrame) -> DataFrame:
     """Pipeline stage: texts without later copies; documents of which nothing is left go."""
-    out = dedup_lines(docs).where(~((F.col("n_removed") > 0) & (F.col("text") == "")))
-    out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast("long"))
-    return out.select(*docs.columns)
+    rest = F.struct(*[c for c in docs.columns if c != "text"]).alias("row_")
+    out = dedup_lines(docs.select("doc_id", "text", rest)).where(~((F.col("n_removed") > 0) & (F.col("text") == "")))
+    n_chars = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("row_.n_chars") if "n_chars" in docs.columns else None)
+    return out.select(*[F.col("text") if c == "text" else (n_chars if c == "n_chars" else F.col(f"row_.`{c}`")).alias(c) for c in docs.columns])
