@@ -119,3 +119,60 @@ def read_description(spark: SparkSession, path: str) -> DataFrame:
 def read_splits(spark: SparkSession, root: str, mode: str) -> DataFrame:
     """Rows of a labelled dataset's split (Parquet below root/mode); valid is the test split."""
     return spark.read.parquet(f"{root}/{'test' if mode == 'valid' else mode}")
+
+
+def read_cell(spark: SparkSession, path: str, cell: int) -> DataFrame:
+    """Rows of one cell of an index written by cell: only its folder is read; no rows for an absent cell."""
+    return spark.read.parquet(path).where(F.col("cell") == cell)
+
+
+def read_places(spark: SparkSession, path: str, cell: int, order: list[str], places: DataFrame) -> DataFrame:
+    """Rows of a cell at given places (turn, at), in the order of turn; at counts from 0 by the order columns."""
+    from pyspark.sql.window import Window
+
+    rows = read_cell(spark, path, cell).withColumn("at", F.row_number().over(Window.partitionBy("cell").orderBy(*order)) - 1)
+    return rows.join(F.broadcast(places), "at").orderBy("turn")
+
+
+def read_manifest(spark: SparkSession, path: str, index: str | None = None) -> DataFrame:
+    """Manifest lines, or the one of a cell."""
+    df = spark.read.json(path)
+    return df if index is None else df.where(F.col("index") == index)
+
+
+def load_array(content: bytes, name: str, key: str | None = None) -> np.ndarray:
+    """An array from a small file's bytes: .npy; .npz by key, arr_0 or its only array; else comma-separated text."""
+    if name.endswith(".npy"):
+        return np.load(io.BytesIO(content), allow_pickle=False)
+    if name.endswith(".npz"):
+        with np.load(io.BytesIO(content), allow_pickle=False) as z:
+            for k in (key, "arr_0", z.files[0] if len(z.files) == 1 else None):
+                if k and k in z.files:
+                    return z[k]
+            raise KeyError(f"{name} has {z.files}")
+    return np.loadtxt(io.BytesIO(content), delimiter=",")
+
+
+def read_codebook(spark: SparkSession, path: str, codes: int, dims: int) -> DataFrame:
+    """(code, e), once it is known to have so many codes of so many numbers."""
+    df = spark.read.parquet(path).select("code", "e")
+    rows, short, long = df.agg(F.count("*"), F.min(F.size("e")), F.max(F.size("e"))).first()
+    if (rows, short, long) != (codes, dims, dims):
+        raise ValueError(f"codebook is {rows} x {short}..{long}, not {codes} x {dims}")
+    return df
+
+
+def walk_order(path: F.Column) -> list[F.Column]:
+    """Order of a registry: files by folder, in a folder its files before its sub-folders, all by name."""
+    parts = F.split(path, "/")
+    folders = F.slice(parts, F.lit(1), F.size(parts) - 1)
+    # a file's own level sorts before the folders of that level
+    return [F.concat(F.transform(folders, lambda f: F.concat(F.lit("1"), f)), F.array(F.concat(F.lit("0"), F.element_at(parts, -1))))]
+
+
+def find_metadata(files: DataFrame, side: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(found, lost): array files (path) with their side file, directly by name or without the suffix of the kind; those with none."""
+    direct = F.regexp_replace("path", r"\.npy$", ".json")
+    tries = files.select("path", F.posexplode(F.array(direct, metadata_path(F.col("path")))).alias("k", "meta"))
+    hits = tries.join(side.select(F.col("path").alias("meta")), "meta").groupBy("path").agg(F.min_by("meta", "k").alias("meta"))
+    return hits, files.join(hits, "path", "left_anti")

@@ -35,3 +35,20 @@ def write_predictions(df: DataFrame, path: str) -> None:
 
 def write_metrics(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
+
+
+def write_registry(df: DataFrame, path: str) -> None:
+    """One JSON object {id: path}; a registry has a row a file."""
+    whole = F.to_json(F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.col("id").cast("string"), "path")))))
+    df.agg(whole.alias("value")).coalesce(1).write.mode("overwrite").text(path)
+
+
+def write_validation(summary: DataFrame, bad: DataFrame, path: str) -> None:
+    """A report in two parts: {path}/summary and {path}/bad."""
+    summary.write.mode("overwrite").json(f"{path}/summary")
+    bad.write.mode("overwrite").json(f"{path}/bad")
+
+
+def write_table(df: DataFrame, path: str) -> None:
+    """Codes, errors, embeddings, cells, codebooks, rates and weights: plain Parquet."""
+    df.write.mode("overwrite").parquet(path)

@@ -118,3 +118,23 @@ def test_mixing_and_picking():
     assert np.isnan(x[2]) and np.isfinite(x[:2]).all()
     assert kernels.gumbel_pick(np.array([[0.0, 9.0, 1.0]]), 0, rng).tolist() == [1]
     assert len(kernels.sample_vectors(np.zeros((3, 2)), 7)) == 7
+
+
+def test_codes_of_series(spark):
+    rng = np.random.default_rng(3)
+    coder = kernels.Patches(rng.normal(size=(16, 32)))
+    x = rng.normal(size=4096)
+    x[40] = np.nan
+    found = coder.codes(x)
+    assert len(found) == 734 and np.isnan(found[-255:]).sum() == 2 and np.nanmax(found) < 16
+    df = spark.createDataFrame([(1, [None if np.isnan(v) else float(v) for v in x])], "k int, values array<double>")
+    codes = kernels.encode_series(df, coder, ["k"]).first().codes
+    assert codes == [None if np.isnan(c) else int(c) for c in found]
+    assert spark.createDataFrame([(codes,)], "c array<int>").select(patches.valid_length("c", 255, 16)).first()[0] == 16 * 253
+
+
+def test_losses():
+    assert abs(kernels.orthogonality(np.eye(4))) < 1e-12 and kernels.orthogonality(np.ones((4, 4))) > 0.5
+    assert kernels.diversity(np.eye(4) * 50) < kernels.diversity(np.tile([50.0, 0, 0, 0], (4, 1)))
+    a = np.random.default_rng(0).normal(size=(5, 3))
+    assert np.allclose(np.diag(kernels.distances(a, a)), 0, atol=1e-6) and kernels.commitment(a, a) == 0

@@ -61,3 +61,37 @@ def test_counts_over_arriving_files(spark, tmp_path):
         cells.keep_counts(spark, source, df.schema, target, keep).awaitTermination()
     last = spark.read.parquet(target).where("batch = 1")
     assert {r.cell: r.n for r in last.collect()} == {1: 4, 2: 2}
+
+
+def test_index_and_manifest(spark, tmp_path):
+    df = spark.createDataFrame([(c, p, 10 * c + p) for c in range(3) for p in range(4)], "cell int, pos int, item int")
+    sinks.write_cells(df, f"{tmp_path}/cells")
+    places = spark.createDataFrame([(1, 3), (2, 0)], "turn int, at int")
+    assert [r.item for r in arrays.read_places(spark, f"{tmp_path}/cells", 1, ["item"], places).collect()] == [13, 10]
+    assert arrays.read_cell(spark, f"{tmp_path}/cells", 9).count() == 0
+    sinks.write_manifest(df, f"{tmp_path}/manifest")
+    assert arrays.read_manifest(spark, f"{tmp_path}/manifest", "2").count() == 1
+    sinks.write_registry(spark.createDataFrame([(0, "a"), (1, "b")], "id int, path string"), f"{tmp_path}/registry")
+    assert arrays.read_registry(spark, f"{tmp_path}/registry").count() == 2
+
+
+def test_walk_and_metadata(spark):
+    df = spark.createDataFrame([(p,) for p in ("a/z.npy", "a/b/c.npy", "a/y_data.npy", "b/x.npy")], "path string")
+    assert [r.path for r in df.orderBy(*arrays.walk_order(df.path)).collect()] == ["a/y_data.npy", "a/z.npy", "a/b/c.npy", "b/x.npy"]
+    side = spark.createDataFrame([("a/z.json",), ("a/y.json",), ("b/x.json",)], "path string")
+    found, lost = arrays.find_metadata(df, side)
+    assert {(r.path, r.meta) for r in found.collect()} == {("a/z.npy", "a/z.json"), ("a/y_data.npy", "a/y.json"), ("b/x.npy", "b/x.json")}
+    assert [r.path for r in lost.collect()] == ["a/b/c.npy"]
+
+
+def test_codebook_and_types(spark, tmp_path):
+    import pytest
+
+    from tesselon import types
+
+    df = spark.createDataFrame([(i, [0.0, float(i)]) for i in range(3)], types.CODEBOOK)
+    sinks.write_table(df, f"{tmp_path}/book")
+    assert arrays.read_codebook(spark, f"{tmp_path}/book", 3, 2).count() == 3 and not types.violations(df, types.CODEBOOK) and types.violations(df, types.CURVE)
+    with pytest.raises(ValueError):
+        arrays.read_codebook(spark, f"{tmp_path}/book", 4, 2)
+    assert arrays.load_array(b"1,2\n3,4", "x.txt").shape == (2, 2)
