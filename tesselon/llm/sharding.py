@@ -97,15 +97,23 @@ def even_out(rows: DataFrame, shards: int, scratch: Scratch) -> DataFrame:
     return rows.withColumn("shard", F.coalesce("to", "shard")).withColumn("slot", F.coalesce(moved, F.col("slot")))
 
 
-def shard(docs: DataFrame, *, shards: int = 40) -> DataFrame:
-    """Shards of documents by the law `rows`; documents with equal texts are linked.
+def shard(docs: DataFrame, *, shards: int = 40, links: DataFrame | None = None) -> DataFrame:
+    """Shards of documents by the law `rows`; documents with equal texts are linked, or those that links joins.
+
+    links: doc_id and group, one row for each linked document (a near-duplicate class, a source);
+    documents without a row stand alone.
 
     Returns doc_id, size (UTF-8 bytes of the text and 16), text_crc32, law, shard, slot,
     grown_shard (null under this law), members (documents with the text). Null text: empty.
     Groups larger than a shard fill several. Repeated rows have slots of their own; a null
     doc_id is placed like any other; an empty table gives no rows."""
     scratch = Scratch(docs.sparkSession, "shards")
-    rows = scratch.write(groups_of_equal_texts(docs), "documents")
+    rows = groups_of_equal_texts(docs)
+    if links is not None:
+        to = links.select(F.col("doc_id").cast("long"), F.col("group").cast("string").alias("to")).dropDuplicates(["doc_id"])
+        own = F.coalesce("to", F.concat(F.lit("alone:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+        rows = rows.join(to, "doc_id", "left").withColumn("g1", F.xxhash64(own)).withColumn("g2", F.xxhash64(F.lit(7), own)).drop("to")
+    rows = scratch.write(rows, "documents")
     rows = even_out(propagate(rows, shards, scratch), shards, scratch)
     return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "members")
 

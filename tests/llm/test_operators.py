@@ -402,6 +402,10 @@ def test_groups_stay_together(spark, odd_docs, no_docs):
     small = [len(where[crc32(f"text {g}".encode())]) for g in range(200)]
     assert sum(s == 1 for s in small) > 100  # by chance, about 3
     check_shards(sharding.shard(odd_docs, shards=3).collect(), 3)
+    links = spark.createDataFrame([(i, i // 8) for i in range(160)], "doc_id long, group long")
+    joined = sharding.shard(spark.createDataFrame([(i, f"t{i}") for i in range(400)], "doc_id long, text string"), shards=4, links=links).collect()
+    check_shards(joined, 4)
+    assert sum(len({r.shard for r in joined if r.doc_id // 8 == g}) == 1 for g in range(20)) > 10
     assert sharding.shard(no_docs).count() == 0
 
 
