@@ -9,9 +9,14 @@ from pyspark.sql.window import Window
 from ..functions.arrays import bin_index, mixed_radix
 
 
-def quantile_edges(df: DataFrame, columns: list[str], bins: list[int]) -> list[list[float]]:
-    """Exact linear-interpolated quantiles at b+1 even steps for each column: b+1 numbers a column."""
-    row = df.agg(*[F.percentile(c, F.array(*[F.lit(i / b) for i in range(b + 1)])).alias(c) for c, b in zip(columns, bins, strict=True)]).first()
+def quantile_edges(df: DataFrame, columns: list[str], bins: list[int], accuracy: int | None = None) -> list[list[float]]:
+    """Quantiles at b+1 even steps for each column: b+1 numbers a column.
+
+    Exact with linear interpolation by default, which keeps every distinct value: right for a
+    codebook of fixed size. For large tables give an accuracy: sketches of that size, no interpolation."""
+    steps = [F.array(*[F.lit(i / b) for i in range(b + 1)]) for b in bins]
+    how = (lambda c, p: F.percentile(c, p)) if accuracy is None else (lambda c, p: F.percentile_approx(c, p, accuracy))
+    row = df.agg(*[how(c, p).alias(c) for c, p in zip(columns, steps, strict=True)]).first()
     return [list(row[c]) if row[c] is not None else [] for c in columns]
 
 
