@@ -283,3 +283,22 @@ def one_per_class(docs: DataFrame, *, words: int = 5, percent: int = 80) -> Data
 
 def op4_jaccard(spark, sf_dir: str) -> DataFrame:
     return similar_classes(spark.read.parquet(f"{sf_dir}/documents.parquet"), words=3, percent=90)
+
+
+#: The same rows by comparing all pairs that share a shingle.
+OP4_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN CAST([] AS VARCHAR[]) WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s FROM w),
+x AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
+p AS (
+  SELECT a.doc_id AS u, b.doc_id AS v FROM x a JOIN x b ON a.g = b.g AND a.doc_id < b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+e AS (SELECT u, v FROM p UNION ALL SELECT v, u FROM p),
+c AS (SELECT doc_id AS v, doc_id AS r FROM documents UNION SELECT e.v, c.r FROM c JOIN e ON e.u = c.v)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, (SELECT min(r) FROM c WHERE c.v = s.doc_id) AS component_id,
+  (SELECT count(*) FROM e WHERE e.u = s.doc_id) AS n_links FROM s
+"""

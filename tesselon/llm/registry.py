@@ -20,5 +20,6 @@ def queries() -> dict:
 
 def oracle_sql() -> dict:
     return {
+        "op4_jaccard": jaccard.OP4_SQL,
         "op9_chat": chat.OP9_SQL,
     }
