@@ -1,11 +1,11 @@
 """Balanced label propagation: linked documents gather in shards of even size.
 
 Documents start in the shard of their hash. In each round every group of linked documents votes,
-by the bytes it has in each shard, and its other members ask to move to the winner; a shard
-takes what its quota leaves room for, whole groups first. At the end shards that hold more than
-their share give up what comes last in their order (documents without links first), and shards
-that hold less take it, so counts differ by one at most. Only counts by shard and by partition
-come to the driver.
+by the bytes it has in each shard that has room, and members in shards with less of it ask to
+move to the winner; a shard takes as many linked documents as its quota allows. Documents
+without links have no say and make room: at the end shards that hold more than their share give
+up what comes last in their order, those first, and shards that hold less take it, so counts
+differ by one at most. Only counts by shard and by partition come to the driver.
 """
 
 from __future__ import annotations
@@ -18,8 +18,9 @@ from pyspark.sql.window import Window
 
 from .common import Scratch
 
-#: Rounds of propagation, and the share above the mean that a shard may hold meanwhile.
-ROUNDS, SLACK = 3, 0.05
+#: Rounds of propagation at most; they end when nobody asks. A group fills one shard a round.
+ROUNDS = 16
+#: Steps by which asking groups are let in, in order of their hash.
 _BINS = 1024
 
 
@@ -38,29 +39,34 @@ def _share(salt: int, *cols: str) -> Column:
 
 def propagate(rows: DataFrame, shards: int, scratch: Scratch) -> DataFrame:
     """rows (doc_id, size, g1, g2, …) with their shard after the rounds, and members: the group's rows."""
-    total = rows.count()
-    room = int(total / shards * (1 + SLACK)) + 1
+    quota = max(1, rows.count() // shards)
     sizes = rows.groupBy("g1", "g2").agg(F.count("*").alias("members"))
     rows = rows.join(sizes, ["g1", "g2"]).withColumn("shard", F.pmod(F.xxhash64("doc_id", "g1"), F.lit(shards)).cast("int"))
     rows = scratch.write(rows, "labels")
+    every = rows.sparkSession.range(shards).select(F.col("id").cast("int").alias("shard"))
     for turn in range(ROUNDS):
         linked = rows.where("members > 1")
+        load = linked.groupBy("shard").agg(F.count("*").alias("load"))
+        free = every.join(load, "shard", "left").select("shard", (quota - F.coalesce("load", F.lit(0))).alias("free")).where(F.col("free") > quota // 20)
+        free = scratch.write(free, "free")
         votes = linked.groupBy("g1", "g2", "shard").agg(F.sum("size").alias("w"))
-        best = votes.groupBy("g1", "g2").agg(F.max(F.struct("w", (-F.col("shard")).alias("s"))).alias("b"))
-        asks = linked.join(best, ["g1", "g2"]).withColumn("to", -F.col("b.s")).where("shard <> to")
-        asks = asks.withColumn("bin", F.floor(_share(turn, "g1", "g2") * _BINS).cast("int"))
-        counts = asks.groupBy("to", "bin").agg(F.count("*").alias("n"))
-        load = rows.groupBy(F.col("shard").alias("to")).agg(F.count("*").alias("load"))
+        votes = scratch.write(votes, "votes")
+        best = votes.join(F.broadcast(free), "shard").groupBy("g1", "g2").agg(F.max(F.struct("w", (-F.col("shard")).alias("s"))).alias("b"))
+        # who asks: members of a group whose own shard has less of it than the best shard with room
+        asks = votes.join(best, ["g1", "g2"]).where(F.struct("w", -F.col("shard")) < F.struct("b.w", "b.s"))
+        bin_ = F.floor(_share(turn, "g1", "g2") * _BINS).cast("int")
+        asks = scratch.write(asks.select("g1", "g2", "shard", (-F.col("b.s")).alias("to"), bin_.alias("bin")), "asks")
+        if asks.isEmpty():
+            break
+        counts = linked.join(asks, ["g1", "g2", "shard"]).groupBy("to", "bin").agg(F.count("*").alias("n"))
         before = F.sum("n").over(Window.partitionBy("to").orderBy("bin")) - F.col("n")
-        free = F.greatest(F.lit(0), room - F.coalesce("load", F.lit(0)))
         # of the last bin that finds room, the share for which there is room
-        grant = counts.withColumn("before", before).join(load, "to", "left").select(
-            "to", "bin", F.greatest(F.lit(0.0), F.least(F.lit(1.0), (free - F.col("before")) / F.col("n"))).alias("share"))
+        grant = counts.withColumn("before", before).join(free.withColumnRenamed("shard", "to"), "to").select(
+            "to", "bin", F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("free") - F.col("before")) / F.col("n"))).alias("share"))
         grant = scratch.write(grant, "grant")
-        moves = best.select("g1", "g2", (-F.col("b.s")).alias("to")).withColumn("bin", F.floor(_share(turn, "g1", "g2") * _BINS).cast("int"))
-        moves = moves.join(F.broadcast(grant), ["to", "bin"]).drop("bin")  # at most a row for each shard and bin
-        rows = rows.join(moves, ["g1", "g2"], "left")
-        goes = F.col("to").isNotNull() & (F.col("shard") != F.col("to")) & (_share(turn + 100, "doc_id", "g2") < F.col("share"))
+        moves = asks.join(F.broadcast(grant), ["to", "bin"]).drop("bin")  # at most a row for each shard and bin
+        rows = rows.join(moves, ["g1", "g2", "shard"], "left")
+        goes = F.col("to").isNotNull() & (_share(turn + 100, "doc_id", "g2") < F.col("share"))
         rows = rows.withColumn("shard", F.when(goes, F.col("to")).otherwise(F.col("shard"))).drop("to", "share")
         rows = scratch.write(rows, "labels")
     return rows
