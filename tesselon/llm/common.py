@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -10,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Word separators of every operator here: space and U+0009 to U+000D.
@@ -84,9 +85,18 @@ class Scratch:
             drop_scratch(self.spark, self.paths.pop(name))
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df marked for broadcast if it has few rows, else as it is. df should be a written table."""
-    return F.broadcast(df) if df.count() <= rows else df
+def spark_gc(spark: SparkSession) -> None:
+    """Lets Spark's cleaner find shuffle files that no plan needs any more; else they stay until the driver's next full collection."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, weight: Column | None = None) -> DataFrame:
+    """df marked for broadcast if it has few rows, else as it is. df should be a written table.
+
+    weight: the size of a row that holds an array; then the sum of weights is what must be small."""
+    size = df.count() if weight is None else df.agg(F.sum(weight + 1)).first()[0] or 0
+    return F.broadcast(df) if size <= rows else df
 
 
 def mix(x: np.ndarray) -> np.ndarray:

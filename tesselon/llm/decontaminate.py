@@ -92,7 +92,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     found = found.join(small(wanted), ["doc_key", "text_key"], "left_semi").dropDuplicates(["doc_key", "text_key"])
     found = scratch.write(found.select("doc_key", "text_key", word_ids(F.col("text")).alias("ids")), "found")
     hits = hits.withColumn("doc_key", F.coalesce("doc_id", F.lit(-(1 << 63))))
-    rows = hits.join(found, ["doc_key", "text_key"]).join(small(items.withColumnRenamed("ids", "item_ids"), 20_000), "item_id")
+    rows = hits.join(found, ["doc_key", "text_key"]).join(small(items.withColumnRenamed("ids", "item_ids"), 4_000_000, F.size("item_ids")), "item_id")
     rows = rows.withColumn("o", F.explode(F.array(_overlap()))).select(
         "doc_id", "text_key", "item_id", (F.col("o.best_start") + F.col("diagonal")).alias("doc_start"),
         F.col("o.best_start").alias("item_start"), F.col("o.best_size").alias("words"), F.col("o.best_hits").alias("matches"),

@@ -159,7 +159,7 @@ def dedup_lines(docs: DataFrame, *, words: int = WORDS) -> DataFrame:
     kept = docs.drop("n_lines", "n_removed", "removed_runs").withColumn("text", F.col("text").cast("string"))
     kept = kept.mapInArrow(_keyed, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema) + ", t_ long")
     runs = runs.toDF("d_", "t_", "runs_")
-    joined = kept.withColumn("d_", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST))).join(small(runs), ["d_", "t_"], "left").drop("d_")
+    joined = kept.withColumn("d_", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST))).join(small(runs, 1_000_000, F.size("runs_")), ["d_", "t_"], "left").drop("d_")
     names = [f for f in kept.schema if f.name not in ("text", "t_")]
     head = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in names)
     return joined.mapInArrow(_cut, head + "text string, n_lines int, n_removed int, removed_runs array<struct<line:int,lines:int,first_doc:long>>")
