@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -99,6 +100,21 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS, weight: Column | None = Non
     return F.broadcast(df) if size <= rows else df
 
 
+def tidy(run):
+    """run (batches to batches), and at its end what it held goes back to the system: workers live on and would keep it."""
+
+    def outer(batches):
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+                trim(0)
+
+    return outer
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """The finaliser of splitmix64, on uint64 arrays."""
     x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)

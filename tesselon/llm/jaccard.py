@@ -5,8 +5,10 @@ features. The feature domain is cut into n1 parts, each of them into n2 cells. A
 at least one holds at most k1 = floor(k/n1) of the differences, so at least n2-k1 of its cells
 agree: a set's signatures are all choices of n2-k1 cells of each part. Sets are compared within
 bands of sizes that grow by 1/g, and each set also gives the signatures of the next band, so
-every pair that can be similar meets in one band. Sets which share a signature form candidate
-families; each family is then compared exactly, in blocks of bounded size.
+every pair that can be similar meets in one band. Sets that share a signature are held against
+each other by bitmaps of their features: two bitmaps differ in at most as many bits as the sets
+do in features, so a pair that differs in more than k bits can't be similar. What passes forms
+candidate families; each family is then compared exactly, in blocks of bounded size.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Scratch, bound_batches, mix, shingle_hashes, small, words_by_row
+from .common import Scratch, bound_batches, mix, shingle_hashes, small, spark_gc, tidy, words_by_row
 from .components import connected_components
 
 _U = np.uint64
@@ -82,6 +84,70 @@ def signatures(features: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate(out)
 
 
+def bitmap(features: np.ndarray) -> bytes:
+    """A bit for each feature, in a power of two of at least twice as many bits (64 to 2**20)."""
+    size = min(1 << 20, max(64, 1 << (2 * len(features) - 1).bit_length()))
+    bits = np.zeros(size, bool)
+    bits[((features >> _U(17)) & _U(size - 1)).astype(np.int64)] = True
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def _fold(maps: np.ndarray, size: int) -> np.ndarray:
+    """Bitmaps (rows of words) with fewer bits: words that fall together are joined."""
+    return np.bitwise_or.reduce(maps.reshape(len(maps), -1, size), axis=1)
+
+
+def alike(ids: list[int], sizes: list[int], maps: list[bytes], percent: int) -> Iterator[tuple[int, int]]:
+    """A spanning forest of the pairs whose sizes and bitmaps allow the similarity."""
+    n = np.array(sizes)
+    order = np.argsort(n, kind="stable")
+    width = np.array([len(m) // 8 for m in maps])
+    forest, by = _Forest(len(ids)), {}
+    for w in sorted(set(width.tolist())):
+        rows = order[width[order] == w]  # by size
+        by[w] = (rows, np.frombuffer(b"".join(maps[i] for i in rows), _U).reshape(-1, w))
+    for w, (rows, own) in by.items():
+        for v, (others, theirs) in by.items():
+            if v < w:
+                continue
+            if 100 * n[rows[-1]] < percent * n[others[0]]:
+                continue
+            other_maps = theirs if v == w else _fold(theirs, w)
+            for i, x in enumerate(rows.tolist()):
+                # sizes from that of x up, as far as the similarity allows
+                a = i + 1 if v == w else 0
+                b = int(np.searchsorted(n[others], 100 * n[x] // percent, "right"))
+                if b <= a:
+                    continue
+                apart = np.bitwise_count(other_maps[a:b] ^ own[i]).sum(axis=1, dtype=np.int64)
+                good = (100 + percent) * apart <= (100 - percent) * (n[x] + n[others[a:b]])
+                for y in others[a:b][good].tolist():
+                    if forest.join(x, y):
+                        yield ids[x], ids[y]
+
+
+def _alike_groups(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, rows, out = None, [], []
+        for batch in batches:
+            cols = [batch.column(c).to_pylist() for c in ("hub", "doc_id", "n_shingles", "bits")]
+            for hub, *row in zip(*cols, strict=True):
+                if hub != key:
+                    if len(rows) > 1:
+                        out += alike(*map(list, zip(*rows, strict=True)), percent)
+                    key, rows = hub, []
+                rows.append(row)
+            if len(out) > 10_000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["u", "v"])
+                out = []
+        if len(rows) > 1:
+            out += alike(*map(list, zip(*rows, strict=True)), percent)
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["u", "v"])
+
+    return run
+
+
 def _sets(size: int):
     """Rows of (…, text) → the same row with the sorted distinct shingle hashes."""
 
@@ -97,21 +163,23 @@ def _describe(size: int, percent: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, keys, sigs, ends, total = [], [], [], [0], 0
+            n, keys, sigs, ends, total, bits = [], [], [], [0], 0, []
             for s in sets(batch.column("text")):
                 n.append(len(s))
                 if len(s):
                     keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                     sigs.append(signatures(s, percent))
+                    bits.append(bitmap(s))
                     total += len(sigs[-1])
                 else:
                     keys.append(None)
+                    bits.append(None)
                 ends.append(total)
             flat = np.concatenate(sigs).view(np.int64) if sigs else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()),
-                 pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))],
-                names=["doc_id", "n_shingles", "key", "sigs"])
+                 pa.array(bits, pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))],
+                names=["doc_id", "n_shingles", "key", "bits", "sigs"])
 
     return run
 
@@ -227,17 +295,25 @@ def similar_classes(docs: DataFrame, *, words: int = 5, percent: int = 80) -> Da
     bound_batches(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "jaccard")
     source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    meta = scratch.write(
-        source.mapInArrow(_describe(words, percent), "doc_id long, n_shingles long, key binary, sigs array<long>"),
-        "sets")
+    described = scratch.write(
+        source.mapInArrow(tidy(_describe(words, percent)), "doc_id long, n_shingles long, key binary, bits binary, sigs array<long>"), "sets")
+    meta = scratch.write(described.select("doc_id", "n_shingles", "key"), "meta")
     known = meta.where("key is not null and doc_id is not null")
-    classes = known.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
-    classes = scratch.write(classes.join(known.groupBy("key").agg(F.max("n_shingles").alias("n")), "key"), "classes")
-    signed = known.join(classes.select("key", F.col("rep").alias("doc_id")), ["key", "doc_id"], "left_semi")
-    signed = signed.select("doc_id", F.explode("sigs").alias("sig"))
+    classes = known.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.max("n_shingles").alias("n"))
+    classes = scratch.write(classes, "classes")
+    copies = known.join(classes.select("key", "rep"), "key").where("doc_id <> rep").select("doc_id", "key").distinct()
+    copies = small(scratch.write(copies, "copies"), 500_000)
+    first = described.where("key is not null and doc_id is not null").join(copies, ["doc_id", "key"], "left_anti")
     hub = F.min("doc_id").over(Window.partitionBy("sig"))
-    edges = signed.select("doc_id", hub.alias("hub")).where("doc_id <> hub")
-    family = connected_components(edges.select(F.col("hub").alias("u"), F.col("doc_id").alias("v")), scratch, "family")
+    pairs = first.select("doc_id", F.explode("sigs").alias("sig")).select("doc_id", hub.alias("hub")).where("doc_id <> hub").distinct()
+    pairs = scratch.write(pairs, "pairs")
+    spark_gc(docs.sparkSession)
+    units = pairs.union(pairs.select(F.col("hub"), F.col("hub")).distinct())
+    units = units.join(first.select("doc_id", "n_shingles", "bits"), "doc_id").repartition("hub").sortWithinPartitions("hub", "doc_id")
+    edges = scratch.write(units.mapInArrow(tidy(_alike_groups(percent)), "u long, v long"), "alike")
+    scratch.drop("sets", "pairs")
+    spark_gc(docs.sparkSession)
+    family = connected_components(edges, scratch, "family")
 
     member = family.join(classes.select(F.col("rep").alias("vertex"), "n", "copies"), "vertex")
     parts = member.groupBy("label").agg(F.ceil(F.sum("n") / BLOCK_FEATURES).cast("int").alias("blocks"))
@@ -245,21 +321,21 @@ def similar_classes(docs: DataFrame, *, words: int = 5, percent: int = 80) -> Da
         member.join(parts, "label").select(F.col("vertex").alias("doc_id"), F.col("label").alias("fam"), "blocks", "copies"),
         "members")
     rows = source.join(small(member), "doc_id").select("fam", "blocks", "doc_id", "copies", "text")
-    rows = rows.mapInArrow(_with_sets(words), "fam long, blocks int, doc_id long, copies long, features binary")
+    rows = rows.mapInArrow(tidy(_with_sets(words)), "fam long, blocks int, doc_id long, copies long, features binary")
     rows = rows.where(F.length("features") > 0)
     block = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: F.struct(F.least("block", i).alias("lo"), F.greatest("block", i).alias("hi")))
     rows = rows.withColumn("block", block).withColumn("pair", F.explode(pairs))
     rows = rows.select("fam", "pair.lo", "pair.hi", "block", "doc_id", "copies", "features")
     rows = rows.repartition("fam", "lo", "hi").sortWithinPartitions("fam", "lo", "hi", "doc_id")
-    links = scratch.write(rows.mapInArrow(_compare_groups(percent), "u long, v long, links long"), "links")
+    links = scratch.write(rows.mapInArrow(tidy(_compare_groups(percent)), "u long, v long, links long"), "links")
 
     label = connected_components(links.where("v is not null"), scratch, "class")
     least = label.groupBy("label").agg(F.least(F.min("vertex"), F.min("label")).alias("component"))
     label = label.join(least, "label").select(F.col("vertex").alias("rep"), "component")
     degree = links.where("v is null").groupBy(F.col("u").alias("rep")).agg(F.sum("links").alias("links"))
     classes = classes.join(label, "rep", "left").join(degree, "rep", "left")
-    out = meta.select("doc_id", "n_shingles", "key").join(classes, "key", "left")
+    out = meta.join(classes, "key", "left")
     return out.select(
         "doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"),
         (F.coalesce("links", F.lit(0)) + F.coalesce(F.col("copies") - 1, F.lit(0))).alias("n_links"))
