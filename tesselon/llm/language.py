@@ -9,6 +9,7 @@ partitions change a result.
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, mix
+from .common import bound_batches, mix, tidy
 
 _U = np.uint64
 #: Bound n-gram vectors that a worker keeps; others are bound anew each time.
@@ -159,7 +160,7 @@ def learn(docs: DataFrame, *, dims: int = 1024, gram: int = 3) -> dict[str, list
 
     The only thing gathered is one vector a language."""
     bound_batches(docs.sparkSession)
-    sums = docs.select("text", "lang").mapInArrow(_learn(dims, gram), "lang string, bundle array<long>")
+    sums = docs.select("text", "lang").mapInArrow(tidy(_learn(dims, gram)), "lang string, bundle array<long>")
     sums = sums.select("lang", F.posexplode("bundle").alias("d", "v")).groupBy("lang", "d").agg(F.sum("v").alias("v"))
     rows = sums.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("d", "v"))).alias("parts")).collect()
     return {r.lang: [float(p.v) for p in r.parts] for r in sorted(rows, key=lambda r: r.lang)}
@@ -200,7 +201,7 @@ def predict(docs: DataFrame, prototypes: dict[str, list[float]], *, dims: int =
     than doc_id and text are ignored."""
     bound_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(_predict(prototypes, dims, gram), "doc_id long, lang_pred string, score double")
+    return rows.mapInArrow(tidy(_predict(prototypes, dims, gram)), "doc_id long, lang_pred string, score double")
 
 
 def held_out(doc_id) -> F.Column:
@@ -228,9 +229,15 @@ def keep_known(docs: DataFrame) -> DataFrame:
     prototypes = learned(docs)
 
     def run(batches, inner=_predict(prototypes, 1024, 3)):
-        for batch in batches:
-            for out in inner(iter([batch])):
-                keep = [p != "und" and s >= LEAST_SCORE for p, s in zip(out["lang_pred"].to_pylist(), out["score"].to_pylist(), strict=True)]
-                yield batch.filter(pa.array(keep, pa.bool_()))
+        seen = deque()
+
+        def watched():
+            for batch in batches:
+                seen.append(batch)
+                yield batch
+
+        for out in inner(watched()):  # one for each batch, in order
+            keep = [p != "und" and s >= LEAST_SCORE for p, s in zip(out["lang_pred"].to_pylist(), out["score"].to_pylist(), strict=True)]
+            yield seen.popleft().filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, bound_batches, small
+from .common import Scratch, bound_batches, small, tidy
 
 #: Words that a run needs to be removed where it occurs again.
 WORDS = 50
@@ -33,15 +33,11 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def text_key(text: str) -> int:
-    return _signed(xxhash.xxh3_64_intdigest(text.encode()))
-
-
 def _index(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cols: list[list] = [[] for _ in range(7)]
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for doc, text, key in zip(*[batch.column(i).to_pylist() for i in range(3)], strict=True):
                 if not text:
                     continue
                 raw = text.encode()
@@ -55,7 +51,7 @@ def _index(words: int):
                 last = np.searchsorted(ends, begins + words)  # the line where the run that begins here has enough words
                 first = np.searchsorted(begins, ends - words, "right") - 1  # and where the run that ends here begins
                 cols[0] += [_LEAST if doc is None else doc] * n
-                cols[1] += [_signed(xxhash.xxh3_64_intdigest(raw))] * n
+                cols[1] += [key] * n
                 cols[2] += range(n)
                 cols[3] += [_signed(i >> 64) for i in ids]
                 cols[4] += [_signed(i & ((1 << 64) - 1)) for i in ids]
@@ -77,8 +73,9 @@ def _classes(rows: DataFrame, keys: list[str], scratch: Scratch, name: str) -> D
 def later_copies(docs: DataFrame, scratch: Scratch, words: int = WORDS) -> DataFrame:
     """(d, t, j, l, r): runs of l lines at line j of a text that occur at an earlier place r."""
     bound_batches(docs.sparkSession)
-    source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    lines = source.mapInArrow(_index(words), f"{_PLACE}, h1 long, h2 long, ahead int, back int")
+    text = F.col("text").cast("string")
+    source = docs.select(F.col("doc_id").cast("long"), text, F.xxhash64(text).alias("t"))
+    lines = source.mapInArrow(tidy(_index(words)), f"{_PLACE}, h1 long, h2 long, ahead int, back int")
     lines = scratch.write(lines.distinct(), "lines")
     here = F.struct("d", "t", "j")
     asked = lines.select("d", "t", "j", F.col("ahead").alias("l")).union(
@@ -136,12 +133,6 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names=rest + ["text", "n_lines", "n_removed", "removed_runs"])
 
 
-def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        keys = [None if t is None else text_key(t) for t in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.int64())], names=[*batch.schema.names, "t_"])
-
-
 def dedup_lines(docs: DataFrame, *, words: int = WORDS) -> DataFrame:
     """Texts without later copies of line runs that have at least `words` words.
 
@@ -157,12 +148,12 @@ def dedup_lines(docs: DataFrame, *, words: int = WORDS) -> DataFrame:
     runs = copies.groupBy("d", "t").agg(F.collect_set(F.struct("j", "l", F.col("r.d").alias("first"))).alias("runs"))
     runs = scratch.write(runs, "runs")
     kept = docs.drop("n_lines", "n_removed", "removed_runs").withColumn("text", F.col("text").cast("string"))
-    kept = kept.mapInArrow(_keyed, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema) + ", t_ long")
+    kept = kept.withColumn("t_", F.xxhash64("text"))
     runs = runs.toDF("d_", "t_", "runs_")
     joined = kept.withColumn("d_", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST))).join(small(runs, 1_000_000, F.size("runs_")), ["d_", "t_"], "left").drop("d_")
     names = [f for f in kept.schema if f.name not in ("text", "t_")]
     head = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in names)
-    return joined.mapInArrow(_cut, head + "text string, n_lines int, n_removed int, removed_runs array<struct<line:int,lines:int,first_doc:long>>")
+    return joined.mapInArrow(tidy(_cut), head + "text string, n_lines int, n_removed int, removed_runs array<struct<line:int,lines:int,first_doc:long>>")
 
 
 def op3_lines(spark, sf_dir: str) -> DataFrame:

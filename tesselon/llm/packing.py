@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from functools import cached_property
 from zlib import crc32
 
 import pyarrow as pa
@@ -20,12 +21,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches
+from .common import bound_batches, tidy
 
 #: Tokens of a block: that many wait at most before windows are made.
 BLOCK_TOKENS = 2_000_000
 #: Distinct words whose ids a worker keeps.
-CACHED_WORDS = 300_000
+CACHED_WORDS = 200_000
 
 SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, "
           "offset long, tier int, step_group long")
@@ -45,15 +46,19 @@ class ByteBpe:
     The file's special tokens are ordinary text."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
+        self.path = path
         with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        self.slow = Tokenizer.from_file(path)
-        self.slow.encode_special_tokens = True
-        self.fast = self._ranked(spec)
+            self.fast = self._ranked(json.load(f))
         self.first, self.after = _Known(self.whole, ""), _Known(self.whole, " ")
 
+    @cached_property
+    def slow(self):
+        from tokenizers import Tokenizer
+
+        found = Tokenizer.from_file(self.path)
+        found.encode_special_tokens = True
+        return found
+
     @staticmethod
     def _ranked(spec: dict):
         """The same merges as ranks, if the file's ids are in the order of its merges."""
@@ -207,7 +212,7 @@ def pack(docs: DataFrame, *, tokenizer: str | None = None, end_id: int = 1, wind
     file that every executor has; by default that of the installed vocabulary files."""
     bound_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(_pack(tokenizer or default_tokenizer(), end_id, window, least_tier, step_tokens), SCHEMA)
+    return rows.mapInArrow(tidy(_pack(tokenizer or default_tokenizer(), end_id, window, least_tier, step_tokens)), SCHEMA)
 
 
 def op2_packing(spark, sf_dir: str) -> DataFrame:
