@@ -89,6 +89,23 @@ def interleave(spark, sf_dir):
     return df.select("g", F.col("i").cast("long").alias("i"), r6("v").alias("v"))
 
 
+@query(f"""WITH {PANEL}, o AS (SELECT user_id, row_number() OVER (ORDER BY user_id) - 1 AS o FROM (SELECT DISTINCT user_id FROM panel)),
+  p AS (SELECT o // 3 AS g, o % 3 AS j, t - 1 AS i, coalesce(value, 0) AS value FROM panel JOIN o USING (user_id)),
+  k AS (SELECT g, max(j) + 1 AS k, max(i) + 1 AS n FROM p GROUP BY g), f AS (SELECT g, k, unnest(range(k * n)) AS x FROM k)
+  SELECT f.g, CAST(x AS BIGINT) AS i, round(coalesce(value, 0), 6) AS v FROM f LEFT JOIN p ON p.g = f.g AND p.j = x % k AND p.i = x // k""")
+def interleave_whole(spark, sf_dir):
+    """All series in groups of three, one value of each in turn until the longest ends, zeros where one ends before.
+
+    The last group has the one or two series that are left over."""
+    df = se.pack(panel(spark, sf_dir).withColumn("value", F.coalesce("value", F.lit(0.0))), ["user_id"])
+    place = sa.registry(df.select("user_id"), [F.col("user_id")])
+    df = df.join(place, "user_id").withColumn("g", F.floor(F.col("id") / 3)).withColumn("j", F.col("id") % 3)
+    rows = F.sort_array(F.collect_list(F.struct("j", "values")))
+    df = df.groupBy("g").agg(F.transform(rows, lambda x: x["values"]).alias("all"), F.max(F.size("values")).alias("n"))
+    turns = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda t: F.transform("all", lambda v: F.coalesce(F.get(v, t), F.lit(0.0))))
+    return df.select("g", F.posexplode(F.flatten(turns)).alias("i", "v")).select("g", F.col("i").cast("long").alias("i"), r6("v").alias("v"))
+
+
 #: Curves: mean prices of order priorities by month stand for validation errors of cells by iteration.
 _CURVE = """curve AS (SELECT o_orderpriority AS bin, CAST(month(o_orderdate) AS INTEGER) AS iter, round(avg(o_totalprice) / 1000, 4) AS perf FROM orders GROUP BY 1, 2),
   c AS (SELECT bin, iter, perf, first_value(perf) OVER w AS p0, last_value(perf) OVER w AS p1, first_value(iter) OVER w AS i0, last_value(iter) OVER w AS i1 FROM curve

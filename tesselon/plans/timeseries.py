@@ -1,6 +1,7 @@
 """Series preparation, patches and codes of patches."""
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import arrays as a
 from ..functions import time as tm
@@ -124,6 +125,18 @@ def decoder_frames(spark, sf_dir):
     return _long(df.withColumn("values", F.concat(F.slice("values", -4, 4), F.array_repeat(F.lit(0.0), 8))))
 
 
+@query(f"""WITH {PANEL}, w AS (SELECT user_id, t, count(*) OVER (PARTITION BY user_id) AS n, [coalesce(lag(value, 3) OVER s, 0), coalesce(lag(value, 2) OVER s, 0), coalesce(lag(value) OVER s, 0), coalesce(value, 0)] AS v
+    FROM panel WINDOW s AS (PARTITION BY user_id ORDER BY t))
+  SELECT user_id, CAST(t AS INTEGER) AS t, CAST(i AS BIGINT) AS i, round(CASE WHEN i < 4 THEN v[1 + i] ELSE 0 END, 6) AS v FROM w, range(12) r(i) WHERE t >= least(16, n)""")
+def decoder_frames_whole(spark, sf_dir):
+    """Decoder inputs of every window of 16 input steps, by its last step; a shorter series is one window, with zeros in front."""
+    order = Window.partitionBy("user_id").orderBy("t")
+    df = panel(spark, sf_dir).withColumn("value", F.coalesce("value", F.lit(0.0))).withColumn("n", F.count("*").over(Window.partitionBy("user_id")))
+    last = [F.lag("value", k, 0.0).over(order) for k in (3, 2, 1)]
+    df = df.select("user_id", "t", "n", F.array(*last, F.col("value"), *[F.lit(0.0)] * 8).alias("values")).where("t >= least(16, n)")
+    return df.select("user_id", "t", F.posexplode("values").alias("i", "v")).select("user_id", "t", F.col("i").cast("long").alias("i"), r6("v").alias("v"))
+
+
 @query(f"""WITH {PANEL} SELECT user_id, count(*) AS steps, CAST(max(t) AS INTEGER) AS last FROM panel GROUP BY user_id""")
 def append_steps(spark, sf_dir):
     """The first twenty steps and then the later ones: the same panel."""
@@ -165,6 +178,22 @@ def multilevel_mask(spark, sf_dir):
     return df.select("user_id", F.array_join(F.transform("mask", lambda x: x.cast("int").cast("string")), "").alias("mask"))
 
 
+@query(f"""WITH {PANEL}, n AS (SELECT user_id, count(*) AS n FROM panel GROUP BY user_id), w AS (SELECT user_id, greatest(1, ceil((n - 4) / 48.0)) AS w FROM n),
+  p AS (SELECT user_id, unnest(range(CAST(w * 12 AS BIGINT))) AS p FROM w),
+  c AS (SELECT p.user_id, p, count(value) AS c FROM p LEFT JOIN panel ON panel.user_id = p.user_id AND t > p * 4 AND t <= p * 4 + 8 GROUP BY 1, 2),
+  m3 AS (SELECT user_id, p // 12 AS w, list(c = 8 ORDER BY p) AS m FROM c GROUP BY 1, 2),
+  m2 AS (SELECT *, list_transform(range(6), lambda i: list_bool_and(list_slice(m, i * 2 + 1, i * 2 + 2))) AS m2 FROM m3),
+  m1 AS (SELECT *, list_transform(range(4), lambda i: list_bool_and(list_slice(m2, CAST(round_even(i * 1.5, 0) AS BIGINT) + 1, CAST(round_even((i + 1) * 1.5, 0) AS BIGINT)))) AS m1 FROM m2)
+  SELECT user_id, CAST(w AS INTEGER) AS w, array_to_string(list_transform(list_concat(list_concat(m1, m2), m), lambda x: CASE WHEN x THEN '1' ELSE '0' END), '') AS mask FROM m1""")
+def multilevel_mask_whole(spark, sf_dir):
+    """Masks of three levels over whole series: frames of twelve patches, one behind the other, the last one padded."""
+    df = packed(spark, sf_dir).withColumn("frames", F.greatest(F.lit(1), F.ceil((F.size("values") - 4) / 48)).cast("int"))
+    df = df.select("user_id", "values", F.explode(F.sequence(F.lit(0), F.col("frames") - 1)).alias("w"))
+    df = df.select("user_id", "w", a.truncate(F.slice("values", F.col("w") * 48 + 1, F.lit(52)), 52).alias("values"))
+    df = pt.level_masks(df, 8, 4, [4, 6, 12])
+    return df.select("user_id", "w", F.array_join(F.transform("mask", lambda x: x.cast("int").cast("string")), "").alias("mask"))
+
+
 @query(f"""WITH {_FRAMES} SELECT user_id, CAST(4 * count(*) FILTER (ok) AS INTEGER) AS valid_len FROM (
   SELECT user_id, p, len(list_filter(patch, lambda x: x IS NULL)) = 0 AS ok FROM fr) GROUP BY user_id""")
 def valid_len(spark, sf_dir):
