@@ -90,11 +90,15 @@ def ema_step(assigned: DataFrame, state: DataFrame, decay: float, eps: float = 1
 def dead_codes(sizes: DataFrame, vectors: DataFrame, threshold: float, key: str, seed: int = 42) -> DataFrame:
     """(code, key): codes whose size is below the threshold, each with a vector drawn by hash order.
 
-    The k-th dead code gets the k-th vector; only as many vectors as there are codes are ranked."""
+    The k-th dead code gets the k-th vector; only as many vectors as there are dead codes are ranked.
+    If there are fewer vectors, they are dealt out again from the first."""
     dead = sizes.where(F.col("size") < threshold)
+    count = dead.count()
     dead = dead.select("code", F.row_number().over(Window.orderBy("code")).alias("k"))
-    drawn = vectors.select(key, F.md5(F.concat_ws(":", F.lit(seed), F.col(key))).alias("h")).orderBy("h", key).limit(2048)
+    drawn = vectors.select(key, F.md5(F.concat_ws(":", F.lit(seed), F.col(key))).alias("h")).orderBy("h", key).limit(count)
     drawn = drawn.select(key, F.row_number().over(Window.orderBy("h", key)).alias("k"))
+    have = F.broadcast(drawn.agg(F.greatest(F.count("*"), F.lit(1)).alias("have")))
+    dead = dead.crossJoin(have).withColumn("k", (F.col("k") - 1) % F.col("have") + 1)
     return dead.join(drawn, "k").select("code", key)
 
 
