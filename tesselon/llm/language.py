@@ -11,9 +11,11 @@ from __future__ import annotations
 
 from collections import deque
 from collections.abc import Iterator
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -219,14 +221,22 @@ def op1_language(spark, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
-#: Least cosine that the pipeline keeps: one standard deviation of that of unrelated vectors.
-LEAST_SCORE = 1024**-0.5
+#: Chance that a text unrelated to all languages passes in the pipeline.
+CHANCE = 0.001
+#: A text of fewer characters has too few n-grams to be told from chance, even in a learned language: one deviation is enough.
+SHORT = 100
+
+
+def least_score(languages: int, dims: int = 1024) -> float:
+    """The cosine that the largest of so many unrelated ones, normal with deviation dims**-0.5, exceeds by CHANCE."""
+    return NormalDist().inv_cdf((1 - CHANCE) ** (1 / max(1, languages))) * dims**-0.5
 
 
 def keep_known(docs: DataFrame) -> DataFrame:
     """Pipeline stage: documents of a recognised language; those of none go."""
     bound_batches(docs.sparkSession)
     prototypes = learned(docs)
+    least = least_score(len(prototypes))
 
     def run(batches, inner=_predict(prototypes, 1024, 3)):
         seen = deque()
@@ -237,7 +247,9 @@ def keep_known(docs: DataFrame) -> DataFrame:
                 yield batch
 
         for out in inner(watched()):  # one for each batch, in order
-            keep = [p != "und" and s >= LEAST_SCORE for p, s in zip(out["lang_pred"].to_pylist(), out["score"].to_pylist(), strict=True)]
-            yield seen.popleft().filter(pa.array(keep, pa.bool_()))
+            batch = seen.popleft()
+            sizes = pc.fill_null(pc.utf8_length(batch["text"]), 0).to_pylist()
+            rows = zip(out["lang_pred"].to_pylist(), out["score"].to_pylist(), sizes, strict=True)
+            yield batch.filter(pa.array([p != "und" and s >= (least if n >= SHORT else 1024**-0.5) for p, s, n in rows], pa.bool_()))
 
     return docs.mapInArrow(tidy(run), docs.schema)
