@@ -303,3 +303,28 @@ def batch_union(spark, sf_dir):
     df = read(spark, sf_dir, "orders")
     part = lambda k, name: df.where(F.col("o_orderkey") % k == 0).select("o_custkey", F.lit(name).alias("part"))
     return part(3, "a").unionByName(part(5, "b"))
+
+
+# Whole tables, where the queries above take ids by their remainder.
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F')")
+def missing_outputs_whole(spark, sf_dir):
+    """Customers without a finished order."""
+    outputs = read(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("c_custkey"))
+    return sa.missing(read(spark, sf_dir, "customer"), outputs, "c_custkey").select("c_custkey", "c_name")
+
+
+_ALL = _QUOTA.replace(" WHERE event_type <> 'error' OR event_id % 10 = 0", "")
+
+
+@query(QUERIES["quota_sample"][1].replace(_QUOTA, _ALL))
+def quota_sample_whole(spark, sf_dir):
+    return sa.quota(read(spark, sf_dir, "events").select("event_type", "event_id"), "event_type", ["event_id"], 300)
+
+
+@query("SELECT o_custkey, 'a' AS part FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT o_custkey, 'b' FROM orders WHERE o_orderstatus <> 'F'")
+def batch_union_whole(spark, sf_dir):
+    df = read(spark, sf_dir, "orders")
+    part = lambda rows, name: df.where(rows).select("o_custkey", F.lit(name).alias("part"))
+    return part("o_orderstatus = 'F'", "a").unionByName(part("o_orderstatus <> 'F'", "b"))

@@ -151,6 +151,12 @@ def feature_select(spark, sf_dir):
     return panel(spark, sf_dir).where(F.col("event_type").isin("click", "view") & (F.col("user_id") % 3 == 0)).select("user_id", "event_type", "t", r6("value").alias("value"))
 
 
+@query(f"WITH {PANEL} SELECT user_id, event_type, CAST(t AS INTEGER) AS t, round(value, 6) AS value FROM panel WHERE event_type IN ('click', 'view')")
+def feature_select_whole(spark, sf_dir):
+    """Chosen channels of all series."""
+    return panel(spark, sf_dir).where(F.col("event_type").isin("click", "view")).select("user_id", "event_type", "t", r6("value").alias("value"))
+
+
 _FRAMES = PACKED + ", fr AS (SELECT user_id, p, list_slice(values, CAST(p * 4 + 1 AS BIGINT), CAST(p * 4 + 8 AS BIGINT)) AS patch FROM packed, range(400) r(p) WHERE p * 4 + 8 <= len(values))"
 
 

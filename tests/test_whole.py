@@ -66,3 +66,13 @@ def test_short_and_left_over_series(spark, tmp_path, name):
     con = duckdb.connect()
     con.execute(f"SET timezone = 'UTC'; CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
     assert same(spark, str(tmp_path), con, name)
+
+
+def test_no_row_is_left_out_by_id(spark, sf_dir, duck):  # noqa: F811
+    count = lambda sql: duck.execute(sql).fetchone()[0]
+    assert len(same(spark, sf_dir, duck, "batch_union_whole")) == count("SELECT count(*) FROM orders")
+    assert len(same(spark, sf_dir, duck, "feature_select_whole")) == count("SELECT count(*) FROM events WHERE event_type IN ('click', 'view')")
+    finished = count("SELECT count(DISTINCT o_custkey) FROM orders WHERE o_orderstatus = 'F'")
+    assert len(same(spark, sf_dir, duck, "missing_outputs_whole")) == count("SELECT count(*) FROM customer") - finished
+    errors = {r["event_id"] for r in same(spark, sf_dir, duck, "quota_sample_whole") if r["event_type"] == "error"}
+    assert any(e % 10 for e in errors)
