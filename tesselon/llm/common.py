@@ -86,6 +86,14 @@ class Scratch:
             drop_scratch(self.spark, self.paths.pop(name))
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name like name that df doesn't have, in whatever case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def spark_gc(spark: SparkSession) -> None:
     """Lets Spark's cleaner find shuffle files that no plan needs any more; else they stay until the driver's next full collection."""
     gc.collect()

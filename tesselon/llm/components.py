@@ -9,7 +9,7 @@ from .common import Scratch
 
 
 def connected_components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """(vertex, label) for each vertex of edges (u long, v long); label is a vertex of the component.
+    """(vertex, label) for each vertex of edges (u, v of one type); label is a vertex of the component.
 
     In each round a vertex moves onto the member of its closed neighbourhood whose hash is
     least, by a hash that differs from round to round, so that long chains shrink by a factor
@@ -18,7 +18,8 @@ def connected_components(edges: DataFrame, scratch: Scratch, name: str) -> DataF
     are ignored; a vertex without other neighbours has no row."""
     spark = edges.sparkSession
     edges = scratch.write(edges.select("u", "v").where("u <> v").distinct(), f"{name}-edges")
-    labels = spark.createDataFrame([], "vertex long, label long")
+    kind = edges.schema["u"].dataType.simpleString()
+    labels = spark.createDataFrame([], f"vertex {kind}, label {kind}")
     turn = 0
     while not edges.isEmpty():
         both = edges.union(edges.select(F.col("v"), F.col("u")))
