@@ -25,6 +25,18 @@ def day_of_year(ts: Column) -> Column:
     return (F.dayofyear(ts) - 1) / 366.0
 
 
+def frequency_minutes(first: Column, second: Column) -> Column:
+    """Whole minutes between a series' first two time stamps; NULL unless that is positive."""
+    us = F.unix_micros(second.cast("timestamp")) - F.unix_micros(first.cast("timestamp"))
+    minutes = F.floor(us / F.lit(60_000_000)).cast("int")
+    return F.when(minutes > 0, minutes)
+
+
+def require_frequency(first: Column, second: Column) -> Column:
+    """frequency_minutes; none is an error."""
+    return F.coalesce(frequency_minutes(first, second), F.raise_error(F.lit("the first two time stamps must be a minute apart or more")).cast("int"))
+
+
 def cosine_rate(step: Column, warmup: int, total: int, cycles: float = 0.5) -> Column:
     """Linear warm-up to 1, then a cosine to 0."""
     done = (step - warmup) / float(max(1, total - warmup))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.arrays import bin_index, mixed_radix
+from .sizes import small
 
 
 def quantile_edges(df: DataFrame, columns: list[str], bins: list[int], accuracy: int | None = None) -> list[list[float]]:
@@ -49,13 +50,13 @@ def merge_table(hist: DataFrame, cells: int) -> DataFrame:
 
 
 def assign(df: DataFrame, table: DataFrame) -> DataFrame:
-    """df (raw, …) with the cell of its raw id. The table has a row for each raw id of the partition's fixed space."""
-    return df.join(F.broadcast(table), "raw")
+    """df (raw, …) with the cell of its raw id. The table has a row for each raw id of the partition's space."""
+    return df.join(small(table), "raw")
 
 
-def fit(df: DataFrame, columns: list[str], bins: list[int], cells: int) -> tuple[list[list[float]], DataFrame]:
-    """Edges and merge table from the vectors themselves."""
-    edges = quantile_edges(df, columns, bins)
+def fit(df: DataFrame, columns: list[str], bins: list[int], cells: int, accuracy: int | None = None) -> tuple[list[list[float]], DataFrame]:
+    """Edges and merge table from df: a codebook, or all vectors, for which accuracy bounds the memory of the edges."""
+    edges = quantile_edges(df, columns, bins, accuracy)
     size = 1
     for b in bins:
         size *= b

@@ -10,18 +10,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .sizes import gather, small
+
+#: Codes that a codebook may have.
+MOST_CODES = 1 << 20
+
 
 def lookup(codes: DataFrame, codebook: DataFrame) -> DataFrame:
-    """codes (keys, pos, code) with the vector e of each code; the codebook has a fixed few thousand rows."""
-    return codes.join(F.broadcast(codebook), "code")
+    """codes (keys, pos, code) with the vector e of each code."""
+    return codes.join(small(codebook), "code")
 
 
 def nearest(vectors: DataFrame, codebook: DataFrame, key: str, metric: str = "cosine") -> DataFrame:
     """(key, code, score): the best code for each vector (key, e), of equals the first.
 
-    The codebook (code, e) is a parameter of fixed size (2048 rows by default); it goes to the
-    workers, and blocks of vectors meet it in one matrix product."""
-    book = codebook.orderBy("code").collect()
+    The codebook (code, e) is a parameter (2048 rows by default, MOST_CODES at most, else an
+    error); it goes to the workers, and blocks of vectors meet it in one matrix product."""
+    book = gather(codebook.orderBy("code"), MOST_CODES, "the codebook")
     ids, table = np.array([r.code for r in book]), np.array([r.e for r in book], dtype=np.float64)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -46,16 +51,28 @@ def scale_embedding(codes: DataFrame, codebook: DataFrame, keys: list[str]) -> D
     """(keys, s, d, v): position-weighted mean of the vectors of a scale's valid codes, by dimension.
 
     codes: keys, s, pos, code (NULL: masked). The k valid codes have weights 0, 1/(k-1), …, 1,
-    a single one has 1; a scale without valid codes is the zero vector."""
+    a single one has 1; a scale without valid codes is the zero vector. Codes travel as one array
+    a scale, and meet the codebook in blocks."""
     by = [*keys, "s"]
-    rank = F.row_number().over(Window.partitionBy(*by).orderBy("pos")) - 1
-    n = F.count("*").over(Window.partitionBy(*by))
-    valid = codes.where("code IS NOT NULL").withColumn("w", F.when(n == 1, 1.0).otherwise(rank / (n - 1)))
-    parts = lookup(valid, codebook).select(*by, "w", F.posexplode("e").alias("d", "x"))
-    found = parts.groupBy(*by, "d").agg((F.sum(F.col("w") * F.col("x")) / F.sum("w")).alias("v"))
-    dims = codebook.select(F.size("e")).first()[0]
-    every = codes.select(*by).distinct().withColumn("d", F.explode(F.sequence(F.lit(0), F.lit(dims - 1))))
-    return every.join(found, [*by, "d"], "left").select(*by, "d", F.coalesce("v", F.lit(0.0)).alias("v"))
+    book = gather(codebook.orderBy("code"), MOST_CODES, "the codebook")
+    ids, table = np.array([r.code for r in book]), np.array([r.e for r in book], dtype=np.float64)
+    rows = F.sort_array(F.collect_list(F.when(F.col("code").isNotNull(), F.struct("pos", "code"))))
+    packed = codes.groupBy(*by).agg(F.transform(rows, lambda x: x["code"].cast("long")).alias("codes"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            out = []
+            for row in f["codes"]:
+                row = np.asarray(row, np.int64)
+                at = np.minimum(np.searchsorted(ids, row), len(ids) - 1)
+                known = ids[at] == row
+                w = (np.linspace(0, 1, len(row)) if len(row) > 1 else np.ones(len(row)))[known]
+                out.append(w @ table[at[known]] / w.sum() if w.sum() > 0 else np.zeros(table.shape[1]))
+            yield f[by].assign(e=out)
+
+    kinds = ", ".join(f"{k} {packed.schema[k].dataType.simpleString()}" for k in by)
+    found = packed.mapInPandas(run, f"{kinds}, e array<double>")
+    return found.select(*by, F.posexplode("e").alias("d", "v"))
 
 
 def perplexity(codes: DataFrame) -> DataFrame:
@@ -102,10 +119,19 @@ def dead_codes(sizes: DataFrame, vectors: DataFrame, threshold: float, key: str,
     return dead.join(drawn, "k").select("code", key)
 
 
-def reconstruction_error(df: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, mae, mse) of rows (prediction, target), over the counted targets of each sample alone."""
+def reconstruction_error(df: DataFrame, keys: list[str], batch: list[str]) -> DataFrame:
+    """(batch, keys, mae, mse) of rows (prediction, target): each sample's mean of the masked errors, the mask
+    divided by its mean over the whole batch.
+
+    So a sample with many missing targets counts less than its neighbours. A counted target
+    without prediction has an error of 0; a batch without counted targets has errors of 0."""
     d = F.col("prediction") - F.col("target")
-    return df.where("target IS NOT NULL").groupBy(*keys).agg(F.avg(F.abs(d)).alias("mae"), F.avg(d * d).alias("mse"))
+    total = lambda e: F.coalesce(F.sum(F.when(F.col("target").isNotNull(), F.coalesce(e, F.lit(0.0)))), F.lit(0.0))
+    sums = df.groupBy(*batch, *keys).agg(total(F.abs(d)).alias("mae"), total(d * d).alias("mse"), F.count("*").alias("n"), F.count("target").alias("seen"))
+    whole = Window.partitionBy(*batch)
+    share = F.sum("seen").over(whole) / F.sum("n").over(whole)
+    mean = lambda c: F.when(share > 0, F.col(c) / F.col("n") / share).otherwise(0.0).alias(c)
+    return sums.select(*batch, *keys, mean("mae"), mean("mse"))
 
 
 def below_error(df: DataFrame, limit: float) -> Column:

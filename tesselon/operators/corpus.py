@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from ..functions.arrays import pad, segment
-from .sampling import crop, quota
+from ..functions.arrays import clean, segment
+from .sampling import place, quota
+from .sizes import small
 
 
 def sample_manifest(usage: DataFrame, n: int, min_valid: int, seed: int = 42) -> DataFrame:
@@ -15,19 +19,82 @@ def sample_manifest(usage: DataFrame, n: int, min_valid: int, seed: int = 42) ->
     return quota(long_enough, "cell", ["file_id", "n", "c", "s"], n, seed)
 
 
-def materialise(manifest: DataFrame, series: DataFrame, size: int) -> DataFrame:
-    """Corpus rows (cell, pos, values, start, end, raw_len, crop_start, crop_len) of single items.
+def group_items(manifest: DataFrame, k: int) -> DataFrame:
+    """The manifest with k items of a cell, one behind the other, as one corpus row: pos from 1, item from 0."""
+    return manifest.withColumn("item", (F.col("pos") - 1) % k).withColumn("pos", F.floor((F.col("pos") - 1) / k).cast("int") + 1)
 
-    series: file_id, n, c, values, start, end. The valid range is cut out, cropped at a place
-    drawn by the cell, and padded to size. A sampled item without series is an error that names it."""
+
+def with_paths(items: DataFrame, registry: DataFrame) -> DataFrame:
+    """items (file_id, …) with the path of their file; an unknown file_id is an error that names it."""
+    files = registry.select(F.col("id").alias("file_id"), "path")
+    lost = items.join(files, "file_id", "left_anti").head(1)
+    if lost:
+        raise ValueError(f"no file with id {lost[0]['file_id']!r}")
+    return items.join(small(files), "file_id")
+
+
+def index_codes(index: DataFrame, codes: DataFrame, keys: list[str]) -> DataFrame:
+    """Index rows with their codes; an index row without codes is an error that names it."""
+    lost = index.join(codes, keys, "left_anti").head(1)
+    if lost:
+        raise ValueError(f"no codes for {({k: lost[0][k] for k in keys})}")
+    return index.join(codes, keys)
+
+
+def with_errors(sample: DataFrame, errors: DataFrame, keys: list[str]) -> DataFrame:
+    """Sampled items with their reconstruction errors mae and mse; NULL where none is known."""
+    return sample.join(errors.select(*keys, "mae", "mse"), keys, "left")
+
+
+def zscore(x: np.ndarray) -> np.ndarray:
+    """Mean 0 and deviation 1 by the values that aren't NaN; a deviation below 1e-6 is 1."""
+    seen = x[~np.isnan(x)]
+    if not len(seen):
+        return x
+    d = seen.std()
+    return (x - seen.mean()) / (d if d >= 1e-6 else 1.0)
+
+
+def compose(series: list[np.ndarray], size: int, normalise: bool) -> np.ndarray:
+    """One corpus row: a single series with NaN behind it; several in turn, each to size // k values, zeros where
+    one ends, and then normalised once more, zeros included."""
+    series = [zscore(x) if normalise else np.nan_to_num(x, posinf=0.0, neginf=0.0) for x in series]
+    k = len(series)
+    out = np.full(size, np.nan if k == 1 else 0.0)
+    for i, x in enumerate(series):
+        x = x[: size // k]
+        out[i : i + k * len(x) : k] = x
+    return out if k == 1 else zscore(out)
+
+
+def materialise(manifest: DataFrame, series: DataFrame, size: int, normalise: bool = True) -> DataFrame:
+    """Corpus rows (cell, pos, group_size, per_seq_len, items, values).
+
+    manifest: cell, pos, file_id, n, c, s and, for rows of several series, item. series: file_id,
+    n, c, values, start, end. Of each item's valid range a part of size // group_size values is
+    taken, at a place drawn by the cell; items tell where: start, end, raw_len = end - start,
+    crop_start (a place in the whole series) and crop_len. A sampled item without series is an
+    error that names it."""
     lost = manifest.join(series, ["file_id", "n", "c"], "left_anti").head(1)
     if lost:
         raise ValueError(f"sampled item without series: {lost[0].asDict()}")
-    df = manifest.join(series, ["file_id", "n", "c"]).withColumn("raw_len", F.size("values"))
-    df = df.withColumn("values", segment("values", "start", "end"))
-    df = crop(df, size, "cell", "file_id", "n", "c", "pos")
-    df = df.withColumn("values", pad(F.slice("values", F.col("crop_start") + 1, F.col("crop_len")), size))
-    return df.select("cell", "pos", "file_id", "n", "c", "s", "start", "end", "raw_len", "crop_start", "crop_len", "values")
+    if "item" not in manifest.columns:
+        manifest = manifest.withColumn("item", F.lit(0))
+    df = manifest.join(series, ["file_id", "n", "c"]).withColumn("raw_len", F.col("end") - F.col("start"))
+    df = df.withColumn("group_size", F.count("*").over(Window.partitionBy("cell", "pos")).cast("int"))
+    df = df.withColumn("per_seq_len", F.floor(F.lit(size) / F.col("group_size")).cast("int"))
+    offset = place(F.greatest(F.lit(0), F.col("raw_len") - F.col("per_seq_len")), "cell", "file_id", "n", "c", "pos", "item")
+    df = df.withColumn("crop_start", F.col("start") + offset).withColumn("crop_len", F.least("raw_len", "per_seq_len"))
+    df = df.withColumn("values", segment("values", "crop_start", F.col("crop_start") + F.col("crop_len")))
+    facts = ["item", "file_id", "n", "c", "s", "start", "end", "raw_len", "crop_start", "crop_len"]
+    rows = df.groupBy("cell", "pos", "group_size", "per_seq_len").agg(F.sort_array(F.collect_list(F.struct(*facts, "values"))).alias("items"))
+
+    @F.pandas_udf("array<double>")
+    def made(groups: pd.Series) -> pd.Series:
+        return groups.map(lambda g: compose([np.array(x, float) for x in g], size, normalise))
+
+    values = F.transform(made(F.transform("items", lambda x: x["values"])), clean)
+    return rows.select("cell", "pos", "group_size", "per_seq_len", F.transform("items", lambda x: x.dropFields("values")).alias("items"), values.alias("values"))
 
 
 def audit_lengths(codes: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:

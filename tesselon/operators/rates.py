@@ -15,15 +15,19 @@ def rates(curves: DataFrame, mode: str, eps: float = 1e-8) -> DataFrame:
     df = df.where("i0 < iter AND iter < i1")
     d1, d2, all_ = (F.greatest((a - b).cast("double"), F.lit(eps)) for a, b in
                     ((F.col("iter"), F.col("i0")), (F.col("i1"), F.col("iter")), (F.col("i1"), F.col("i0"))))
-    if mode == "ratio":
-        rate = ((F.col("p0") - F.col("perf")) / d1) / ((F.col("perf") - F.col("p1")) / d2 + eps)
-    elif mode == "progress_ratio":
-        rate = ((F.col("p0") - F.col("perf")) / (F.col("p0") - F.col("p1") + eps)) / (d1 / all_ + eps)
-    elif mode == "slope":
-        rate = (F.col("p0") - F.col("perf")) / d1
-    else:
-        raise ValueError(f"unknown rate mode: {mode}")
-    return df.select("bin", "iter", F.greatest(rate, F.lit(eps)).alias("rate"))
+    gained, left, whole = F.col("p0") - F.col("perf"), F.col("perf") - F.col("p1"), F.col("p0") - F.col("p1")
+    kinds = {"slope": gained / d1, "ratio": gained / d1 / (left / d2 + eps), "progress_ratio": gained / (whole + eps) / (d1 / all_ + eps)}
+    if mode not in kinds:
+        raise ValueError(f"no rate {mode!r}, there are {', '.join(kinds)}")
+    return df.select("bin", "iter", F.greatest(kinds[mode], F.lit(eps)).alias("rate"))
+
+
+def gather(draws: DataFrame, table: DataFrame) -> DataFrame:
+    """draws (iter, bin, …) with the rate of their stage and cell; a draw without one is an error that names it."""
+    lost = draws.join(table, ["iter", "bin"], "left_anti").head(1)
+    if lost:
+        raise ValueError(f"no rate for {lost[0].asDict()}")
+    return draws.join(table.select("iter", "bin", "rate"), ["iter", "bin"])
 
 
 def stage_target(df: DataFrame, mode: str, const: float = 1.0) -> DataFrame:

@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .sizes import gather
+
+#: Cells that a table of weights may have.
+MOST_CELLS = 1 << 20
+
 
 def draw(seed: int | Column, *keys: str) -> Column:
     """A row's place in the lottery."""
@@ -13,8 +22,16 @@ def draw(seed: int | Column, *keys: str) -> Column:
 
 
 def registry(paths: DataFrame, order: list[Column]) -> DataFrame:
-    """Adds id: dense numbers from 0 in the given order. A registry has a row a file, not a row of data."""
-    return paths.withColumn("id", F.row_number().over(Window.orderBy(*order)) - 1)
+    """Adds id: dense numbers from 0 in the given order.
+
+    Paths are sorted in ranges, each in a task of its own, and a range's numbers begin after those
+    of the ranges before it; only their sizes meet in one place. The order should have no ties."""
+    part, ranges = "part_", max(1, paths.sparkSession.sparkContext.defaultParallelism)
+    sorted_ = paths.repartitionByRange(ranges, *order).withColumn(part, F.spark_partition_id())
+    sizes = sorted_.groupBy(part).agg(F.count("*").alias("n_"))
+    before = sizes.select(part, (F.sum("n_").over(Window.orderBy(part)) - F.col("n_")).alias("before_"))
+    rank = F.row_number().over(Window.partitionBy(part).orderBy(*order))
+    return sorted_.withColumn("rank_", rank).join(F.broadcast(before), part).withColumn("id", F.col("before_") + F.col("rank_") - 1).drop(part, "rank_", "before_")
 
 
 def missing(sources: DataFrame, outputs: DataFrame, key: str) -> DataFrame:
@@ -53,21 +70,33 @@ def subset(df: DataFrame, keys: list[str], n: int, seed: int = 42) -> DataFrame:
     return df.orderBy(draw(seed, *keys), *keys).limit(n)
 
 
+def place(room: Column, seed: str, *keys: str) -> Column:
+    """A number from 0 to room, drawn by hash of the seed column and the keys."""
+    return (F.conv(F.substring(draw(F.col(seed), *keys), 1, 8), 16, 10).cast("long") % (room + 1)).cast("int")
+
+
 def crop(df: DataFrame, size: int, seed: str, *keys: str) -> DataFrame:
     """Adds crop_start and crop_len: a range of at most size elements of values, its start by hash of the seed column."""
-    room = F.greatest(F.lit(0), F.size("values") - size)
-    start = (F.conv(F.substring(draw(F.col(seed), *keys), 1, 8), 16, 10).cast("long") % (room + 1)).cast("int")
+    start = place(F.greatest(F.lit(0), F.size("values") - size), seed, *keys)
     return df.withColumn("crop_start", start).withColumn("crop_len", F.least(F.lit(size), F.size("values")))
 
 
 def weighted(df: DataFrame, weights: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     """(i, key) for i = 1..n: keys drawn by weight through the inverse of their cumulative shares.
 
-    weights has a row for each cell (a few thousand): the draws meet it as one sorted array."""
-    order = Window.orderBy(key)
-    share = weights.where("w > 0").withColumn("upper", F.sum("w").over(order.rowsBetween(Window.unboundedPreceding, 0)) / F.sum("w").over(Window.partitionBy()))
-    table = share.agg(F.sort_array(F.collect_list(F.struct("upper", F.col(key).alias("k")))).alias("t"))
+    weights has a row for each cell (a parameter, MOST_CELLS at most, else an error); draws look
+    theirs up by bisection, in blocks."""
+    rows = gather(weights.where("w > 0").select(key, "w").orderBy(key), MOST_CELLS, "the table of weights")
+    if not rows:
+        raise ValueError("no cell has a positive weight")
+    keys, upper = pd.Series([r[0] for r in rows]), np.cumsum([float(r[1]) for r in rows])
+    upper = upper / upper[-1]
     u = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed).cast("string"), F.col("i").cast("string"))), 1, 8), 16, 10).cast("double") / float(1 << 32)
     draws = df.sparkSession.range(1, n + 1).withColumnRenamed("id", "i").withColumn("u", u)
-    at = F.least(F.size(F.filter("t", lambda x: x["upper"] <= F.col("u"))), F.size("t") - 1)
-    return draws.join(F.broadcast(table)).select("i", F.get("t", at)["k"].alias(key))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            at = np.minimum(np.searchsorted(upper, f["u"], side="right"), len(keys) - 1)
+            yield pd.DataFrame({"i": f["i"], key: keys.to_numpy()[at]})
+
+    return draws.mapInPandas(run, f"i long, {key} {weights.schema[key].dataType.simpleString()}")

@@ -34,11 +34,22 @@ def persistence(df: DataFrame, keys: list[str], value: str = "value") -> DataFra
     return df.withColumn("prediction", before).withColumnRenamed(value, "target")
 
 
-def split(df: DataFrame, keys: list[str], train: float, valid: float) -> DataFrame:
-    """Adds split: the first int(T*train) rows train, the next int(T*valid) valid, the rest test."""
-    n = F.count("*").over(Window.partitionBy(*keys))
-    a, b = F.floor(n * train), F.floor(n * train) + F.floor(n * valid)
-    return df.withColumn("split", F.when(F.col("t") <= a, "train").when(F.col("t") <= b, "valid").otherwise("test"))
+def split(df: DataFrame, keys: list[str], valid: float, test: float, window: tuple[int, int] | None = None) -> DataFrame:
+    """Adds split: the last int(T*test) rows test, the int(T*valid) before them valid, the rest train.
+
+    window: input and output steps. A split shorter than both together borrows rows from its
+    neighbours, which then stand in both: input - 1 rows before it (not train), output rows
+    after it (not test), as far as there are any."""
+    df, n = df.withColumn("split", F.count("*").over(Window.partitionBy(*keys))), F.col("split")
+    v, x = F.floor(n * F.lit(valid)), F.floor(n * F.lit(test))
+    bounds = [("train", F.lit(0), n - v - x), ("valid", n - v - x, n - x), ("test", n - x, n)]
+    parts = []
+    for name, low, high in bounds:
+        short = (high - low < sum(window)) if window else F.lit(False)
+        before = F.when(short, window[0] - 1 if window and name != "train" else 0).otherwise(0)
+        after = F.when(short, window[1] if window and name != "test" else 0).otherwise(0)
+        parts.append(F.when((F.col("t") > low - before) & (F.col("t") <= high + after), F.lit(name)))
+    return df.withColumn("split", F.explode(F.array_compact(F.array(*parts))))
 
 
 def sliding(df: DataFrame, keys: list[str], size_in: int, size_out: int, value: str = "value") -> DataFrame:
@@ -63,6 +74,12 @@ def fit_range(df: DataFrame, keys: list[str], part: Column, value: str = "value"
     return df.where(part).groupBy(*keys).agg(F.min(value).alias("low"), F.max(value).alias("high"))
 
 
+def unrange(scaled: Column | str, low: Column | str, high: Column | str) -> Column:
+    """What min-max scaling by low and high came from."""
+    c = lambda x: F.col(x) if isinstance(x, str) else x
+    return c(scaled) * (c(high) - c(low)) + c(low)
+
+
 def append(df: DataFrame, more: DataFrame, keys: list[str], *order: str) -> DataFrame:
     """Later steps behind a panel, numbered on."""
     return number(df.drop("t").unionByName(more.drop("t")), keys, *order)

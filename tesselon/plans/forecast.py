@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions import metrics as m
+from ..operators import codes as co
 from .base import PRED, pred, query, r6, read
 
 _V = "target IS NOT NULL"
@@ -100,23 +101,24 @@ def meter_rmse(spark, sf_dir):
     return _meter(spark, sf_dir).agg(r6(F.sqrt(F.coalesce(F.sum(F.col("v") * F.col("v") * F.col("n")) / F.sum("n"), F.lit(0.0)))).alias("rmse"))
 
 
-@query(f"""WITH {PRED} SELECT user_id, count(target) AS n, round(avg(abs(prediction - target)), 6) AS mae,
-  round(avg((prediction - target) * (prediction - target)), 6) AS mse FROM pred WHERE target IS NOT NULL GROUP BY user_id""")
-def recon_error(spark, sf_dir):
-    """Errors of each sample over its own counted targets."""
-    from ..operators.codes import reconstruction_error
+#: Errors of samples in batches of 64 series.
+_ERRORS = f"""WITH {PRED}, s AS (SELECT user_id // 64 AS batch, user_id, count(*) AS n, count(target) AS seen, coalesce(sum(abs(prediction - target)) FILTER (target IS NOT NULL), 0) AS a,
+    coalesce(sum((prediction - target) * (prediction - target)) FILTER (target IS NOT NULL), 0) AS q FROM pred GROUP BY 1, 2),
+  e AS (SELECT batch, user_id, a / n / (sum(seen) OVER w / sum(n) OVER w) AS mae, q / n / (sum(seen) OVER w / sum(n) OVER w) AS mse FROM s WINDOW w AS (PARTITION BY batch))"""
+
+
+def _errors(spark, sf_dir):
+    return co.reconstruction_error(pred(spark, sf_dir).withColumn("batch", F.floor(F.col("user_id") / 64)), ["user_id"], ["batch"])
 
-    df = pred(spark, sf_dir)
-    n = df.groupBy("user_id").agg(F.count("target").alias("n"))
-    return reconstruction_error(df, ["user_id"]).join(n, "user_id").select("user_id", "n", r6("mae").alias("mae"), r6("mse").alias("mse"))
+
+@query(f"{_ERRORS} SELECT batch, user_id, round(mae, 6) AS mae, round(mse, 5) AS mse FROM e")
+def recon_error(spark, sf_dir):
+    """Errors of each sample, by the share of counted targets in its batch."""
+    return _errors(spark, sf_dir).select("batch", "user_id", r6("mae").alias("mae"), F.round("mse", 5).alias("mse"))
 
 
-@query(f"""WITH {PRED}, e AS (SELECT user_id, avg(abs(prediction - target)) AS mae, avg((prediction - target) * (prediction - target)) AS mse
-  FROM pred WHERE target IS NOT NULL GROUP BY user_id)
-  SELECT user_id FROM e WHERE coalesce(mae <= 60, true) AND coalesce(mse <= 10000, true)""")
+@query(f"{_ERRORS} SELECT user_id FROM e WHERE coalesce(mae <= 60, true) AND coalesce(mse <= 10000, true)")
 def error_filter(spark, sf_dir):
     """Series whose reconstruction errors don't exceed a limit."""
-    from ..operators.codes import reconstruction_error
-
-    errors = reconstruction_error(pred(spark, sf_dir), ["user_id"])
+    errors = _errors(spark, sf_dir)
     return errors.where(F.coalesce(F.col("mae") <= 60, F.lit(True)) & F.coalesce(F.col("mse") <= 10000, F.lit(True))).select("user_id")

@@ -3,9 +3,10 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from ..operators import corpus, kernels
+from ..operators import corpus, kernels, sampling
 from ..operators import rates as ra
 from ..operators import series as se
+from ..operators.sizes import gather
 from .base import PANEL, panel, query, r6, read
 from .selection import curve
 
@@ -14,21 +15,21 @@ CODEBOOK = 256
 
 @query()
 def pca_cells(spark, sf_dir):
-    """Cells of vectors by principal axes of a codebook (the first vectors, a fixed number)."""
+    """Cells of vectors by principal axes of a codebook of a fixed number of vectors, drawn from all."""
     df = read(spark, sf_dir, "embeddings")
-    book = np.array([r.embedding for r in df.where(F.col("vec_id") < CODEBOOK).orderBy("vec_id").select("embedding").collect()], dtype=float)
+    book = np.array([r.embedding for r in sampling.subset(df, ["vec_id"], CODEBOOK).select("embedding").collect()], dtype=float)
     return kernels.assign_cells(df, kernels.Partition(book, 40), "vec_id", "embedding")
 
 
 @query()
 def grpo_weights(spark, sf_dir):
     """Weights of cells learned from their rates."""
-    rows = ra.rates(curve(spark, sf_dir), "slope").collect()  # a rate for each stage and cell
+    rows = gather(ra.rates(curve(spark, sf_dir), "slope"), 1 << 20, "the table of rates")  # a rate for each stage and cell
     bins, iters = sorted({r.bin for r in rows}), sorted({r.iter for r in rows})
     table = np.zeros((len(iters), len(bins)))
     for r in rows:
         table[iters.index(r.iter), bins.index(r.bin)] = r.rate
-    found = kernels.learn_weights(table, epochs=4, steps=10)
+    found = kernels.learn_weights(table, epochs=4, steps=10, groups=8)
     return spark.createDataFrame([(b, float(w)) for b, w in zip(bins, found, strict=True)], "bin string, w double")
 
 
@@ -40,18 +41,43 @@ _ITEMS = PANEL + """, items AS (SELECT CAST(user_id % 8 AS INTEGER) AS cell, use
       JOIN r ON r.cell = q.cell AND r.rank = CAST('0x' || substr(md5('42:' || q.cell || ':' || q.pos), 1, 8) AS BIGINT) % q.have + 1)"""
 
 
-@query(f"""WITH {_ITEMS}, c AS (SELECT *, CAST('0x' || substr(md5(cell || ':' || user_id || ':0:0:' || pos), 1, 8) AS BIGINT) % (greatest(0, n - 32) + 1) AS start FROM m)
-  SELECT c.cell, CAST(c.pos AS INTEGER) AS pos, c.user_id AS file_id, CAST(start AS INTEGER) AS crop_start, CAST(least(32, n) AS INTEGER) AS crop_len, round(sum(value), 6) AS total
-  FROM c JOIN panel p ON p.user_id = c.user_id AND p.t > start AND p.t <= start + 32 GROUP BY 1, 2, 3, 4, 5""")
-def corpus_rows(spark, sf_dir):
-    """The balanced corpus: twelve series of each cell, cropped to 32 points, with their provenance."""
+#: Items with the part of their valid range that a corpus row of k items and 32 values takes.
+_PARTS = _ITEMS + """, g AS (SELECT m.*, (pos - 1) // {k} + 1 AS row, (pos - 1) % {k} AS item, user_id % 5 AS start, n - user_id % 3 AS finish FROM m),
+  c AS (SELECT *, finish - start AS raw_len, start + CAST('0x' || substr(md5(cell || ':' || user_id || ':0:0:' || row || ':' || item), 1, 8) AS BIGINT)
+    % (greatest(0, finish - start - 32 // {k}) + 1) AS crop_start, least(32 // {k}, finish - start) AS crop_len FROM g),
+  v AS (SELECT c.*, t - crop_start - 1 AS i, value FROM c JOIN panel p ON p.user_id = c.user_id AND t > crop_start AND t <= crop_start + crop_len),
+  z AS (SELECT *, avg(value) OVER w AS m, stddev_pop(value) OVER w AS d FROM v WINDOW w AS (PARTITION BY cell, row, item)),
+  u AS (SELECT *, (value - m) / CASE WHEN d < 1e-6 THEN 1 ELSE d END AS v FROM z)"""
+
+
+def _corpus(spark, sf_dir, k):
+    """Twelve series of each cell, k to a corpus row of 32 values, from valid ranges that begin and end inside the series."""
     df = se.pack(panel(spark, sf_dir), ["user_id"])
-    df = df.select(F.col("user_id").alias("file_id"), F.lit(0).alias("n"), F.lit(0).alias("c"), "values", F.lit(0).alias("start"), F.size("values").alias("end"))
+    n, user = F.size("values"), F.col("user_id")
+    df = df.select(user.alias("file_id"), F.lit(0).alias("n"), F.lit(0).alias("c"), "values", (user % 5).cast("int").alias("start"), (n - user % 3).cast("int").alias("end"))
     valid = F.size(F.filter("values", lambda v: v.isNotNull()))
     usage = df.select((F.col("file_id") % 8).cast("int").alias("cell"), "file_id", "n", "c", F.lit(0).alias("s"), valid.alias("valid_len"))
-    rows = corpus.materialise(corpus.sample_manifest(usage, 12, 40), df, 32)
-    some = F.filter("values", lambda v: v.isNotNull())
-    return rows.select("cell", "pos", "file_id", "crop_start", "crop_len", r6(F.aggregate(some, F.lit(0.0), lambda s, v: s + v)).alias("total"))
+    manifest = corpus.group_items(corpus.sample_manifest(usage, 12, 40), k).withColumn("item", F.col("item").cast("int"))
+    return corpus.materialise(manifest, df, 32)
+
+
+@query(f"""WITH {_PARTS.format(k=1)} SELECT cell, CAST(row AS INTEGER) AS pos, user_id AS file_id, CAST(start AS INTEGER) AS start, CAST(raw_len AS INTEGER) AS raw_len,
+  CAST(crop_start AS INTEGER) AS crop_start, CAST(crop_len AS INTEGER) AS crop_len, CAST(i AS BIGINT) AS i, round(v, 5) AS v FROM u""")
+def corpus_rows(spark, sf_dir):
+    """The balanced corpus of single series: normalised values with their provenance."""
+    df = _corpus(spark, sf_dir, 1).withColumn("x", F.get("items", F.lit(0)))
+    df = df.select("cell", "pos", "x.file_id", "x.start", "x.raw_len", "x.crop_start", "x.crop_len", F.posexplode("values").alias("i", "v")).where("i < crop_len")
+    return df.withColumn("i", F.col("i").cast("long")).withColumn("v", F.round("v", 5))
+
+
+@query(f"""WITH {_PARTS.format(k=2)}, s AS (SELECT cell, row, unnest(range(32)) AS p FROM (SELECT DISTINCT cell, row FROM u)),
+  f AS (SELECT s.cell, s.row, p, CASE WHEN x.i IS NULL THEN 0 ELSE x.v END AS v FROM s LEFT JOIN u x ON x.cell = s.cell AND x.row = s.row AND x.item = p % 2 AND x.i = p // 2)
+  SELECT cell, CAST(row AS INTEGER) AS pos, 2 AS group_size, 16 AS per_seq_len, CAST(p AS BIGINT) AS i,
+    round((v - avg(v) OVER w) / CASE WHEN stddev_pop(v) OVER w < 1e-6 THEN 1 ELSE stddev_pop(v) OVER w END, 5) AS v FROM f WINDOW w AS (PARTITION BY cell, row)""")
+def corpus_groups(spark, sf_dir):
+    """Corpus rows of two series, a value of each in turn, normalised before and after."""
+    df = _corpus(spark, sf_dir, 2).select("cell", "pos", "group_size", "per_seq_len", F.posexplode("values").alias("i", "v"))
+    return df.withColumn("i", F.col("i").cast("long")).withColumn("v", F.round("v", 5))
 
 
 @query("""SELECT count(*) AS rows, count(*) FILTER (vec_id % 50 = 0) AS bad FROM embeddings""")

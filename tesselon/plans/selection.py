@@ -3,11 +3,13 @@
 from pyspark.sql import functions as F
 
 from ..functions import arrays as a
+from ..operators import corpus as co
 from ..operators import graph as gr
 from ..operators import rates as ra
 from ..operators import sampling as sa
 from ..operators import series as se
-from .base import PANEL, QUERIES, packed, panel, query, r6, read
+from ..operators.codes import reconstruction_error
+from .base import PANEL, PRED, packed, panel, pred, query, r6, read
 
 
 @query("SELECT c_custkey, c_name, row_number() OVER (ORDER BY c_mktsegment, c_name, c_custkey) - 1 AS id FROM customer")
@@ -17,13 +19,6 @@ def file_registry(spark, sf_dir):
     return sa.registry(df, [F.col("c_mktsegment"), F.col("c_name"), F.col("c_custkey")]).select("c_custkey", "c_name", F.col("id").cast("long").alias("id"))
 
 
-@query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderkey % 7 = 0)")
-def missing_outputs(spark, sf_dir):
-    """Sources without an output: customers without chosen orders."""
-    outputs = read(spark, sf_dir, "orders").where("o_orderkey % 7 = 0").select(F.col("o_custkey").alias("c_custkey"))
-    return sa.missing(read(spark, sf_dir, "customer"), outputs, "c_custkey").select("c_custkey", "c_name")
-
-
 @query("SELECT n_nationkey, count(*) AS customers FROM nation JOIN customer ON n_nationkey = c_nationkey GROUP BY 1")
 def registry_check(spark, sf_dir):
     """Counts by nation, once every customer's nation is known to exist."""
@@ -42,7 +37,7 @@ def path_remap(spark, sf_dir):
 
 
 _QUOTA = """r AS (SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY md5('42:' || event_type || ':' || event_id), event_id) AS rank,
-  count(*) OVER (PARTITION BY event_type) AS have FROM events WHERE event_type <> 'error' OR event_id % 10 = 0)"""
+  count(*) OVER (PARTITION BY event_type) AS have FROM events)"""
 
 
 @query(f"""WITH {_QUOTA} SELECT event_type, event_id, CAST(rank AS INTEGER) AS pos FROM r WHERE rank <= 300
@@ -50,7 +45,7 @@ _QUOTA = """r AS (SELECT event_type, event_id, row_number() OVER (PARTITION BY e
     ON m.event_type = r.event_type AND r.rank = CAST('0x' || substr(md5('42:' || m.event_type || ':' || pos), 1, 8) AS BIGINT) % m.have + 1""")
 def quota_sample(spark, sf_dir):
     """Exactly 300 events of every type, repeated where a type has fewer."""
-    df = read(spark, sf_dir, "events").where("event_type <> 'error' OR event_id % 10 = 0").select("event_type", "event_id")
+    df = read(spark, sf_dir, "events").select("event_type", "event_id")
     return sa.quota(df, "event_type", ["event_id"], 300)
 
 
@@ -76,24 +71,11 @@ def random_crop(spark, sf_dir):
     return df.select("user_id", "crop_start", "crop_len", r6(F.aggregate(some, F.lit(0.0), lambda s, v: s + v)).alias("total"))
 
 
-@query(f"""WITH {PANEL}, p AS (SELECT user_id // 3 AS g, user_id % 3 AS i, t - 1 AS j, coalesce(value, 0) AS value FROM panel WHERE t <= 16 AND user_id < 45),
-  k AS (SELECT g, count(DISTINCT i) AS k FROM p GROUP BY g)
-  SELECT k.g, CAST(x AS BIGINT) AS i, round(coalesce(value, 0), 6) AS v FROM k CROSS JOIN range(48) r(x) LEFT JOIN p ON p.g = k.g AND p.i = x % 3 AND p.j = x // 3 WHERE k.k = 3""")
-def interleave(spark, sf_dir):
-    """Three series of a group, one value of each in turn."""
-    df = panel(spark, sf_dir).where("t <= 16 AND user_id < 45").withColumn("value", F.coalesce("value", F.lit(0.0)))
-    df = se.pack(df, ["user_id"]).withColumn("g", F.floor(F.col("user_id") / 3))
-    three = [F.max(F.when(F.col("user_id") % 3 == i, F.col("values"))).alias(f"v{i}") for i in range(3)]
-    df = df.groupBy("g").agg(*three).where("v0 IS NOT NULL AND v1 IS NOT NULL AND v2 IS NOT NULL")
-    df = df.select("g", F.posexplode(a.interleave([F.col(f"v{i}") for i in range(3)], 48)).alias("i", "v"))
-    return df.select("g", F.col("i").cast("long").alias("i"), r6("v").alias("v"))
-
-
 @query(f"""WITH {PANEL}, o AS (SELECT user_id, row_number() OVER (ORDER BY user_id) - 1 AS o FROM (SELECT DISTINCT user_id FROM panel)),
   p AS (SELECT o // 3 AS g, o % 3 AS j, t - 1 AS i, coalesce(value, 0) AS value FROM panel JOIN o USING (user_id)),
   k AS (SELECT g, max(j) + 1 AS k, max(i) + 1 AS n FROM p GROUP BY g), f AS (SELECT g, k, unnest(range(k * n)) AS x FROM k)
   SELECT f.g, CAST(x AS BIGINT) AS i, round(coalesce(value, 0), 6) AS v FROM f LEFT JOIN p ON p.g = f.g AND p.j = x % k AND p.i = x // k""")
-def interleave_whole(spark, sf_dir):
+def interleave(spark, sf_dir):
     """All series in groups of three, one value of each in turn until the longest ends, zeros where one ends before.
 
     The last group has the one or two series that are left over."""
@@ -212,11 +194,11 @@ def report_stats(spark, sf_dir):
 
 
 #: Graph: suppliers and groups of parts, by number of line items.
-_ADJ = "adj AS (SELECT l_suppkey AS src, l_partkey % 50 AS dst, CAST(count(*) AS DOUBLE) AS w FROM lineitem WHERE l_suppkey < 50 GROUP BY 1, 2)"
+_ADJ = "adj AS (SELECT l_suppkey AS src, l_partkey % 50 AS dst, CAST(count(*) AS DOUBLE) AS w FROM lineitem GROUP BY 1, 2)"
 
 
 def adjacency(spark, sf_dir):
-    df = read(spark, sf_dir, "lineitem").where("l_suppkey < 50")
+    df = read(spark, sf_dir, "lineitem")
     return df.groupBy(F.col("l_suppkey").alias("src"), (F.col("l_partkey") % 50).alias("dst")).agg(F.count("*").cast("double").alias("w"))
 
 
@@ -265,31 +247,45 @@ def double_transition(spark, sf_dir):
     return one.withColumn("part", F.lit(0)).unionByName(two.withColumn("part", F.lit(1))).withColumn("w", r6("w"))
 
 
-#: The same five matrices over all line items: the graph above ends at supplier 49, this one grows with the table.
-_WHOLE = _ADJ.replace(" WHERE l_suppkey < 50", "")
-
-
-def whole_adjacency(spark, sf_dir):
-    df = read(spark, sf_dir, "lineitem")
-    return df.groupBy(F.col("l_suppkey").alias("src"), (F.col("l_partkey") % 50).alias("dst")).agg(F.count("*").cast("double").alias("w"))
-
-
-def _double(adj):
-    one, two = gr.load(adj, "doubletransition")
-    return one.withColumn("part", F.lit(0)).unionByName(two.withColumn("part", F.lit(1)))
-
-
-def _whole_graph(name, matrix):
-    def run(spark, sf_dir):
-        return matrix(whole_adjacency(spark, sf_dir)).withColumn("w", r6("w"))
-
-    run.__name__ = f"{name}_whole"
-    query(QUERIES[name][1].replace(_ADJ, _WHOLE))(run)
-
-
-for _name, _matrix in [("laplacian", gr.laplacian), ("scaled_laplacian", gr.scaled_laplacian), ("message_passing", gr.message_passing),
-                       ("transition_matrix", gr.transition), ("double_transition", _double)]:
-    _whole_graph(_name, _matrix)
+@query(f"""WITH {_CURVE}, r AS (SELECT bin, iter, greatest({_RATE['slope']}, 1e-8) AS rate FROM m)
+  SELECT o_orderkey, round(rate, 6) AS rate FROM orders JOIN r ON bin = o_orderpriority AND iter = month(o_orderdate)""")
+def rate_gather(spark, sf_dir):
+    """The rate of every order's priority and month; the first and the last month have none."""
+    table = ra.rates(curve(spark, sf_dir), "slope")
+    draws = read(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderpriority").alias("bin"), F.month("o_orderdate").alias("iter"))
+    draws = draws.where(F.col("iter").between(2, 11))
+    return ra.gather(draws, table).select("o_orderkey", r6("rate").alias("rate"))
+
+
+@query("SELECT o_orderkey, c_name AS path FROM orders JOIN customer ON o_custkey = c_custkey")
+def item_paths(spark, sf_dir):
+    """Items with the path of their file: orders with their customer's name."""
+    items = read(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("file_id"))
+    files = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("path"))
+    return co.with_paths(items, files).select("o_orderkey", "path")
+
+
+@query("""WITH i AS (SELECT DISTINCT vec_id // 20 AS series, CAST(label AS BIGINT) AS cell FROM embeddings),
+  c AS (SELECT vec_id // 20 AS series, count(*) AS codes, CAST(sum(label) AS BIGINT) AS total FROM embeddings GROUP BY 1)
+  SELECT series, cell, codes, total FROM i JOIN c USING (series)""")
+def index_codes(spark, sf_dir):
+    """Index rows of cells with the codes of their series."""
+    df = read(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 20).alias("series"), F.col("label").cast("long").alias("label"))
+    codes = df.groupBy("series").agg(F.count("*").alias("codes"), F.sum("label").alias("total"))
+    return co.index_codes(df.select("series", F.col("label").alias("cell")).distinct(), codes, ["series"])
+
+
+@query(f"""WITH {PRED}, s AS (SELECT user_id // 64 AS batch, user_id, count(*) AS n, count(target) AS seen, coalesce(sum(abs(prediction - target)) FILTER (target IS NOT NULL), 0) AS a,
+    coalesce(sum((prediction - target) * (prediction - target)) FILTER (target IS NOT NULL), 0) AS q FROM pred GROUP BY 1, 2),
+  e AS (SELECT user_id, a / n / (sum(seen) OVER w / sum(n) OVER w) AS mae, q / n / (sum(seen) OVER w / sum(n) OVER w) AS mse FROM s WINDOW w AS (PARTITION BY batch))
+  SELECT o_orderkey, round(mae, 5) AS mae, round(mse, 4) AS mse FROM orders LEFT JOIN e ON e.user_id = o_custkey""")
+def sample_errors(spark, sf_dir):
+    """Sampled items with the errors of their series, NULL where there are none: orders stand for items."""
+    df = pred(spark, sf_dir).withColumn("batch", F.floor(F.col("user_id") / 64))
+    items = read(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").cast("long").alias("user_id"))
+    errors = reconstruction_error(df, ["user_id"], ["batch"]).withColumn("user_id", F.col("user_id").cast("long"))
+    out = co.with_errors(items, errors, ["user_id"])
+    return out.select("o_orderkey", F.round("mae", 5).alias("mae"), F.round("mse", 4).alias("mse"))
 
 
 @query("SELECT o_custkey FROM orders WHERE o_orderstatus = 'F' INTERSECT SELECT o_custkey FROM orders WHERE o_orderstatus = 'O'")
@@ -298,33 +294,15 @@ def index_intersection(spark, sf_dir):
     return df.where("o_orderstatus = 'F'").select("o_custkey").intersect(df.where("o_orderstatus = 'O'").select("o_custkey"))
 
 
-@query("SELECT o_custkey, 'a' AS part FROM orders WHERE o_orderkey % 3 = 0 UNION ALL SELECT o_custkey, 'b' FROM orders WHERE o_orderkey % 5 = 0")
-def batch_union(spark, sf_dir):
-    df = read(spark, sf_dir, "orders")
-    part = lambda k, name: df.where(F.col("o_orderkey") % k == 0).select("o_custkey", F.lit(name).alias("part"))
-    return part(3, "a").unionByName(part(5, "b"))
-
-
-# Whole tables, where the queries above take ids by their remainder.
-
-
 @query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F')")
-def missing_outputs_whole(spark, sf_dir):
+def missing_outputs(spark, sf_dir):
     """Customers without a finished order."""
     outputs = read(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("c_custkey"))
     return sa.missing(read(spark, sf_dir, "customer"), outputs, "c_custkey").select("c_custkey", "c_name")
 
 
-_ALL = _QUOTA.replace(" WHERE event_type <> 'error' OR event_id % 10 = 0", "")
-
-
-@query(QUERIES["quota_sample"][1].replace(_QUOTA, _ALL))
-def quota_sample_whole(spark, sf_dir):
-    return sa.quota(read(spark, sf_dir, "events").select("event_type", "event_id"), "event_type", ["event_id"], 300)
-
-
 @query("SELECT o_custkey, 'a' AS part FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT o_custkey, 'b' FROM orders WHERE o_orderstatus <> 'F'")
-def batch_union_whole(spark, sf_dir):
+def batch_union(spark, sf_dir):
     df = read(spark, sf_dir, "orders")
     part = lambda rows, name: df.where(rows).select("o_custkey", F.lit(name).alias("part"))
     return part("o_orderstatus = 'F'", "a").unionByName(part("o_orderstatus <> 'F'", "b"))

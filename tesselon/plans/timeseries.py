@@ -22,52 +22,57 @@ def zscore_series(spark, sf_dir):
     return _long(se.zscore(panel(spark, sf_dir), ["user_id"], 1e-4))
 
 
-_FIT = PANEL + ", n AS (SELECT user_id, count(*) AS n FROM panel GROUP BY user_id), tr AS (SELECT panel.* FROM panel JOIN n USING (user_id) WHERE t <= floor(n * 0.7))"
+_FIT = PANEL + ", n AS (SELECT user_id, count(*) AS n FROM panel GROUP BY user_id), tr AS (SELECT panel.* FROM panel JOIN n USING (user_id) WHERE t <= n - floor(n * 0.1::DOUBLE) - floor(n * 0.2::DOUBLE))"
 
 
 @query(f"""WITH {_FIT} SELECT user_id, round(avg(value), 6) AS mean, round(CASE WHEN stddev_pop(value) = 0 THEN 1 ELSE stddev_pop(value) END, 6) AS std,
   round(min(value), 6) AS low, round(max(value), 6) AS high FROM tr GROUP BY user_id""")
 def scaler_fit(spark, sf_dir):
     """Scalers of each series from its training split."""
-    df = se.split(panel(spark, sf_dir), ["user_id"], 0.7, 0.1)
+    df = se.split(panel(spark, sf_dir), ["user_id"], 0.1, 0.2)
     part = F.col("split") == "train"
     both = se.fit_z(df, ["user_id"], part).join(se.fit_range(df, ["user_id"], part), "user_id")
     return both.select("user_id", *[r6(c).alias(c) for c in ("mean", "std", "low", "high")])
 
 
 @query(f"""WITH {_FIT}, f AS (SELECT user_id, min(value) AS low, max(value) AS high FROM tr GROUP BY user_id)
-  SELECT user_id, CAST(t AS INTEGER) AS t, round((value - low) / (high - low), 6) AS v FROM panel JOIN f USING (user_id)""")
+  SELECT user_id, CAST(t AS INTEGER) AS t, round((value - low) / (high - low), 6) AS v, round(value, 6) AS back FROM panel JOIN f USING (user_id)""")
 def minmax_series(spark, sf_dir):
-    df = se.split(panel(spark, sf_dir), ["user_id"], 0.7, 0.1)
+    """Values by the range of the training split, and what the inverse makes of them."""
+    df = se.split(panel(spark, sf_dir), ["user_id"], 0.1, 0.2)
     fit = se.fit_range(df, ["user_id"], F.col("split") == "train")
-    return df.join(fit, "user_id").select("user_id", "t", r6((F.col("value") - F.col("low")) / (F.col("high") - F.col("low"))).alias("v"))
+    df = df.join(fit, "user_id").withColumn("v", (F.col("value") - F.col("low")) / (F.col("high") - F.col("low")))
+    return df.select("user_id", "t", r6("v").alias("v"), r6(se.unrange("v", "low", "high")).alias("back"))
 
 
 @query(f"""WITH {_FIT}, f AS (SELECT user_id, avg(value) AS m, CASE WHEN stddev_pop(value) = 0 THEN 1 ELSE stddev_pop(value) END AS d FROM tr GROUP BY user_id)
   SELECT user_id, CAST(t AS INTEGER) AS t, round((value - m) / d, 6) AS z, round(value, 6) AS back FROM panel JOIN f USING (user_id)""")
 def scaler_inverse(spark, sf_dir):
     """Scaled values and what the inverse makes of them."""
-    df = se.split(panel(spark, sf_dir), ["user_id"], 0.7, 0.1)
+    df = se.split(panel(spark, sf_dir), ["user_id"], 0.1, 0.2)
     df = df.join(se.fit_z(df, ["user_id"], F.col("split") == "train"), "user_id").withColumn("z", (F.col("value") - F.col("mean")) / F.col("std"))
     return df.select("user_id", "t", r6("z").alias("z"), r6(F.col("z") * F.col("std") + F.col("mean")).alias("back"))
 
 
-@query(f"""WITH {PANEL}, n AS (SELECT user_id, count(*) AS n FROM panel GROUP BY user_id)
-  SELECT user_id, CASE WHEN t <= floor(n * 0.7) THEN 'train' WHEN t <= floor(n * 0.7) + floor(n * 0.1) THEN 'valid' ELSE 'test' END AS split,
-  count(*) AS rows, CAST(min(t) AS INTEGER) AS first FROM panel JOIN n USING (user_id) GROUP BY 1, 2""")
+@query(f"""WITH {PANEL}, n AS (SELECT user_id, count(*) AS n, CAST(floor(count(*) * 0.1::DOUBLE) AS BIGINT) AS v, CAST(floor(count(*) * 0.2::DOUBLE) AS BIGINT) AS x FROM panel GROUP BY user_id),
+  b AS (SELECT user_id, 'train' AS split, 0 AS low, n - v - x AS high, 0 AS before, 4 AS after FROM n UNION ALL SELECT user_id, 'valid', n - v - x, n - x, 7, 4 FROM n
+    UNION ALL SELECT user_id, 'test', n - x, n, 7, 0 FROM n),
+  w AS (SELECT user_id, split, CASE WHEN high - low < 12 THEN low - before ELSE low END AS low, CASE WHEN high - low < 12 THEN high + after ELSE high END AS high FROM b)
+  SELECT w.user_id, split, count(*) AS rows, CAST(min(t) AS INTEGER) AS first, CAST(max(t) AS INTEGER) AS last FROM w JOIN panel p ON p.user_id = w.user_id AND t > low AND t <= high GROUP BY 1, 2""")
 def tsf_split(spark, sf_dir):
-    df = se.split(panel(spark, sf_dir), ["user_id"], 0.7, 0.1)
-    return df.groupBy("user_id", "split").agg(F.count("*").alias("rows"), F.min("t").alias("first"))
+    """Splits for windows of 8 and 4 steps; those too short for one borrow from their neighbours."""
+    df = se.split(panel(spark, sf_dir), ["user_id"], 0.1, 0.2, (8, 4))
+    return df.groupBy("user_id", "split").agg(F.count("*").alias("rows"), F.min("t").alias("first"), F.max("t").alias("last"))
 
 
 @query(f"""WITH {PANEL}, n AS (SELECT user_id, count(*) AS n FROM panel GROUP BY user_id),
-  tr AS (SELECT user_id, t, coalesce(value, 0) AS value FROM panel JOIN n USING (user_id) WHERE t <= floor(n * 0.7)),
+  tr AS (SELECT user_id, t, coalesce(value, 0) AS value FROM panel JOIN n USING (user_id) WHERE t <= n - floor(n * 0.1::DOUBLE) - floor(n * 0.2::DOUBLE)),
   w AS (SELECT user_id, CAST(t - 1 AS BIGINT) AS i, count(*) OVER a AS na, sum(value) OVER a AS sa, count(*) OVER b AS nb, sum(value) OVER b AS sb FROM tr
     WINDOW a AS (PARTITION BY user_id ORDER BY t ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING), b AS (PARTITION BY user_id ORDER BY t ROWS BETWEEN 8 FOLLOWING AND 11 FOLLOWING))
   SELECT user_id, i, round(sa, 6) AS input_sum, round(sb, 6) AS target_sum FROM w WHERE na = 8 AND nb = 4""")
 def sliding_pairs(spark, sf_dir):
     """Input and target windows of the training split."""
-    df = se.split(panel(spark, sf_dir), ["user_id"], 0.7, 0.1).where("split = 'train'").withColumn("value", F.coalesce("value", F.lit(0.0)))
+    df = se.split(panel(spark, sf_dir), ["user_id"], 0.1, 0.2).where("split = 'train'").withColumn("value", F.coalesce("value", F.lit(0.0)))
     total = lambda c: r6(F.aggregate(c, F.lit(0.0), lambda s, v: s + v))
     return se.sliding(df, ["user_id"], 8, 4).select("user_id", "i", total("inputs").alias("input_sum"), total("targets").alias("target_sum"))
 
@@ -116,19 +121,10 @@ def curriculum(spark, sf_dir):
     return df.withColumn("length", tm.curriculum_length(F.col("epoch"), 3, 4, 2, 12))
 
 
-@query(f"""WITH {PANEL}, p AS (SELECT user_id, list(coalesce(value, 0) ORDER BY t) AS v FROM panel WHERE t <= 16 GROUP BY user_id)
-  SELECT user_id, CAST(i AS BIGINT) AS i, round(CASE WHEN i < 4 THEN v[13 + i] ELSE 0 END, 6) AS v FROM p, range(12) r(i) WHERE len(v) = 16""")
-def decoder_frames(spark, sf_dir):
-    """Decoder inputs: the last four input steps and eight zeros."""
-    df = panel(spark, sf_dir).where("t <= 16").withColumn("value", F.coalesce("value", F.lit(0.0)))
-    df = se.pack(df, ["user_id"]).where(F.size("values") == 16)
-    return _long(df.withColumn("values", F.concat(F.slice("values", -4, 4), F.array_repeat(F.lit(0.0), 8))))
-
-
 @query(f"""WITH {PANEL}, w AS (SELECT user_id, t, count(*) OVER (PARTITION BY user_id) AS n, [coalesce(lag(value, 3) OVER s, 0), coalesce(lag(value, 2) OVER s, 0), coalesce(lag(value) OVER s, 0), coalesce(value, 0)] AS v
     FROM panel WINDOW s AS (PARTITION BY user_id ORDER BY t))
   SELECT user_id, CAST(t AS INTEGER) AS t, CAST(i AS BIGINT) AS i, round(CASE WHEN i < 4 THEN v[1 + i] ELSE 0 END, 6) AS v FROM w, range(12) r(i) WHERE t >= least(16, n)""")
-def decoder_frames_whole(spark, sf_dir):
+def decoder_frames(spark, sf_dir):
     """Decoder inputs of every window of 16 input steps, by its last step; a shorter series is one window, with zeros in front."""
     order = Window.partitionBy("user_id").orderBy("t")
     df = panel(spark, sf_dir).withColumn("value", F.coalesce("value", F.lit(0.0))).withColumn("n", F.count("*").over(Window.partitionBy("user_id")))
@@ -145,14 +141,8 @@ def append_steps(spark, sf_dir):
     return both.groupBy("user_id").agg(F.count("*").alias("steps"), F.max("t").alias("last"))
 
 
-@query(f"WITH {PANEL} SELECT user_id, event_type, CAST(t AS INTEGER) AS t, round(value, 6) AS value FROM panel WHERE event_type IN ('click', 'view') AND user_id % 3 = 0")
-def feature_select(spark, sf_dir):
-    """Chosen channels and series."""
-    return panel(spark, sf_dir).where(F.col("event_type").isin("click", "view") & (F.col("user_id") % 3 == 0)).select("user_id", "event_type", "t", r6("value").alias("value"))
-
-
 @query(f"WITH {PANEL} SELECT user_id, event_type, CAST(t AS INTEGER) AS t, round(value, 6) AS value FROM panel WHERE event_type IN ('click', 'view')")
-def feature_select_whole(spark, sf_dir):
+def feature_select(spark, sf_dir):
     """Chosen channels of all series."""
     return panel(spark, sf_dir).where(F.col("event_type").isin("click", "view")).select("user_id", "event_type", "t", r6("value").alias("value"))
 
@@ -173,17 +163,6 @@ def patch_mask(spark, sf_dir):
     return pt.patches(packed(spark, sf_dir), 8, 4).select("user_id", "p", "ok")
 
 
-@query(f"""WITH {_FRAMES}, m3 AS (SELECT user_id, list(len(list_filter(patch, lambda x: x IS NULL)) = 0 ORDER BY p) AS m FROM fr WHERE p < 12 GROUP BY user_id HAVING count(*) = 12),
-  m2 AS (SELECT user_id, m, list_transform(range(6), lambda i: list_bool_and(list_slice(m, CAST(round_even(i * 2.0, 0) AS BIGINT) + 1, CAST(round_even((i + 1) * 2.0, 0) AS BIGINT)))) AS m2 FROM m3),
-  m1 AS (SELECT user_id, m, m2, list_transform(range(4), lambda i: list_bool_and(list_slice(m2, CAST(round_even(i * 1.5, 0) AS BIGINT) + 1, CAST(round_even((i + 1) * 1.5, 0) AS BIGINT)))) AS m1 FROM m2)
-  SELECT user_id, array_to_string(list_transform(list_concat(list_concat(m1, m2), m), lambda x: CASE WHEN x THEN '1' ELSE '0' END), '') AS mask FROM m1""")
-def multilevel_mask(spark, sf_dir):
-    """Masks of three levels, each merged from the next finer one, coarsest first."""
-    df = packed(spark, sf_dir).withColumn("values", F.slice("values", 1, 52)).where(F.size("values") == 52)
-    df = pt.level_masks(df, 8, 4, [4, 6, 12])
-    return df.select("user_id", F.array_join(F.transform("mask", lambda x: x.cast("int").cast("string")), "").alias("mask"))
-
-
 @query(f"""WITH {PANEL}, n AS (SELECT user_id, count(*) AS n FROM panel GROUP BY user_id), w AS (SELECT user_id, greatest(1, ceil((n - 4) / 48.0)) AS w FROM n),
   p AS (SELECT user_id, unnest(range(CAST(w * 12 AS BIGINT))) AS p FROM w),
   c AS (SELECT p.user_id, p, count(value) AS c FROM p LEFT JOIN panel ON panel.user_id = p.user_id AND t > p * 4 AND t <= p * 4 + 8 GROUP BY 1, 2),
@@ -191,7 +170,7 @@ def multilevel_mask(spark, sf_dir):
   m2 AS (SELECT *, list_transform(range(6), lambda i: list_bool_and(list_slice(m, i * 2 + 1, i * 2 + 2))) AS m2 FROM m3),
   m1 AS (SELECT *, list_transform(range(4), lambda i: list_bool_and(list_slice(m2, CAST(round_even(i * 1.5, 0) AS BIGINT) + 1, CAST(round_even((i + 1) * 1.5, 0) AS BIGINT)))) AS m1 FROM m2)
   SELECT user_id, CAST(w AS INTEGER) AS w, array_to_string(list_transform(list_concat(list_concat(m1, m2), m), lambda x: CASE WHEN x THEN '1' ELSE '0' END), '') AS mask FROM m1""")
-def multilevel_mask_whole(spark, sf_dir):
+def multilevel_mask(spark, sf_dir):
     """Masks of three levels over whole series: frames of twelve patches, one behind the other, the last one padded."""
     df = packed(spark, sf_dir).withColumn("frames", F.greatest(F.lit(1), F.ceil((F.size("values") - 4) / 48)).cast("int"))
     df = df.select("user_id", "values", F.explode(F.sequence(F.lit(0), F.col("frames") - 1)).alias("w"))
@@ -238,12 +217,16 @@ def time_features(spark, sf_dir):
     return read(spark, sf_dir, "events").select("event_id", r6(tm.time_of_day(ts)).alias("tod"), r6(tm.day_of_week(ts)).alias("dow"), r6(tm.day_of_month(ts)).alias("dom"), r6(tm.day_of_year(ts)).alias("doy"))
 
 
-@query("""WITH f AS (SELECT user_id, max(ts) AS last, greatest(1, date_diff('minute', min(ts), max(ts)) // greatest(1, count(*) - 1)) AS m FROM events GROUP BY user_id)
-  SELECT user_id, CAST(k AS INTEGER) AS k, last + to_minutes(CAST(k * m AS BIGINT)) AS ts FROM f, range(1, 7) r(k)""")
+@query("""WITH r AS (SELECT user_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+  f AS (SELECT user_id, max(ts) AS last, epoch_us(min(ts) FILTER (k = 2)) - epoch_us(min(ts) FILTER (k = 1)) AS d FROM r GROUP BY user_id)
+  SELECT user_id, CAST(k AS INTEGER) AS k, last + to_minutes(CAST(k * (d // 60000000) AS BIGINT)) AS ts FROM f, range(1, 7) r(k) WHERE d >= 60000000""")
 def future_index(spark, sf_dir):
-    """Six time stamps after a series' last one, at its frequency in minutes."""
-    df = read(spark, sf_dir, "events").groupBy("user_id").agg(F.max("ts").alias("last"), F.greatest(F.lit(1), F.expr("timestampdiff(MINUTE, min(ts), max(ts)) div greatest(1, count(*) - 1)")).cast("int").alias("m"))
-    df = df.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(6))))
+    """Six time stamps after a series' last one, at the frequency of its first two; a series without a frequency has none."""
+    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    df = read(spark, sf_dir, "events").select("user_id", "ts", F.row_number().over(order).alias("k"))
+    at = lambda k: F.min(F.when(F.col("k") == k, F.col("ts")))
+    df = df.groupBy("user_id").agg(F.max("ts").alias("last"), at(1).alias("a"), at(2).alias("b"))
+    df = df.withColumn("m", tm.frequency_minutes(F.col("a"), F.col("b"))).where("m IS NOT NULL").withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(6))))
     return df.select("user_id", "k", F.expr("last + make_interval(0, 0, 0, 0, 0, k * m, 0)").alias("ts"))
 
 

@@ -45,8 +45,26 @@ def test_partition_covers_cells_in_range():
     assert part.cells(x * 100).max() <= 49  # far outside the edges
 
 
-def test_greedy_bins_stop_at_the_cap():
+def test_greedy_bins():
     assert kernels.allocate_bins(np.array([4.0, 1.0]), 8) == [4, 2]
+    assert kernels.allocate_bins(np.array([1.0, 1.0, 1.0]), 5) == [2, 2, 2]  # equals in turn, by number
+    assert kernels.allocate_bins(np.array([9.0, 0.0]), 64, most=8) == [8, 8]  # the full one passes its turn
+    assert kernels.allocate_bins(np.array([9.0]), 64, most=8) == [8]  # nobody to pass it to
+    assert kernels.allocate_bins(np.array([9.0, 8.0, 0.0]), 200, most=3) == [3, 67, 1]  # the second is served in its place though full
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.floats(0.01, 9), min_size=1, max_size=6), st.integers(1, 500))
+def test_bins_reach_the_target_first(variances, cells):
+    variances = sorted(variances, reverse=True)
+    bins = kernels.allocate_bins(np.array(variances), cells, most=10**6)
+    assert np.prod(bins) >= cells
+    # the last bin given was needed, and each dimension was the widest when it got its last one
+    widths = [(v / variances[0]) ** 0.5 / b for v, b in zip(variances, bins, strict=True)]
+    for v, b in zip(variances, bins, strict=True):
+        if b > 1:
+            assert (v / variances[0]) ** 0.5 / (b - 1) >= max(widths) - 1e-9
+    assert all(b == 1 for b in bins) or any(np.prod(bins) // b * (b - 1) < cells for b in bins if b > 1)
 
 
 def test_binning_at_the_edges(spark):
@@ -108,10 +126,69 @@ def test_audits(spark):
 
 def test_learned_weights_follow_rates():
     rates = np.tile(np.array([[0.5, 1.0, 2.0, 4.0]]), (3, 1))
-    w = kernels.learn_weights(rates, epochs=60, steps=20, lr=5e-3)
+    w = kernels.learn_weights(rates, epochs=60, steps=10, groups=16, sample=4, lr=5e-3, log_std=-2.0)
     assert (w > 0).all() and w[0] > w[3]
 
 
+def test_policy_gradient():
+    """Against differences of the surrogate loss, whose advantages stay as they were drawn."""
+    rng = np.random.default_rng(5)
+    net = {"e": rng.normal(size=(6, 3)), "w1": rng.normal(size=(3, 4)), "b1": rng.normal(size=4), "w2": rng.normal(size=(4, 1)), "b2": rng.normal(size=1), "s": np.array([-1.0])}
+    at, noise, explores = rng.integers(6, size=(2, 3, 5)), rng.normal(size=(2, 3, 5)), rng.random((2, 3, 5)) < 0.7
+    rate = rng.random((2, 3, 5)) + 0.5
+
+    def mean(p):
+        return (np.maximum(p["e"][at] @ p["w1"] + p["b1"], 0) @ p["w2"] + p["b2"])[..., 0]
+
+    drawn = mean(net) + np.exp(net["s"][0]) * noise * explores
+    product = (np.exp(drawn) + 1e-6) * rate
+    reward = -((product - product.mean(2, keepdims=True)) ** 2)
+    advantage = (reward - reward.mean(2, keepdims=True)) / (reward.std(2, ddof=1, keepdims=True) + 1e-6)
+    density = lambda p: -p["s"][0] - 0.5 * ((drawn - mean(p)) / np.exp(p["s"][0])) ** 2
+    before = density(net)
+    loss = lambda p: -(np.exp(density(p) - before) * advantage * explores).sum() / explores.sum()
+    found = kernels.policy_gradient(net, rate, at, noise, explores, 1e-6)
+    for k, x in net.items():
+        for i in np.ndindex(*x.shape):
+            up, down = ({**net, k: x.copy()} for _ in range(2))
+            up[k][i] += 1e-6
+            down[k][i] -= 1e-6
+            assert abs((loss(up) - loss(down)) / 2e-6 - found[k][i]) < 1e-4
+
+
+def test_multinomial_and_range_inverse(spark):
+    from tesselon.operators import series
+
+    rng = np.random.default_rng(2)
+    found = np.array([kernels.multinomial(50, np.array([0.5, 0.0, 0.3, 0.2]), rng) for _ in range(300)])
+    assert (found.sum(1) == 50).all() and (found[:, 1] == 0).all() and np.allclose(found.mean(0), [25, 0, 15, 10], atol=1)
+    assert kernels.multinomial(7, np.zeros(3), rng).tolist() == [0, 0, 0]
+    row = spark.createDataFrame([(0.25, 2.0, 6.0)], "v double, low double, high double").select(series.unrange("v", "low", "high")).first()
+    assert row[0] == 3.0
+
+
+def test_splits_borrow_where_they_are_short(spark):
+    from tesselon.operators import series
+
+    df = spark.createDataFrame([(1, t) for t in range(1, 31)] + [(2, t) for t in range(1, 101)], "k int, t int")
+    rows = series.split(df, ["k"], 0.1, 0.2, (4, 2)).groupBy("k", "split").agg(F.min("t").alias("a"), F.max("t").alias("b")).collect()
+    found = {(r.k, r.split): (r.a, r.b) for r in rows}
+    assert found[1, "train"] == (1, 21) and found[1, "valid"] == (19, 26) and found[1, "test"] == (25, 30)
+    assert found[2, "valid"] == (71, 80) and found[2, "test"] == (81, 100)
+
+
+def test_frequency_must_be_positive(spark):
+    import pytest
+
+    from tesselon.functions import time as tm
+
+    df = spark.sql("SELECT timestamp '2024-01-01 00:00:00' AS a, timestamp '2024-01-01 00:05:30' AS b")
+    assert df.select(tm.frequency_minutes(F.col("a"), F.col("b"))).first()[0] == 5
+    with pytest.raises(Exception, match="a minute apart"):
+        df.select(tm.require_frequency(F.col("b"), F.col("a"))).collect()
+    assert df.select(tm.frequency_minutes(F.col("b"), F.col("a"))).first()[0] is None
+
+
 def test_mixing_and_picking():
     rng = np.random.default_rng(1)
     x = kernels.mix_series([np.array([1.0, 2.0, np.nan]), np.array([3.0, 1.0, np.nan])], rng)

@@ -28,36 +28,33 @@ def same(spark, sf_dir, duck, name):  # noqa: F811
 
 @pytest.mark.parametrize("name", ["laplacian", "scaled_laplacian", "message_passing", "transition_matrix", "double_transition"])
 def test_graph_of_all_suppliers(spark, sf_dir, duck, name):  # noqa: F811
-    rows = same(spark, sf_dir, duck, f"{name}_whole")
+    rows = same(spark, sf_dir, duck, name)
     suppliers = {r[0] for r in duck.execute("SELECT DISTINCT l_suppkey FROM lineitem").fetchall()}
     assert max(suppliers) >= 50 and suppliers <= {r["src"] for r in rows} | {r["dst"] for r in rows}
 
 
 def test_series_are_interleaved_whole(spark, sf_dir, duck):  # noqa: F811
-    rows = same(spark, sf_dir, duck, "interleave_whole")
+    rows = same(spark, sf_dir, duck, "interleave")
     want = duck.execute("SELECT sum(value) FROM events WHERE event_id % 17 <> 0").fetchone()[0]
     assert sum(r["v"] for r in rows) == pytest.approx(want, abs=0.1)
 
 
 def test_every_window_has_decoder_inputs(spark, sf_dir, duck):  # noqa: F811
-    rows = same(spark, sf_dir, duck, "decoder_frames_whole")
+    rows = same(spark, sf_dir, duck, "decoder_frames")
     want = duck.execute("SELECT sum(greatest(1, n - 15)) FROM (SELECT count(*) AS n FROM events GROUP BY user_id)").fetchone()[0]
     assert len(rows) == 12 * want
 
 
 def test_masks_cover_whole_series(spark, sf_dir, duck):  # noqa: F811
-    rows = same(spark, sf_dir, duck, "multilevel_mask_whole")
+    rows = same(spark, sf_dir, duck, "multilevel_mask")
     lengths = dict(duck.execute("SELECT user_id, count(*) FROM events GROUP BY user_id").fetchall())
     assert min(lengths.values()) < 52 < max(lengths.values())
     for u, n in lengths.items():
         frames = sorted(r["w"] for r in rows if r["user_id"] == u)
         assert frames == list(range(len(frames))) and 48 * len(frames) + 4 >= n
-    first = {r["user_id"]: r["mask"] for r in rows if r["w"] == 0}
-    old = {r.user_id: r.mask for r in catalog.queries()["multilevel_mask"](spark, sf_dir).collect()}
-    assert all(first[u] == m for u, m in old.items()) and len(old) < len(first)
 
 
-@pytest.mark.parametrize("name", ["interleave_whole", "decoder_frames_whole", "multilevel_mask_whole"])
+@pytest.mark.parametrize("name", ["interleave", "decoder_frames", "multilevel_mask"])
 def test_short_and_left_over_series(spark, tmp_path, name):
     """One to 60 points, the last group of one series only."""
     rows = [(u * 1000 + t, u * 7, t, float(u + t), "view") for u, n in enumerate([1, 3, 8, 12, 16, 52, 60]) for t in range(1, n + 1)]
@@ -70,9 +67,9 @@ def test_short_and_left_over_series(spark, tmp_path, name):
 
 def test_no_row_is_left_out_by_id(spark, sf_dir, duck):  # noqa: F811
     count = lambda sql: duck.execute(sql).fetchone()[0]
-    assert len(same(spark, sf_dir, duck, "batch_union_whole")) == count("SELECT count(*) FROM orders")
-    assert len(same(spark, sf_dir, duck, "feature_select_whole")) == count("SELECT count(*) FROM events WHERE event_type IN ('click', 'view')")
+    assert len(same(spark, sf_dir, duck, "batch_union")) == count("SELECT count(*) FROM orders")
+    assert len(same(spark, sf_dir, duck, "feature_select")) == count("SELECT count(*) FROM events WHERE event_type IN ('click', 'view')")
     finished = count("SELECT count(DISTINCT o_custkey) FROM orders WHERE o_orderstatus = 'F'")
-    assert len(same(spark, sf_dir, duck, "missing_outputs_whole")) == count("SELECT count(*) FROM customer") - finished
-    errors = {r["event_id"] for r in same(spark, sf_dir, duck, "quota_sample_whole") if r["event_type"] == "error"}
+    assert len(same(spark, sf_dir, duck, "missing_outputs")) == count("SELECT count(*) FROM customer") - finished
+    errors = {r["event_id"] for r in same(spark, sf_dir, duck, "quota_sample") if r["event_type"] == "error"}
     assert any(e % 10 for e in errors)
