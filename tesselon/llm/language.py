@@ -58,6 +58,8 @@ class Space:
     """The vectors of n-grams in so many dimensions."""
 
     def __init__(self, dims: int, gram: int):
+        if gram < 2 or 21 * gram > 64:
+            raise ValueError("n-grams have two or three letters")
         self.dims, self.gram = dims, gram
         self.letters: dict[int, np.ndarray] = {}
         self.codes = np.zeros(0, _U)
@@ -109,16 +111,27 @@ class Space:
         return out
 
     def counts(self, text: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Distinct n-grams and their counts, a piece of the text at a time; a piece counts as standing between gaps."""
+        """Distinct n-grams and their counts, a piece of the text at a time; the last symbols of a piece go before the next one.
+
+        The text as a whole stands between gaps. No letter: nothing."""
+        before = np.zeros(1, np.uint32)
         for at in range(0, len(text), CHUNK):
             symbols = Letters.symbols(text[at : at + CHUNK])
-            if symbols.any():
-                yield self.grams(np.concatenate([[0], symbols[int(symbols[0] == 0) :], [0] * int(symbols[-1] != 0)]))
+            again = int(before[-1] == 0 and len(symbols) > 0 and symbols[0] == 0)
+            symbols = np.concatenate([before, symbols[again:]])
+            if len(symbols) >= self.gram:
+                yield self.grams(symbols)
+            before = symbols[-(self.gram - 1) :]
+        if before[-1]:
+            yield self.grams(np.append(before, np.uint32(0)))
 
     def total(self, codes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Sum of the n-grams' vectors, exact: in 32-bit floats only where no sum of theirs can pass 2**24."""
         out = np.zeros(self.dims)
         for i in range(0, len(codes), 4096):
-            out += counts[i : i + 4096].astype(np.float32) @ self.vectors(codes[i : i + 4096]).astype(np.float32)
+            some = counts[i : i + 4096]
+            kind = np.float32 if some.sum() < 1 << 24 else np.float64
+            out += some.astype(kind) @ self.vectors(codes[i : i + 4096]).astype(kind)
         return out
 
     def bundle(self, text: str) -> np.ndarray | None:
@@ -199,8 +212,9 @@ def predict(docs: DataFrame, prototypes: dict[str, list[float]], *, dims: int =
     """(doc_id, lang_pred, score) of whole texts (doc_id, text); score is the cosine, 0 where negative.
 
     Null texts, texts without a letter and all texts if nothing was learned: 'und' with score 0.
-    Equal cosines: the language first in order. Repeated rows are predicted each; other columns
-    than doc_id and text are ignored."""
+    Equal cosines: the language first in order. Repeated rows are predicted each; very long texts
+    go through in pieces with the same bundle as in one; other columns than doc_id and text are
+    ignored, whatever their names; an empty table gives no rows."""
     bound_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return rows.mapInArrow(tidy(_predict(prototypes, dims, gram)), "doc_id long, lang_pred string, score double")
@@ -233,7 +247,10 @@ def least_score(languages: int, dims: int = 1024) -> float:
 
 
 def keep_known(docs: DataFrame) -> DataFrame:
-    """Pipeline stage: documents of a recognised language; those of none go."""
+    """Pipeline stage: documents of a recognised language, all columns as they are; those of none go.
+
+    Null texts and texts without a letter go. Repeated rows stay or go together. If nothing can be
+    learned (no row has a language), all go; an empty table stays empty."""
     bound_batches(docs.sparkSession)
     prototypes = learned(docs)
     least = least_score(len(prototypes))
