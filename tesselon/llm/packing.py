@@ -5,8 +5,9 @@ sizes (256 to 2048 tokens). Windows are made from the longest tier down: the lon
 remainder opens a window of its tier, the largest remainders that fit fill its gap from shorter
 tiers, and if none fits, the longest waiting one is cut. So every sequence is full, and a
 document is cut only where a gap would stay. What waits at the end of a partition is laid out
-in windows of smaller powers of two. Step groups hold sequences of one tier and the same number
-of tokens each. Each partition is packed as it streams by: no shuffle, and memory for one block.
+in windows of smaller powers of two. Each partition is packed as it streams by: no shuffle of
+texts, and memory for one block. The written pieces are then numbered through all partitions,
+tier by tier, and dealt to step groups of one tier whose sizes differ by one sequence at most.
 """
 
 from __future__ import annotations
@@ -21,15 +22,19 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, tidy
+from pyspark.sql.window import Window
+
+from .common import Scratch, bound_batches, small, tidy
 
 #: Tokens of a block: that many wait at most before windows are made.
 BLOCK_TOKENS = 2_000_000
 #: Distinct words whose ids a worker keeps.
 CACHED_WORDS = 200_000
 
+#: Sequence ids are a partition's number and, in so many bits, the sequence's.
+_PART = 36
 SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, "
-          "offset long, tier int, step_group long")
+          "offset long, tier int, turn long")
 
 
 def default_tokenizer() -> str:
@@ -42,22 +47,22 @@ class ByteBpe:
     """Ids of a byte-level BPE tokenizer file, as 4-byte little-endian strings.
 
     A space between two visible characters always starts a new piece of the pattern, so words
-    are encoded one by one and kept. Texts with other runs of white space are encoded whole.
-    The file's special tokens are ordinary text."""
+    are encoded one by one and kept. Texts with other runs of white space are encoded whole, and
+    those that hold one of the file's special tokens by the tokenizer itself, which gives those
+    their own ids."""
 
     def __init__(self, path: str):
         self.path = path
         with open(path, encoding="utf-8") as f:
-            self.fast = self._ranked(json.load(f))
+            spec = json.load(f)
+        self.fast, self.special = self._ranked(spec), [t["content"] for t in spec.get("added_tokens", [])]
         self.first, self.after = _Known(self.whole, ""), _Known(self.whole, " ")
 
     @cached_property
     def slow(self):
         from tokenizers import Tokenizer
 
-        found = Tokenizer.from_file(self.path)
-        found.encode_special_tokens = True
-        return found
+        return Tokenizer.from_file(self.path)
 
     @staticmethod
     def _ranked(spec: dict):
@@ -81,13 +86,14 @@ class ByteBpe:
     def whole(self, text: str) -> bytes:
         import numpy as np
 
-        ids = self.fast.encode_ordinary(text) if self.fast else self.slow.encode(text, add_special_tokens=False).ids
+        plain = self.fast and not any(t in text for t in self.special)
+        ids = self.fast.encode_ordinary(text) if plain else self.slow.encode(text, add_special_tokens=False).ids
         return np.array(ids, "<u4").tobytes()
 
     def __call__(self, text: str) -> bytes:
         if not text:
             return b""
-        if not self.fast:
+        if not self.fast or any(t in text for t in self.special):
             return self.whole(text)
         words = text.split(" ")
         try:
@@ -112,11 +118,10 @@ class _Known(dict):
 
 
 class Packer:
-    """Windows from documents that come one by one; rows are (doc, start, length, crc, n, sequence, offset, tier, step)."""
+    """Windows from documents that come one by one; rows are (doc, start, length, crc, n, sequence, offset, tier, turn in the tier)."""
 
-    def __init__(self, window: int, least_tier: int, step_tokens: int, first_id: int):
-        self.window, self.least, self.step_tokens, self.next_id = window, least_tier, step_tokens, first_id
-        self.base = first_id
+    def __init__(self, window: int, least_tier: int, first_id: int):
+        self.window, self.least, self.next_id = window, least_tier, first_id
         self.pool: list[list] = [[] for _ in range(window)]  # waiting pieces by length
         self.there = 0  # bit n: a piece of n tokens waits
         self.waiting = 0
@@ -167,17 +172,16 @@ class Packer:
             self._place(pieces, tier)
 
     def _place(self, pieces: list[tuple], tier: int) -> None:
-        count = self.made[tier] = self.made.get(tier, 0) + 1
-        step = self.base + (tier.bit_length() << 28) + (count - 1) // max(1, self.step_tokens // tier)
-        offset = 0
+        turn, offset = self.made.get(tier, 0), 0
+        self.made[tier] = turn + 1
         for doc, start, n, ids, total in pieces:
             crc = crc32(memoryview(ids)[4 * start : 4 * (start + n)])
-            self.rows.append((doc, start, n, crc, total, self.next_id, offset, tier, step))
+            self.rows.append((doc, start, n, crc, total, self.next_id, offset, tier, turn))
             offset += n
         self.next_id += 1
 
 
-def _pack(path: str, end_id: int, window: int, least_tier: int, step_tokens: int):
+def _pack(path: str, end_id: int, window: int, least_tier: int):
     end = end_id.to_bytes(4, "little")
     kinds = [pa.int64()] * 7 + [pa.int32(), pa.int64()]
     names = [c.split()[0] for c in SCHEMA.split(", ")]
@@ -187,7 +191,7 @@ def _pack(path: str, end_id: int, window: int, least_tier: int, step_tokens: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = ByteBpe(path)
-        packer = Packer(window, least_tier, step_tokens, TaskContext.get().partitionId() << 36)
+        packer = Packer(window, least_tier, TaskContext.get().partitionId() << _PART)
         for b in batches:
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 packer.add(doc, encode(text or "") + end)
@@ -203,16 +207,34 @@ def _pack(path: str, end_id: int, window: int, least_tier: int, step_tokens: int
 
 def pack(docs: DataFrame, *, tokenizer: str | None = None, end_id: int = 1, window: int = 2048,
          least_tier: int = 256, step_tokens: int = 1 << 17) -> DataFrame:
-    """Pieces of sequences, see SCHEMA. docs: doc_id, text; other columns are ignored.
-
-    A document is its ids and end_id; null or empty text is end_id alone. Each id lies in one
-    piece. Sequences are full: of window tokens or a smaller power of two. step_group joins
-    sequences of a tier into steps of step_tokens tokens. Rows that repeat a doc_id are packed
-    as documents of their own; an empty table gives no rows. tokenizer: path of a tokenizer
-    file that every executor has; by default that of the installed vocabulary files."""
+    """Pieces of sequences: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, tier, step_group.
+
+    docs: doc_id, text; other columns are ignored, whatever their names. A document is its ids and
+    end_id; null or empty text is end_id alone. Each id lies in one piece, however long its text.
+    Sequences are full: of window tokens or a smaller power of two. step_group joins sequences of
+    a tier, from all partitions, into steps of at most step_tokens tokens (of one sequence, if that
+    is longer), each with as many sequences as the others of its tier or one less. Rows that repeat
+    a doc_id are packed as documents of their own; an empty table gives no rows. tokenizer: path
+    of a tokenizer file that every executor has; by default that of the installed vocabulary files."""
     bound_batches(docs.sparkSession)
+    scratch = Scratch(docs.sparkSession, "packing")
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(tidy(_pack(tokenizer or default_tokenizer(), end_id, window, least_tier, step_tokens)), SCHEMA)
+    rows = scratch.write(rows.mapInArrow(tidy(_pack(tokenizer or default_tokenizer(), end_id, window, least_tier)), SCHEMA), "pieces")
+    return _in_steps(rows, step_tokens)
+
+
+def _in_steps(rows: DataFrame, step_tokens: int) -> DataFrame:
+    """Pieces with step_group in place of turn: a tier's sequences are numbered through and cut into even steps."""
+    part = F.shiftright("sequence_id", _PART).alias("part")
+    held = rows.groupBy(part, "tier").agg((F.max("turn") + 1).alias("n"))  # a row for each partition and tier
+    tier = Window.partitionBy("tier")
+    held = held.withColumn("before", F.sum("n").over(tier.orderBy("part")) - F.col("n")).withColumn("all", F.sum("n").over(tier))
+    each = F.greatest(F.lit(1), F.floor(F.lit(step_tokens) / F.col("tier")))
+    held = held.withColumn("steps", F.ceil(F.col("all") / each)).select("part", "tier", "before", "all", "steps")
+    step = F.floor((F.col("before") + F.col("turn")) * F.col("steps") / F.col("all")).cast("long")
+    rows = rows.withColumn("part", part).join(small(held), ["part", "tier"])
+    return rows.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "tier",
+                       (F.shiftleft(F.col("tier").cast("long"), 40) + step).alias("step_group"))
 
 
 def op2_packing(spark, sf_dir: str) -> DataFrame:
