@@ -1,14 +1,16 @@
 """Removal of repeated line runs, by prefix doubling over sequences of line ids.
 
 All texts together are one sequence of line ids (blank lines left out, texts kept apart). Prefix
-doubling names the run of 2^k lines at each place: places get the same name if their runs are
-equal, and a run of 2^(k+1) lines is named by the names of its halves. A name is the first place
-of its class, so a class is the interval of the suffix array whose common prefix has 2^k lines,
-and places whose run occurs once leave. The interval of any depth l between 2^k and 2^(k+1) is
-the class of two overlapping names. A repeated run of at least so many words is covered by the
-least runs with that many words that begin or end at its lines; these are short, so doubling
-ends at a depth bounded by the number of words. Such a run whose interval has an earlier place
-is a later copy, and its lines go.
+doubling ranks the run of 2^k lines at each place: ranks follow the order of the runs, and the
+rank of a run of 2^(k+1) lines is that of the pair of its halves' ranks, found by sorting in
+ranges. Places in the order of their ranks are the suffix array as far as runs repeat; those
+whose run occurs once leave, as no longer run of theirs can repeat. Places of one rank are the
+interval of the array whose common prefix has 2^k lines; the interval of any depth l between 2^k
+and 2^(k+1) is that of two overlapping ranks. A repeated run of at least so many words is covered
+by the least runs with that many words that begin or end at its lines; these are short, so
+doubling ends at a depth bounded by the number of words. Such a run whose interval has an earlier
+place is a later copy. Copies of one earlier stretch join to the maximal run that repeats it, and
+its lines go.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, bound_batches, small, tidy
+from .common import Scratch, bound_batches, free_name, small, tidy
 
 #: Words that a run needs to be removed where it occurs again.
 WORDS = 50
@@ -64,10 +66,17 @@ def _index(words: int):
     return run
 
 
-def _classes(rows: DataFrame, keys: list[str], scratch: Scratch, name: str) -> DataFrame:
-    """rows (d, t, j, keys) whose keys occur again, with the first place of their class as r."""
-    first = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.min(F.struct("d", "t", "j")).alias("r")).where("n > 1")
-    return scratch.write(rows.join(first.drop("n"), keys), name)
+def _intervals(rows: DataFrame, keys: list[str], scratch: Scratch, name: str) -> DataFrame:
+    """rows (d, t, j, keys) whose keys occur again, with the first place of their interval as r and its rank in the order of the keys.
+
+    Counts are combined before they move; then each key is one row, so a line that every document
+    has makes no join uneven that Spark can't split."""
+    first = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.min(F.struct("d", "t", "j")).alias("r")).where("n > 1").drop("n")
+    first = first.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("rank", F.monotonically_increasing_id())
+    first = scratch.write(first, f"{name}-intervals")
+    found = scratch.write(rows.join(small(first), keys), name)
+    scratch.drop(f"{name}-intervals")
+    return found
 
 
 def later_copies(docs: DataFrame, scratch: Scratch, words: int = WORDS) -> DataFrame:
@@ -82,55 +91,70 @@ def later_copies(docs: DataFrame, scratch: Scratch, words: int = WORDS) -> DataF
         lines.select("d", "t", F.expr("j - back + 1"), F.col("back")))
     asked = asked.where("l > 0").distinct()
     deepest = lines.agg(F.max(F.greatest("ahead", "back"))).first()[0] or 0
-    named = _classes(lines.select("d", "t", "j", "h1", "h2"), ["h1", "h2"], scratch, "named0").select("d", "t", "j", "r")
+    ranked = _intervals(lines.select("d", "t", "j", "h1", "h2"), ["h1", "h2"], scratch, "ranked0").select("d", "t", "j", "r", "rank")
     found, k = [], 0
-    while (1 << k) <= deepest and not named.isEmpty():
+    while (1 << k) <= deepest and not ranked.isEmpty():
         size = 1 << k
-        runs = asked.where(F.col("l").between(size, 2 * size - 1)).join(named, ["d", "t", "j"])
+        runs = asked.where(F.col("l").between(size, 2 * size - 1)).join(ranked, ["d", "t", "j"])
         found.append(runs.where((F.col("l") == size) & (F.col("r") != here)).select("d", "t", "j", "l", "r"))
         if size > 1:
-            tail = named.select("d", "t", F.col("j").alias("at"), F.col("r").alias("r2"))
+            tail = ranked.select("d", "t", F.col("j").alias("at"), F.col("rank").alias("r2"))
             wide = runs.where(F.col("l") > size).withColumn("at", F.col("j") + F.col("l") - size).join(tail, ["d", "t", "at"])
-            wide = wide.select("d", "t", "j", "l", F.col("r").alias("r1"), "r2")
-            wide = _classes(scratch.write(wide, f"wide{k}"), ["l", "r1", "r2"], scratch, f"deep{k}")
+            wide = wide.select("d", "t", "j", "l", F.col("rank").alias("r1"), "r2")
+            wide = _intervals(scratch.write(wide, f"wide{k}"), ["l", "r1", "r2"], scratch, f"deep{k}")
             found.append(wide.where(F.col("r") != here).select("d", "t", "j", "l", "r"))
         if 2 * size > deepest:
             break
-        half = named.select("d", "t", (F.col("j") - size).alias("j"), F.col("r").alias("r2"))
-        pairs = scratch.write(named.withColumnRenamed("r", "r1").join(half, ["d", "t", "j"]), f"pairs{k + 1}")
-        named = _classes(pairs, ["r1", "r2"], scratch, f"named{k + 1}").select("d", "t", "j", "r")
+        half = ranked.select("d", "t", (F.col("j") - size).alias("j"), F.col("rank").alias("r2"))
+        pairs = ranked.select("d", "t", "j", F.col("rank").alias("r1")).join(half, ["d", "t", "j"])
+        ranked = _intervals(scratch.write(pairs, "pairs"), ["r1", "r2"], scratch, f"ranked{k + 1}").select("d", "t", "j", "r", "rank")
         k += 1
     if not found:
         return docs.sparkSession.createDataFrame([], f"{_PLACE}, l int, r struct<d:long,t:long,j:int>")
     out = found[0]
     for more in found[1:]:
         out = out.union(more)
-    return scratch.write(out, "copies")
-
-
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    run_type = pa.list_(pa.struct([("line", pa.int32()), ("lines", pa.int32()), ("first_doc", pa.int64())]))
-    for batch in batches:
-        texts, before, removed, spans = [], [], [], []
-        for text, runs in zip(batch.column("text").to_pylist(), batch.column("runs_").to_pylist(), strict=True):
-            lines = [] if text is None else text.split("\n")
-            solid = [i for i, x in enumerate(lines) if x.encode().strip()] if runs else []
-            gone, joined = set(), []
-            for j, size, first in sorted((r["j"], r["l"], r["first"]) for r in runs or []):
-                gone.update(solid[j : j + size])
-                if joined and j <= joined[-1]["line"] + joined[-1]["lines"]:
-                    joined[-1]["lines"] = max(joined[-1]["lines"], j + size - joined[-1]["line"])
-                else:
-                    joined.append({"line": j, "lines": size, "first_doc": None if first == _LEAST else first})
-            left = [x for i, x in enumerate(lines) if i not in gone]
-            texts.append(text if not gone else "\n".join(left) if any(x.strip() for x in left) else "")
-            before.append(len(lines))
-            removed.append(len(gone))
-            spans.append(joined)
-        rest = [n for n in batch.schema.names if n not in ("text", "runs_", "t_")]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(n) for n in rest] + [pa.array(texts, pa.string()), pa.array(before, pa.int32()), pa.array(removed, pa.int32()), pa.array(spans, run_type)],
-            names=rest + ["text", "n_lines", "n_removed", "removed_runs"])
+    out = scratch.write(out, "copies")
+    scratch.drop(*(n for n in list(scratch.paths) if n != "copies"))
+    return out
+
+
+_RUN = pa.list_(pa.struct([("line", pa.int32()), ("lines", pa.int32()), ("first_doc", pa.int64()), ("first_line", pa.int32())]))
+
+
+def _maximal(runs: list[dict]) -> list[dict]:
+    """The runs that repeat one earlier stretch, joined where they meet or overlap."""
+    out: list[dict] = []
+    for r in sorted(runs, key=lambda r: (r["d"], r["t"], r["at"] - r["j"], r["j"])):
+        last = out[-1] if out else None
+        if last and (r["d"], r["t"], r["at"] - r["j"]) == (last["d"], last["t"], last["at"] - last["j"]) and r["j"] <= last["j"] + last["l"]:
+            last["l"] = max(last["l"], r["j"] + r["l"] - last["j"])
+        else:
+            out.append(dict(r))
+    return sorted(out, key=lambda r: (r["j"], -r["l"], r["d"], r["at"]))
+
+
+def _cut(text: str, runs: str, rest: list[str], names: list[str]):
+    """Rows with texts without their runs; the columns' names come and go as they are given."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, before, removed, spans = [], [], [], []
+            for said, found in zip(batch.column(text).to_pylist(), batch.column(runs).to_pylist(), strict=True):
+                lines = [] if said is None else said.split("\n")
+                solid = [i for i, x in enumerate(lines) if x.encode().strip()] if found else []
+                joined = _maximal(found or [])
+                gone = {i for r in joined for i in solid[r["j"] : r["j"] + r["l"]]}
+                left = [x for i, x in enumerate(lines) if i not in gone]
+                texts.append(said if not gone else "\n".join(left) if any(x.strip() for x in left) else "")
+                before.append(len(lines))
+                removed.append(len(gone))
+                spans.append([{"line": r["j"], "lines": r["l"], "first_doc": None if r["d"] == _LEAST else r["d"], "first_line": r["at"]} for r in joined])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(n) for n in rest] + [pa.array(texts, pa.string()), pa.array(before, pa.int32()), pa.array(removed, pa.int32()), pa.array(spans, _RUN)],
+                names=names)
+
+    return run
 
 
 def dedup_lines(docs: DataFrame, *, words: int = WORDS) -> DataFrame:
@@ -138,22 +162,26 @@ def dedup_lines(docs: DataFrame, *, words: int = WORDS) -> DataFrame:
 
     docs: doc_id, text; other columns are kept unless their name is one of the new ones. Lines
     are compared without white space at their ends; the earliest copy by doc_id (then by place)
-    stays. Adds n_lines, n_removed and removed_runs (line: number among the non-blank lines,
-    lines, first_doc: a document with an earlier copy); text is '' if no line with words is
-    left. Null text stays null. Rows that repeat doc_id and text are one document and all
-    lose, or keep, the same lines. A null doc_id comes before all others."""
+    stays. Adds n_lines, n_removed and removed_runs: line (number among the non-blank lines),
+    lines, first_doc and first_line (where the earlier copy is). text is '' if no line with words
+    is left. Null text stays null, empty text empty; very long texts are taken whole; an empty
+    table gives no rows. Rows that repeat doc_id and text are one document and all lose, or keep,
+    the same lines. A null doc_id comes before all others."""
     bound_batches(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "lines")
     copies = later_copies(docs, scratch, words)
-    runs = copies.groupBy("d", "t").agg(F.collect_set(F.struct("j", "l", F.col("r.d").alias("first"))).alias("runs"))
-    runs = scratch.write(runs, "runs")
-    kept = docs.drop("n_lines", "n_removed", "removed_runs").withColumn("text", F.col("text").cast("string"))
-    kept = kept.withColumn("t_", F.xxhash64("text"))
-    runs = runs.toDF("d_", "t_", "runs_")
-    joined = kept.withColumn("d_", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST))).join(small(runs, 1_000_000, F.size("runs_")), ["d_", "t_"], "left").drop("d_")
-    names = [f for f in kept.schema if f.name not in ("text", "t_")]
-    head = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in names)
-    return joined.mapInArrow(tidy(_cut), head + "text string, n_lines int, n_removed int, removed_runs array<struct<line:int,lines:int,first_doc:long>>")
+    doc, key, runs = (free_name(docs, x) for x in ("doc_at", "text_at", "runs_at"))
+    found = F.struct("j", "l", F.col("r.d").alias("d"), F.col("r.t").alias("t"), F.col("r.j").alias("at"))
+    held = copies.groupBy(F.col("d").alias(doc), F.col("t").alias(key)).agg(F.collect_set(found).alias(runs))  # of one document: no more than its lines
+    held = scratch.write(held, "runs")
+    new = ["text", "n_lines", "n_removed", "removed_runs"]
+    kept = docs.drop(*new[1:]).withColumn("text", F.col("text").cast("string"))
+    kept = kept.withColumn(key, F.xxhash64("text")).withColumn(doc, F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST)))
+    joined = kept.join(small(held, 1_000_000, F.size(runs)), [doc, key], "left").drop(doc, key)
+    rest = [c for c in docs.columns if c not in new]
+    head = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.select(*[F.col(f"`{c}`") for c in rest]).schema)
+    kind = "array<struct<line:int,lines:int,first_doc:long,first_line:int>>"
+    return joined.mapInArrow(tidy(_cut("text", runs, rest, [*rest, *new])), f"{head}text string, n_lines int, n_removed int, removed_runs {kind}")
 
 
 def op3_lines(spark, sf_dir: str) -> DataFrame:
@@ -162,8 +190,15 @@ def op3_lines(spark, sf_dir: str) -> DataFrame:
 
 
 def without_copies(docs: DataFrame) -> DataFrame:
-    """Pipeline stage: texts without later copies; documents of which nothing is left go."""
-    rest = F.struct(*[c for c in docs.columns if c != "text"]).alias("row_")
+    """Pipeline stage: texts without later copies, all other columns as they are (n_chars is counted anew); documents of which nothing is left go.
+
+    Null texts and texts that were empty before stay. Of equal rows all stay or lose the same
+    lines; an empty table stays empty."""
+    rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row")
     out = dedup_lines(docs.select("doc_id", "text", rest)).where(~((F.col("n_removed") > 0) & (F.col("text") == "")))
-    n_chars = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("row_.n_chars") if "n_chars" in docs.columns else None)
-    return out.select(*[F.col("text") if c == "text" else (n_chars if c == "n_chars" else F.col(f"row_.`{c}`")).alias(c) for c in docs.columns])
+    counted = F.when(F.col("n_removed") > 0, F.length("text"))
+    columns = []
+    for f in docs.schema:
+        own = F.col("text") if f.name == "text" else F.col(f"row.`{f.name}`")
+        columns.append((F.coalesce(counted.cast(f.dataType), own) if f.name == "n_chars" else own).alias(f.name))
+    return out.select(*columns)
