@@ -4,8 +4,9 @@ Regular expressions find candidate spans: strict ones (the base) and loose ones.
 on each candidate (+1, -1, or 0 for none): its check, words before it, a gazetteer, and the
 characters beside it. Expectation-maximisation over the counts of vote patterns estimates how
 reliable each labeler is; its posteriors train a final span classifier (naive Bayes over votes,
-kind and length). Base spans that pass their check always stay; loose ones are added if the
-classifier is sure of them. Only counts of patterns come to the driver: at most a few thousand.
+kind and length). Base spans that pass their check always stay; loose ones, among them all
+secrets (keys, tokens, passwords), are added where the classifier is sure of them, whichever
+labelers voted. Only counts of patterns come to the driver: at most a few thousand.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from pyspark.sql import functions as F
 from .common import Scratch
 
 KINDS = ["email", "ip", "card", "phone"]
+#: Base kinds and those that only the method adds.
+ALL = [*KINDS, "secret"]
 #: The base patterns. What follows a possessive quantifier can't begin with what it takes, and a match can only
 #: begin where a run of its first characters does (or where the last match ended), so they find what the plain
 #: patterns find, in linear time.
@@ -32,7 +35,11 @@ BASE = {
 LOOSE = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+\x20?(?:\[at\]|\(at\)|@)\x20?[A-Za-z0-9-]{1,63}+(?:\x20?(?:\[dot\]|\(dot\))\x20?[A-Za-z]{2,24}+){1,5}+",
     "phone": r"(?<![0-9.+-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9.-])",
+    "secret": r"(?<![A-Za-z0-9_-])(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[opsu]_[A-Za-z0-9]{36}|(?:sk|pk)[_-][A-Za-z0-9_-]{16,}+)(?![A-Za-z0-9_-])"
+              r"|(?<=(?:(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)[\"']?\x20?[:=]\x20?[\"']?))[A-Za-z0-9+/_.~-]{6,}+",
 }
+#: A text without any of these has no secret.
+_MAY_SECRET = r"(?i)password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|AKIA|ASIA|gh[opsu]_|[sp]k[_-]"
 _OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 #: Words that announce a kind, and the gazetteers (top-level domains, calling codes, issuers' first digits).
 CONTEXT = {
@@ -40,11 +47,15 @@ CONTEXT = {
     "ip": r"(?i)(?:ip|host|server|addr|address|from|client)[^A-Za-z]*$",
     "card": r"(?i)(?:card|visa|mastercard|amex|credit|karte|carte|tarjeta)[^A-Za-z]*$",
     "phone": r"(?i)(?:phone|tel|call|fax|mobile|cell|telefon|telefono|téléphone)[^A-Za-z]*$",
+    "secret": r"(?i)(?:password|passwd|pwd|secret|token|key)[^A-Za-z]*$",
 }
+#: Words that announce some other number.
+ELSE = r"(?i)\b(?:row|line|page|order|invoice|item|id|no|ref|serial|version|part|isbn|article|ticket)[^A-Za-z]*$"
 GAZETTEER = {
     "email": r"(?i)(?:\.|dot[\])]\x20?)(?:com|org|net|edu|gov|info|io|de|fr|es|uk|eu|ch|at|it|nl|ca|us|mx|ar)$",
     "ip": r"^(?!0+\.)(?!255\.)",
     "card": r"^[3456]",
+    "secret": r"^(?:AKIA|ASIA|gh[opsu]_|[sp]k[_-])|^[0-9a-f]{16,}$|^(?=.*[0-9])(?=.*[A-Za-z])[A-Za-z0-9+/_.~-]{12,}$",
     "phone": r"^(?:\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])|\(?[2-9])",
 }
 _BLOCK = 256
@@ -93,6 +104,8 @@ def _luhn(digits: Column) -> Column:
 def _passes(kind: str, s: Column) -> Column:
     if kind == "email":
         return F.lit(True)
+    if kind == "secret":  # letters and figures, or a mark among them
+        return s.rlike("[0-9]") & s.rlike("[A-Za-z]")
     if kind == "ip":
         return s.rlike(rf"^{_OCTET}(?:\.{_OCTET}){{3}}$")
     digits = F.regexp_replace(s, "[^0-9]", "")
@@ -106,12 +119,12 @@ def _vote(yes: Column, no: Column | bool = False) -> Column:
 
 
 def _candidate(kind: str, x: Column, base: bool) -> Column:
-    check = _vote(_passes(kind, x["s"]), True) if base else F.lit(0)
+    check = _vote(_passes(kind, x["s"]), True) if base or kind not in KINDS else F.lit(0)
     known = x["s"].rlike(GAZETTEER[kind])
     # a candidate inside a longer word or number is doubtful
     inside = x["post"].rlike("[A-Za-z0-9]") | F.right(x["pre"], F.lit(1)).rlike("[A-Za-z0-9]")
-    return F.struct(F.lit(KINDS.index(kind)).alias("kind"), x["start"].alias("start"), x["end"].alias("end"),
-                    F.lit(base).alias("strict"), check.alias("v0"), _vote(x["pre"].rlike(CONTEXT[kind])).alias("v1"),
+    return F.struct(F.lit(ALL.index(kind)).alias("kind"), x["start"].alias("start"), x["end"].alias("end"),
+                    F.lit(base).alias("strict"), check.alias("v0"), _vote(x["pre"].rlike(CONTEXT[kind]), x["pre"].rlike(ELSE)).alias("v1"),
                     _vote(known, ~known).alias("v2"), _vote(~inside, inside).alias("v3"),
                     F.least(F.floor((x["end"] - x["start"]) / 6), F.lit(7)).cast("int").alias("size"))
 
@@ -126,6 +139,7 @@ def candidates(docs: DataFrame) -> DataFrame:
     written = F.contains("text", F.lit("(dot)")) | F.contains("text", F.lit("[dot]"))
     rows = _with_spans(rows, "loose_email", LOOSE["email"], written)
     rows = _with_spans(rows, "loose_phone", LOOSE["phone"], F.col("digit_"))
+    rows = _with_spans(rows, "loose_secret", LOOSE["secret"], F.col("text").rlike(_MAY_SECRET))
     votes = lambda kind, base: lambda x: _candidate(kind, x, base)
     parts = [F.transform(kind, votes(kind, True)) for kind in KINDS]
     parts += [F.transform(f"loose_{kind}", votes(kind, False)) for kind in LOOSE]
@@ -144,8 +158,8 @@ def fit(counts: list[tuple[int, tuple[int, ...], int, int]], rounds: int = 50) -
     for kind, votes, _, n in counts:
         by_pattern[kind, votes] += n
     # a start where labelers are right in 4 of 5 cases breaks the symmetry
-    right = {(i, k): 0.8 for i in range(len(VOTES)) for k in range(len(KINDS))}
-    prior = {k: 0.5 for k in range(len(KINDS))}
+    right = {(i, k): 0.8 for i in range(len(VOTES)) for k in range(len(ALL))}
+    prior = {k: 0.5 for k in range(len(ALL))}
     post: dict[tuple, float] = {}
     for _ in range(rounds):
         for kind, votes in by_pattern:
@@ -156,7 +170,7 @@ def fit(counts: list[tuple[int, tuple[int, ...], int, int]], rounds: int = 50) -
                     yes += math.log(r if v > 0 else 1 - r)
                     no += math.log(r if v < 0 else 1 - r)
             post[kind, votes] = 1 / (1 + math.exp(max(-500.0, min(500.0, no - yes))))
-        for k in range(len(KINDS)):
+        for k in range(len(ALL)):
             all_k = sum(n for (kind, _), n in by_pattern.items() if kind == k)
             prior[k] = (sum(n * post[p] for p, n in by_pattern.items() if p[0] == k) + 1) / (all_k + 2)
             for i in range(len(VOTES)):
@@ -176,7 +190,7 @@ def fit(counts: list[tuple[int, tuple[int, ...], int, int]], rounds: int = 50) -
     return {"prior": {k: math.log(a / b) for k, (a, b) in whole.items()}, "weight": weight, "reliability": right}
 
 
-#: Log-odds from which a loose span is added; it also needs a word before it that announces its kind.
+#: Log-odds from which a loose span is added.
 SURE = 2.0
 
 
@@ -192,9 +206,11 @@ def _logit(model: dict, x: Column) -> Column:
 def find(docs: DataFrame) -> DataFrame:
     """Spans of personal data in whole texts (doc_id, text).
 
-    Returns doc_id, base and added: arrays of (kind number, start, end) in code points, end
-    exclusive, sorted by kind and start. Null text is empty; repeated rows have the same spans;
-    other columns are ignored. Added spans never overlap base ones."""
+    Returns doc_id, base and added: arrays of (kind number in ALL, start, end) in code points, end
+    exclusive, sorted by kind and start. Null text is empty; repeated rows have the same spans
+    (and count again where reliabilities are estimated); very long texts are taken whole; an empty
+    table gives no rows; other columns are ignored, whatever their names. Added spans never
+    overlap base ones."""
     scratch = Scratch(docs.sparkSession, "pii")
     found = scratch.write(candidates(docs), "candidates")
     each = found.select(F.explode("spans").alias("x")).groupBy(*[F.col(f"x.{c}").alias(c) for c in ("kind", *VOTES, "size")]).count()
@@ -205,14 +221,14 @@ def find(docs: DataFrame) -> DataFrame:
     found = found.withColumn("base", F.array_sort(base))
     free = lambda x: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
     loose = F.filter("spans", lambda x: ~x["strict"])
-    sure = F.filter(loose, lambda x: (x["v1"] > 0) & (_logit(model, x) >= SURE) & free(x))
+    sure = F.filter(loose, lambda x: (_logit(model, x) >= SURE) & free(x))
     added = F.when(F.exists("spans", lambda x: ~x["strict"]), F.array_sort(F.transform(sure, bare)))
     empty = F.array().cast("array<struct<kind:int,start:int,end:int>>")
     return found.select("doc_id", "base", F.coalesce(added, empty).alias("added"))
 
 
 def _said(spans: Column) -> Column:
-    kinds = F.array(*[F.lit(k) for k in KINDS])
+    kinds = F.array(*[F.lit(k) for k in ALL])
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.get(kinds, x["kind"]), x["start"].cast("string"), x["end"].cast("string"))), ",")
 
 
@@ -220,5 +236,6 @@ def op5_pii(spark, sf_dir: str) -> DataFrame:
     rows = find(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     of = lambda i: lambda x: x["kind"] == i
     n = [F.size(F.filter("base", of(i))).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS)]
-    return rows.select("doc_id", *n, F.sha2(_said(F.col("base")), 256).alias("base_sha256"),
-                       _said(F.array_sort(F.concat("base", "added"))).alias("spans"))
+    secrets = F.size(F.filter("added", of(ALL.index("secret")))).cast("long")
+    return rows.select("doc_id", *n, F.sha2(_said(F.col("base")), 256).alias("base_sha256"), _said(F.array_sort(F.concat("base", "added"))).alias("spans"),
+                       secrets.alias("n_secret"), (F.size("base") + F.size("added")).cast("long").alias("n_spans"))
