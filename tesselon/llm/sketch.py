@@ -10,14 +10,15 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import json
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, shingle_hashes, words_by_row
+from .common import bound_batches, shingle_hashes, small, words_by_row
 
 _U = np.uint64
 K, WORDS = 256, 5
@@ -26,10 +27,7 @@ _TOP = 1 << 48
 
 def sketch(words: np.ndarray, k: int = K, size: int = WORDS) -> np.ndarray:
     """The sketch of a text's word hashes: sorted uint64 values below 2**48."""
-    found = shingle_hashes(words, size) >> _U(16)
-    if len(found) > 8 * k:  # the least ones among all, however often each occurs
-        found = np.unique(found)[:k]
-    return np.unique(found)[:k]
+    return np.unique(shingle_hashes(words, size) >> _U(16))[:k]
 
 
 def encode(found: np.ndarray) -> str:
@@ -90,35 +88,44 @@ def fingerprints(docs: DataFrame, *, k: int = K, words: int = WORDS) -> DataFram
     return rows.mapInArrow(_fingerprints(k, words), "doc_id long, fingerprint string, n_shingles double")
 
 
+def _longs(values: list[int]) -> Column:
+    """A constant array; one literal however many values there are."""
+    return F.from_json(F.lit(json.dumps(values)), "array<bigint>")
+
+
+def _above(ends: list[int], x: Column) -> Column:
+    """How many of the descending ends are larger than x, by bisection."""
+    table = _longs(ends)
+    steps = F.sequence(F.lit(1), F.lit(max(1, len(ends).bit_length())))
+    halve = lambda a, _: F.when(
+        a["low"] >= a["high"], a).when(F.get(table, F.shiftright(a["low"] + a["high"], 1)) > x, F.struct((F.shiftright(a["low"] + a["high"], 1) + 1).alias("low"), a["high"].alias("high"))
+    ).otherwise(F.struct(a["low"].alias("low"), F.shiftright(a["low"] + a["high"], 1).alias("high")))
+    return F.aggregate(steps, F.struct(F.lit(0).alias("low"), F.lit(len(ends)).alias("high")), halve)["low"]
+
+
 def neighbours(docs: DataFrame, bytes_per_range: int = 32 << 20) -> DataFrame:
     """docs (doc_id, text) in ranges of descending doc_id, with the first row of the next range at the end of each.
 
     Columns: part, doc_id, text, extra (true for the row lent by the next range; after the last
-    range comes the first). Rows of a part are together and sorted. The ranges come from exact
-    counts of ids by 4096 equal steps between the least and the largest id, so they are the same
-    each time."""
+    range comes the first). Rows of a part are together and sorted, each part in a partition of
+    its own. Where ranges end comes from Spark's range partitioning of the ids alone, so that
+    ranges have about as many rows each, wherever the ids lie; the ends are fixed numbers from
+    then on. Rows without doc_id come last."""
     spark = docs.sparkSession
-    n, low, high, size = docs.agg(F.count("*"), F.min("doc_id"), F.max("doc_id"), F.sum(F.octet_length("text"))).first()
-    if low is None:
-        low = high = 0
-    step = max(1, -(-(high - low + 1) // 4096))
+    n, size = docs.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
     ranges = max(1, -(-int(size or 0) // bytes_per_range), min(n, spark.sparkContext.defaultParallelism))
-    slot = F.floor((F.lit(high) - F.coalesce("doc_id", F.lit(low - 1))) / F.lit(step)).cast("int")
-    counts = {r.slot: r.n for r in docs.groupBy(slot.alias("slot")).agg(F.sum(F.octet_length(F.coalesce("text", F.lit(""))) + 32).alias("n")).collect()}
-    share, seen, ends = max(1, sum(counts.values()) // ranges), 0, []
-    for at in sorted(counts):
-        seen += counts[at]
-        if seen >= share:
-            ends.append(at)
-            seen = 0
-    part = F.size(F.filter(F.array(*[F.lit(e) for e in ends] or [F.lit(1 << 30)]), lambda e: e < slot))
-    rows = docs.select(part.alias("part"), "doc_id", "text")
-    keys = rows.groupBy("part").agg(F.max(F.struct(F.coalesce("doc_id", F.lit(low - 1)).alias("id"))).alias("first")).collect()
-    order = sorted(r.part for r in keys)
-    first = {r.part: r.first.id for r in keys}
+    ids = docs.select("doc_id").where("doc_id IS NOT NULL").repartitionByRange(ranges, F.desc("doc_id"))
+    ends = ids.groupBy(F.spark_partition_id().alias("at")).agg(F.min("doc_id").alias("end")).collect()  # a number a range
+    ends = sorted((r.end for r in ends), reverse=True)
+    slot = F.when(F.col("doc_id").isNull(), max(0, len(ends) - 1)).otherwise(F.least(_above(ends, F.col("doc_id")), F.lit(max(0, len(ends) - 1)))).cast("int")
+    rows = docs.select(slot.alias("part"), "doc_id", "text")
+    # the last of a range's ids is its end, so the first of the next one is all that is to be found; a row a range
+    firsts = rows.groupBy("part").agg(F.max("doc_id").alias("id")).collect()
+    order = sorted(r.part for r in firsts)
+    first = {r.part: r.id for r in firsts}
     lent = spark.createDataFrame([(order[i - 1], first[p]) for i, p in enumerate(order)], "to int, id long")
     # of rows with one id, the least text comes first
-    border = docs.join(F.broadcast(lent), F.coalesce("doc_id", F.lit(low - 1)) == F.col("id"))
+    border = docs.join(small(lent), F.col("doc_id").eqNullSafe(F.col("id")))
     border = border.groupBy("to").agg(F.min_by(F.struct("doc_id", "text"), F.coalesce("text", F.lit(""))).alias("d"))
     rows = rows.withColumn("extra", F.lit(False)).union(border.select("to", "d.doc_id", "d.text", F.lit(True)))
     # a number for each range whose hash puts it into a partition of its own
@@ -126,14 +133,14 @@ def neighbours(docs: DataFrame, bytes_per_range: int = 32 << 20) -> DataFrame:
     free = spark.range(40 * n).select(F.col("id").cast("int").alias("k")).withColumn("at", F.pmod(F.hash("k"), F.lit(n)))
     free = {r["at"]: r["k"] for r in free.groupBy("at").agg(F.min("k").alias("k")).collect()}
     keys = {p: free.get(i, i) for i, p in enumerate(order)}
-    dealt = F.get(F.array(*[F.lit(keys.get(p, 0)) for p in range(max(order, default=0) + 1)]), F.col("part"))
+    dealt = F.get(_longs([keys.get(p, 0) for p in range(max(order, default=0) + 1)]), F.col("part")).cast("int")
     rows = rows.withColumn("dealt", dealt).repartition(n, "dealt").drop("dealt")
     return rows.sortWithinPartitions("part", "extra", F.col("doc_id").desc_nulls_last(), F.coalesce("text", F.lit("")))
 
 
 def _edited(k: int, size: int):
-    fields = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+    fields = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "n_shingles", "in_edited", "in_next"]
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), *[pa.float64()] * 5]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None
@@ -152,7 +159,8 @@ def _edited(k: int, size: int):
                 news.append(text[: len(text) - cut] + after[:cut])
             found = [sketch(w, k, size) for w in words_by_row(pa.array(news, pa.string()))]
             out = [
-                (a[1], len(a[2]), hashlib.sha256(new.encode()).hexdigest(), encode(a[3]), encode(f), resemblance(a[3], f, k), resemblance(a[3], b[3], k))
+                (a[1], len(a[2]), hashlib.sha256(new.encode()).hexdigest(), encode(a[3]), encode(f), resemblance(a[3], f, k), resemblance(a[3], b[3], k),
+                 distinct(a[3], k), containment(a[3], f, k), containment(a[3], b[3], k))
                 for (a, b), new, f in zip(pairs, news, found, strict=True)
             ]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=fields)
@@ -161,12 +169,17 @@ def _edited(k: int, size: int):
 
 
 def edited_pairs(docs: DataFrame, *, k: int = K, words: int = WORDS) -> DataFrame:
-    """Fingerprint of every text, of its edited text, and their likeness; see op6_sketch.
-
-    Ties of doc_id: the rows follow each other by text. A null doc_id comes last."""
+    """Fingerprint of every text, of its edited text, and their likeness.
+
+    The edited text has its last third replaced by the beginning of the next document's text, in
+    descending doc_id, after the last one the first. near_*: resemblance with the edited text and
+    with the next document; in_*: share of the text's shingles that those have; n_shingles: how
+    many distinct ones it has. Null and empty texts: the empty sketch, alike to itself. Very long
+    texts are taken whole. Ties of doc_id, repeated rows among them, follow each other by text; a
+    null doc_id comes last; a single row is its own neighbour; an empty table gives no rows."""
     bound_batches(docs.sparkSession)
     rows = neighbours(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")))
-    return rows.mapInArrow(_edited(k, words), "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return rows.mapInArrow(_edited(k, words), "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_shingles double, in_edited double, in_next double")
 
 
 def op6_sketch(spark, sf_dir: str) -> DataFrame:
