@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SEPARATORS, Scratch, small
+from .common import SEPARATORS, Scratch, free_name, small
 
 #: Items of SPAN words or more have the masks (places of a window), shorter ones are a mask as a whole.
 SPAN = 9
@@ -24,8 +24,6 @@ MASKS = [(0, 1, 2, 4), (0, 1, 6, 7), (0, 2, 3, 4)]
 LEAST_MATCHES, LEAST_SHARE = 8, 0.7
 #: Every longer overlap holds one of at most so many words.
 LONGEST = 21
-#: Items of fewer words are ignored.
-LEAST_ITEM = 4
 #: Seeds of the benchmark up to which they are broadcast.
 SEED_ROWS = 2_000_000
 
@@ -99,15 +97,17 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     under one id), item_id, doc_start, item_start, words (of the overlap), matches. An overlap
     has at least min(8, the item's words) matching words, and 7 in 10 of its words match. The row
     gives the segment with the largest score (1 a match, -2 a substitution) if that is an overlap,
-    else the overlap of at most 21 words with most matches. Words
-    are lower-cased and end at white space. Null or empty texts and items have none; items of
-    fewer than four words are ignored; repeated rows count once. Other columns are ignored."""
+    else the overlap of at most 21 words with most matches. Words are lower-cased and end at white
+    space. Null, empty or wordless texts and items have none; repeated rows count once; very long
+    texts are taken whole. Other columns are ignored, whatever their names; an empty table on
+    either side gives no rows."""
     scratch = Scratch(docs.sparkSession, "decontaminate")
-    items = benchmark.select(F.col("item_id").cast("long"), word_ids(F.col("text").cast("string")).alias("ids")).distinct()
-    items = scratch.write(items.where(F.size("ids") >= LEAST_ITEM), "items")
+    words = F.col("text").cast("string")
+    items = benchmark.where(words.rlike(r"[^\x20\x09-\x0D]")).select(F.col("item_id").cast("long"), word_ids(words).alias("ids"))
+    items = scratch.write(items.distinct(), "items")
     spans = [r.n for r in items.where(F.size("ids") < SPAN).select(F.size("ids").alias("n")).distinct().collect()]
     source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    keyed = source.select("doc_id", F.xxhash64("text").alias("text_key"), word_ids(F.col("text")).alias("ids"))
+    keyed = source.where(F.col("text").rlike(r"[^\x20\x09-\x0D]")).select("doc_id", F.xxhash64("text").alias("text_key"), word_ids(F.col("text")).alias("ids"))
     hits = None
     for span, masks in [(SPAN, MASKS)] + [(n, [tuple(range(n))]) for n in sorted(spans)]:
         known = items if span == SPAN else items.where(F.size("ids") == span)
@@ -138,9 +138,13 @@ def op7_decontaminate(spark, sf_dir: str) -> DataFrame:
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Pipeline stage: documents without any overlap with the benchmark."""
+    """Pipeline stage: documents without any overlap with the benchmark, all columns as they are.
+
+    Null and empty texts stay; of rows that repeat a doc_id only those with the overlap go; an
+    empty table stays empty, and without items all stay."""
     scratch = Scratch(docs.sparkSession, "leaks")
-    leaks = overlaps(docs, benchmark).select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("dk"), F.col("text_key").alias("tk")).distinct()
+    dk, tk = free_name(docs, "dk"), free_name(docs, "tk")
+    leaks = overlaps(docs, benchmark).select(F.col("doc_id").alias(dk), F.col("text_key").alias(tk)).distinct()
     leaks = small(scratch.write(leaks, "leaks"))
-    here = (F.coalesce(docs["doc_id"].cast("long"), F.lit(-(1 << 63))) == leaks["dk"]) & (F.xxhash64(docs["text"]) == leaks["tk"])
+    here = docs["doc_id"].cast("long").eqNullSafe(F.col(dk)) & (F.xxhash64(docs["text"].cast("string")) == F.col(tk))
     return docs.join(leaks, here, "left_anti")
