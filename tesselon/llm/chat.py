@@ -12,6 +12,7 @@ import hashlib
 import json
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import combinations
 
 import pyarrow as pa
@@ -53,25 +54,38 @@ def fingerprint(found: set[str]) -> str:
     return hashlib.blake2b("\n".join(sorted(found)).encode(), digest_size=8).hexdigest()
 
 
-def _known() -> dict[str, str]:
-    """Name of the layout by fingerprint, for each choice of the fields that may be missing."""
-    out: dict[str, str] = {}
+def _path_sets() -> Iterator[tuple[frozenset[str], str]]:
+    """Field paths and name of each layout, for each choice of the fields that may be missing."""
     for name, layout in LAYOUTS.items():
         if "each" in layout:
             each = layout["each"]
-            out.setdefault(fingerprint({f"{each}[]"}), name)  # an empty list of turns
-            out[fingerprint({f"{each}[]"} | {f"{each}[].{f}" for f in layout["turn"]})] = name
+            yield frozenset({f"{each}[]"}), name  # an empty list of turns
+            yield frozenset({f"{each}[]"} | {f"{each}[].{f}" for f in layout["turn"]}), name
             continue
         fields = [f for turn in layout["turns"] for f in turn if f[0] != "="]
         must, may = {f for f in fields if f[-1] != "?"}, [f[:-1] for f in fields if f[-1] == "?"]
         for n in range(len(may) + 1):
             for some in combinations(may, n):
                 if found := must | set(some):
-                    out[fingerprint(found)] = name
-    return out
+                    yield frozenset(found), name
+
+
+def _known() -> dict[str, str]:
+    """Name of the layout by fingerprint."""
+    return {fingerprint(found): name for found, name in _path_sets()}
 
 
 KNOWN = _known()
+#: The path sets behind the fingerprints, largest first, of equals in the order of the layouts.
+_SETS = sorted(_path_sets(), key=lambda x: -len(x[0]))
+
+
+@lru_cache(maxsize=4096)
+def layout_of(found: frozenset[str]) -> str | None:
+    """Name of the layout of a record with these field paths: by fingerprint, else the one that explains most of
+    them, the other fields being extra; None if none does."""
+    name = KNOWN.get(fingerprint(found))
+    return name or next((n for some, n in _SETS if some <= found), None)
 
 
 def _get(record: dict, path: str):
@@ -85,14 +99,14 @@ def _text(value) -> str:
 
 
 def canonical(record: dict) -> tuple[str | None, list[tuple[str, str]]]:
-    """Name of the record's layout and its turns; (None, []) for an unknown layout."""
-    name = KNOWN.get(fingerprint(paths(record)))
+    """Name of the record's layout and its turns; (None, []) for an unknown layout. Extra fields are ignored."""
+    name = layout_of(frozenset(paths(record)))
     if name is None:
         return None, []
     layout, turns = LAYOUTS[name], []
     if "each" in layout:
         role, text = layout["turn"]
-        found = [(_text(r.get(role)), r.get(text)) for r in record[layout["each"]]]
+        found = [(_text(r.get(role)), r.get(text)) for r in record[layout["each"]] if isinstance(r, dict)]
     else:
         found = [(r[1:] if r[0] == "=" else _text(_get(record, r)), _get(record, t)) for r, t in layout["turns"]]
         found = [(r, t) for (r, t), (_, path) in zip(found, layout["turns"], strict=True) if name == "turn row" or t is not None or path[-1] != "?"]
@@ -129,22 +143,32 @@ def read(formatted: str) -> list[tuple[str, str]]:
     return [(_role_in(r), unescape(t)) for r, t in found]
 
 
+def _loaded(raw: str | None):
+    """The record of a JSON text; the text itself if it is none."""
+    try:
+        return json.loads(raw) if raw else None
+    except ValueError:
+        return raw
+
+
 def _format(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     nobody = object()
-    conv, part, layout, size = nobody, 0, None, 0
+    conv, part, layout, size, kept_aside = nobody, 0, None, 0, 0
     pieces: list[str] = []
     loss: list[dict] = []
+    rejects: list[dict] = []
     out: list[tuple] = []
 
     def flush():
-        nonlocal pieces, loss, size
-        out.append((conv, part, layout, "".join(pieces), loss))
-        pieces, loss, size = [], [], 0
+        nonlocal pieces, loss, rejects, size, kept_aside
+        out.append((conv, part, layout, "".join(pieces), loss, rejects))
+        pieces, loss, rejects, size, kept_aside = [], [], [], 0, 0
 
     def batch():
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
+        kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])),
+                 pa.list_(pa.struct([("fingerprint", pa.string()), ("record", pa.string())]))]
         made = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)],
-                                          names=["conv_id", "part", "layout", "formatted", "loss"])
+                                          names=["conv_id", "part", "layout", "formatted", "loss", "rejects"])
         out.clear()
         return made
 
@@ -154,12 +178,15 @@ def _format(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if conv is not nobody:
                     flush()
                 conv, part, layout = key, 0, None
-            elif size >= PART_CHARS:
+            elif size + kept_aside >= PART_CHARS:
                 flush()
                 part += 1
-            record = json.loads(raw) if raw else {}
-            name, turns = canonical(record if isinstance(record, dict) else {})
+            record = _loaded(raw)
+            name, turns = canonical(record) if isinstance(record, dict) else (None, [])
             layout = name or layout
+            if name is None:
+                rejects.append({"fingerprint": fingerprint(paths(record)), "record": raw})
+                kept_aside += len(raw or "")
             for role, text in turns:
                 segment, at = render(role, text)
                 if role == "assistant":
@@ -179,19 +206,29 @@ def format_chats(records: DataFrame, *order: str) -> DataFrame:
 
     Records of a conversation follow each other by the order columns (nulls first), ties by
     record. Returns parts of whole turns, in rows that follow each other: conv_id, part from 0,
-    layout (null: no record of a known layout; such records add nothing), formatted, loss (spans
-    of assistant texts in code points). Rows without conv_id are one conversation. Nothing is
-    gathered: a conversation streams through one task, a part at a time."""
+    layout (of the last known record, null if there was none), formatted, loss (spans of assistant
+    texts in code points), rejects (fingerprint and text of records of no known layout, null and
+    broken ones too). Rows without conv_id are one conversation; repeated rows are turns of their
+    own; an empty table gives no rows. Nothing is gathered: a conversation streams through one
+    task, a part at a time."""
     bound_batches(records.sparkSession)
     rows = records.select(F.col("conv_id").cast("long"), *order, F.col("record").cast("string"))
     rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", *order, "record").select("conv_id", "record")
-    return rows.mapInArrow(_format, "conv_id long, part long, layout string, formatted string, loss array<struct<start:long,end:long>>")
+    return rows.mapInArrow(_format, "conv_id long, part long, layout string, formatted string, loss array<struct<start:long,end:long>>, rejects array<struct<fingerprint:string,record:string>>")
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     nobody = object()
     conv, all_sha, loss_sha, turns, loss_chars, chars = nobody, None, None, 0, 0, 0
     out: list[tuple] = []
+
+    def batch():
+        kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+        made = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)],
+                                          names=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
+        out.clear()
+        return made
+
     for b in batches:
         for key, text, spans in zip(b.column("conv_id").to_pylist(), b.column("formatted").to_pylist(), b.column("loss").to_pylist(), strict=True):
             if key != conv or conv is nobody:
@@ -206,12 +243,12 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 loss_sha.update(said.encode())
                 loss_chars += len(said)
             chars += len(text)
+            if len(out) >= 4000:
+                yield batch()
     if conv is not nobody:
         out.append((conv, turns, all_sha.hexdigest(), loss_chars, loss_sha.hexdigest(), chars))
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
-    cols = zip(*out, strict=True) if out else [[]] * 6
-    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)],
-                                     names=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
+    if out:
+        yield batch()
 
 
 SAID = "<|im_end|><|im_start|>assistant ok"
