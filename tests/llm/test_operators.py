@@ -120,7 +120,6 @@ def test_packing_is_whole(spark, sf_dir, real):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(packing.default_tokenizer())
-    t.encode_special_tokens = True
     ids = {d: t.encode(x, add_special_tokens=False).ids + [1] for d, x in real.items()}
     held(packing.op2_packing(spark, sf_dir).collect(), ids)
 
@@ -458,7 +457,7 @@ def test_licences(spark, odd_docs):
              s["mit-notice"] + " " + s["apache-2-notice"]]
     rows = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
     assert {(r.doc_id, r.license) for r in rows} == {(0, "MIT"), (1, "MIT"), (2, "BSD-3-Clause"), (4, "CC-BY-NC-4.0"), (8, "MIT"), (8, "Apache-2.0")}
-    assert licenses.scan(odd_docs).count() == 0 and all(re.search(licenses.MAY, x) for v in licenses.SENTENCES.values() for x in v)
+    assert licenses.scan(odd_docs).count() == 0 and all(any(m in x.lower() for m in licenses.MAY) for v in licenses.SENTENCES.values() for x in v)
 
 
 def test_licence_notices_in_real_texts(spark, sf_dir, real):
