@@ -6,6 +6,9 @@ and Huber take a prediction of 0."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from inspect import signature
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -53,10 +56,29 @@ def huber(null_val: float | None = None, delta: float = 1.0) -> Column:
     return F.avg(F.when(counted(null_val, 1e-5), loss).otherwise(0.0))
 
 
-#: Metrics that one aggregation gives, by name.
+def weight(null_val: float | None = None) -> Column:
+    """How much a batch counts in a running mean: all its elements without a null value, missing ones too; with one, those that differ from it."""
+    t = F.col("target")
+    return F.count("*") if null_val is None else F.count_if(t.isNull() | (F.abs(t - null_val) > EPS))
+
+
+#: Metrics that one aggregation gives, by name; `register` adds more.
 METRICS = {"mae": mae, "mse": mse, "rmse": rmse, "mape": mape, "smape": smape, "huber": huber}
 
 
+def register(name: str, metric: Callable[..., Column]) -> None:
+    """A metric of one's own under a name: a function that gives an aggregate, of whichever arguments it names."""
+    METRICS[name.lower()] = metric
+
+
+def resolve(name: str, **known) -> Column:
+    """The metric of that name with those of the known arguments that its signature has; an unknown name is an error."""
+    metric = METRICS.get(name.lower())
+    if metric is None:
+        raise ValueError(f"no metric {name!r}, there are {', '.join(sorted(METRICS))}")
+    return metric(**{k: v for k, v in known.items() if k in signature(metric).parameters})
+
+
 def wape(df: DataFrame, series: list[str], null_val: float | None = None) -> DataFrame:
     """Mean over series of the error's share of the targets."""
     mask = counted(null_val, 1e-5)

@@ -25,6 +25,11 @@ def day_of_year(ts: Column) -> Column:
     return (F.dayofyear(ts) - 1) / 366.0
 
 
+def mark(feature: Column) -> Column:
+    """A time feature from 0 to 1 as a mark about 0."""
+    return feature - 0.5
+
+
 def frequency_minutes(first: Column, second: Column) -> Column:
     """Whole minutes between a series' first two time stamps; NULL unless that is positive."""
     us = F.unix_micros(second.cast("timestamp")) - F.unix_micros(first.cast("timestamp"))

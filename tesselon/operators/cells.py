@@ -72,6 +72,11 @@ def summary(dist: DataFrame) -> DataFrame:
     return dist.agg(F.sum("n").alias("total"), F.count_if(F.col("n") > 0).alias("non_empty"), F.max("n").alias("largest"), F.min("n").alias("smallest"))
 
 
+def by_size(dist: DataFrame) -> DataFrame:
+    """Cells with their place by size, from 1, the largest first, ties by number. A row a cell."""
+    return dist.withColumn("place", F.row_number().over(Window.orderBy(F.col("n").desc(), "cell")))
+
+
 def extremes(dist: DataFrame, k: int) -> DataFrame:
     """The k largest and the k smallest cells, ties by number."""
     large = dist.orderBy(F.col("n").desc(), "cell").limit(k).withColumn("side", F.lit("largest"))

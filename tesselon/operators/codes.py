@@ -90,6 +90,35 @@ def kmeans_step(assigned: DataFrame, old: DataFrame) -> DataFrame:
         "code", "d", F.coalesce("m", "o").alias("v"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
+def kmeans(vectors: DataFrame, codebook: DataFrame, key: str, rounds: int = 10, metric: str = "cosine") -> DataFrame:
+    """(code, e) after rounds of assignment to the nearest code and means; for cosine, codes of length 1.
+
+    vectors: key, e. In each round the vectors are read once; only the codebook is gathered."""
+    spark = vectors.sparkSession
+    for _ in range(rounds):
+        near = nearest(vectors, codebook, key, metric).select(key, "code")
+        means = kmeans_step(vectors.select(key, "e").join(near, key), codebook)
+        book = means.groupBy("code").agg(F.transform(F.sort_array(F.collect_list(F.struct("d", "v"))), lambda x: x["v"].cast("double")).alias("e"))
+        rows = gather(book.orderBy("code"), MOST_CODES, "the codebook")
+        table = np.array([r.e for r in rows])
+        if metric == "cosine":
+            table = table / np.maximum(np.linalg.norm(table, axis=1, keepdims=True), 1e-12)
+        codebook = spark.createDataFrame([(r.code, e.tolist()) for r, e in zip(rows, table, strict=True)], "code long, e array<double>")
+    return codebook
+
+
+def project(vectors: DataFrame, key: str, weights: np.ndarray, bias: np.ndarray) -> DataFrame:
+    """(key, e): vectors through a linear layer (out x in) to the codebook's dimensions, each of length 1; in blocks."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            if len(f):
+                y = np.stack(f["e"].to_numpy()).astype(np.float64) @ weights.T + bias
+                yield pd.DataFrame({key: f[key], "e": list(y / np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-12))})
+
+    return vectors.select(key, "e").mapInPandas(run, f"{key} {vectors.schema[key].dataType.simpleString()}, e array<double>")
+
+
 def ema_step(assigned: DataFrame, state: DataFrame, decay: float, eps: float = 1e-5) -> DataFrame:
     """(code, d, size, total, v): moving cluster sizes and sums; v: sum over the Laplace-smoothed size.
 
@@ -114,8 +143,7 @@ def dead_codes(sizes: DataFrame, vectors: DataFrame, threshold: float, key: str,
     dead = dead.select("code", F.row_number().over(Window.orderBy("code")).alias("k"))
     drawn = vectors.select(key, F.md5(F.concat_ws(":", F.lit(seed), F.col(key))).alias("h")).orderBy("h", key).limit(count)
     drawn = drawn.select(key, F.row_number().over(Window.orderBy("h", key)).alias("k"))
-    have = F.broadcast(drawn.agg(F.greatest(F.count("*"), F.lit(1)).alias("have")))
-    dead = dead.crossJoin(have).withColumn("k", (F.col("k") - 1) % F.col("have") + 1)
+    dead = dead.withColumn("k", (F.col("k") - 1) % max(1, drawn.count()) + 1)
     return dead.join(drawn, "k").select("code", key)
 
 

@@ -63,6 +63,16 @@ def expand_pairs(pairs: Column | str, size: Column) -> Column:
     return F.slice(F.flatten(F.col(pairs) if isinstance(pairs, str) else pairs), F.lit(1), size)
 
 
-def attention_windows(df: DataFrame, keys: list[str], window: int) -> DataFrame:
-    """Rows (t from 1) with window number and place in it."""
-    return df.withColumn("window", F.floor((F.col("t") - 1) / window)).withColumn("place", (F.col("t") - 1) % window)
+def attention_windows(df: DataFrame, keys: list[str], window: int, value: str = "value", shift: int = 0) -> DataFrame:
+    """(keys, window, values): arrays of window elements of rows (t from 1), zeros behind the last row.
+
+    shift moves the whole padded series to the left, and what leaves in front comes in again
+    behind; a series of one window isn't moved."""
+    rows = F.sort_array(F.collect_list(F.struct("t", F.coalesce(F.col(value), F.lit(0.0)).alias("v"))))
+    packed = df.groupBy(*keys).agg(F.transform(rows, lambda x: x["v"]).alias("v"))
+    short = F.pmod(-F.size("v"), F.lit(window))
+    packed = packed.select(*keys, F.concat("v", F.array_repeat(F.lit(0.0), short)).alias("v"))
+    by = F.when(F.size("v") > window, shift).otherwise(0)
+    packed = packed.select(*keys, F.concat(F.slice("v", by + 1, F.size("v")), F.slice("v", F.lit(1), by)).alias("v"))
+    parts = F.transform(F.sequence(F.lit(0), (F.size("v") / window).cast("int") - 1), lambda i: F.slice("v", i * window + 1, F.lit(window)))
+    return packed.select(*keys, F.posexplode(parts).alias("window", "values"))

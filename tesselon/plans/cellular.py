@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from ..functions import arrays as a
 from ..operators import cells as ce
 from ..operators import codes as co
+from ..operators import patches as pt
 from .base import query, r6, read
 
 DIMS, BINS, CELLS = ["x0", "x1", "x2"], [4, 4, 2], 20
@@ -76,6 +77,11 @@ def cell_distribution(spark, sf_dir):
     return ce.distribution(assigned(spark, sf_dir), CELLS)
 
 
+@query(f"WITH {_DIST} SELECT cell, n, CAST(row_number() OVER (ORDER BY n DESC, cell) AS INTEGER) AS place FROM dist")
+def cells_by_size(spark, sf_dir):
+    return ce.by_size(ce.distribution(assigned(spark, sf_dir), CELLS))
+
+
 @query(f"WITH {_DIST} (SELECT cell, n, 'largest' AS side FROM dist ORDER BY n DESC, cell LIMIT 5) UNION ALL (SELECT cell, n, 'smallest' FROM dist ORDER BY n, cell LIMIT 5)")
 def cell_extremes(spark, sf_dir):
     return ce.extremes(ce.distribution(assigned(spark, sf_dir), CELLS), 5)
@@ -144,6 +150,14 @@ def scale_embedding(spark, sf_dir):
     return co.scale_embedding(codes(spark, sf_dir), book(spark, sf_dir), ["series"]).withColumn("v", r6("v"))
 
 
+@query("""SELECT vec_id, CAST(s AS INTEGER) AS s, CAST(CASE s WHEN 0 THEN 8 WHEN 1 THEN 16 ELSE 40 END AS INTEGER) AS size,
+  round(CAST(embedding[CASE s WHEN 0 THEN 1 WHEN 1 THEN 9 ELSE 25 END] AS DOUBLE), 6) AS first FROM embeddings, range(3) r(s)""")
+def scale_split(spark, sf_dir):
+    """An array of codes of three scales, taken apart: here the numbers of a vector."""
+    df = read(spark, sf_dir, "embeddings").select("vec_id", F.explode(pt.split_scales("embedding", [8, 16, 40])).alias("x"))
+    return df.select("vec_id", "x.s", F.size("x.codes").alias("size"), r6(F.get("x.codes", F.lit(0)).cast("double")).alias("first"))
+
+
 @query(f"""WITH {_CODES}, u AS (SELECT code, count(*) AS n FROM c WHERE code >= 0 GROUP BY code), p AS (SELECT n / sum(n) OVER () AS p FROM u)
   SELECT round(coalesce(exp(-sum(p * ln(greatest(p, 1e-10)))), 0), 6) AS perplexity FROM p""")
 def perplexity(spark, sf_dir):

@@ -82,12 +82,12 @@ def accuracy(spark, sf_dir):
     return read(spark, sf_dir, "labels").agg(r6(F.avg((F.col("quality") == 1 - F.col("toxic")).cast("double"))).alias("accuracy"))
 
 
-_METER = f"WITH {PRED}, b AS (SELECT t, avg(abs(prediction - target)) AS v, count(*) AS n FROM pred WHERE prediction + target IS NOT NULL GROUP BY t) "
+_METER = f"WITH {PRED}, b AS (SELECT t, {_SQL['mae']} AS v, count(*) AS n FROM pred GROUP BY t) "
 
 
 def _meter(spark, sf_dir):
-    df = pred(spark, sf_dir).where("prediction + target IS NOT NULL")
-    return df.groupBy("t").agg(F.avg(F.abs(F.col("prediction") - F.col("target"))).alias("v"), F.count("*").alias("n"))
+    """A batch for each step, with its weight."""
+    return pred(spark, sf_dir).groupBy("t").agg(m.resolve("mae", null_val=None, unused=0).alias("v"), m.weight().alias("n"))
 
 
 @query(_METER + "SELECT round(coalesce(sum(v * n) / sum(n), 0), 6) AS avg FROM b")

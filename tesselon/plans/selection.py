@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ..functions import arrays as a
+from ..functions import paths as pa
 from ..operators import corpus as co
 from ..operators import graph as gr
 from ..operators import rates as ra
@@ -28,12 +28,13 @@ def registry_check(spark, sf_dir):
     return rows.join(nation, "n_nationkey").groupBy("n_nationkey").agg(F.count("*").alias("customers"))
 
 
-@query("SELECT page_id, regexp_replace(url, '^https?://', '') AS path, split_part(regexp_replace(url, '^https?://', ''), '/', 1) AS root FROM pages WHERE NOT lower(url) LIKE '%label%'")
+@query("""SELECT page_id, '/data/' || ltrim(regexp_replace(url, '^https?://[^/]*', ''), '/') AS path,
+  CASE WHEN len(string_split(url, '/')) > 1 THEN string_split(url, '/')[-2] ELSE url END AS parent FROM pages WHERE NOT lower(url) LIKE '%label%'""")
 def path_remap(spark, sf_dir):
-    """Paths without their prefix and their first folder; names with 'label' are left out."""
-    path = F.regexp_replace("url", "^https?://", "")
+    """Paths below another root and the folder that each file is in; names with 'label' are left out."""
     df = read(spark, sf_dir, "pages").where(~F.lower("url").contains("label"))
-    return df.select("page_id", path.alias("path"), F.substring_index(path, "/", 1).alias("root"))
+    inner = F.regexp_replace("url", "^https?://[^/]*", "|")
+    return df.select("page_id", pa.array_path(inner, "/data", "|").alias("path"), pa.parent_key(F.col("url")).alias("parent"))
 
 
 _QUOTA = """r AS (SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY md5('42:' || event_type || ':' || event_id), event_id) AS rank,
@@ -169,7 +170,7 @@ _TOP = _W + """, k AS (SELECT greatest(1, CAST(ceil(count(*) * 0.1) AS BIGINT))
 def topk_overlap(spark, sf_dir):
     df = weights(spark, sf_dir)
     top, low = ra.overlap(df).select(r6("overlap").alias("top")), ra.overlap(df, bottom=True).select(r6("overlap").alias("bottom"))
-    return top.join(F.broadcast(low))
+    return top.withColumn("one", F.lit(1)).join(low.withColumn("one", F.lit(1)), "one").drop("one")  # one row each
 
 
 @query(f"WITH {_TOP} SELECT round(coalesce(sum(base) FILTER (rw <= k AND rb <= k), 0) / greatest(sum(base) FILTER (rb <= k), 1e-12), 6) AS recall FROM r, k")

@@ -204,10 +204,24 @@ def pair_merge(spark, sf_dir):
     return df.select("user_id", F.col("i").cast("long").alias("i"), r6(F.get("x", F.lit(0))).alias("a"), r6(F.get("x", F.lit(1))).alias("b"))
 
 
-@query(f"""WITH {PANEL} SELECT user_id, CAST((t - 1) // 17 AS BIGINT) AS "window", count(*) AS n, round(sum(value), 6) AS total FROM panel GROUP BY 1, 2""")
+@query(f"""WITH {PANEL}, n AS (SELECT user_id, CAST(ceil(count(*) / 17.0) AS BIGINT) * 17 AS size FROM panel GROUP BY user_id),
+  f AS (SELECT user_id, size, unnest(range(size)) AS i FROM n),
+  g AS (SELECT f.user_id, CASE WHEN size > 17 THEN (i - 8 + size) % size ELSE i END AS place, coalesce(value, 0) AS v FROM f LEFT JOIN panel p ON p.user_id = f.user_id AND p.t = i + 1)
+  SELECT user_id, CAST(place // 17 AS INTEGER) AS "window", 17 AS size, round(sum(v * (place % 17)), 5) AS total FROM g GROUP BY 1, 2""")
 def attention_windows(spark, sf_dir):
-    df = pt.attention_windows(panel(spark, sf_dir), ["user_id"], 17)
-    return df.groupBy("user_id", "window").agg(F.count("*").alias("n"), r6(F.sum("value")).alias("total"))
+    """Windows of 17 steps, the series padded and moved by 8."""
+    df = pt.attention_windows(panel(spark, sf_dir), ["user_id"], 17, shift=8)
+    weighted = F.aggregate(F.transform("values", lambda v, i: v * i), F.lit(0.0), lambda a, v: a + v)
+    return df.select("user_id", "window", F.size("values").alias("size"), F.round(weighted, 5).alias("total"))
+
+
+@query("""WITH r AS (SELECT user_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS t, count(*) OVER (PARTITION BY user_id) AS n FROM events)
+  SELECT user_id, CAST(n - t AS INTEGER) AS back, round((hour(ts) * 60 + minute(ts)) / 1440.0 - 0.5, 6) AS tod, round((isodow(ts) - 1) / 7.0 - 0.5, 6) AS dow FROM r WHERE t > n - 12""")
+def decoder_marks(spark, sf_dir):
+    """Time marks of the decoder, about 0: the last four input steps and the eight after them, here the last twelve of each series."""
+    rows = se.number(read(spark, sf_dir, "events").select("user_id", "event_id", "ts"), ["user_id"], "ts", "event_id")
+    rows = rows.withColumn("n", F.count("*").over(Window.partitionBy("user_id"))).where("t > n - 12")
+    return rows.select("user_id", (F.col("n") - F.col("t")).cast("int").alias("back"), r6(tm.mark(tm.time_of_day(F.col("ts")))).alias("tod"), r6(tm.mark(tm.day_of_week(F.col("ts")))).alias("dow"))
 
 
 @query("""SELECT event_id, round((hour(ts) * 60 + minute(ts)) / 1440.0, 6) AS tod, round((isodow(ts) - 1) / 7.0, 6) AS dow,

@@ -8,11 +8,23 @@ import io
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ..operators.sizes import small
 
 SERIES = "path string, n int, c int, values array<double>, error string"
+#: Folders of a manifest, by hash of the cell.
+BUCKETS = 64
+
+
+def _lists(x: np.ndarray) -> pa.Array:
+    """Rows of numbers as one Arrow array of lists, NaN as NULL."""
+    flat = np.ascontiguousarray(x, np.float64).reshape(-1)
+    ends = np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, mask=np.isnan(flat)))
 
 
 def read_npy(spark: SparkSession, root: str) -> DataFrame:
@@ -21,21 +33,26 @@ def read_npy(spark: SparkSession, root: str) -> DataFrame:
     Files that can't be read, or don't have three dimensions, give one row with an error."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.npy").load(root)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for path, content in zip(f["path"], f["content"], strict=True):
+    def batch(path: str, n: list, c: list, values: pa.Array, error: str | None) -> pa.RecordBatch:
+        k = len(values)
+        return pa.RecordBatch.from_arrays(
+            [pa.array([path] * k), pa.array(n, pa.int32()), pa.array(c, pa.int32()), values, pa.array([error] * k, pa.string())],
+            names=["path", "n", "c", "values", "error"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for path, content in zip(b.column("path").to_pylist(), b.column("content"), strict=True):
                 try:
-                    x = np.load(io.BytesIO(content), allow_pickle=False)
+                    x = np.load(io.BytesIO(content.as_buffer()), allow_pickle=False)
                     if x.ndim != 3:
                         raise ValueError(f"{x.ndim} dimensions")
                 except Exception as e:
-                    yield pd.DataFrame([(path, None, None, None, str(e))], columns=["path", "n", "c", "values", "error"])
+                    yield batch(path, [None], [None], pa.array([None], pa.list_(pa.float64())), str(e))
                     continue
                 for n in range(x.shape[0]):  # a series at a time bounds the rows in memory
-                    rows = [(path, n, c, [None if np.isnan(v) else float(v) for v in x[n, c]], None) for c in range(x.shape[1])]
-                    yield pd.DataFrame(rows, columns=["path", "n", "c", "values", "error"])
+                    yield batch(path, [n] * x.shape[1], list(range(x.shape[1])), _lists(x[n]), None)
 
-    return files.select("path", "content").mapInPandas(run, SERIES)
+    return files.select("path", "content").mapInArrow(run, SERIES)
 
 
 def read_npz(spark: SparkSession, root: str, key: str) -> DataFrame:
@@ -44,19 +61,18 @@ def read_npz(spark: SparkSession, root: str, key: str) -> DataFrame:
     index holds the place in the leading axes; a missing key is an error of the job."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.npz").load(root)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for path, content in zip(f["path"], f["content"], strict=True):
-                with np.load(io.BytesIO(content), allow_pickle=False) as z:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for path, content in zip(b.column("path").to_pylist(), b.column("content"), strict=True):
+                with np.load(io.BytesIO(content.as_buffer()), allow_pickle=False) as z:
                     if key not in z:
                         raise KeyError(f"{key} not in {path}")
                     x = np.atleast_1d(z[key])
                 flat = x.reshape(-1, x.shape[-1])
-                places = list(np.ndindex(*x.shape[:-1])) or [()]
-                yield pd.DataFrame({"path": path, "index": [list(p) for p in places],
-                                    "values": [[None if np.isnan(v) else float(v) for v in row] for row in flat]})
+                places = [list(p) for p in np.ndindex(*x.shape[:-1])] or [[]]
+                yield pa.RecordBatch.from_arrays([pa.array([path] * len(flat)), pa.array(places, pa.list_(pa.int32())), _lists(flat)], names=["path", "index", "values"])
 
-    return files.select("path", "content").mapInPandas(run, "path string, index array<int>, values array<double>")
+    return files.select("path", "content").mapInArrow(run, "path string, index array<int>, values array<double>")
 
 
 def read_metric_logs(spark: SparkSession, root: str, key: str = "mean_bin", first: int = 0, last: int = 1 << 31) -> DataFrame:
@@ -73,23 +89,62 @@ def read_floats(spark: SparkSession, path: str, width: int) -> DataFrame:
     records = spark.sparkContext.binaryRecords(path, 4 * width).zipWithIndex()
     df = records.map(lambda x: (x[1], bytearray(x[0]))).toDF("row long, content binary")
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            if len(f):
-                x = np.frombuffer(b"".join(f["content"]), "<f4").reshape(-1, width)
-                yield pd.DataFrame({"row": f["row"], "values": [[None if np.isnan(v) else float(v) for v in r] for r in x]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                x = np.frombuffer(b"".join(b.column("content").to_pylist()), "<f4").reshape(-1, width)
+                yield pa.RecordBatch.from_arrays([b.column("row"), _lists(x)], names=["row", "values"])
+
+    return df.mapInArrow(run, "row long, values array<double>")
+
+
+#: Suffixes of array files in the order in which they are tried, and the field of the side file that each asks for.
+SUFFIXES = [("_past_feat_dynamic_real", "past_feat_dynamic_real_valid_indices"), ("_feat_dynamic_real", "feat_dynamic_real_valid_indices"),
+            ("_values", "valid_indices"), ("_data", "valid_indices")]
+
+
+def validity_field(path: Column, direct: Column) -> Column:
+    """The field of a side file with an array file's ranges: valid_indices where the side file has the array's own
+    name (direct), else by the suffix in the array's name; NULL without one."""
+    field = F.lit(None).cast("string")
+    for suffix, name in reversed(SUFFIXES):
+        field = F.when(F.contains(F.substring_index(path, "/", -1), F.lit(suffix)), F.lit(name)).otherwise(field)
+    return F.when(direct, F.lit("valid_indices")).otherwise(field)
+
+
+def read_side_files(spark: SparkSession, path: str) -> DataFrame:
+    """(path, value): JSON files as whole texts."""
+    return spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(path).select(
+        F.col("_metadata.file_path").alias("path"), "value")
+
 
-    return df.mapInPandas(run, "row long, values array<double>")
+def resolve_validity(files: DataFrame, side: DataFrame) -> DataFrame:
+    """(path, n, c, start, end): valid ranges of array files (path) by their side files (path, value: JSON).
+
+    A file without side file, and a side file without the field that the array's name asks for,
+    are errors that name the file."""
+    found, lost = find_metadata(files, side)
+    if missing := lost.head(1):
+        raise ValueError(f"no side file for {missing[0].path!r}")
+    held = found.join(side.select(F.col("path").alias("meta"), "value"), "meta")
+    field = validity_field(F.col("path"), F.col("meta") == F.regexp_replace("path", r"\.npy$", ".json"))
+    held = held.select("path", F.from_json(F.element_at(F.from_json("value", "map<string,string>"), field), "array<array<array<int>>>").alias("v"))
+    if missing := held.where("v IS NULL").head(1):
+        raise ValueError(f"no valid ranges for {missing[0].path!r}")
+    return _ranges(held)
+
+
+def _ranges(held: DataFrame) -> DataFrame:
+    rows = held.select("path", F.posexplode("v").alias("n", "by_c")).select("path", "n", F.posexplode("by_c").alias("c", "r"))
+    return rows.select("path", "n", "c", F.get("r", F.lit(0)).alias("start"), F.get("r", F.lit(1)).alias("end"))
 
 
 def read_validity(spark: SparkSession, path: str) -> DataFrame:
-    """(path, n, c, start, end) from JSON files with ranges valid_indices[n][c] or one of its alternatives."""
-    keys = ["valid_indices", "past_feat_dynamic_real_valid_indices", "feat_dynamic_real_valid_indices"]
-    raw = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("path"), "value")
+    """(path, n, c, start, end) from side files alone, by the first field that they have; resolve_validity goes by the array's name."""
+    keys = ["valid_indices", *[name for _, name in SUFFIXES[:2]]]
     kind = "struct<" + ",".join(f"{k}:array<array<array<int>>>" for k in keys) + ">"
-    found = raw.select("path", F.from_json("value", kind).alias("j")).select("path", F.coalesce(*[F.col(f"j.{k}") for k in keys]).alias("v"))
-    rows = found.select("path", F.posexplode("v").alias("n", "by_c")).select("path", "n", F.posexplode("by_c").alias("c", "r"))
-    return rows.select("path", "n", "c", F.get("r", F.lit(0)).alias("start"), F.get("r", F.lit(1)).alias("end"))
+    raw = read_side_files(spark, path).select("path", F.from_json("value", kind).alias("j"))
+    return _ranges(raw.select("path", F.coalesce(*[F.col(f"j.{k}") for k in keys]).alias("v")))
 
 
 def metadata_path(path: F.Column) -> F.Column:
@@ -106,8 +161,8 @@ def read_inference(spark: SparkSession, path: str, nodes: int) -> DataFrame:
 
 
 def read_registry(spark: SparkSession, path: str) -> DataFrame:
-    """(id, path) from a JSON object of paths by number."""
-    raw = spark.read.option("wholetext", True).text(path)
+    """(id, path) from a JSON object of paths by number, or from many, one a line."""
+    raw = spark.read.option("wholetext", not path.rstrip("/").endswith("by_id")).text(path)
     return raw.select(F.explode(F.from_json("value", "map<string,string>")).alias("id", "path")).select(F.col("id").cast("int").alias("id"), "path")
 
 
@@ -116,6 +171,17 @@ def read_description(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.json(path, multiLine=True)
 
 
+def read_labelled(spark: SparkSession, root: str, mode: str, key: str = "arr_0") -> DataFrame:
+    """(row, inputs, label) of a labelled dataset's split from array files root/mode_inputs.npz and root/mode_labels.npz.
+
+    valid is the test split. Rows of inputs that have several channels are flattened, the last axis fastest."""
+    name = f"{root}/{'test' if mode == 'valid' else mode}"
+    x = read_npz(spark, f"{name}_inputs.npz", key).withColumn("row", F.get("index", F.lit(0)))
+    x = x.groupBy("row").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("index", "values"))), lambda r: r["values"])).alias("inputs"))
+    y = read_npz(spark, f"{name}_labels.npz", key).select(F.posexplode("values").alias("row", "label"))
+    return x.join(y, "row").select("row", "inputs", F.col("label").cast("int").alias("label"))
+
+
 def read_splits(spark: SparkSession, root: str, mode: str) -> DataFrame:
     """Rows of a labelled dataset's split (Parquet below root/mode); valid is the test split."""
     return spark.read.parquet(f"{root}/{'test' if mode == 'valid' else mode}")
@@ -128,16 +194,21 @@ def read_cell(spark: SparkSession, path: str, cell: int) -> DataFrame:
 
 def read_places(spark: SparkSession, path: str, cell: int, order: list[str], places: DataFrame) -> DataFrame:
     """Rows of a cell at given places (turn, at), in the order of turn; at counts from 0 by the order columns."""
-    from pyspark.sql.window import Window
-
     rows = read_cell(spark, path, cell).withColumn("at", F.row_number().over(Window.partitionBy("cell").orderBy(*order)) - 1)
-    return rows.join(F.broadcast(places), "at").orderBy("turn")
+    return rows.join(small(places), "at").orderBy("turn")
 
 
 def read_manifest(spark: SparkSession, path: str, index: str | None = None) -> DataFrame:
-    """Manifest lines, or the one of a cell."""
+    """Manifest lines, or the one of a cell, for which only one folder is read."""
     df = spark.read.json(path)
-    return df if index is None else df.where(F.col("index") == index)
+    if index is not None:
+        df = df.where((F.col("bucket") == bucket(F.lit(index))) & (F.col("index") == index))
+    return df.drop("bucket")
+
+
+def bucket(index: Column) -> Column:
+    """The folder of a cell's manifest line."""
+    return F.pmod(F.crc32(index), F.lit(BUCKETS)).cast("int")
 
 
 def load_array(content: bytes, name: str, key: str | None = None) -> np.ndarray:

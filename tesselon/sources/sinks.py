@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from .arrays import bucket
 
 
 def write_cells(df: DataFrame, path: str) -> None:
@@ -12,15 +15,18 @@ def write_cells(df: DataFrame, path: str) -> None:
 
 
 def write_corpus(df: DataFrame, path: str) -> None:
-    """Corpus rows in order of cell and pos, over as many files as there are ranges."""
-    df.repartitionByRange("cell", "pos").sortWithinPartitions("cell", "pos").write.mode("overwrite").parquet(path)
+    """Corpus rows in order of cell and pos, over as many files as there are ranges: values below path/data, and
+    where each row came from (all other columns) as JSON lines below path/meta."""
+    rows = df.repartitionByRange("cell", "pos").sortWithinPartitions("cell", "pos")
+    rows.select("cell", "pos", "values").write.mode("overwrite").parquet(f"{path}/data")
+    rows.drop("values").write.mode("overwrite").json(f"{path}/meta")
 
 
 def write_manifest(df: DataFrame, path: str) -> None:
-    """A JSON line for each cell: {"index", "results": items in order of pos}."""
+    """A JSON line for each cell: {"index", "results": items in order of pos}, in folders by hash of the cell."""
     item = F.struct("pos", F.struct(*[c for c in df.columns if c not in ("cell", "pos")]).alias("item"))
     rows = df.groupBy(F.col("cell").cast("string").alias("index")).agg(F.transform(F.sort_array(F.collect_list(item)), lambda x: x["item"]).alias("results"))
-    rows.write.mode("overwrite").json(path)
+    rows.withColumn("bucket", bucket(F.col("index"))).repartition("bucket").write.partitionBy("bucket").mode("overwrite").json(path)
 
 
 def write_report(df: DataFrame, path: str) -> None:
@@ -34,13 +40,43 @@ def write_predictions(df: DataFrame, path: str) -> None:
 
 
 def write_metrics(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").json(path)
+    """Metrics of rows (h, …) as one JSON object: overall (h = 0) and horizon_h, a row a horizon."""
+    names = [c for c in df.columns if c != "h"]
+    name = F.when(F.col("h") == 0, "overall").otherwise(F.concat(F.lit("horizon_"), F.col("h").cast("string")))
+    _one_object(df.select("h", name.alias("k"), F.struct(*names).alias("v")), F.struct("h", "k", "v"), path)
+
+
+def _one_object(df: DataFrame, row: Column, path: str) -> None:
+    """One JSON object from rows (order, k, v), as few as a report has."""
+    rows = F.sort_array(F.collect_list(row))
+    whole = F.map_from_entries(F.transform(rows, lambda x: F.struct(x["k"], x["v"])))
+    df.agg(F.to_json(whole).alias("value")).coalesce(1).write.mode("overwrite").text(path)
 
 
 def write_registry(df: DataFrame, path: str) -> None:
-    """One JSON object {id: path}; a registry has a row a file."""
-    whole = F.to_json(F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.col("id").cast("string"), "path")))))
-    df.agg(whole.alias("value")).coalesce(1).write.mode("overwrite").text(path)
+    """Registry rows (id, path) both ways: JSON lines {"id": path} below path/by_id, {"path": id} below path/by_path.
+
+    Each line is an object; together they are the registry, and no task holds all of it."""
+    rows = df.select(F.col("id").cast("string").alias("id"), "path")
+    rows.select(F.to_json(F.create_map("id", "path")).alias("value")).write.mode("overwrite").text(f"{path}/by_id")
+    rows.select(F.to_json(F.create_map("path", F.col("id").cast("long"))).alias("value")).write.mode("overwrite").text(f"{path}/by_path")
+
+
+def write_rates(rates: DataFrame, weights: DataFrame, report: DataFrame, path: str) -> None:
+    """Outputs of the weight step: rates and weights as Parquet, the report (one row) as a JSON object."""
+    write_table(rates, f"{path}/rates")
+    write_table(weights, f"{path}/weights")
+    report.select(F.to_json(F.struct("*")).alias("value")).coalesce(1).write.mode("overwrite").text(f"{path}/report")
+
+
+def write_results(df: DataFrame, path: str) -> None:
+    """Results of a test (batch, place in the batch, …) with their place in the whole: offset, behind all batches before.
+
+    A row a batch meets in one place, no more."""
+    sizes = df.groupBy("batch").agg(F.count("*").alias("n"))
+    before = sizes.select("batch", (F.sum("n").over(Window.orderBy("batch")) - F.col("n")).alias("before"))
+    rows = df.join(before, "batch").withColumn("offset", F.col("before") + F.col("place")).drop("before")
+    rows.repartitionByRange("offset").sortWithinPartitions("offset").write.mode("overwrite").parquet(path)
 
 
 def write_validation(summary: DataFrame, bad: DataFrame, path: str) -> None:

@@ -215,3 +215,44 @@ def test_losses():
     assert kernels.diversity(np.eye(4) * 50) < kernels.diversity(np.tile([50.0, 0, 0, 0], (4, 1)))
     a = np.random.default_rng(0).normal(size=(5, 3))
     assert np.allclose(np.diag(kernels.distances(a, a)), 0, atol=1e-6) and kernels.commitment(a, a) == 0
+
+
+def test_learning_a_codebook(spark):
+    """The rounds of a plain loop over numpy arrays."""
+    from tesselon.operators import codes
+
+    rng = np.random.default_rng(4)
+    x, book = rng.normal(size=(60, 5)), rng.normal(size=(4, 5))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "k long, e array<double>")
+    found = codes.kmeans(df, spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(book)], "code long, e array<double>"), "k", rounds=3)
+    for _ in range(3):
+        best = (kernels.unit(x) @ kernels.unit(book).T).argmax(1)
+        book = kernels.unit(np.stack([x[best == c].mean(0) if (best == c).any() else book[c] for c in range(4)]))
+    assert np.allclose([r.e for r in found.orderBy("code").collect()], book)
+    w, b = rng.normal(size=(3, 5)), rng.normal(size=3)
+    got = {r.k: r.e for r in codes.project(df, "k", w, b).collect()}
+    assert np.allclose([got[i] for i in range(60)], kernels.unit(x @ w.T + b))
+
+
+def test_moving_moments_and_draws():
+    rng = np.random.default_rng(6)
+    batch = rng.normal(size=(9, 3))
+    mean, var = kernels.affine_state(np.zeros(3), np.ones(3), batch, 0.9)
+    assert np.allclose(mean, 0.1 * batch.mean(0)) and np.allclose(var, 0.9 + 0.1 * ((batch - batch.mean(0)) ** 2).mean(0))
+    stage, cell = kernels.group_sample(3, 5, 400, 7, 1)
+    assert stage.shape == (400,) and cell.shape == (400, 7) and set(stage) == {0, 1, 2} and set(cell.ravel()) == set(range(5))
+    series = np.vstack([np.arange(4.0), [np.nan, 1, 2, 3], [np.nan] * 4])
+    out = kernels.mixup(series[:2], rng)
+    assert out.shape == (4,) and np.isfinite(out[1:]).all()
+
+
+def test_paths_by_rule(spark):
+    import pytest
+
+    from tesselon.functions import paths
+
+    df = spark.createDataFrame([("/a/data/x/y_codebook.npz",), ("lonely",)], "p string")
+    assert [r[0] for r in df.select(paths.parent_key(F.col("p"))).collect()] == ["x", "lonely"]
+    assert df.where("p <> 'lonely'").select(paths.array_path(F.col("p"), "/new/", "/data/")).first()[0] == "/new/x/y.npy"
+    with pytest.raises(Exception, match="lonely"):
+        df.select(paths.array_path(F.col("p"), "/new", "/data/")).collect()

@@ -43,14 +43,14 @@ def test_side_files(spark, tmp_path):
 
 
 def test_sinks(spark, tmp_path):
-    df = spark.createDataFrame([(c, p, 10 * c + p) for c in range(3) for p in range(2)], "cell int, pos int, item int")
+    df = spark.createDataFrame([(c, p, 10 * c + p, [1.0]) for c in range(3) for p in range(2)], "cell int, pos int, item int, values array<double>")
     sinks.write_cells(df, f"{tmp_path}/cells")
     assert spark.read.parquet(f"{tmp_path}/cells").where("cell = 1").count() == 2
     sinks.write_manifest(df, f"{tmp_path}/manifest")
     assert {r["index"]: [x["item"] for x in r.results] for r in spark.read.json(f"{tmp_path}/manifest").collect()} == {str(c): [10 * c, 10 * c + 1] for c in range(3)}
     sinks.write_corpus(df, f"{tmp_path}/corpus")
-    sinks.write_report(df, f"{tmp_path}/report")
-    assert spark.read.parquet(f"{tmp_path}/corpus").count() == spark.read.csv(f"{tmp_path}/report", sep="\t", header=True).count() == 6
+    sinks.write_report(df.drop("values"), f"{tmp_path}/report")
+    assert spark.read.parquet(f"{tmp_path}/corpus/data").count() == spark.read.json(f"{tmp_path}/corpus/meta").count() == spark.read.csv(f"{tmp_path}/report", sep="\t", header=True).count() == 6
 
 
 def test_counts_over_arriving_files(spark, tmp_path):
@@ -72,7 +72,7 @@ def test_index_and_manifest(spark, tmp_path):
     sinks.write_manifest(df, f"{tmp_path}/manifest")
     assert arrays.read_manifest(spark, f"{tmp_path}/manifest", "2").count() == 1
     sinks.write_registry(spark.createDataFrame([(0, "a"), (1, "b")], "id int, path string"), f"{tmp_path}/registry")
-    assert arrays.read_registry(spark, f"{tmp_path}/registry").count() == 2
+    assert arrays.read_registry(spark, f"{tmp_path}/registry/by_id").count() == 2
 
 
 def test_walk_and_metadata(spark):
@@ -95,3 +95,57 @@ def test_codebook_and_types(spark, tmp_path):
     with pytest.raises(ValueError):
         arrays.read_codebook(spark, f"{tmp_path}/book", 4, 2)
     assert arrays.load_array(b"1,2\n3,4", "x.txt").shape == (2, 2)
+
+
+def test_ranges_go_by_the_name(spark, tmp_path):
+    """The side file of the array's own name has its ranges; else the suffix tells the field; else it is an error."""
+    import pytest
+
+    ranges = {"valid_indices": [[[0, 1]]], "past_feat_dynamic_real_valid_indices": [[[0, 2]]], "feat_dynamic_real_valid_indices": [[[0, 3]]]}
+    side = spark.createDataFrame([("d/a.json", json.dumps(ranges)), ("d/b.json", json.dumps({"valid_indices": [[[5, 9]]]}))], "path string, value string")
+    files = lambda *names: spark.createDataFrame([(n,) for n in names], "path string")
+    found = arrays.resolve_validity(files("d/a.npy", "d/a_past_feat_dynamic_real.npy", "d/a_feat_dynamic_real.npy", "d/a_values.npy", "d/b_data.npy"), side)
+    assert {r.path: (r.start, r.end) for r in found.collect()} == {
+        "d/a.npy": (0, 1), "d/a_past_feat_dynamic_real.npy": (0, 2), "d/a_feat_dynamic_real.npy": (0, 3), "d/a_values.npy": (0, 1), "d/b_data.npy": (5, 9)}
+    with pytest.raises(ValueError, match="no side file"):
+        arrays.resolve_validity(files("d/c.npy"), side)
+    with pytest.raises(ValueError, match="no valid ranges"):
+        arrays.resolve_validity(files("d/b_feat_dynamic_real.npy"), side)
+
+
+def test_labelled_arrays(spark, tmp_path):
+    x = np.arange(24.0).reshape(3, 2, 4)
+    np.savez(tmp_path / "test_inputs.npz", x)
+    np.savez(tmp_path / "test_labels.npz", np.array([2, 0, 1]))
+    rows = {r.row: (r.inputs, r.label) for r in arrays.read_labelled(spark, str(tmp_path), "valid").collect()}
+    assert rows == {i: (x[i].reshape(-1).tolist(), [2, 0, 1][i]) for i in range(3)}
+
+
+def test_settings_and_metrics_by_name(spark):
+    import pytest
+
+    from pyspark.sql import functions as F
+    from tesselon.functions import metrics as m
+    from tesselon.functions import settings as st
+
+    assert st.dataset_name({"DATASET": {"NAME": "a"}}) == "a" and st.dataset_name({}) == "Unknown Dataset" and st.dataset_name({"DATASET": {"x": 1}}) == "Unknown Dataset"
+    part = lambda n: {"DATA": {"DATASET": {"NAME": n}}}
+    assert st.dataset_name({"TRAIN": part("b"), "VAL": part("b"), "TEST": part("c")}) == "b_c"
+    assert st.save_every(6, 3) == 2 and st.save_every([3, 9], 3) == [1, 3] and st.save_every(None, 3) is None
+    with pytest.raises(ValueError):
+        st.save_every(7, 3)
+    m.register("Worst", lambda null_val=None: F.max(F.abs(F.col("prediction") - F.col("target"))))
+    df = spark.createDataFrame([(1.0, 4.0), (2.0, None), (5.0, 5.0)], "prediction double, target double")
+    assert df.agg(m.resolve("worst", null_val=None, loss=3)).first()[0] == 3.0
+    assert df.agg(m.weight(), m.weight(4.0)).first() == (3, 2)
+    with pytest.raises(ValueError, match="no metric"):
+        m.resolve("nothing")
+    del m.METRICS["worst"]
+
+
+def test_windows_wrap_around(spark):
+    from tesselon.operators import patches
+
+    df = spark.createDataFrame([(1, t, float(t)) for t in range(1, 7)] + [(2, 1, 9.0)], "k int, t int, value double")
+    rows = {(r.k, r.window): r["values"] for r in patches.attention_windows(df, ["k"], 4, shift=2).collect()}
+    assert rows == {(1, 0): [3, 4, 5, 6], (1, 1): [0, 0, 1, 2], (2, 0): [9, 0, 0, 0]}
