@@ -58,8 +58,8 @@ def _drop_all() -> None:
     for spark, path in _scratch_paths:
         try:
             drop_scratch(spark, path)
-        except Exception:  # the session may have ended already
-            return
+        except Exception:  # a session may have ended already; others may not
+            continue
 
 
 atexit.register(_drop_all)
@@ -94,6 +94,21 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def scratch_mark() -> int:
+    """Where the list of scratch tables ends just now; see drop_since."""
+    return len(_scratch_paths)
+
+
+def drop_since(mark: int, keep: DataFrame) -> None:
+    """Drops the scratch tables written since mark, but for those that keep reads. What was made from them must be written by now."""
+    read = set(keep.inputFiles())
+    for spark, path in _scratch_paths[mark:]:
+        if not any(path.split("://")[-1] in f for f in read):
+            drop_scratch(spark, path)
+    kept = [x for x in _scratch_paths[mark:] if any(x[1].split("://")[-1] in f for f in read)]
+    _scratch_paths[mark:] = kept
+
+
 def spark_gc(spark: SparkSession) -> None:
     """Lets Spark's cleaner find shuffle files that no plan needs any more; else they stay until the driver's next full collection."""
     gc.collect()
