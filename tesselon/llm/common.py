@@ -99,14 +99,11 @@ def scratch_mark() -> int:
     return len(_scratch_paths)
 
 
-def drop_since(mark: int, keep: DataFrame) -> None:
-    """Drops the scratch tables written since mark, but for those that keep reads. What was made from them must be written by now."""
-    read = set(keep.inputFiles())
-    for spark, path in _scratch_paths[mark:]:
-        if not any(path.split("://")[-1] in f for f in read):
-            drop_scratch(spark, path)
-    kept = [x for x in _scratch_paths[mark:] if any(x[1].split("://")[-1] in f for f in read)]
-    _scratch_paths[mark:] = kept
+def drop_since(mark: int) -> None:
+    """Drops the scratch tables written since mark but for the newest, which must not need them any more."""
+    for spark, path in _scratch_paths[mark:-1]:
+        drop_scratch(spark, path)
+    del _scratch_paths[mark:-1]
 
 
 def spark_gc(spark: SparkSession) -> None:

@@ -254,6 +254,22 @@ def test_recall_under_substitutions(spark, share):
     assert len(found & set(range(100))) >= (95 if share == 0.3 else 100) and not found & set(range(100, 150))
 
 
+def test_recall_under_insertions(spark):
+    """Words put between others: what is left whole between two of them still counts."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    items = [[word() for _ in range(40)] for _ in range(10)]
+    docs = []
+    for i in range(60):
+        said = list(items[i % 10])
+        for _ in range(3):  # four parts of 40 words: one has ten or more
+            said.insert(rng.randrange(len(said)), word())
+        docs.append([word() for _ in range(10)] + said)
+    frame = lambda rows, k: spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], f"{k} long, text string")
+    found = {(r.doc_id, r.item_id) for r in decontaminate.overlaps(frame(docs, "doc_id"), frame(items, "item_id")).collect()}
+    assert found == {(i, i % 10) for i in range(60)}
+
+
 # sharding ------------------------------------------------------------------------------------
 
 
