@@ -55,5 +55,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name, stage in STAGES:
         mark = scratch_mark()
         docs = scratch.write(stage(spark, docs, sf_dir), name)
-        drop_since(mark, docs)  # what the stage itself had written
+        drop_since(mark)  # what the stage itself had written
     return docs

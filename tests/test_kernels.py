@@ -156,6 +156,27 @@ def test_policy_gradient():
             assert abs((loss(up) - loss(down)) / 2e-6 - found[k][i]) < 1e-4
 
 
+def test_weights_by_squares():
+    rng = np.random.default_rng(9)
+    net = {"e": rng.normal(size=(5, 3)), "w1": rng.normal(size=(3, 4)), "b1": rng.normal(size=4), "w2": rng.normal(size=(4, 1)), "b2": rng.normal(size=1)}
+    at, rate, target = rng.integers(5, size=(2, 3, 4)), rng.random((2, 3, 4)) + 0.5, np.array([1.0, 2.0])[:, None, None]
+
+    def loss(p):
+        w = np.logaddexp(0, np.maximum(p["e"][at] @ p["w1"] + p["b1"], 0) @ p["w2"] + p["b2"])[..., 0] + 1e-6
+        return ((w * rate - target) ** 2).mean()
+
+    found = kernels.square_gradient(net, rate, at, target, 1e-6)
+    for k, x in net.items():
+        for i in np.ndindex(*x.shape):
+            up, down = ({**net, k: x.copy()} for _ in range(2))
+            up[k][i] += 1e-6
+            down[k][i] -= 1e-6
+            assert abs((loss(up) - loss(down)) / 2e-6 - found[k][i]) < 1e-5
+    rates = np.tile(np.array([[0.5, 1.0, 2.0, 4.0]]), (3, 1))
+    w = kernels.learn_weights(rates, epochs=60, steps=20, groups=8, sample=4, lr=2e-2, target=rates.mean(1))
+    assert np.allclose(w * rates[0], rates.mean(), rtol=0.3)
+
+
 def test_multinomial_and_range_inverse(spark):
     from tesselon.operators import series
 
