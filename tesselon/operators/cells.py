@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.arrays import bin_index, mixed_radix
-from .sizes import small
+from .sizes import gather, small
 
 
 def quantile_edges(df: DataFrame, columns: list[str], bins: list[int], accuracy: int | None = None) -> list[list[float]]:
@@ -55,12 +55,15 @@ def assign(df: DataFrame, table: DataFrame) -> DataFrame:
 
 
 def fit(df: DataFrame, columns: list[str], bins: list[int], cells: int, accuracy: int | None = None) -> tuple[list[list[float]], DataFrame]:
-    """Edges and merge table from df: a codebook, or all vectors, for which accuracy bounds the memory of the edges."""
+    """Edges and merge table from df: a codebook, or all vectors, for which accuracy bounds the memory of the edges.
+
+    The table, a row for each raw id of the bins' space, is fixed here, so that what it was made from isn't read again."""
     edges = quantile_edges(df, columns, bins, accuracy)
     size = 1
     for b in bins:
         size *= b
-    return edges, merge_table(histogram(raw_ids(df, columns, edges), "raw", size), cells)
+    table = gather(merge_table(histogram(raw_ids(df, columns, edges), "raw", size), cells), size, "the merge table")
+    return edges, df.sparkSession.createDataFrame([tuple(r) for r in table], "raw long, cell int")
 
 
 def distribution(df: DataFrame, cells: int) -> DataFrame:
