@@ -83,10 +83,14 @@ def deviation(values: Column | str, floor: float) -> Column:
 
 def bin_index(z: Column | str, edges: list[float] | Column) -> Column:
     """Right-sided place among the edges, less one, clamped to the bins."""
-    e = F.array(*[F.lit(float(x)) for x in edges]) if isinstance(edges, list) else edges
     z = _c(z)
-    below = F.size(F.filter(e, lambda b: b <= z)) - 1
-    return F.greatest(F.lit(0), F.least(F.size(e) - 2, below))
+    if isinstance(edges, list):  # plain comparisons, which Spark compiles
+        below = F.lit(-1)
+        for e in edges:
+            below = below + F.when(z >= float(e), 1).otherwise(0)
+        return F.greatest(F.lit(0), F.least(F.lit(len(edges) - 2), below))
+    below = F.size(F.filter(edges, lambda b: b <= z)) - 1
+    return F.greatest(F.lit(0), F.least(F.size(edges) - 2, below))
 
 
 def mixed_radix(digits: list[Column], bins: list[int]) -> Column:
