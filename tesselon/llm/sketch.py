@@ -51,20 +51,30 @@ def distinct(a: np.ndarray, k: int = K) -> float:
     return float(len(a)) if len(a) < k else (k - 1) * _TOP / (float(a[k - 1]) + 1)
 
 
+def likeness(a: np.ndarray, b: np.ndarray, k: int = K) -> tuple[float, float]:
+    """Resemblance and containment of a in b, from one merge of the two sorted sketches."""
+    if not len(a):
+        return (0.0 if len(b) else 1.0), 1.0
+    both = np.concatenate([a, b])
+    both.sort(kind="stable")
+    new = np.ones(len(both), bool)
+    np.not_equal(both[1:], both[:-1], out=new[1:])
+    first = np.flatnonzero(new)
+    end = int(first[k]) if len(first) > k else len(both)  # the k least hashes of either end here
+    n = min(k, len(first))
+    share = (end - n) / n
+    whole = float(n) if n < k else (k - 1) * _TOP / (float(both[first[k - 1]]) + 1)
+    return share, min(1.0, share * whole / distinct(a, k))
+
+
 def resemblance(a: np.ndarray, b: np.ndarray, k: int = K) -> float:
     """Share of common shingles among those of either; 1 for two empty sketches."""
-    both = merge(a, b, k)
-    if not len(both):
-        return 1.0
-    common = np.intersect1d(a, b, assume_unique=True)
-    return float(np.isin(both, common, assume_unique=True).sum()) / len(both)
+    return likeness(a, b, k)[0]
 
 
 def containment(a: np.ndarray, b: np.ndarray, k: int = K) -> float:
-    """Share of a's shingles that b has too."""
-    if not len(a):
-        return 1.0
-    return min(1.0, resemblance(a, b, k) * distinct(merge(a, b, k), k) / distinct(a, k))
+    """Share of a's shingles that b has too; 1 for an empty sketch."""
+    return likeness(a, b, k)[1]
 
 
 def _fingerprints(k: int, size: int):
@@ -158,11 +168,10 @@ def _edited(k: int, size: int):
                 cut = len(text) // 3
                 news.append(text[: len(text) - cut] + after[:cut])
             found = [sketch(w, k, size) for w in words_by_row(pa.array(news, pa.string()))]
-            out = [
-                (a[1], len(a[2]), hashlib.sha256(new.encode()).hexdigest(), encode(a[3]), encode(f), resemblance(a[3], f, k), resemblance(a[3], b[3], k),
-                 distinct(a[3], k), containment(a[3], f, k), containment(a[3], b[3], k))
-                for (a, b), new, f in zip(pairs, news, found, strict=True)
-            ]
+            out = []
+            for (a, b), new, f in zip(pairs, news, found, strict=True):
+                edited, after = likeness(a[3], f, k), likeness(a[3], b[3], k)
+                out.append((a[1], len(a[2]), hashlib.sha256(new.encode()).hexdigest(), encode(a[3]), encode(f), edited[0], after[0], distinct(a[3], k), edited[1], after[1]))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=fields)
 
     return run
