@@ -13,6 +13,8 @@ from __future__ import annotations
 
 import math
 from collections import defaultdict
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,8 +40,9 @@ LOOSE = {
     "secret": r"(?<![A-Za-z0-9_-])(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[opsu]_[A-Za-z0-9]{36}|(?:sk|pk)[_-][A-Za-z0-9_-]{16,}+)(?![A-Za-z0-9_-])"
               r"|(?<=(?:(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)[\"']?\x20?[:=]\x20?[\"']?))[A-Za-z0-9+/_.~-]{6,}+",
 }
-#: A text without any of these has no secret.
-_MAY_SECRET = r"(?i)password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|AKIA|ASIA|gh[opsu]_|[sp]k[_-]"
+#: A text in small letters without any of these has no secret.
+MAY_SECRET = ["password", "passwd", "pwd", "secret", "token", "apikey", "api_key", "api-key", "accesskey", "access_key", "access-key", "akia", "asia",
+              "gho_", "ghp_", "ghs_", "ghu_", "sk-", "sk_", "pk-", "pk_"]
 _OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 #: Words that announce a kind, and the gazetteers (top-level domains, calling codes, issuers' first digits).
 CONTEXT = {
@@ -121,25 +124,25 @@ def _vote(yes: Column, no: Column | bool = False) -> Column:
 def _candidate(kind: str, x: Column, base: bool) -> Column:
     check = _vote(_passes(kind, x["s"]), True) if base or kind not in KINDS else F.lit(0)
     known = x["s"].rlike(GAZETTEER[kind])
-    # a candidate inside a longer word or number is doubtful
+    # a candidate inside a longer word or number is doubtful; one that isn't may be anything, and so may a number with a likely first digit
     inside = x["post"].rlike("[A-Za-z0-9]") | F.right(x["pre"], F.lit(1)).rlike("[A-Za-z0-9]")
     return F.struct(F.lit(ALL.index(kind)).alias("kind"), x["start"].alias("start"), x["end"].alias("end"),
                     F.lit(base).alias("strict"), check.alias("v0"), _vote(x["pre"].rlike(CONTEXT[kind]), x["pre"].rlike(ELSE)).alias("v1"),
-                    _vote(known, ~known).alias("v2"), _vote(~inside, inside).alias("v3"),
+                    _vote(known if kind != "phone" else F.lit(False), ~known).alias("v2"), _vote(F.lit(False), inside).alias("v3"),
                     F.least(F.floor((x["end"] - x["start"]) / 6), F.lit(7)).cast("int").alias("size"))
 
 
 def candidates(docs: DataFrame) -> DataFrame:
     """(doc_id, spans): all candidate spans of whole texts with their votes."""
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = rows.withColumn("digit_", F.col("text").rlike("[0-9]"))
+    rows = rows.withColumn("digit_", F.col("text").rlike("[0-9]")).withColumn("low_", F.lower("text"))
     may = {"email": F.contains("text", F.lit("@")), "phone": F.contains("text", F.lit("+"))}
     for kind in KINDS:
         rows = _with_spans(rows, kind, BASE[kind], may.get(kind, F.col("digit_")))
     written = F.contains("text", F.lit("(dot)")) | F.contains("text", F.lit("[dot]"))
     rows = _with_spans(rows, "loose_email", LOOSE["email"], written)
     rows = _with_spans(rows, "loose_phone", LOOSE["phone"], F.col("digit_"))
-    rows = _with_spans(rows, "loose_secret", LOOSE["secret"], F.col("text").rlike(_MAY_SECRET))
+    rows = _with_spans(rows, "loose_secret", LOOSE["secret"], reduce(or_, [F.contains(F.col("low_"), F.lit(w)) for w in MAY_SECRET]))
     votes = lambda kind, base: lambda x: _candidate(kind, x, base)
     parts = [F.transform(kind, votes(kind, True)) for kind in KINDS]
     parts += [F.transform(f"loose_{kind}", votes(kind, False)) for kind in LOOSE]
