@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.scratch import kept
 from .sizes import gather
 
 #: Cells that a table of weights may have.
@@ -21,17 +22,22 @@ def draw(seed: int | Column, *keys: str) -> Column:
     return F.md5(F.concat_ws(":", (F.lit(seed) if isinstance(seed, int) else seed).cast("string"), *[F.col(k).cast("string") for k in keys]))
 
 
-def registry(paths: DataFrame, order: list[Column]) -> DataFrame:
-    """Adds id: dense numbers from 0 in the given order.
-
-    Paths are sorted in ranges, each in a task of its own, and a range's numbers begin after those
-    of the ranges before it; only their sizes meet in one place. The order should have no ties."""
-    part, ranges = "part_", max(1, paths.sparkSession.sparkContext.defaultParallelism)
-    sorted_ = paths.repartitionByRange(ranges, *order).withColumn(part, F.spark_partition_id())
-    sizes = sorted_.groupBy(part).agg(F.count("*").alias("n_"))
-    before = sizes.select(part, (F.sum("n_").over(Window.orderBy(part)) - F.col("n_")).alias("before_"))
-    rank = F.row_number().over(Window.partitionBy(part).orderBy(*order))
-    return sorted_.withColumn("rank_", rank).join(F.broadcast(before), part).withColumn("id", F.col("before_") + F.col("rank_") - 1).drop(part, "rank_", "before_")
+def registry(paths: DataFrame, order: list[Column], ranges: int | None = None) -> DataFrame:
+    """Adds id: dense numbers from 0 in the given order, without ties; a table without rows stays empty.
+
+    The rows are sorted in ranges, each in a task of its own, and written with their place in the
+    range. Numbers come from that one written table: a range's begin after those of the ranges
+    before it, so only the ranges' sizes meet in one place, and nothing is sorted twice."""
+    spark = paths.sparkSession
+    if ranges is None:
+        ranges = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    place, part = "place_", F.shiftright("place_", 33).alias("part_")
+    in_order = paths.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
+    held = kept(in_order.withColumn(place, F.monotonically_increasing_id()), "registry")  # the range's number, then the row's in 33 bits
+    sizes = held.groupBy(part).agg(F.count("*").alias("n_"))
+    before = sizes.select("part_", (F.sum("n_").over(Window.orderBy("part_")) - F.col("n_")).alias("before_"))
+    rows = held.withColumn("part_", part).join(F.broadcast(before), "part_")  # a row for each range
+    return rows.withColumn("id", F.col("before_") + F.col(place).bitwiseAND(F.lit((1 << 33) - 1))).drop("part_", "before_", place)
 
 
 def missing(sources: DataFrame, outputs: DataFrame, key: str) -> DataFrame:

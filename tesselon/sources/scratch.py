@@ -1,17 +1,55 @@
-"""Folders for tables that a query writes and reads again."""
+"""Folders for tables that are written and read again within a session."""
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+_local: dict[str, str] = {}
+_made: list[tuple[SparkSession, str]] = []
+
+
+def shared_root(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir; a local one only where the master is local, else an error."""
+    if root := spark.conf.get("spark.checkpoint.dir", None):
+        return root.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _local:
+        _local[app] = "file://" + tempfile.mkdtemp(prefix="tesselon-")
+    return _local[app]
 
 
 def folder(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share; a local one only where the master is local."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root and spark.sparkContext.master.split("[")[0] == "local":
-        root = "file://" + tempfile.mkdtemp(prefix="tesselon-")
-    root = root or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder; it goes when the session's process ends."""
+    path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.append((spark, path))
+    return path
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """df, written to a new folder and read from there: its rows are fixed, whatever reads them again."""
+    path = folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def _drop_all() -> None:
+    for spark, path in _made:
+        try:
+            drop(spark, path)
+        except Exception:  # the session may have ended
+            continue
+
+
+atexit.register(_drop_all)

@@ -54,12 +54,14 @@ def _one_object(df: DataFrame, row: Column, path: str) -> None:
 
 
 def write_registry(df: DataFrame, path: str) -> None:
-    """Registry rows (id, path) both ways: JSON lines {"id": path} below path/by_id, {"path": id} below path/by_path.
+    """Registry rows (id, path), once as a table below path/rows, and from that both ways: JSON lines {"id": path} below
+    path/by_id, {"path": id} below path/by_path.
 
     Each line is an object; together they are the registry, and no task holds all of it."""
-    rows = df.select(F.col("id").cast("string").alias("id"), "path")
-    rows.select(F.to_json(F.create_map("id", "path")).alias("value")).write.mode("overwrite").text(f"{path}/by_id")
-    rows.select(F.to_json(F.create_map("path", F.col("id").cast("long"))).alias("value")).write.mode("overwrite").text(f"{path}/by_path")
+    df.select(F.col("id").cast("long").alias("id"), "path").write.mode("overwrite").parquet(f"{path}/rows")
+    rows = df.sparkSession.read.schema("id long, path string").parquet(f"{path}/rows")
+    rows.select(F.to_json(F.create_map(F.col("id").cast("string"), "path")).alias("value")).write.mode("overwrite").text(f"{path}/by_id")
+    rows.select(F.to_json(F.create_map("path", "id")).alias("value")).write.mode("overwrite").text(f"{path}/by_path")
 
 
 def write_rates(rates: DataFrame, weights: DataFrame, report: DataFrame, path: str) -> None:
