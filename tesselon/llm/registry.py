@@ -1,6 +1,6 @@
 """Queries of this subpackage and their SQL."""
 
-from . import chat, decontaminate, jaccard, language, licenses, lines, packing, pii, runs, sharding, sketch
+from . import align, chat, decontaminate, jaccard, language, licenses, lines, packing, pii, runs, sharding, sketch
 
 
 def queries() -> dict:
@@ -15,6 +15,7 @@ def queries() -> dict:
         "op8_sharding": sharding.op8_sharding,
         "op9_chat": chat.op9_chat,
         "op10_licenses": licenses.op10_licenses,
+        "op11_align": align.op11_align,
         "op12_runs": runs.op12_runs,
     }
 
