@@ -365,7 +365,7 @@ def _linked(texts: DataFrame, classes: DataFrame, scratch: Scratch, words: int,
     return scratch.write(links, "links")
 
 
-def _classify(docs: DataFrame, words: int, percent: int, scratch: Scratch) -> tuple[DataFrame, DataFrame, bool]:
+def _classify(docs: DataFrame, words: int, percent: int, scratch: Scratch, find=_linked) -> tuple[DataFrame, DataFrame, bool]:
     """Rows of docs with their sets, the classes of equal sets with the label of their links' component, and whether ids repeat."""
     bound_batches(docs.sparkSession)
     text = F.col("text").cast("string")
@@ -383,7 +383,7 @@ def _classify(docs: DataFrame, words: int, percent: int, scratch: Scratch) -> tu
     copies = known.join(first, "key").where(F.struct("doc_id", "text_key") != F.col("first")).select("doc_id", "text_key")
     copies = small(scratch.write(copies, "copies"), 500_000)
     texts = source.where("doc_id is not null").join(copies, ["doc_id", "text_key"], "left_anti")
-    links = _linked(texts, classes, scratch, words, percent)
+    links = find(texts, classes, scratch, words, percent)
     label = connected_components(links.where("v is not null").select("u", "v"), scratch, "class").withColumnRenamed("vertex", "key")
     degree = links.where("v is null").groupBy(F.col("u").alias("key")).agg(F.sum("links").alias("links"))
     classes = classes.join(label, "key", "left").join(degree, "key", "left").withColumn("label", F.coalesce("label", "key"))
@@ -401,18 +401,18 @@ def _one_vertex_an_id(rows: DataFrame, classes: DataFrame, scratch: Scratch) ->
     return classes.join(moved, "label", "left").withColumn("label", F.coalesce("to", "label")).drop("to")
 
 
-def similar_classes(docs: DataFrame, *, words: int = 5, percent: int = 80) -> DataFrame:
+def similar_classes(docs: DataFrame, *, words: int = 5, percent: int = 80, find=_linked) -> DataFrame:
     """Classes of documents whose sets of word shingles have Jaccard similarity percent/100 or more.
 
     docs: doc_id long, text string; other columns are ignored. Returns one row per row of docs:
     doc_id, n_shingles (size of the set), component_id (least doc_id that links lead to, itself
-    included), n_links (documents linked to the row's text directly, copies included). Equal sets
-    are one class and are compared once. Null, empty or wordless text: an empty set, linked with
+    included), n_links (documents linked to the row's text directly, copies included, as far as find
+    counts them; find: how links between classes are found). Equal sets are one class and are compared once. Null, empty or wordless text: an empty set, linked with
     nothing. Very long texts are taken whole. Rows that repeat a doc_id are one vertex: their
     texts' links count as the document's own, and equal rows count once. A null doc_id has a null
     component_id, no links and part in no component. An empty table gives no rows."""
     scratch = Scratch(docs.sparkSession, "jaccard")
-    rows, classes, repeats = _classify(docs, words, percent, scratch)
+    rows, classes, repeats = _classify(docs, words, percent, scratch, find)
     if repeats:
         classes = scratch.write(_one_vertex_an_id(rows, classes, scratch), "joined")
     least = classes.groupBy("label").agg(F.min("doc_id").alias("component"))

@@ -1,6 +1,6 @@
 """Queries of this subpackage and their SQL."""
 
-from . import align, chat, decontaminate, jaccard, language, licenses, lines, packing, pii, runs, sharding, sketch
+from . import align, chat, decontaminate, jaccard, language, licenses, lines, minhash, packing, pii, runs, sharding, sketch
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op10_licenses": licenses.op10_licenses,
         "op11_align": align.op11_align,
         "op12_runs": runs.op12_runs,
+        "op13_minhash": minhash.op13_minhash,
     }
 
 
@@ -24,4 +25,5 @@ def oracle_sql() -> dict:
     return {
         "op4_jaccard": jaccard.OP4_SQL,
         "op9_chat": chat.OP9_SQL,
+        "op13_minhash": minhash.OP13_SQL,
     }
