@@ -1,11 +1,12 @@
 """Sinks and sources: each query writes a table and gives what reading it back gives."""
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..operators import rates as ra
 from ..operators import sampling as sa
-from ..sources import arrays, sinks
-from ..sources.scratch import folder
+from ..sources import arrays, offsets, ranged, sinks
+from ..sources.scratch import folder, kept
 from .base import PANEL, PRED, panel, pred, query, r6, read
 from .cellular import _CELL, assigned, book
 from .forecast import _ERRORS, _SQL, _errors
@@ -52,16 +53,89 @@ def manifest_line(spark, sf_dir):
     return arrays.read_manifest(spark, path, "click").select(F.explode("results.event_id").alias("event_id"))
 
 
-@query(f"""WITH {_PARTS.format(k=2)} SELECT cell, CAST(row AS INTEGER) AS pos, CAST(item AS INTEGER) AS item, user_id AS file_id, CAST(start AS INTEGER) AS start,
-  CAST(finish AS INTEGER) AS "end", CAST(crop_start AS INTEGER) AS crop_start, CAST(crop_len AS INTEGER) AS crop_len, 32 AS size FROM c""")
+_ITEM = """SELECT cell, CAST(row AS INTEGER) AS pos, CAST(item AS INTEGER) AS item, user_id AS file_id, CAST(start AS INTEGER) AS start, CAST(finish AS INTEGER) AS "end",
+  CAST(crop_start AS INTEGER) AS crop_start, CAST(crop_len AS INTEGER) AS crop_len FROM c"""
+_GROUPS = """s AS (SELECT cell, row, unnest(range(32)) AS p FROM (SELECT DISTINCT cell, row FROM u)),
+  f AS (SELECT s.cell, s.row, p, CASE WHEN x.i IS NULL THEN 0 ELSE x.v END AS v FROM s LEFT JOIN u x ON x.cell = s.cell AND x.row = s.row AND x.item = p % 2 AND x.i = p // 2),
+  q AS (SELECT cell, row AS pos, p, CAST((v - avg(v) OVER w) / CASE WHEN stddev_pop(v) OVER w < 1e-6 THEN 1 ELSE stddev_pop(v) OVER w END AS REAL) AS v
+    FROM f WINDOW w AS (PARTITION BY cell, row))"""
+
+
+@query(f"""WITH {_PARTS.format(k=2)}, {_GROUPS}, o AS ({_ITEM}), t AS (SELECT cell, pos, round(sum(CAST(v AS DOUBLE) * (p + 1)), 3) AS total FROM q GROUP BY cell, pos)
+  SELECT o.*, 32 AS size, total FROM o JOIN t USING (cell, pos)""")
 def corpus_read(spark, sf_dir):
-    """A corpus of groups with where each item came from."""
+    """A corpus of groups: where each item came from, and the numbers of its row (their sum, weighted by place)."""
     path = folder(spark, "corpus")
     sinks.write_corpus(_corpus(spark, sf_dir, 2), path)
-    meta = spark.read.json(f"{path}/meta").select(F.col("cell").cast("int").alias("cell"), F.col("pos").cast("int").alias("pos"), F.explode("items").alias("x"))
+    meta = ranged.read_dat_meta(spark, path).select("row", "cell", "pos", F.explode("items").alias("x"))
     fields = [F.col(f"x.{c}").cast("int").alias(c) for c in ("item", "start", "end", "crop_start", "crop_len")]
-    meta = meta.select("cell", "pos", F.col("x.file_id").cast("long").alias("file_id"), *fields)
-    return meta.join(spark.read.parquet(f"{path}/data").select("cell", "pos", F.size("values").alias("size")), ["cell", "pos"])
+    meta = meta.select("row", "cell", "pos", F.col("x.file_id").alias("file_id"), *fields)
+    total = F.aggregate(F.transform("values", lambda v, i: F.coalesce(v.cast("double"), F.lit(0.0)) * (i + 1)), F.lit(0.0), lambda a, v: a + v)
+    rows = ranged.scan_dat(spark, path).select("row", F.size("values").alias("size"), F.round(total, 3).alias("total"))
+    return meta.join(rows, "row").drop("row")
+
+
+@query(f"""WITH {_PARTS.format(k=2)}, {_GROUPS} SELECT dense_rank() OVER (ORDER BY cell, pos) - 1 AS row, CAST(p AS BIGINT) AS i, round(CAST(v AS DOUBLE), 5) AS v FROM q""")
+def dat_corpus(spark, sf_dir):
+    """The corpus as one raw file: rows in order, as many as its shape says."""
+    path = folder(spark, "corpus")
+    ranged.write_dat(_corpus(spark, sf_dir, 2), f"{path}/parts", ["cell", "pos"])
+    _, width = ranged.join_dat(spark, f"{path}/parts", f"{path}/corpus.dat")
+    rows = ranged.scan_dat(spark, f"{path}/corpus.dat", width, range_bytes=1 << 16).select("row", F.posexplode("values").alias("i", "v"))
+    return rows.select("row", F.col("i").cast("long").alias("i"), F.round(F.col("v").cast("double"), 5).alias("v"))
+
+
+@query(f"""WITH {PANEL}, s AS (SELECT event_type, user_id AS n, CASE WHEN hour(ts) < 12 THEN 0 ELSE 1 END AS c, ts, event_id, value FROM panel)
+  SELECT event_type AS name, CAST(n AS INTEGER) AS n, c, row_number() OVER (PARTITION BY event_type, n, c ORDER BY ts, event_id) - 1 AS i,
+    round(CAST(CAST(value AS REAL) AS DOUBLE), 4) AS v FROM s""")
+def npy_scan(spark, sf_dir):
+    """Series of users by type of event, mornings and afternoons, as array files; read back in ranges."""
+    path = folder(spark, "series")
+    df = panel(spark, sf_dir).withColumn("c", F.when(F.hour("ts") < 12, 0).otherwise(1))
+    by = ["event_type", "user_id", "c"]
+    rows = df.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("ts", "event_id", "value"))).alias("x"))
+    rows = rows.select(F.col("event_type").alias("file"), F.col("user_id").cast("int").alias("n"), "c", F.col("x.value").alias("values"), F.size("x").alias("size"))
+    rows = kept(rows, "rows")
+    ranged.write_npy(rows.drop("size"), path)
+    found = ranged.scan_npy(spark, path, range_bytes=1 << 18).where("error IS NULL").withColumn("name", F.regexp_extract("path", r"(\w+)\.npy$", 1))
+    found = found.join(rows.select(F.col("file").alias("name"), "n", "c", "size"), ["name", "n", "c"])  # array files are filled up: series have their lengths beside
+    found = found.select("name", "n", "c", F.posexplode(F.slice("values", F.lit(1), F.col("size"))).alias("i", "v"))
+    return found.select("name", "n", "c", F.col("i").cast("long").alias("i"), F.round("v", 4).alias("v"))
+
+
+_FRAMES = """d AS (SELECT user_id, CAST(ts AS DATE) AS day, CASE event_type WHEN 'click' THEN 0 WHEN 'error' THEN 1 WHEN 'purchase' THEN 2 WHEN 'signup' THEN 3 ELSE 4 END AS node, value FROM events),
+  k AS (SELECT user_id, day, row_number() OVER (ORDER BY user_id, day) - 1 AS t FROM (SELECT DISTINCT user_id, day FROM d)),
+  n AS (SELECT user_id, day, node, count(*) AS n, max(value) AS top FROM d GROUP BY 1, 2, 3)"""
+
+
+@query(f"""WITH {_FRAMES}, p AS (SELECT k.*, node FROM k, (VALUES (4), (1)) x(node))
+  SELECT p.t, p.node, round(CAST(CAST(n.top AS REAL) AS DOUBLE), 4) AS top, CAST(coalesce(n.n, 0) AS DOUBLE) AS n FROM p LEFT JOIN n USING (user_id, day, node)""")
+def panel_scan(spark, sf_dir):
+    """A panel of days of users as raw frames (5 types of event, 2 features); of it two nodes, features in another order."""
+    path, types = folder(spark, "panel"), ["click", "error", "purchase", "signup", "view"]
+    df = read(spark, sf_dir, "events").withColumn("day", F.to_date("ts"))
+    of = lambda t: F.col("event_type") == t
+    parts = [x for t in types for x in (F.count_if(of(t)).cast("float"), F.max(F.when(of(t), F.col("value"))).cast("float"))]
+    ranged.write_dat(df.groupBy("user_id", "day").agg(F.array(*parts).alias("values")), path, ["user_id", "day"])
+    found = ranged.scan_panel(spark, path, 5, 2, pick=[4, 1], of=[1, 0], range_bytes=1 << 16)
+    value = lambda i: F.get("values", F.lit(i)).cast("double")
+    return found.select("t", "node", F.round(value(0), 4).alias("top"), value(1).alias("n"))
+
+
+@query("""WITH r AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY md5('42:' || user_id || ':' || event_id), event_id) AS pos FROM events),
+  a AS (SELECT user_id, row_number() OVER (ORDER BY count(*) DESC, user_id) AS turn FROM events GROUP BY user_id)
+  SELECT CAST(turn AS INTEGER) AS turn, user_id, pos - 1 AS i, event_id FROM r JOIN a USING (user_id) WHERE pos <= 5 AND turn <= 10""")
+def manifest_offset(spark, sf_dir):
+    """Manifest lines of the ten busiest users, in that order, each by its offset."""
+    path, events = folder(spark, "manifest"), read(spark, sf_dir, "events").select("user_id", "event_id")
+    sinks.write_manifest(sa.quota(events.withColumnRenamed("user_id", "cell"), "cell", ["event_id"], 5), path)
+    offsets.write_offsets(spark, path, f"{path}-offsets", F.get_json_object("value", "$.index"), ".json")
+    asked = events.groupBy("user_id").count().orderBy(F.desc("count"), "user_id").limit(10)
+    asked = kept(asked.withColumn("turn", F.row_number().over(Window.orderBy(F.desc("count"), "user_id"))), "asked")  # ten rows
+    lines = offsets.read_lines(spark, f"{path}-offsets", asked.select("turn", "user_id", F.col("user_id").cast("string").alias("key")))
+    items = F.from_json("value", "struct<results:array<struct<event_id:long>>>")["results"]
+    rows = lines.select("turn", "user_id", F.posexplode(items).alias("i", "x"))
+    return rows.select("turn", "user_id", F.col("i").cast("long").alias("i"), "x.event_id")
 
 
 _REGISTRY = "r AS (SELECT c_name AS path, row_number() OVER (ORDER BY c_mktsegment, c_name, c_custkey) - 1 AS id FROM customer)"
@@ -125,8 +199,6 @@ def rates_read(spark, sf_dir):
   SELECT batch, user_id, CAST(t AS INTEGER) AS t, row_number() OVER (ORDER BY batch, place) - 1 AS "offset" FROM r""")
 def results_read(spark, sf_dir):
     """Test results of batches, each row with its offset in the whole."""
-    from pyspark.sql.window import Window
-
     path = folder(spark, "results")
     rows = pred(spark, sf_dir).withColumn("batch", F.floor(F.col("user_id") / 64))
     rows = rows.select("batch", "user_id", "t", (F.row_number().over(Window.partitionBy("batch").orderBy("user_id", "t")) - 1).cast("long").alias("place"))

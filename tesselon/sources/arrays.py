@@ -1,6 +1,4 @@
-"""Array files as tables: npy and npz by Spark's binary reader, memory-mapped floats, side files.
-
-Everything goes through Spark's own file readers, so any store that Spark reads will do."""
+"""Array files as tables: npy and raw floats by ranges (see ranged), npz by Spark's binary reader, side files."""
 
 from __future__ import annotations
 
@@ -14,8 +12,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..operators.sizes import small
+from .ranged import scan_dat
+from .ranged import scan_npy as read_npy  # noqa: F401
 
-SERIES = "path string, n int, c int, values array<double>, error string"
 #: Folders of a manifest, by hash of the cell.
 BUCKETS = 64
 
@@ -27,34 +26,6 @@ def _lists(x: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, mask=np.isnan(flat)))
 
 
-def read_npy(spark: SparkSession, root: str) -> DataFrame:
-    """(path, n, c, values, error) of every .npy file below root, a row a series; NaN becomes NULL.
-
-    Files that can't be read, or don't have three dimensions, give one row with an error."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.npy").load(root)
-
-    def batch(path: str, n: list, c: list, values: pa.Array, error: str | None) -> pa.RecordBatch:
-        k = len(values)
-        return pa.RecordBatch.from_arrays(
-            [pa.array([path] * k), pa.array(n, pa.int32()), pa.array(c, pa.int32()), values, pa.array([error] * k, pa.string())],
-            names=["path", "n", "c", "values", "error"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for path, content in zip(b.column("path").to_pylist(), b.column("content"), strict=True):
-                try:
-                    x = np.load(io.BytesIO(content.as_buffer()), allow_pickle=False)
-                    if x.ndim != 3:
-                        raise ValueError(f"{x.ndim} dimensions")
-                except Exception as e:
-                    yield batch(path, [None], [None], pa.array([None], pa.list_(pa.float64())), str(e))
-                    continue
-                for n in range(x.shape[0]):  # a series at a time bounds the rows in memory
-                    yield batch(path, [n] * x.shape[1], list(range(x.shape[1])), _lists(x[n]), None)
-
-    return files.select("path", "content").mapInArrow(run, SERIES)
-
-
 def read_npz(spark: SparkSession, root: str, key: str) -> DataFrame:
     """(path, index, values) of one array of every .npz file below root: a row for each entry of its leading axes.
 
@@ -83,19 +54,8 @@ def read_metric_logs(spark: SparkSession, root: str, key: str = "mean_bin", firs
 
 
 def read_floats(spark: SparkSession, path: str, width: int) -> DataFrame:
-    """(row, values) of a raw float32 file of `width` numbers a row.
-
-    Spark's fixed-record reader splits the file between tasks; it exists for RDDs only."""
-    records = spark.sparkContext.binaryRecords(path, 4 * width).zipWithIndex()
-    df = records.map(lambda x: (x[1], bytearray(x[0]))).toDF("row long, content binary")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                x = np.frombuffer(b"".join(b.column("content").to_pylist()), "<f4").reshape(-1, width)
-                yield pa.RecordBatch.from_arrays([b.column("row"), _lists(x)], names=["row", "values"])
-
-    return df.mapInArrow(run, "row long, values array<double>")
+    """(row, values) of a raw float32 file of `width` numbers a row, in ranges."""
+    return scan_dat(spark, path, width).select("row", F.col("values").cast("array<double>").alias("values"))
 
 
 #: Suffixes of array files in the order in which they are tried, and the field of the side file that each asks for.

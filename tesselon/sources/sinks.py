@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .arrays import bucket
+from .ranged import write_dat
 
 
 def write_cells(df: DataFrame, path: str) -> None:
@@ -15,11 +16,9 @@ def write_cells(df: DataFrame, path: str) -> None:
 
 
 def write_corpus(df: DataFrame, path: str) -> None:
-    """Corpus rows in order of cell and pos, over as many files as there are ranges: values below path/data, and
-    where each row came from (all other columns) as JSON lines below path/meta."""
-    rows = df.repartitionByRange("cell", "pos").sortWithinPartitions("cell", "pos")
-    rows.select("cell", "pos", "values").write.mode("overwrite").parquet(f"{path}/data")
-    rows.drop("values").write.mode("overwrite").json(f"{path}/meta")
+    """Corpus rows in order of cell and pos: values as raw float32 with their measured shape, and where each row came from
+    (all other columns) beside them; see ranged.write_dat."""
+    write_dat(df, path, ["cell", "pos"])
 
 
 def write_manifest(df: DataFrame, path: str) -> None:

@@ -2,7 +2,7 @@ import json
 
 import numpy as np
 
-from tesselon.sources import arrays, sinks
+from tesselon.sources import arrays, ranged, sinks
 from tesselon.streaming import cells
 
 
@@ -50,7 +50,7 @@ def test_sinks(spark, tmp_path):
     assert {r["index"]: [x["item"] for x in r.results] for r in spark.read.json(f"{tmp_path}/manifest").collect()} == {str(c): [10 * c, 10 * c + 1] for c in range(3)}
     sinks.write_corpus(df, f"{tmp_path}/corpus")
     sinks.write_report(df.drop("values"), f"{tmp_path}/report")
-    assert spark.read.parquet(f"{tmp_path}/corpus/data").count() == spark.read.json(f"{tmp_path}/corpus/meta").count() == spark.read.csv(f"{tmp_path}/report", sep="\t", header=True).count() == 6
+    assert ranged.scan_dat(spark, f"{tmp_path}/corpus").count() == ranged.read_dat_meta(spark, f"{tmp_path}/corpus").count() == spark.read.csv(f"{tmp_path}/report", sep="\t", header=True).count() == 6
 
 
 def test_counts_over_arriving_files(spark, tmp_path):
