@@ -2,19 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..sources.scratch import kept
-from .sizes import gather
-
-#: Cells that a table of weights may have.
-MOST_CELLS = 1 << 20
 
 
 def draw(seed: int | Column, *keys: str) -> Column:
@@ -90,19 +82,28 @@ def crop(df: DataFrame, size: int, seed: str, *keys: str) -> DataFrame:
 def weighted(df: DataFrame, weights: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     """(i, key) for i = 1..n: keys drawn by weight through the inverse of their cumulative shares.
 
-    weights has a row for each cell (a parameter, MOST_CELLS at most, else an error); draws look
-    theirs up by bisection, in blocks."""
-    rows = gather(weights.where("w > 0").select(key, "w").orderBy(key), MOST_CELLS, "the table of weights")
-    if not rows:
+    weights (key, w), any number of rows; those of null or no weight are never drawn. They are numbered in order
+    of key and written, shares are summed up by ranges, and draws and bounds meet in a merge: both are
+    sorted by their place from 0 to 1 in ranges, where each draw takes the last bound before it. An
+    error if no weight is positive."""
+    held = registry(weights.where("w > 0").select(key, F.col("w").cast("double").alias("w")), [F.col(key)])
+    held = kept(held.withColumn("part_", F.floor(F.col("id") / 65536)), "weights")  # sums of so many rows at a time
+    whole = held.groupBy("part_").agg(F.sum("w").alias("s_"))
+    before = whole.select("part_", (F.sum("s_").over(Window.orderBy("part_").rowsBetween(Window.unboundedPreceding, 0)) - F.col("s_")).alias("before_"))
+    total = whole.agg(F.sum("s_")).first()[0]
+    if not total:
         raise ValueError("no cell has a positive weight")
-    keys, upper = pd.Series([r[0] for r in rows]), np.cumsum([float(r[1]) for r in rows])
-    upper = upper / upper[-1]
+    so_far = F.sum("w").over(Window.partitionBy("part_").orderBy("id").rowsBetween(Window.unboundedPreceding, 0)) - F.col("w")
+    bounds = held.join(before, "part_").select(((F.col("before_") + so_far) / total).alias("at"), F.lit(0).alias("i"), F.col("id").alias("bound"))
     u = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed).cast("string"), F.col("i").cast("string"))), 1, 8), 16, 10).cast("double") / float(1 << 32)
-    draws = df.sparkSession.range(1, n + 1).withColumnRenamed("id", "i").withColumn("u", u)
+    draws = df.sparkSession.range(1, n + 1).toDF("i").select(u.alias("at"), "i", F.lit(None).cast("long").alias("bound"))
+    ranges = max(df.sparkSession.sparkContext.defaultParallelism, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = bounds.unionByName(draws).repartitionByRange(ranges, "at").withColumn("part_", F.spark_partition_id())
+    rows = kept(rows, "draws")  # ranges are dealt by a sample: written once, they stay as they are
+    top = rows.groupBy("part_").agg(F.max("bound").alias("top_"))
+    carried = top.select("part_", F.max("top_").over(Window.orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)).alias("carried_"))  # a row a range
+    last = F.max("bound").over(Window.partitionBy("part_").orderBy("at", "i").rowsBetween(Window.unboundedPreceding, 0))
+    found = rows.join(F.broadcast(carried), "part_").withColumn("id", F.coalesce(last, "carried_", F.lit(0).cast("long"))).where("i > 0")
+    return found.select("i", "id").join(held.select("id", key), "id").select("i", key)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            at = np.minimum(np.searchsorted(upper, f["u"], side="right"), len(keys) - 1)
-            yield pd.DataFrame({"i": f["i"], key: keys.to_numpy()[at]})
 
-    return draws.mapInPandas(run, f"i long, {key} {weights.schema[key].dataType.simpleString()}")

@@ -3,22 +3,47 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from ..operators import corpus, kernels, sampling
+from ..operators import cells, corpus, kernels, pca
 from ..operators import rates as ra
 from ..operators import series as se
 from ..operators.sizes import gather
+from ..sources.scratch import kept
 from .base import PANEL, panel, query, r6, read
 from .selection import curve
 
-CODEBOOK = 256
-
-
 @query()
 def pca_cells(spark, sf_dir):
-    """Cells of vectors by principal axes of a codebook of a fixed number of vectors, drawn from all."""
+    """Cells of vectors along the principal axes of all of them."""
+    df = read(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    return pca.fit_cells(df, "vec_id", "embedding", 40).select("vec_id", "cell")
+
+
+@query("""WITH x AS (SELECT vec_id, CAST(unnest(range(64)) AS INTEGER) AS i, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings)
+  SELECT a.i, b.i AS j, round(covar_samp(a.x, b.x), 6) AS cov FROM x a JOIN x b ON a.vec_id = b.vec_id AND a.i <= b.i GROUP BY 1, 2""")
+def vector_covariance(spark, sf_dir):
+    """Covariances of all vectors' numbers, from which the principal axes come."""
     df = read(spark, sf_dir, "embeddings")
-    book = np.array([r.embedding for r in sampling.subset(df, ["vec_id"], CODEBOOK).select("embedding").collect()], dtype=float)
-    return kernels.assign_cells(df, kernels.Partition(book, 40), "vec_id", "embedding")
+    return pca.covariance(df, "embedding").withColumn("cov", r6("cov"))
+
+
+@query("""WITH s AS (SELECT 'value' AS part, value AS x FROM events UNION ALL SELECT 'price', l_extendedprice FROM lineitem),
+  n AS (SELECT part, count(*) AS n, min(x) AS low, max(x) AS high FROM s GROUP BY part)
+  SELECT part, CAST(i AS INTEGER) AS i, n, true AS near, CASE i WHEN 0 THEN low WHEN 16 THEN high END AS bound FROM n, range(17) r(i)""")
+def sketch_edges(spark, sf_dir):
+    """Edges of 16 bins from sketches of arriving parts, kept as a table and merged; near: an edge's exact rank is within 2 % of its step."""
+    parts = []
+    events = read(spark, sf_dir, "events").select(F.col("event_type").alias("file"), F.col("value"))
+    items = read(spark, sf_dir, "lineitem").select(F.col("l_shipdate").substr(1, 4).alias("file"), F.col("l_extendedprice").alias("price"))
+    for df, column in ((events, "value"), (items, "price")):
+        parts.append(cells.edge_sketches(df, [column], ["file"]))
+    merged = cells.merge_sketches(kept(parts[0].unionByName(parts[1]), "sketches"))
+    edges = kept(cells.sketched_edges(merged, {"value": 16, "price": 16}).join(merged.select("column", "n"), "column"), "edges")
+    values = events.select(F.lit("value").alias("column"), F.col("value").alias("x")).unionByName(items.select(F.lit("price").alias("column"), F.col("price").alias("x")))
+    below = values.join(F.broadcast(edges), "column").groupBy("column", "i", "edge", "n")  # 34 edges
+    ranks = below.agg((F.count_if(F.col("x") < F.col("edge")) / F.col("n")).alias("low"), (F.count_if(F.col("x") <= F.col("edge")) / F.col("n")).alias("high"))
+    step = F.col("i") / 16
+    near = (F.col("low") <= step + 0.02) & (F.col("high") >= step - 0.02)
+    return ranks.select(F.col("column").alias("part"), "i", "n", near.alias("near"), F.when(F.col("i").isin(0, 16), F.col("edge")).alias("bound"))
 
 
 @query()

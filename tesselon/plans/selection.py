@@ -228,6 +228,19 @@ def scaled_laplacian(spark, sf_dir):
     return gr.scaled_laplacian(adjacency(spark, sf_dir)).withColumn("w", r6("w"))
 
 
+#: L to the power 2**16 by squarings, each divided by its trace; of such a power all but the largest eigenvalue is gone.
+_POWER = ", ".join(["p0 AS (SELECT src, dst, w FROM lap)"] + [
+    f"r{k} AS (SELECT a.src, b.dst, sum(a.w * b.w) AS w FROM p{k} a JOIN p{k} b ON a.dst = b.src GROUP BY 1, 2), "
+    f"p{k + 1} AS (SELECT src, dst, w / (SELECT sum(w) FROM r{k} WHERE src = dst) AS w FROM r{k})" for k in range(16)])
+
+
+@query(f"""WITH {_ADJ}, {_NODES}, {_SYM}, {_norm('sy')}, {_LAP}, {_POWER}, top AS (SELECT sum(lap.w * p16.w) AS top FROM lap JOIN p16 USING (src, dst))
+  SELECT src, dst, round(w * 2 / top - CASE WHEN src = dst THEN 1 ELSE 0 END, 6) AS w FROM lap, top""")
+def scaled_laplacian_auto(spark, sf_dir):
+    """The Laplacian scaled by its own largest eigenvalue."""
+    return gr.scaled_laplacian(adjacency(spark, sf_dir), None).withColumn("w", r6("w"))
+
+
 _LOOP = "lo AS (SELECT src, dst, sum(w) AS w FROM (SELECT * FROM adj UNION ALL SELECT v, v, 1.0::DOUBLE FROM nodes) GROUP BY 1, 2)"
 
 
