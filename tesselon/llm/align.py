@@ -9,8 +9,8 @@ document hold the same pair, it would count that document more than once; blocks
 surpluses, which are taken off. What a group's links add up to goes back by the group's key to the
 blocks' dictionaries, and from there to the documents, which never leave their block.
 
-Single spaces between other characters are ends of tokens for both tokenizers, so that words are
-encoded one by one and kept; a test holds this against whole texts.
+Before single spaces and line ends between other characters both tokenizers end a token, so that words
+are encoded apart, many new ones as one text, and kept; a test holds this against whole texts.
 """
 
 from __future__ import annotations
@@ -34,7 +34,10 @@ from .packing import ByteBpe
 BLOCK_GROUPS = 400_000
 #: Words and groups that a worker keeps between blocks.
 CACHED_WORDS, CACHED_GROUPS = 200_000, 300_000
-_BREAK = re.compile(r"(?<=\S) (?=\S)")
+#: Characters of new words that are encoded together.
+_TOGETHER = 1 << 16
+#: Between words: before a single space or line end with other characters on both sides.
+_BREAK = re.compile(r"(?<=\S)(?=[ \n]\S)")
 _PART = 36
 
 BLOCK = ("block long, doc_id array<long>, n_groups array<long>, n_a array<long>, n_b array<long>, n_links array<long>, digest array<string>, "
@@ -68,15 +71,16 @@ class Tokens:
         self.sp = sentencepiece.SentencePieceProcessor(model_file=path_b)
         pieces = [(i, self.sp.id_to_piece(i)) for i in range(self.sp.vocab_size())]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.sp.is_byte(i) else p.replace("▁", " ").encode() for i, p in pieces]
-        #: No piece goes on behind a space, so single spaces are ends of tokens.
-        self.by_word = self.fast is not None and not any("▁" in p.lstrip("▁") for _, p in pieces)
+        self.sizes = {i: len(x) for i, x in self.bytes_a.items()}, [len(x) for x in self.bytes_b]
+        #: No piece goes on behind a space, and none has a line end: before single ones of them tokens end.
+        self.by_word = self.fast is not None and not any("▁" in p.lstrip("▁") or "\n" in p for _, p in pieces)
 
     def __call__(self, text: str) -> tuple[list[int], list[int]] | None:
         """The ids of a space and text; None if their bytes are not those of a space and text."""
         want = b" " + text.encode()
         a = self.fast.encode_ordinary(" " + text) if self.fast else self.slow.encode(" " + text, add_special_tokens=False).ids
         b = self.sp.encode(text, num_threads=1)
-        same = b"".join(map(self.bytes_a.__getitem__, a)) == want and b"".join(map(self.bytes_b.__getitem__, b)) == want
+        same = b"".join(map(self.bytes_b.__getitem__, b)) == want and b"".join(map(self.bytes_a.__getitem__, a)) == want
         return (a, b) if same else None
 
     def groups(self, a: list[int], b: list[int]) -> list[tuple[tuple[int, ...], tuple[int, ...]]]:
@@ -95,51 +99,87 @@ class Tokens:
 
 
 class Dictionary:
-    """Groups as a worker numbers them, and the groups of words."""
+    """Groups as a worker numbers them, and the groups of words. A word begins with the space or line end before it."""
 
     def __init__(self, tokens: Tokens):
         self.tokens = tokens
         self.clear()
 
     def clear(self) -> None:
-        self.number, self.groups, self.keys, self.pairs, self.words = {}, [], [], [], {}
+        self.number, self.groups, self.spelled, self.keys, self.pairs, self.words = {}, [], [], [], [], {}
 
     def intern(self, group: tuple) -> int:
         n = self.number.get(group)
         if n is None:
             n = self.number[group] = len(self.groups)
             self.groups.append(group)
-            self.keys.append(blake2b(self.spelled(group).encode(), digest_size=16).digest())
+            self.spelled.append(",".join(map(str, group[0])) + "|" + ",".join(map(str, group[1])))
+            self.keys.append(blake2b(self.spelled[n].encode(), digest_size=16).digest())
             self.pairs.append([x << 32 | y for x in set(group[0]) for y in set(group[1])])
         return n
 
-    @staticmethod
-    def spelled(group: tuple) -> str:
-        return ",".join(map(str, group[0])) + "|" + ",".join(map(str, group[1]))
+    def _made(self, numbers: list[int]) -> tuple[list[int], str]:
+        return numbers, ";".join(map(self.spelled.__getitem__, numbers))
 
-    def word(self, text: str) -> tuple[list[int], str] | None:
+    def _whole(self, text: str) -> tuple[list[int], str] | None:
         ids = self.tokens(text)
-        groups = self.tokens.groups(*ids) if ids else []
-        found = ([self.intern(g) for g in groups], ";".join(map(self.spelled, groups))) if ids else None
-        if len(text) < 64 and len(self.words) < CACHED_WORDS:
-            self.words[text] = found
-        return found
+        return self._made([self.intern(g) for g in self.tokens.groups(*ids)]) if ids else None
+
+    def _learn(self, words: list[str]) -> None:
+        """Encodes new words together, as one text."""
+        words = [w for w in words if not w[-1].isspace() and not w[1:2].isspace()]
+        if not words:
+            return
+        text = "." + "".join(words)
+        found = self.tokens(text)
+        if not found:
+            return
+        ends = np.cumsum([2, *(len(w.encode()) for w in words)])
+        at_a, at_b = (np.cumsum(np.fromiter(map(of.__getitem__, ids), np.int64, len(ids))) for of, ids in zip(self.tokens.sizes, found, strict=True))
+        both, cut_a, cut_b = np.intersect1d(at_a, at_b, assume_unique=True, return_indices=True)
+        last = np.searchsorted(both, ends)  # of each word its last group
+        if last[-1] >= len(both) or (both[last] != ends).any():
+            return
+        (a, b), cut_a, cut_b = found, [0, *(cut_a + 1).tolist()], [0, *(cut_b + 1).tolist()]
+        numbers = [self.intern((tuple(a[cut_a[i] : cut_a[i + 1]]), tuple(b[cut_b[i] : cut_b[i + 1]]))) for i in range(len(both))]
+        last = (last + 1).tolist()
+        for w, low, high in zip(words, last[:-1], last[1:], strict=True):
+            self.words[w] = self._made(numbers[low:high])
+
+    def documents(self, texts: list[str | None]) -> Iterator[tuple[list[int], str]]:
+        """Of each text the numbers of its groups in order, and the digest of their ids; nothing for a text without tokens."""
+        if not self.tokens.by_word:
+            for text in texts:
+                yield self._whole(text) or ([], "") if text else ([], "")
+            return
+        cut = [_BREAK.split(" " + t) if t else [] for t in texts]
+        if len(self.words) > CACHED_WORDS:
+            self.words.clear()
+        new = {w for words in cut for w in words if w not in self.words}
+        some, held = [], 0
+        for w in new:
+            some.append(w)
+            held += len(w)
+            if held >= _TOGETHER:
+                self._learn(some)
+                some, held = [], 0
+        self._learn(some)
+        known = self.words
+        for text, words in zip(texts, cut, strict=True):
+            found = []
+            for w in words:
+                x = known.get(w)
+                if x is None:  # a first word with white space at its edges, or bytes that differ
+                    x = self._whole(w[1:]) if w is words[0] else None
+                    if x is None:
+                        whole = self._whole(text)
+                        found = [whole] if whole else []
+                        break
+                found.append(x)
+            yield (list(chain.from_iterable([x[0] for x in found])), sha256(";".join([x[1] for x in found]).encode()).hexdigest()) if found else ([], "")
 
     def document(self, text: str | None) -> tuple[list[int], str]:
-        """Numbers of the groups in order, and the digest of their ids; nothing for a text without tokens."""
-        if not text:
-            return [], ""
-        known, found = self.words, []
-        for word in _BREAK.split(text) if self.tokens.by_word else [text]:
-            x = known.get(word) or self.word(word)
-            if x is None:  # bytes of a part differ: the whole decides
-                whole = self.word(text)
-                found = [whole] if whole else []
-                break
-            found.append(x)
-        if not found:
-            return [], ""
-        return list(chain.from_iterable(x[0] for x in found)), sha256(";".join([x[1] for x in found]).encode()).hexdigest()
+        return next(self.documents([text]))
 
 
 def _lists(values: np.ndarray, kind: pa.DataType) -> pa.Array:
@@ -195,16 +235,19 @@ def _blocks(path_a: str, path_b: str):
         words, number = Dictionary(Tokens(path_a, path_b)), TaskContext.get().partitionId() << _PART
         docs, held = [], 0
         for b in batches:
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                groups, digest = words.document(text)
+            if len(words.groups) > CACHED_GROUPS:
+                if docs:
+                    yield block(number, words, docs)
+                    docs, held, number = [], 0, number + 1
+                words.clear()
+            texts = b.column(1).to_pylist()
+            for doc, (groups, digest) in zip(b.column(0).to_pylist(), words.documents(texts), strict=True):
                 some, times = np.unique(np.array(groups, np.int64), return_counts=True)
                 docs.append((doc, digest, some, times))
                 held += len(some) + 1
                 if held >= BLOCK_GROUPS:
                     yield block(number, words, docs)
                     docs, held, number = [], 0, number + 1
-                    if len(words.groups) > CACHED_GROUPS:
-                        words.clear()
         if docs:
             yield block(number, words, docs)
 
