@@ -6,14 +6,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .sizes import gather, small
+from ..sources.scratch import kept
+from .sizes import small
 
-#: Codes that a codebook may have.
-MOST_CODES = 1 << 20
+#: Codes up to which a codebook goes to every worker; a larger one is searched around pivots, with the same rows.
+BROADCAST_CODES = 1 << 14
+#: Codes that a larger codebook is dealt out around; codes and vectors that meet in one task.
+PIVOTS, CELL_CODES, CELL_VECTORS = 512, 4096, 8192
+#: Two scores are equal if they agree to so many decimals: products in another order differ in the last digits.
+DECIMALS = 9
 
 
 def lookup(codes: DataFrame, codebook: DataFrame) -> DataFrame:
@@ -21,30 +27,126 @@ def lookup(codes: DataFrame, codebook: DataFrame) -> DataFrame:
     return codes.join(small(codebook), "code")
 
 
-def nearest(vectors: DataFrame, codebook: DataFrame, key: str, metric: str = "cosine") -> DataFrame:
+def _stacked(values: pa.Array) -> np.ndarray:
+    values = values.combine_chunks() if isinstance(values, pa.ChunkedArray) else values
+    return values.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(values), -1)
+
+
+def _scores(x: np.ndarray, table: np.ndarray, metric: str) -> np.ndarray:
+    """Scores of vectors (rows) with codes: the cosine, or the negative squared distance."""
+    norm = np.linalg.norm(table, axis=1)
+    if metric == "cosine":
+        return x @ table.T / np.maximum(np.linalg.norm(x, axis=1)[:, None] * norm[None], 1e-12)
+    return 2 * x @ table.T - norm[None] ** 2 - (x * x).sum(1)[:, None]
+
+
+def nearest(vectors: DataFrame, codebook: DataFrame, key: str, metric: str = "cosine", most: int = BROADCAST_CODES) -> DataFrame:
     """(key, code, score): the best code for each vector (key, e), of equals the first.
 
-    The codebook (code, e) is a parameter (2048 rows by default, MOST_CODES at most, else an
-    error); it goes to the workers, and blocks of vectors meet it in one matrix product."""
-    book = gather(codebook.orderBy("code"), MOST_CODES, "the codebook")
-    ids, table = np.array([r.code for r in book]), np.array([r.e for r in book], dtype=np.float64)
+    A codebook (code, e) of at most `most` codes goes to the workers, and blocks of vectors meet it in one
+    matrix product. A larger one, of any size, is searched around pivots; see nearest_by_pivots."""
+    if codebook.limit(most + 1).count() > most:
+        return nearest_by_pivots(vectors, codebook, key, metric)
+    book = codebook.orderBy("code").collect()
+    ids, table = np.array([r.code for r in book], np.int64), np.array([r.e for r in book], dtype=np.float64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                score = _scores(_stacked(b.column(1)), table, metric)
+                best = np.argmax(np.round(score, DECIMALS), axis=1)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids[best]), pa.array(score[np.arange(len(best)), best])], names=[key, "code", "score"])
+
+    kind = vectors.schema[key].dataType.simpleString()
+    return vectors.select(key, "e").mapInArrow(run, f"{key} {kind}, code long, score double")
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        norm = np.linalg.norm(table, axis=1)
-        for df in frames:
-            if not len(df):
-                continue
-            x = np.stack(df["e"].to_numpy()).astype(np.float64)
-            if metric == "cosine":
-                score = x @ table.T / np.maximum(np.linalg.norm(x, axis=1)[:, None] * norm[None], 1e-12)
-            else:
-                score = 2 * x @ table.T - norm[None] ** 2 - (x * x).sum(1)[:, None]
-            # products in another order differ in the last digits: equals are told by rounding
-            best = np.argmax(np.round(score, 9), axis=1)
-            yield pd.DataFrame({key: df[key], "code": ids[best], "score": score[np.arange(len(x)), best]})
 
+def _placed(x: np.ndarray, metric: str) -> np.ndarray:
+    """Vectors where distance orders as the metric does: for the cosine on the unit sphere."""
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12) if metric == "cosine" else x
+
+
+def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1)[None] - 2 * x @ y.T, 0))
+
+
+def nearest_by_pivots(vectors: DataFrame, codebook: DataFrame, key: str, metric: str = "cosine", pivots: int = PIVOTS) -> DataFrame:
+    """nearest for a codebook of any size: no task and not the driver holds more of it than pivots and a cell's part.
+
+    Codes are dealt to the nearest of some pivots, drawn from them by hash. Each vector meets the codes of its
+    nearest pivot, and from then on knows how far its best code is at most. By the triangle inequality the codes
+    of another pivot, none further from it than its radius, can be better only if the vector is no further from
+    that pivot than both together: it meets those too. Cells with many codes or vectors are split over tasks."""
+    spark = vectors.sparkSession
+    book = kept(codebook.select(F.col("code").cast("long").alias("code"), F.col("e").cast("array<double>").alias("e")), "codes")
+    drawn = book.orderBy(F.md5(F.col("code").cast("string")), "code").limit(pivots).collect()
+    centres = _placed(np.array([r.e for r in drawn], np.float64), metric)
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                d = _distances(_placed(_stacked(b.column("e")), metric), centres)
+                home = d.argmin(axis=1)
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(home, pa.int32()), pa.array(d[np.arange(len(d)), home])], names=[*b.schema.names, "pivot", "far"])
+
+    codes = kept(book.mapInArrow(dealt, "code long, e array<double>, pivot int, far double"), "dealt")
+    cells = codes.groupBy("pivot").agg(F.max("far").alias("radius"), F.ceil(F.count("*") / CELL_CODES).cast("int").alias("blocks"))
+    cells = spark.createDataFrame(cells.collect(), "pivot int, radius double, blocks int")  # a row for each pivot
+    radius = np.full(len(centres), -np.inf)
+    for r in cells.collect():
+        radius[r.pivot] = r.radius
     kind = vectors.schema[key].dataType.simpleString()
-    return vectors.select(key, "e").mapInPandas(run, f"{key} {kind}, code long, score double")
+    rows = vectors.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), F.col("e").cast("array<double>").alias("e"))
+    rows = kept(rows.mapInArrow(dealt, f"row long, key {kind}, e array<double>, pivot int, far double"), "vectors")
+
+    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame({"row": [], "code": [], "score": []})
+        right = right.sort_values("code")
+        ids, table, parts = right["code"].to_numpy(), np.stack(right["e"].to_numpy()), []
+        for at in range(0, len(left), 1024):
+            block = left.iloc[at : at + 1024]
+            score = _scores(np.stack(block["e"].to_numpy()), table, metric)
+            top = np.argmax(np.round(score, DECIMALS), axis=1)
+            parts.append(pd.DataFrame({"row": block["row"], "code": ids[top], "score": score[np.arange(len(top)), top]}))
+        return pd.concat(parts)
+
+    def meet(some: DataFrame) -> DataFrame:
+        """The best code of each vector among those of the pivots it is given."""
+        load = some.groupBy("pivot").agg(F.ceil(F.count("*") / CELL_VECTORS).cast("int").alias("salts"))
+        plan = F.broadcast(cells.join(load, "pivot").select("pivot", "blocks", "salts"))  # a row for each pivot
+        numbers = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+        left = some.select("row", "e", "pivot").join(plan, "pivot").withColumn("salt", F.pmod(F.xxhash64("row"), F.col("salts")).cast("int"))
+        left = left.withColumn("block", numbers("blocks")).select("row", "e", "pivot", "block", "salt")
+        right = codes.select("code", "e", "pivot").join(plan, "pivot").withColumn("block", F.pmod(F.xxhash64("code"), F.col("blocks")).cast("int"))
+        right = right.withColumn("salt", numbers("salts")).select("code", "e", "pivot", "block", "salt")
+        by = ["pivot", "block", "salt"]
+        return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(best, "row long, code long, score double")
+
+    def first(found: DataFrame) -> DataFrame:
+        order = F.struct(F.round("score", DECIMALS).alias("r"), (-F.col("code")).alias("c"), "score")
+        return found.groupBy("row").agg(F.max(order).alias("x")).select("row", (-F.col("x.c")).alias("code"), "x.score")
+
+    near = kept(first(meet(rows)), "near")
+
+    def elsewhere(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x = _placed(_stacked(b.column("e")), metric)
+            score, home = b.column("score").to_numpy(), b.column("pivot").to_numpy()
+            # how far the best code so far is: of a zero vector, whose cosines are all 0, every cell can hold the first
+            within = np.sqrt(np.maximum((x * x).sum(1) + 1 - 2 * score, 0)) if metric == "cosine" else np.sqrt(np.maximum(-score, 0))
+            within = np.where((x * x).sum(1) > 0, within, np.inf) if metric == "cosine" else within
+            d = _distances(x, centres)
+            some = d - radius[None] <= within[:, None] + 1e-6 * (1 + d)
+            some[np.arange(len(x)), home] = False
+            r, p = np.nonzero(some)
+            yield pa.RecordBatch.from_arrays([b.column("row").take(pa.array(r)), b.column("e").take(pa.array(r)), pa.array(p, pa.int32())], names=["row", "e", "pivot"])
+
+    more = rows.select("row", "e", "pivot").join(near.select("row", "score"), "row").mapInArrow(elsewhere, "row long, e array<double>, pivot int")
+    found = first(near.unionByName(meet(kept(more, "elsewhere"))))
+    return rows.select("row", "key").join(found, "row").select(F.col("key").alias(key), "code", "score")
 
 
 def scale_embedding(codes: DataFrame, codebook: DataFrame, keys: list[str]) -> DataFrame:
@@ -52,9 +154,11 @@ def scale_embedding(codes: DataFrame, codebook: DataFrame, keys: list[str]) -> D
 
     codes: keys, s, pos, code (NULL: masked). The k valid codes have weights 0, 1/(k-1), …, 1,
     a single one has 1; a scale without valid codes is the zero vector. Codes travel as one array
-    a scale, and meet the codebook in blocks."""
+    a scale, and meet the codebook in blocks; a codebook of more than BROADCAST_CODES is joined instead."""
     by = [*keys, "s"]
-    book = gather(codebook.orderBy("code"), MOST_CODES, "the codebook")
+    if codebook.limit(BROADCAST_CODES + 1).count() > BROADCAST_CODES:
+        return _joined_embedding(codes, codebook, by)
+    book = codebook.orderBy("code").collect()
     ids, table = np.array([r.code for r in book]), np.array([r.e for r in book], dtype=np.float64)
     rows = F.sort_array(F.collect_list(F.when(F.col("code").isNotNull(), F.struct("pos", "code"))))
     packed = codes.groupBy(*by).agg(F.transform(rows, lambda x: x["code"].cast("long")).alias("codes"))
@@ -75,6 +179,18 @@ def scale_embedding(codes: DataFrame, codebook: DataFrame, keys: list[str]) -> D
     return found.select(*by, F.posexplode("e").alias("d", "v"))
 
 
+def _joined_embedding(codes: DataFrame, codebook: DataFrame, by: list[str]) -> DataFrame:
+    """scale_embedding by a shuffle join of each valid code with its vector."""
+    scale = Window.partitionBy(*by)
+    rows = codes.where("code IS NOT NULL").withColumn("rank_", F.row_number().over(scale.orderBy("pos", "code")) - 1).withColumn("of_", F.count("*").over(scale))
+    rows = rows.withColumn("w_", F.when(F.col("of_") == 1, 1.0).otherwise(F.col("rank_") / (F.col("of_") - 1))).select(*by, "code", "w_")
+    parts = rows.join(codebook, "code").select(*by, "w_", F.posexplode("e").alias("d", "x_"))
+    sums = parts.groupBy(*by, "d").agg(F.sum(F.col("w_") * F.col("x_")).alias("x_"), F.sum("w_").alias("w_"))
+    dims = codebook.select(F.size("e")).first()[0]
+    every = codes.select(*by).distinct().withColumn("d", F.explode(F.sequence(F.lit(0), F.lit(dims - 1))))
+    return every.join(sums, [*by, "d"], "left").select(*by, "d", F.when(F.col("w_") > 0, F.col("x_") / F.col("w_")).otherwise(0.0).alias("v"))
+
+
 def perplexity(codes: DataFrame) -> DataFrame:
     """exp of the entropy of code use; negative and missing codes don't count; 0 if none does."""
     use = codes.where("code >= 0").groupBy("code").agg(F.count("*").alias("n"))
@@ -90,21 +206,104 @@ def kmeans_step(assigned: DataFrame, old: DataFrame) -> DataFrame:
         "code", "d", F.coalesce("m", "o").alias("v"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def kmeans(vectors: DataFrame, codebook: DataFrame, key: str, rounds: int = 10, metric: str = "cosine") -> DataFrame:
-    """(code, e) after rounds of assignment to the nearest code and means; for cosine, codes of length 1.
+def kmeans(vectors: DataFrame, codebook: DataFrame, key: str, rounds: int = 10, metric: str = "cosine", searched: list[int] | None = None) -> DataFrame:
+    """(code, e) after rounds of assignment to the nearest code and means; for cosine, codes of length 1; an empty code stays.
 
-    vectors: key, e. In each round the vectors are read once; only the codebook is gathered."""
+    vectors: key, e. By Hamerly's bounds: with each vector its code is kept, how far it is at most, and how far
+    all others are at least. These hold on with the codes' moves, and while they leave no doubt, no other code
+    is looked at. Each round is one pass over what the round before wrote: it makes the new state and each
+    task's sums by code together. A codebook of at most BROADCAST_CODES codes is gathered; a larger one stays
+    distributed, and each round searches it around pivots. searched: gets for each round the number of
+    vectors that were compared with all codes."""
     spark = vectors.sparkSession
+    if codebook.limit(BROADCAST_CODES + 1).count() > BROADCAST_CODES:
+        return _kmeans_by_pivots(vectors, codebook, rounds, metric)
+    book = codebook.orderBy("code").collect()
+    ids, table = [r.code for r in book], _placed(np.array([r.e for r in book], np.float64), metric)
+    k, dims = table.shape
+    kind = "e array<double>, at int, upper double, lower double, sums array<double>, n long, searched long"
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("at", "int"), ("upper", "double"), ("lower", "double"))]
+    state, moved = vectors.where(F.col("e").isNotNull()).select(F.col("e").cast("array<double>").alias("e"), *none), np.zeros(k)
+    for turn in range(rounds):
+        state = kept(state.mapInArrow(_hamerly(table, moved, turn > 0, metric), kind), "kmeans")
+        sums = state.where("n > 0").select("at", "n", F.posexplode("sums").alias("d", "x")).groupBy("at", "d").agg(F.sum("n").alias("n"), F.sum("x").alias("x")).collect()
+        if searched is not None:
+            searched.append(state.agg(F.sum("searched")).first()[0] or 0)
+        new = table.copy()
+        for r in sums:
+            new[r.at, r.d] = r.x / r.n
+        new = _placed(new, metric)
+        moved, table = np.linalg.norm(new - table, axis=1), new
+        state = state.where("n IS NULL").select("e", "at", "upper", "lower")
+    return spark.createDataFrame([(c, e.tolist()) for c, e in zip(ids, table, strict=True)], "code long, e array<double>")
+
+
+def _kmeans_by_pivots(vectors: DataFrame, codebook: DataFrame, rounds: int, metric: str) -> DataFrame:
+    """Plain rounds for a codebook that no task can hold."""
+    unit = lambda c: F.transform(c, lambda x: x / F.greatest(F.sqrt(F.aggregate(c, F.lit(0.0), lambda a, y: a + y * y)), F.lit(1e-12)))
+    place = unit if metric == "cosine" else lambda c: c
+    e = F.col("e").cast("array<double>")
+    rows = kept(vectors.where(F.col("e").isNotNull()).select(F.monotonically_increasing_id().alias("row"), place(e).alias("e")), "kmeans")
+    book = kept(codebook.select(F.col("code").cast("long").alias("code"), place(e).alias("e")), "codebook")
     for _ in range(rounds):
-        near = nearest(vectors, codebook, key, metric).select(key, "code")
-        means = kmeans_step(vectors.select(key, "e").join(near, key), codebook)
-        book = means.groupBy("code").agg(F.transform(F.sort_array(F.collect_list(F.struct("d", "v"))), lambda x: x["v"].cast("double")).alias("e"))
-        rows = gather(book.orderBy("code"), MOST_CODES, "the codebook")
-        table = np.array([r.e for r in rows])
-        if metric == "cosine":
-            table = table / np.maximum(np.linalg.norm(table, axis=1, keepdims=True), 1e-12)
-        codebook = spark.createDataFrame([(r.code, e.tolist()) for r, e in zip(rows, table, strict=True)], "code long, e array<double>")
-    return codebook
+        near = rows.join(nearest_by_pivots(rows, book, "row", metric).select("row", "code"), "row")
+        means = kmeans_step(near, book).groupBy("code").agg(F.transform(F.sort_array(F.collect_list(F.struct("d", "v"))), lambda x: x["v"]).alias("e"))
+        book = kept(means.select("code", place(F.col("e")).alias("e")), "codebook")
+    return book
+
+
+def _hamerly(table: np.ndarray, moved: np.ndarray, known: bool, metric: str):
+    """One round: rows of the new state, then for each code the sum and number of the task's vectors."""
+    k, dims = table.shape
+    apart = _distances(table, table)
+    np.fill_diagonal(apart, np.inf)
+    half = apart.min(axis=1) / 2  # nothing nearer than that to a code is nearer to another
+    order = np.argsort(moved)[::-1]
+    most = np.full(k, moved[order[0]])  # of all other codes the longest move
+    most[order[0]] = moved[order[1]] if k > 1 else 0.0
+    names = ["e", "at", "upper", "lower", "sums", "n", "searched"]
+
+    def nulls(n: int, kind: pa.DataType) -> pa.Array:
+        return pa.nulls(n, kind)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, count, searched = np.zeros((k, dims)), np.zeros(k, np.int64), 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x = _placed(_stacked(b.column("e")), metric)
+            n = len(x)
+            at, upper, lower, open_ = np.zeros(n, np.int64), np.zeros(n), np.zeros(n), np.arange(n)
+            if known:
+                at = b.column("at").to_numpy().astype(np.int64)
+                upper, lower = b.column("upper").to_numpy() + moved[at], b.column("lower").to_numpy() - most[at]
+                doubt = lambda i: upper[i] >= np.maximum(lower[i], half[at[i]]) - 1e-7 * (1 + upper[i])
+                open_ = np.flatnonzero(doubt(np.arange(n)))
+                upper[open_] = np.linalg.norm(x[open_] - table[at[open_]], axis=1)
+                open_ = open_[doubt(open_)]
+            for part in np.array_split(open_, max(1, -(-len(open_) * k // (1 << 22)))):
+                if not len(part):
+                    continue
+                y = x[part]
+                squares = (y * y).sum(1)[:, None] + (table * table).sum(1)[None] - 2 * y @ table.T
+                best = np.argmax(np.round(y @ table.T if metric == "cosine" else -squares, DECIMALS), axis=1)
+                d = np.sqrt(np.maximum(squares, 0))
+                at[part], upper[part] = best, d[np.arange(len(part)), best]
+                d[np.arange(len(part)), best] = np.inf
+                lower[part] = d.min(axis=1)
+            searched += len(open_)
+            np.add.at(sums, at, x)
+            count += np.bincount(at, minlength=k)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * dims), pa.array(x.reshape(-1)))
+            yield pa.RecordBatch.from_arrays([lists, pa.array(at, pa.int32()), pa.array(upper), pa.array(lower), nulls(n, pa.list_(pa.float64())), nulls(n, pa.int64()), nulls(n, pa.int64())], names=names)
+        some = np.flatnonzero(count)
+        m = len(some)
+        if m:
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(m + 1, dtype=np.int32) * dims), pa.array(sums[some].reshape(-1)))
+            first = np.concatenate([[searched], np.zeros(m - 1, np.int64)])
+            yield pa.RecordBatch.from_arrays([nulls(m, pa.list_(pa.float64())), pa.array(some, pa.int32()), nulls(m, pa.float64()), nulls(m, pa.float64()), lists, pa.array(count[some]), pa.array(first)], names=names)
+
+    return run
 
 
 def project(vectors: DataFrame, key: str, weights: np.ndarray, bias: np.ndarray) -> DataFrame:

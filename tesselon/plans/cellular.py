@@ -167,6 +167,38 @@ def perplexity(spark, sf_dir):
 _NEAR = "lab AS (SELECT vec_id, CAST(label AS BIGINT) AS code, embedding AS e FROM embeddings WHERE label <> 3)"
 
 
+def _rounds(n: int) -> str:
+    """Plain k-means from the first ten vectors: each round's nearest codes, and their means."""
+    parts = ["v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings)", "c0 AS (SELECT vec_id AS code, e FROM v WHERE vec_id < 10)"]
+    for k in range(n):
+        score = "-list_sum(list_transform(range(1, 65), lambda i: (v.e[i] - c.e[i]) * (v.e[i] - c.e[i])))"
+        parts.append(f"a{k} AS (SELECT * FROM (SELECT vec_id, v.e, code, row_number() OVER (PARTITION BY vec_id ORDER BY round({score}, 9) DESC, code) AS r FROM v, c{k} c) WHERE r = 1)")
+        parts.append(f"m{k} AS (SELECT code, list(m ORDER BY d) AS e FROM (SELECT code, d, avg(x) AS m FROM (SELECT code, unnest(range(64)) AS d, unnest(e) AS x FROM a{k}) GROUP BY 1, 2) GROUP BY code)")
+        parts.append(f"c{k + 1} AS (SELECT c.code, coalesce(m.e, c.e) AS e FROM c{k} c LEFT JOIN m{k} m USING (code))")
+    return ", ".join(parts)
+
+
+@query(f"WITH {_rounds(4)} SELECT code, CAST(unnest(range(64)) AS INTEGER) AS d, round(unnest(e), 5) AS v FROM c4")
+def kmeans_fit(spark, sf_dir):
+    """A codebook learned in four rounds from all vectors."""
+    df = read(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("e"))
+    found = co.kmeans(df, book(spark, sf_dir), "vec_id", rounds=4, metric="euclid")
+    return found.select("code", F.posexplode("e").alias("d", "v")).withColumn("v", F.round("v", 5))
+
+
+@query("""WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+  n AS (SELECT *, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS norm FROM v), r AS (SELECT vec_id, list_reverse(e) AS e, norm FROM n),
+  s AS (SELECT r.vec_id, n.vec_id AS code, list_sum(list_transform(range(1, 65), lambda i: r.e[i] * n.e[i])) / greatest(r.norm * n.norm, 1e-12) AS score FROM r, n),
+  t AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY round(score, 9) DESC, code) AS k FROM s)
+  SELECT vec_id, code, round(score, 5) AS score FROM t WHERE k = 1""")
+def nearest_of_many(spark, sf_dir):
+    """Each vector turned round, and its nearest among all vectors: a codebook that grows with the table, searched around pivots."""
+    df = read(spark, sf_dir, "embeddings")
+    turned = df.select("vec_id", F.reverse("embedding").alias("e"))
+    codes = df.select(F.col("vec_id").alias("code"), F.col("embedding").alias("e"))
+    return co.nearest_by_pivots(turned, codes, "vec_id", pivots=32).withColumn("score", F.round("score", 5))
+
+
 def _labelled(spark, sf_dir):
     return read(spark, sf_dir, "embeddings").where("label <> 3").select("vec_id", F.col("label").cast("long").alias("code"), F.col("embedding").alias("e"))
 
