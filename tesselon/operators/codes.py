@@ -243,7 +243,7 @@ def _kmeans_by_pivots(vectors: DataFrame, codebook: DataFrame, rounds: int, metr
     unit = lambda c: F.transform(c, lambda x: x / F.greatest(F.sqrt(F.aggregate(c, F.lit(0.0), lambda a, y: a + y * y)), F.lit(1e-12)))
     place = unit if metric == "cosine" else lambda c: c
     e = F.col("e").cast("array<double>")
-    rows = kept(vectors.where(F.col("e").isNotNull()).select(F.monotonically_increasing_id().alias("row"), place(e).alias("e")), "kmeans")
+    rows = kept(vectors.where(F.col("e").isNotNull()).select(F.monotonically_increasing_id().alias("row"), e.alias("e")), "kmeans")
     book = kept(codebook.select(F.col("code").cast("long").alias("code"), place(e).alias("e")), "codebook")
     for _ in range(rounds):
         near = rows.join(nearest_by_pivots(rows, book, "row", metric).select("row", "code"), "row")
@@ -271,8 +271,8 @@ def _hamerly(table: np.ndarray, moved: np.ndarray, known: bool, metric: str):
         for b in batches:
             if not b.num_rows:
                 continue
-            x = _placed(_stacked(b.column("e")), metric)
-            n = len(x)
+            raw = _stacked(b.column("e"))
+            x, n = _placed(raw, metric), len(raw)
             at, upper, lower, open_ = np.zeros(n, np.int64), np.zeros(n), np.zeros(n), np.arange(n)
             if known:
                 at = b.column("at").to_numpy().astype(np.int64)
@@ -292,9 +292,9 @@ def _hamerly(table: np.ndarray, moved: np.ndarray, known: bool, metric: str):
                 d[np.arange(len(part)), best] = np.inf
                 lower[part] = d.min(axis=1)
             searched += len(open_)
-            np.add.at(sums, at, x)
+            np.add.at(sums, at, raw)
             count += np.bincount(at, minlength=k)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * dims), pa.array(x.reshape(-1)))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * dims), pa.array(raw.reshape(-1)))
             yield pa.RecordBatch.from_arrays([lists, pa.array(at, pa.int32()), pa.array(upper), pa.array(lower), nulls(n, pa.list_(pa.float64())), nulls(n, pa.int64()), nulls(n, pa.int64())], names=names)
         some = np.flatnonzero(count)
         m = len(some)

@@ -10,6 +10,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,8 +29,8 @@ def _matrix(values: pa.Array) -> np.ndarray:
     flat = values.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     if len(flat) % len(values):
         raise ValueError("vectors of different lengths")
-    sizes = pa.compute.list_value_length(values)
-    if pa.compute.min_max(sizes).as_py() != {"min": len(flat) // len(values), "max": len(flat) // len(values)}:
+    sizes = pc.list_value_length(values)
+    if pc.min_max(sizes).as_py() != {"min": len(flat) // len(values), "max": len(flat) // len(values)}:
         raise ValueError("vectors of different lengths")
     return flat.reshape(len(values), -1)
 
@@ -120,7 +121,7 @@ def project(vectors: DataFrame, key: str, column: str, axes: Axes, most: int | N
             some = b.column(1).drop_null()
             z = (_matrix(some) - axes.mean) @ turn if len(some) else np.zeros((0, turn.shape[1]))
             ends = np.concatenate([[0], np.cumsum(there.to_numpy(zero_copy_only=False))]) * turn.shape[1]
-            out = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(z.reshape(-1)), mask=pa.compute.invert(there))
+            out = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(z.reshape(-1)), mask=pc.invert(there))
             yield pa.RecordBatch.from_arrays([b.column(0), out], names=[key, "z"])
 
     return vectors.select(key, column).mapInArrow(run, f"{key} {kind}, z array<double>")

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .sizes import required
+
 
 def rates(curves: DataFrame, mode: str, eps: float = 1e-8) -> DataFrame:
     """(bin, iter, rate) of curves (bin, iter, perf) for every iteration strictly between a bin's first and last."""
@@ -24,10 +26,7 @@ def rates(curves: DataFrame, mode: str, eps: float = 1e-8) -> DataFrame:
 
 def gather(draws: DataFrame, table: DataFrame) -> DataFrame:
     """draws (iter, bin, …) with the rate of their stage and cell; a draw without one is an error that names it."""
-    lost = draws.join(table, ["iter", "bin"], "left_anti").head(1)
-    if lost:
-        raise ValueError(f"no rate for {lost[0].asDict()}")
-    return draws.join(table.select("iter", "bin", "rate"), ["iter", "bin"])
+    return required(draws, table.select("iter", "bin", "rate"), ["iter", "bin"], "no rate")
 
 
 def stage_target(df: DataFrame, mode: str, const: float = 1.0) -> DataFrame:

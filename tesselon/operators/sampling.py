@@ -14,8 +14,8 @@ def draw(seed: int | Column, *keys: str) -> Column:
     return F.md5(F.concat_ws(":", (F.lit(seed) if isinstance(seed, int) else seed).cast("string"), *[F.col(k).cast("string") for k in keys]))
 
 
-def registry(paths: DataFrame, order: list[Column], ranges: int | None = None) -> DataFrame:
-    """Adds id: dense numbers from 0 in the given order, without ties; a table without rows stays empty.
+def registry(paths: DataFrame, order: list[Column], ranges: int | None = None, name: str = "id") -> DataFrame:
+    """Adds a column (id, or as name says): dense numbers from 0 in the given order, without ties; a table without rows stays empty.
 
     The rows are sorted in ranges, each in a task of its own, and written with their place in the
     range. Numbers come from that one written table: a range's begin after those of the ranges
@@ -29,7 +29,7 @@ def registry(paths: DataFrame, order: list[Column], ranges: int | None = None) -
     sizes = held.groupBy(part).agg(F.count("*").alias("n_"))
     before = sizes.select("part_", (F.sum("n_").over(Window.orderBy("part_")) - F.col("n_")).alias("before_"))
     rows = held.withColumn("part_", part).join(F.broadcast(before), "part_")  # a row for each range
-    return rows.withColumn("id", F.col("before_") + F.col(place).bitwiseAND(F.lit((1 << 33) - 1))).drop("part_", "before_", place)
+    return rows.withColumn(name, F.col("before_") + F.col(place).bitwiseAND(F.lit((1 << 33) - 1))).drop("part_", "before_", place)
 
 
 def missing(sources: DataFrame, outputs: DataFrame, key: str) -> DataFrame:

@@ -20,3 +20,15 @@ def gather(df: DataFrame, rows: int, what: str) -> list:
     if len(found) > rows:
         raise ValueError(f"{what} has more than {rows} rows")
     return found
+
+
+def required(left: DataFrame, right: DataFrame, keys: list[str], what: str) -> DataFrame:
+    """left with the columns of right, in one join; a row of left without partner is an error of the job that names its keys.
+
+    The check is part of the columns that right brings, so it costs no pass of its own."""
+    there = "there_"
+    rows = left.join(right.withColumn(there, F.lit(True)), keys, "left")
+    lost = F.raise_error(F.concat(F.lit(f"{what}: "), F.to_json(F.struct(*keys))))
+    brought = [c for c in right.columns if c not in keys]
+    checked = {c: F.when(F.col(there).isNull(), lost).otherwise(F.col(c)) for c in brought or keys[:1]}
+    return rows.withColumns(checked).drop(there)

@@ -27,7 +27,7 @@ def cell_read(spark, sf_dir):
 def places_read(spark, sf_dir):
     """Rows of a cell at given places, in their order, one of them twice."""
     path = folder(spark, "cells")
-    sinks.write_cells(assigned(spark, sf_dir).select("cell", "vec_id"), path)
+    sinks.write_cells(assigned(spark, sf_dir).select("cell", "vec_id"), path, ["vec_id"])
     places = spark.createDataFrame([(1, 4), (2, 0), (3, 4)], "turn int, at int")
     return arrays.read_places(spark, path, 3, ["vec_id"], places).select("turn", "vec_id")
 
@@ -159,11 +159,11 @@ def report_read(spark, sf_dir):
     return spark.read.csv(path, sep="\t", header=True, schema="n_nationkey int, n_name string")
 
 
-@query(f"WITH {PANEL}, s AS (SELECT DISTINCT date_trunc('second', ts) AS ts, round(value, 4) AS v FROM panel WHERE value IS NOT NULL) SELECT ts, 0 AS node, v FROM s UNION ALL SELECT ts, 1, -v FROM s")
+@query(f"WITH {PANEL}, s AS (SELECT date_trunc('second', ts) AS ts, round(value, 4) AS v FROM panel) SELECT ts, 0 AS node, v FROM s UNION ALL SELECT ts, 1, -v FROM s")
 def predictions_read(spark, sf_dir):
-    """Predictions of two nodes as CSV, read as input for inference."""
+    """Predictions of two nodes as CSV, missing ones too, read as input for inference."""
     path = folder(spark, "predictions")
-    rows = panel(spark, sf_dir).where("value IS NOT NULL").select(F.date_trunc("second", "ts").alias("ts"), F.round("value", 4).alias("a")).distinct()
+    rows = panel(spark, sf_dir).select(F.date_trunc("second", "ts").alias("ts"), F.round("value", 4).alias("a"))
     sinks.write_predictions(rows.withColumn("b", -F.col("a")), path)
     return arrays.read_inference(spark, path, 2)
 
@@ -182,17 +182,60 @@ def metrics_read(spark, sf_dir):
     return raw.select("part", "v.mae", "v.rmse")
 
 
-@query(f"""WITH {_CURVE}, {_W}, x AS (SELECT count(*) AS rates FROM m), y AS (SELECT count(*) AS bins, round(avg(w), 4) AS w_mean FROM w) SELECT rates, bins, w_mean FROM x, y""")
+@query(f"""WITH {_CURVE}, {_W} SELECT 'rate' AS part, bin AS name, iter, round(greatest({_RATE['slope']}, 1e-8), 6) AS v FROM m
+  UNION ALL SELECT 'weight', CAST(bin AS VARCHAR), NULL, round(w, 6) FROM w UNION ALL SELECT 'report', 'w_mean', NULL, round(avg(w), 4) FROM w""")
 def rates_read(spark, sf_dir):
-    """Rates, weights and the report on them."""
+    """Rates, weights and the report on them, all read again."""
     path = folder(spark, "rates")
     found = weights(spark, sf_dir)
     sinks.write_rates(ra.rates(curve(spark, sf_dir), "slope"), found, ra.report(found), path)
-    report = spark.read.text(f"{path}/report").select(F.from_json("value", "w_mean double").alias("r")).select(F.round("r.w_mean", 4).alias("w_mean"))
-    rates = spark.read.parquet(f"{path}/rates").agg(F.count("*").alias("rates"))
-    bins = spark.read.parquet(f"{path}/weights").agg(F.count("*").alias("bins"))
-    key = lambda df: df.withColumn("one", F.lit(1))
-    return key(rates).join(key(bins), "one").join(key(report), "one").drop("one")  # one row each
+    none = F.lit(None).cast("int").alias("iter")
+    rates = spark.read.parquet(f"{path}/rates").select(F.lit("rate").alias("part"), F.col("bin").alias("name"), "iter", r6("rate").alias("v"))
+    held = spark.read.parquet(f"{path}/weights").select(F.lit("weight").alias("part"), F.col("bin").cast("string").alias("name"), none, r6("w").alias("v"))
+    report = spark.read.text(f"{path}/report").select(F.from_json("value", "w_mean double").alias("r"))
+    report = report.select(F.lit("report").alias("part"), F.lit("w_mean").alias("name"), none, F.round("r.w_mean", 4).alias("v"))
+    return rates.unionByName(held).unionByName(report)
+
+
+@query(f"""WITH {_CURVE}, b AS (SELECT bin, iter, perf, dense_rank() OVER (ORDER BY bin) - 1 AS k FROM c)
+  SELECT CAST(iter AS INTEGER) AS iter, CAST(k AS INTEGER) AS bin, round(perf, 4) AS perf FROM b WHERE iter BETWEEN 3 AND 9""")
+def metric_logs_read(spark, sf_dir):
+    """Validation curves as array files, one an iteration, and those of iterations 3 to 9 read again."""
+    path, df = folder(spark, "logs"), curve(spark, sf_dir)
+    rows = df.groupBy("iter").agg(F.transform(F.sort_array(F.collect_list(F.struct("bin", "perf"))), lambda x: x["perf"]).alias("values"))
+    sinks.write_npz(rows.select(F.concat(F.lit("run_"), F.col("iter").cast("string")).alias("file"), F.lit("mean_bin").alias("array"), F.lit(0).alias("i"), "values"), path)
+    return arrays.read_metric_logs(spark, path, first=3, last=9).select("iter", "bin", F.round("perf", 4).alias("perf"))
+
+
+@query("""WITH e AS (SELECT CAST(row_number() OVER (ORDER BY vec_id) - 1 AS INTEGER) AS row, embedding, label FROM embeddings)
+  SELECT row, CAST(i AS BIGINT) AS i, round(CAST(embedding[i + 1] AS DOUBLE), 6) AS v, label FROM e, range(64) r(i)""")
+def labelled_read(spark, sf_dir):
+    """A labelled dataset of arrays of four channels, read again as its test split, channels behind each other."""
+    path, df = folder(spark, "labelled"), read(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    sinks.write_npz(df.select(F.lit("test_inputs").alias("file"), F.lit("arr_0").alias("array"), F.col("vec_id").alias("i"), F.col("embedding").alias("values")), path, [4, 16])
+    labels = df.agg(F.transform(F.sort_array(F.collect_list(F.struct("vec_id", "label"))), lambda x: x["label"].cast("double")).alias("values"))
+    sinks.write_npz(labels.select(F.lit("test_labels").alias("file"), F.lit("arr_0").alias("array"), F.lit(0).alias("i"), "values"), path)
+    rows = arrays.read_labelled(spark, path, "valid").select("row", F.posexplode("inputs").alias("i", "v"), "label")
+    return rows.select("row", F.col("i").cast("long").alias("i"), r6("v").alias("v"), "label")
+
+
+@query(f"""WITH {PANEL}, u AS (SELECT user_id, CAST(count(*) AS INTEGER) AS n FROM panel GROUP BY user_id), t AS (SELECT unnest(['', '_past_feat_dynamic_real', '_values']) AS kind)
+  SELECT 'u' || user_id || kind || '.npy' AS name, 0 AS n, 0 AS c, CASE WHEN kind = '_past_feat_dynamic_real' THEN 1 ELSE 0 END AS start, n - CASE WHEN kind = '' THEN 0 ELSE 1 END AS "end"
+    FROM u, t""")
+def validity_read(spark, sf_dir):
+    """Valid ranges of users' series from side files, by the name of the array: three arrays a user share two side files."""
+    path = folder(spark, "validity")
+    users = panel(spark, sf_dir).groupBy("user_id").agg(F.count("*").cast("int").alias("n"))
+    one = lambda a, b: F.array(F.array(F.array(a, b)))
+    fields = F.struct(one(F.lit(0), F.col("n") - 1).alias("valid_indices"), one(F.lit(1), F.col("n") - 1).alias("past_feat_dynamic_real_valid_indices"))
+    shared = users.select(F.concat(F.lit("u"), "user_id", F.lit(".json")).alias("name"), F.to_json(fields).alias("value"))
+    own = users.select(F.concat(F.lit("u"), "user_id", F.lit("_own.json")).alias("name"), F.to_json(F.struct(one(F.lit(0), F.col("n")).alias("valid_indices"))).alias("value"))
+    sinks.write_texts(shared.unionByName(own), path)
+    side = arrays.read_side_files(spark, path)
+    side = side.select(F.substring_index("path", "/", -1).alias("path"), "value")
+    kinds = F.explode(F.array(F.lit("_own"), F.lit("_past_feat_dynamic_real"), F.lit("_values"))).alias("kind")
+    found = arrays.resolve_validity(users.select("user_id", kinds).select(F.concat(F.lit("u"), "user_id", "kind", F.lit(".npy")).alias("path")), side)
+    return found.select(F.regexp_replace("path", "_own", "").alias("name"), "n", "c", "start", "end")
 
 
 @query(f"""WITH {PRED}, r AS (SELECT user_id // 64 AS batch, user_id, t, row_number() OVER (PARTITION BY user_id // 64 ORDER BY user_id, t) - 1 AS place FROM pred)

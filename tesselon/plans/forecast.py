@@ -122,3 +122,9 @@ def error_filter(spark, sf_dir):
     """Series whose reconstruction errors don't exceed a limit."""
     errors = _errors(spark, sf_dir)
     return errors.where(F.coalesce(F.col("mae") <= 60, F.lit(True)) & F.coalesce(F.col("mse") <= 10000, F.lit(True))).select("user_id")
+
+
+@query(f"""WITH {PRED} SELECT event_type, count(*) AS whole, count(*) FILTER (target IS NULL OR abs(target - 50) > 5e-5) AS counted FROM pred GROUP BY event_type""")
+def metric_weight(spark, sf_dir):
+    """How much batches by type of event count in a running mean: all elements, and those that differ from a null value of 50."""
+    return pred(spark, sf_dir).groupBy("event_type").agg(m.weight().alias("whole"), m.weight(50.0).alias("counted"))

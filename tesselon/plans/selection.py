@@ -262,12 +262,11 @@ def double_transition(spark, sf_dir):
 
 
 @query(f"""WITH {_CURVE}, r AS (SELECT bin, iter, greatest({_RATE['slope']}, 1e-8) AS rate FROM m)
-  SELECT o_orderkey, round(rate, 6) AS rate FROM orders JOIN r ON bin = o_orderpriority AND iter = month(o_orderdate)""")
+  SELECT o_orderkey, round(rate, 6) AS rate FROM orders JOIN r ON bin = o_orderpriority AND iter = least(greatest(month(o_orderdate), 2), 11)""")
 def rate_gather(spark, sf_dir):
-    """The rate of every order's priority and month; the first and the last month have none."""
+    """The rate of every order's priority and month; the first and the last month, which have none, take their neighbour's."""
     table = ra.rates(curve(spark, sf_dir), "slope")
-    draws = read(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderpriority").alias("bin"), F.month("o_orderdate").alias("iter"))
-    draws = draws.where(F.col("iter").between(2, 11))
+    draws = read(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderpriority").alias("bin"), F.least(F.greatest(F.month("o_orderdate"), F.lit(2)), F.lit(11)).alias("iter"))
     return ra.gather(draws, table).select("o_orderkey", r6("rate").alias("rate"))
 
 

@@ -153,9 +153,16 @@ def read_cell(spark: SparkSession, path: str, cell: int) -> DataFrame:
 
 
 def read_places(spark: SparkSession, path: str, cell: int, order: list[str], places: DataFrame) -> DataFrame:
-    """Rows of a cell at given places (turn, at), in the order of turn; at counts from 0 by the order columns."""
-    rows = read_cell(spark, path, cell).withColumn("at", F.row_number().over(Window.partitionBy("cell").orderBy(*order)) - 1)
-    return rows.join(small(places), "at").orderBy("turn")
+    """Rows of a cell at given places (turn, at), in the order of turn; at counts from 0 by the order columns.
+
+    An index written with its order holds places: only the row groups between the least and the greatest are read."""
+    rows, asked = read_cell(spark, path, cell), small(places)
+    if "at" in rows.columns:
+        low, high = places.agg(F.min("at"), F.max("at")).first()
+        rows = rows.where(F.col("at").between(low, high)) if low is not None else rows.where("false")
+    else:
+        rows = rows.withColumn("at", F.row_number().over(Window.partitionBy("cell").orderBy(*order)) - 1)
+    return rows.join(asked, "at").orderBy("turn")
 
 
 def read_manifest(spark: SparkSession, path: str, index: str | None = None) -> DataFrame:

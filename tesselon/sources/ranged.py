@@ -14,6 +14,7 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.parquet as pq
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -301,7 +302,7 @@ class DatWriter(DataSourceArrowWriter):
                     continue
                 values = b.column("values")
                 flat = values.flatten().to_numpy(zero_copy_only=False).astype("<f4")
-                wide = pa.compute.unique(pa.compute.list_value_length(values)).to_pylist()
+                wide = pc.unique(pc.list_value_length(values)).to_pylist()
                 width = wide[0] if width < 0 else width
                 if wide != [width]:
                     raise ValueError(f"rows of {wide} numbers among rows of {width}")

@@ -2,17 +2,34 @@
 
 from __future__ import annotations
 
+import io
+import uuid
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..operators.sampling import registry
+from . import store
 from .arrays import bucket
 from .ranged import write_dat
+from .scratch import kept
+
 
+def write_cells(df: DataFrame, path: str, order: list[str] | None = None) -> None:
+    """An index partitioned by cell, so that a cell is read alone; appends. A cell with many rows is written by several tasks.
 
-def write_cells(df: DataFrame, path: str) -> None:
-    """An index partitioned by cell, so that a cell is read alone; appends."""
-    df.repartition("cell").sortWithinPartitions("cell").write.partitionBy("cell").mode("append").parquet(path)
+    order: rows get `at`, their place in the cell from 0 (of one write), and lie in that order, so that rows at
+    given places are found without numbering the cell again."""
+    if order:
+        rows = kept(registry(df, [F.col("cell"), *map(F.col, order)], name="number_"), "cells")
+        first = rows.groupBy("cell").agg(F.min("number_").alias("first_"))
+        df = rows.join(first, "cell").withColumn("at", F.col("number_") - F.col("first_")).drop("number_", "first_")
+    df.hint("rebalance", "cell").sortWithinPartitions("cell", *["at"] * bool(order)).write.partitionBy("cell").mode("append").parquet(path)
 
 
 def write_corpus(df: DataFrame, path: str) -> None:
@@ -89,3 +106,40 @@ def write_validation(summary: DataFrame, bad: DataFrame, path: str) -> None:
 def write_table(df: DataFrame, path: str) -> None:
     """Codes, errors, embeddings, cells, codebooks, rates and weights: plain Parquet."""
     df.write.mode("overwrite").parquet(path)
+
+
+def write_texts(df: DataFrame, path: str) -> None:
+    """Rows (name, value) as files path/name, each written whole or not at all."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for name, value in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                new = f"{path}/.{name}.{uuid.uuid4().hex}"
+                with store.created(new) as f:
+                    f.write(value.encode())
+                store.move(new, f"{path}/{name}")
+            yield b.select(["name"])
+
+    df.select("name", "value").mapInArrow(run, "name string").write.format("noop").mode("overwrite").save()
+
+
+def write_npz(df: DataFrame, path: str, shape: list[int] | None = None) -> None:
+    """Rows (file, array, i, values) as path/<file>.npz: each array has the values of its rows, in order of i, as its rows.
+
+    shape: of what a row of values stands for, for arrays of more dimensions; an array of one row has no leading
+    axis. A file is made in one task: such files are small (curves, labels, parts of a dataset)."""
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        held = {}
+        for name, part in rows.groupby("array"):
+            x = np.stack(part.sort_values("i")["values"].to_numpy()).astype(np.float64)
+            held[name] = x.reshape(len(x), *shape) if shape and len(x) > 1 else x[0] if len(x) == 1 else x
+        content = io.BytesIO()
+        np.savez(content, **held)
+        new = f"{path}/.{key[0]}.{uuid.uuid4().hex}"
+        with store.created(new) as f:
+            f.write(content.getvalue())
+        store.move(new, f"{path}/{key[0]}.npz")
+        return pd.DataFrame({"file": [key[0]]})
+
+    df.select("file", "array", "i", "values").groupBy("file").applyInPandas(run, "file string").write.format("noop").mode("overwrite").save()
