@@ -31,9 +31,9 @@ def test_pivots_find_what_all_distances_find(spark, monkeypatch, metric, pivots)
 
 def lloyd(x, book, rounds, metric):
     place = (lambda y: y / np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-12)) if metric == "cosine" else lambda y: y
-    x, book = place(x), place(book)
+    book = place(book)
     for _ in range(rounds):
-        score = x @ book.T if metric == "cosine" else -((x[:, None] - book[None]) ** 2).sum(2)
+        score = place(x) @ book.T if metric == "cosine" else -((x[:, None] - book[None]) ** 2).sum(2)
         at = np.argmax(np.round(score, 9), axis=1)
         book = place(np.stack([x[at == c].mean(0) if (at == c).any() else book[c] for c in range(len(book))]))
     return book
