@@ -30,6 +30,39 @@ class Signatures:
         self.open = np.ascontiguousarray(self.open[:, stays])
 
 
+def fold(maps: np.ndarray, words: int) -> np.ndarray:
+    """Bitmaps (rows of words) with fewer words: those that fall together are joined."""
+    return np.bitwise_or.reduce(maps.reshape(len(maps), -1, words), axis=1) if maps.shape[1] > words else maps
+
+
+class Bitmaps:
+    """Bitmaps of sets, wider ones for larger sets; linked while they differ in no more bits than the sets may in features."""
+
+    def __init__(self, maps: list[bytes], sizes: np.ndarray, percent: int):
+        self.all, self.sizes, self.percent = [np.frombuffer(m, _U)[None] for m in maps], sizes, percent
+
+    def start(self, order: np.ndarray) -> None:
+        width = np.array([self.all[i].shape[1] for i in order])
+        cuts = [0, *(np.flatnonzero(np.diff(width)) + 1).tolist(), len(order)]
+        self.open = [np.concatenate([self.all[i] for i in order[a:b]]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]  # by width, which grows with the size
+        self.size = self.sizes[order]
+
+    def near(self, x: int, a: int, b: int) -> np.ndarray:
+        apart, at, own = [], 0, self.all[x]
+        for maps in self.open:
+            low, high = max(a - at, 0), min(b - at, len(maps))
+            if low < high:
+                words = min(maps.shape[1], own.shape[1])
+                apart.append(np.bitwise_count(fold(maps[low:high], words) ^ fold(own, words)).sum(axis=1, dtype=np.int64))
+            at += len(maps)
+        return (100 + self.percent) * np.concatenate(apart) <= (100 - self.percent) * (self.sizes[x] + self.size[a:b])
+
+    def keep(self, stays: np.ndarray) -> None:
+        parts = np.split(stays, np.cumsum([len(m) for m in self.open])[:-1])
+        self.open = [m[s] for m, s in zip(self.open, parts, strict=True) if s.any()]
+        self.size = self.size[stays]
+
+
 class Sets:
     """Sets of features, those not yet found one behind the other; linked by their Jaccard similarity."""
 
@@ -55,7 +88,7 @@ class Sets:
         self.at = np.cumsum(self.size) - self.size
 
 
-def forest(sizes: np.ndarray, percent: int, sets: Signatures | Sets) -> Iterator[tuple[int, int]]:
+def forest(sizes: np.ndarray, percent: int, sets: Signatures | Bitmaps | Sets) -> Iterator[tuple[int, int]]:
     """(x, y) of a spanning forest of the links between non-empty sets; sizes further apart than percent are not compared."""
     order = np.argsort(sizes, kind="stable")
     sets.start(order)

@@ -14,7 +14,9 @@ shuffle (those of the fewest features), the others after it (those that most set
 parts of passages that many documents hold). What is left and shared leads each set to the
 least one it shares a signature with. Around each of these, bitmaps are compared, in blocks:
 two bitmaps differ in at most as many bits as the sets do in features. What passes forms
-families, and each family is compared exactly, in blocks of bounded size.
+families, and each family is compared exactly, in blocks of bounded size: for numbers of links pair
+by pair, where only components are asked for by a search that compares a set with those that no
+component holds yet (see forest), so that a family of near copies costs a comparison a member.
 """
 
 from __future__ import annotations
@@ -26,18 +28,21 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import Scratch, bound_batches, free_name, mix, shingle_hashes, small, spark_gc, tidy, words_by_row
 from .components import connected_components
+from .forest import Bitmaps, Sets, forest
 
 _U = np.uint64
 #: Features that one block of a family may hold; larger families are compared block by block.
 BLOCK_FEATURES = 1_500_000
 #: Bytes of bitmaps that one block around a common neighbour may hold.
 BLOCK_BYTES = 16 << 20
+#: Sets of a block, as large as they may be.
+BLOCK_SETS = 8192
 #: Rows that leave a worker together.
 _ROWS = 100_000
 
@@ -108,43 +113,6 @@ def bitmap(features: np.ndarray) -> bytes:
     return np.packbits(bits, bitorder="little").tobytes()
 
 
-def _fold(maps: np.ndarray, size: int) -> np.ndarray:
-    """Bitmaps (rows of words) with fewer bits: words that fall together are joined."""
-    return np.bitwise_or.reduce(maps.reshape(len(maps), -1, size), axis=1)
-
-
-def alike(ids: list[int], sizes: list[int], maps: list[bytes], side: list[int], percent: int) -> Iterator[tuple[int, int]]:
-    """A spanning forest of the pairs whose sizes and bitmaps allow the similarity; with two sides, of pairs across them."""
-    n, part = np.array(sizes), np.array(side)
-    two = len(set(side)) > 1
-    order = np.argsort(n, kind="stable")
-    width = np.array([len(m) // 8 for m in maps])
-    forest, by = _Forest(len(ids)), {}
-    for w in sorted(set(width.tolist())):
-        rows = order[width[order] == w]  # by size
-        by[w] = (rows, np.frombuffer(b"".join(maps[i] for i in rows), _U).reshape(-1, w))
-    for w, (rows, own) in by.items():
-        for v, (others, theirs) in by.items():
-            if v < w:
-                continue
-            if 100 * n[rows[-1]] < percent * n[others[0]]:
-                continue
-            other_maps = theirs if v == w else _fold(theirs, w)
-            for i, x in enumerate(rows.tolist()):
-                # sizes from that of x up, as far as the similarity allows
-                a = i + 1 if v == w else 0
-                b = int(np.searchsorted(n[others], 100 * n[x] // percent, "right"))
-                if b <= a:
-                    continue
-                apart = np.bitwise_count(other_maps[a:b] ^ own[i]).sum(axis=1, dtype=np.int64)
-                good = (100 + percent) * apart <= (100 - percent) * (n[x] + n[others[a:b]])
-                if two:
-                    good &= part[others[a:b]] != part[x]
-                for y in others[a:b][good].tolist():
-                    if forest.join(x, y):
-                        yield ids[x], ids[y]
-
-
 def _sets(size: int):
     """The sorted distinct shingle hashes of each text."""
 
@@ -305,6 +273,11 @@ def _grouped(work, names: list[str], kinds: list[pa.DataType]):
     return tidy(run)
 
 
+def _blocks(parts: Column) -> Column:
+    """Blocks of a group, at least so many parts, each of BLOCK_SETS rows at most or so."""
+    return F.ceil(F.greatest(parts, F.count("*") / BLOCK_SETS)).cast("int").alias("blocks")
+
+
 def _in_blocks(rows: DataFrame, member: str) -> DataFrame:
     """rows (home, blocks, member, weight, made) dealt out by (home, lo, hi): each pair of a home's blocks, and each block alone, together."""
     block = F.pmod(F.xxhash64(member), F.col("blocks")).cast("int")
@@ -340,10 +313,14 @@ def _families(texts: DataFrame, classes: DataFrame, scratch: Scratch, words: int
     maps = texts.join(small(scratch.write(own, "own")), ["doc_id", "text_key"]).select("vertex", "weight", "text")
     maps = scratch.write(maps.mapInArrow(tidy(_with_sets(words, ["vertex", "weight"], bitmap)), "vertex long, weight long, made binary"), "maps")
     units = units.join(maps.select("vertex", F.length("made").alias("bytes")), "vertex")
-    blocks = units.groupBy("home").agg(F.ceil(F.sum("bytes") / BLOCK_BYTES).cast("int").alias("blocks"))
+    blocks = units.groupBy("home").agg(_blocks(F.sum("bytes") / BLOCK_BYTES))
     units = scratch.write(units.select("vertex", "home").join(blocks, "home"), "blocked")
     rows = _in_blocks(units.join(maps, "vertex").select("home", "blocks", "vertex", "weight", "made"), "vertex")
-    work = lambda side, ids, sizes, maps: alike(ids, sizes, maps, side, percent)
+
+    def work(side: list[int], ids: list[int], sizes: list[int], maps: list[bytes]) -> Iterator[tuple[int, int]]:
+        for x, y in forest(np.array(sizes), percent, Bitmaps(maps, np.array(sizes), percent)):
+            yield ids[x], ids[y]
+
     edges = rows.mapInArrow(_grouped(work, ["u", "v"], [pa.int64()] * 2), "u long, v long")
     edges = scratch.write(edges, "alike")
     scratch.drop("pairs", "units", "met", "own", "maps", "blocked")
@@ -355,7 +332,7 @@ def _linked(texts: DataFrame, classes: DataFrame, scratch: Scratch, words: int,
     """(u key, v key, links): the exact links of each family, a forest of them with v, and each set's number of linked documents without."""
     family = _families(texts, classes, scratch, words, percent)
     member = classes.join(family, "vertex").select("label", "doc_id", "text_key", "key", "n", "copies")
-    parts = member.groupBy("label").agg(F.ceil(F.sum("n") / BLOCK_FEATURES).cast("int").alias("blocks"))
+    parts = member.groupBy("label").agg(_blocks(F.sum("n") / BLOCK_FEATURES))
     member = member.join(parts, "label").select(F.col("label").alias("home"), "blocks", "key", F.col("copies").alias("weight"), "doc_id", "text_key")
     member = small(scratch.write(member, "members"))
     rows = texts.join(member, ["doc_id", "text_key"]).select("home", "blocks", "key", "weight", "text")
@@ -365,6 +342,29 @@ def _linked(texts: DataFrame, classes: DataFrame, scratch: Scratch, words: int,
     return scratch.write(links, "links")
 
 
+def confirmed(texts: DataFrame, classes: DataFrame, family: DataFrame, scratch: Scratch, words: int, percent: int) -> DataFrame:
+    """A spanning forest of the exact links within families (vertex, label), (u key, v key, links null): for components, which need no counts."""
+    member = classes.join(family, "vertex").select("label", "doc_id", "text_key", "key", "n")
+    parts = member.groupBy("label").agg(_blocks(F.sum("n") / BLOCK_FEATURES))
+    member = member.join(parts, "label").select(F.col("label").alias("home"), "blocks", "key", F.col("n").alias("weight"), "doc_id", "text_key")
+    member = small(scratch.write(member, "members"))
+    rows = texts.join(member, ["doc_id", "text_key"]).select("home", "blocks", "key", "weight", "text")
+    kind = "home long, blocks int, key binary, weight long, made binary"
+    rows = rows.mapInArrow(tidy(_with_sets(words, ["home", "blocks", "key", "weight"], lambda s: s.tobytes())), kind)
+
+    def work(side: list[int], ids: list[bytes], sizes: list[int], made: list[bytes]) -> Iterator[tuple[bytes, bytes, None]]:
+        for x, y in forest(np.array(sizes), percent, Sets([np.frombuffer(m, _U) for m in made], percent)):
+            yield ids[x], ids[y], None
+
+    links = _in_blocks(rows, "key").mapInArrow(_grouped(work, ["u", "v", "links"], [pa.binary(), pa.binary(), pa.int64()]), "u binary, v binary, links long")
+    return scratch.write(links, "links")
+
+
+def _joined(texts: DataFrame, classes: DataFrame, scratch: Scratch, words: int, percent: int) -> DataFrame:
+    """As _linked, without numbers of links."""
+    return confirmed(texts, classes, _families(texts, classes, scratch, words, percent), scratch, words, percent)
+
+
 def _classify(docs: DataFrame, words: int, percent: int, scratch: Scratch, find=_linked) -> tuple[DataFrame, DataFrame, bool]:
     """Rows of docs with their sets, the classes of equal sets with the label of their links' component, and whether ids repeat."""
     bound_batches(docs.sparkSession)
@@ -434,7 +434,7 @@ def one_per_class(docs: DataFrame, *, words: int = 5, percent: int = 80) -> Data
     stands at texts of two classes doesn't join them here. Of equal rows one stays. An empty table
     stays empty."""
     scratch = Scratch(docs.sparkSession, "classes")
-    rows, classes, repeats = _classify(docs, words, percent, scratch)
+    rows, classes, repeats = _classify(docs, words, percent, scratch, _joined)
     first = scratch.write(classes.groupBy("label").agg(F.min(F.struct("doc_id", "text_key")).alias("first")), "first")
     stays = classes.join(first, "label").select("key", "first")
     gone = rows.where("key is not null and doc_id is not null").join(stays, "key").where(F.struct("doc_id", "text_key") != F.col("first"))

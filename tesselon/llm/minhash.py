@@ -26,9 +26,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import jaccard
-from .common import Scratch, mix, small, spark_gc, tidy
+from .common import Scratch, mix, spark_gc, tidy
 from .components import connected_components
-from .forest import Sets, Signatures, forest
+from .forest import Signatures, forest
 
 COORDINATES = 64
 #: Chance of a miss that the threshold of matches allows for a pair of just the similarity.
@@ -116,25 +116,7 @@ def _families(texts: DataFrame, scratch: Scratch, words: int, percent: int) -> D
 
 def linked(texts: DataFrame, classes: DataFrame, scratch: Scratch, words: int, percent: int) -> DataFrame:
     """(u key, v key, links null): a spanning forest of the links between classes, confirmed on full sets."""
-    return confirmed(texts, classes, _families(texts, scratch, words, percent), scratch, words, percent)
-
-
-def confirmed(texts: DataFrame, classes: DataFrame, family: DataFrame, scratch: Scratch, words: int, percent: int) -> DataFrame:
-    """A spanning forest of the exact links within families (vertex, label), as linked gives it."""
-    member = classes.join(family, "vertex").select("label", "doc_id", "text_key", "key", "n")
-    parts = member.groupBy("label").agg(F.ceil(F.sum("n") / jaccard.BLOCK_FEATURES).cast("int").alias("blocks"))
-    member = member.join(parts, "label").select(F.col("label").alias("home"), "blocks", "key", F.col("n").alias("weight"), "doc_id", "text_key")
-    member = small(scratch.write(member, "members"))
-    rows = texts.join(member, ["doc_id", "text_key"]).select("home", "blocks", "key", "weight", "text")
-    kind = "home long, blocks int, key binary, weight long, made binary"
-    rows = rows.mapInArrow(tidy(jaccard._with_sets(words, ["home", "blocks", "key", "weight"], lambda s: s.tobytes())), kind)
-
-    def work(side: list[int], ids: list[bytes], sizes: list[int], made: list[bytes]) -> Iterator[tuple[bytes, bytes, None]]:
-        for x, y in forest(np.array(sizes), percent, Sets([np.frombuffer(m, _U) for m in made], percent)):
-            yield ids[x], ids[y], None
-
-    links = jaccard._in_blocks(rows, "key").mapInArrow(jaccard._grouped(work, ["u", "v", "links"], [pa.binary(), pa.binary(), pa.int64()]), "u binary, v binary, links long")
-    return scratch.write(links, "links")
+    return jaccard.confirmed(texts, classes, _families(texts, scratch, words, percent), scratch, words, percent)
 
 
 def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80) -> DataFrame:
