@@ -1,6 +1,6 @@
 """All queries over the reference tables, with their SQL."""
 
-from . import cellular, files, forecast, models, selection, streams, timeseries  # noqa: F401  they register their queries
+from . import cellular, files, forecast, learning, models, selection, streams, timeseries  # noqa: F401  they register their queries
 from .base import QUERIES
 
 
