@@ -3,8 +3,9 @@
 from pyspark.sql import functions as F
 
 from ..functions import metrics as m
+from ..functions import sql
 from ..operators import codes as co
-from .base import PRED, pred, query, r6, read
+from .base import PACKED, PRED, packed, pred, query, r6, read
 
 _V = "target IS NOT NULL"
 
@@ -128,3 +129,22 @@ def error_filter(spark, sf_dir):
 def metric_weight(spark, sf_dir):
     """How much batches by type of event count in a running mean: all elements, and those that differ from a null value of 50."""
     return pred(spark, sf_dir).groupBy("event_type").agg(m.weight().alias("whole"), m.weight(50.0).alias("counted"))
+
+
+@query(f"""WITH {PRED} SELECT event_type, round({_SQL['mae']}, 6) AS mae, round({_SQL['rmse']}, 6) AS rmse, round({_SQL['mape']}, 6) AS mape, round({_SQL['smape']}, 6) AS smape FROM pred GROUP BY event_type""")
+def sql_metrics(spark, sf_dir):
+    """Metrics by type of event as SQL text, with the library's functions."""
+    sql.register(spark)
+    mean = lambda name: f"coalesce(avg({name}(prediction, target, NULL)), 0)"
+    return spark.sql(f"""SELECT event_type, round({mean('abs_error')}, 6) AS mae, round(sqrt({mean('square_error')}), 6) AS rmse,
+      round({mean('share_error')}, 6) AS mape, round({mean('symmetric_error')}, 6) AS smape FROM {{df}} GROUP BY event_type""", df=pred(spark, sf_dir))
+
+
+@query(f"""WITH {PACKED}, f AS (SELECT user_id, values, unnest(range((len(values) - 16) // 8 + 1)) AS i FROM packed WHERE len(values) >= 16)
+  SELECT user_id, CAST(i AS INTEGER) AS i, round(list_sum(values[i * 8 + 1 : i * 8 + 16]), 5) AS total, list_count(values[i * 8 + 1 : i * 8 + 16]) AS seen FROM f""")
+def sql_patches(spark, sf_dir):
+    """Overlapping patches of series as SQL text: their sums, and how many values they have."""
+    sql.register(spark)
+    return spark.sql("""SELECT user_id, i, round(aggregate(filter(patch, x -> x IS NOT NULL), 0.0D, (a, x) -> a + x), 5) AS total,
+      CAST(size(filter(patch, x -> x IS NOT NULL)) AS LONG) AS seen 
+      FROM (SELECT user_id, patches(values, 16, 8) AS parts FROM {df}) LATERAL VIEW posexplode(parts) AS i, patch""", df=packed(spark, sf_dir))
