@@ -6,6 +6,7 @@ import atexit
 import ctypes
 import gc
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 
@@ -23,7 +24,9 @@ BROADCAST_ROWS = 200_000
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _SEGMENT = 1 << 20
-_scratch_paths: list[tuple[SparkSession, str]] = []
+#: Written tables: session, path, and the mark that was set in their thread.
+_scratch_paths: list[tuple[SparkSession, str, object]] = []
+_here = threading.local()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,7 +46,7 @@ def scratch_root(spark: SparkSession) -> str:
         if spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local":
             root = "file://" + tempfile.mkdtemp(prefix="tesselon-")
         else:
-            root = spark.conf.get("spark.sql.warehouse.dir")
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
@@ -55,7 +58,7 @@ def drop_scratch(spark: SparkSession, path: str) -> None:
 
 
 def _drop_all() -> None:
-    for spark, path in _scratch_paths:
+    for spark, path, _ in _scratch_paths:
         try:
             drop_scratch(spark, path)
         except Exception:  # a session may have ended already; others may not
@@ -75,7 +78,7 @@ class Scratch:
         """Writes df and reads it again; a table written earlier by that name goes."""
         old, path = self.paths.get(name), f"{self.root}/{name}-{uuid.uuid4().hex[:8]}"
         df.write.option("compression", "zstd").parquet(path)
-        _scratch_paths.append((self.spark, path))
+        _scratch_paths.append((self.spark, path, getattr(_here, "mark", None)))
         self.paths[name] = path
         if old:
             drop_scratch(self.spark, old)
@@ -94,16 +97,19 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def scratch_mark() -> int:
-    """Where the list of scratch tables ends just now; see drop_since."""
-    return len(_scratch_paths)
+def scratch_mark() -> object:
+    """A mark for the scratch tables that this thread writes from now on; see drop_since."""
+    _here.mark = object()
+    return _here.mark
 
 
-def drop_since(mark: int) -> None:
-    """Drops the scratch tables written since mark but for the newest, which must not need them any more."""
-    for spark, path in _scratch_paths[mark:-1]:
+def drop_since(mark: object) -> None:
+    """Drops the scratch tables written under a mark but for the newest, which must not need them any more; those of other threads stay."""
+    own = [x for x in _scratch_paths if x[2] is mark][:-1]
+    for spark, path, _ in own:
         drop_scratch(spark, path)
-    del _scratch_paths[mark:-1]
+    gone = {path for _, path, _ in own}
+    _scratch_paths[:] = [x for x in _scratch_paths if x[1] not in gone]
 
 
 def spark_gc(spark: SparkSession) -> None:

@@ -11,11 +11,11 @@ from __future__ import annotations
 
 from collections import deque
 from collections.abc import Iterator
+from math import log
 from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -142,7 +142,7 @@ class Space:
 
 def _learn(dims: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        space, sums = Space(dims, gram), {}
+        space, sums, grams = Space(dims, gram), {}, {}
         pending: dict[str, list] = {}
         waiting = 0
 
@@ -151,6 +151,7 @@ def _learn(dims: int, gram: int):
                 codes, at = np.unique(np.concatenate([c for c, _ in found]), return_inverse=True)
                 counts = np.bincount(at, weights=np.concatenate([n for _, n in found]))
                 sums[lang] = sums.get(lang, 0) + space.total(codes, counts)
+                grams[lang] = grams.get(lang, 0) + int(counts.sum())
             pending.clear()
 
         for batch in batches:
@@ -164,16 +165,14 @@ def _learn(dims: int, gram: int):
         add()
         langs = sorted(sums)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(langs, pa.string()), pa.array([np.rint(sums[k]).astype(np.int64) for k in langs], pa.list_(pa.int64()))],
+            [pa.array(langs, pa.string()), pa.array([np.append(np.rint(sums[k]).astype(np.int64), grams[k]) for k in langs], pa.list_(pa.int64()))],
             names=["lang", "bundle"])
 
     return run
 
 
-def learn(docs: DataFrame, *, dims: int = 1024, gram: int = 3) -> dict[str, list[float]]:
-    """Prototype of each language from rows (text, lang), both non-null.
-
-    The only thing gathered is one vector a language."""
+def _profiles(docs: DataFrame, dims: int = 1024, gram: int = 3) -> dict[str, list[float]]:
+    """Of each language the sum of its n-gram vectors, and behind it the number of n-grams; one such vector a language is all that is gathered."""
     bound_batches(docs.sparkSession)
     sums = docs.select("text", "lang").mapInArrow(tidy(_learn(dims, gram)), "lang string, bundle array<long>")
     sums = sums.select("lang", F.posexplode("bundle").alias("d", "v")).groupBy("lang", "d").agg(F.sum("v").alias("v"))
@@ -181,7 +180,15 @@ def learn(docs: DataFrame, *, dims: int = 1024, gram: int = 3) -> dict[str, list
     return {r.lang: [float(p.v) for p in r.parts] for r in sorted(rows, key=lambda r: r.lang)}
 
 
-def _predict(prototypes: dict[str, list[float]], dims: int, gram: int):
+def learn(docs: DataFrame, *, dims: int = 1024, gram: int = 3) -> dict[str, list[float]]:
+    """Prototype of each language from rows (text, lang), both non-null.
+
+    The only thing gathered is one vector a language."""
+    return {k: v[:-1] for k, v in _profiles(docs, dims, gram).items()}
+
+
+def _predict(prototypes: dict[str, list[float]], dims: int, gram: int, sizes: bool = False):
+    """Adds lang_pred and score; with sizes also grams, the number of n-grams."""
     langs = list(prototypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,9 +196,11 @@ def _predict(prototypes: dict[str, list[float]], dims: int, gram: int):
         table = np.array([prototypes[k] for k in langs]).reshape(len(langs), dims)
         table = table / np.maximum(np.linalg.norm(table, axis=1, keepdims=True), 1e-12)
         for batch in batches:
-            pred, score = [], []
+            pred, score, grams = [], [], []
             for text in batch.column("text").to_pylist():
-                found = space.bundle(text) if text and langs else None
+                parts = list(space.counts(text)) if text and langs else []
+                found = sum(space.total(*p) for p in parts) if parts else None
+                grams.append(sum(int(n.sum()) for _, n in parts))
                 if found is None:
                     pred.append("und")
                     score.append(0.0)
@@ -202,8 +211,8 @@ def _predict(prototypes: dict[str, list[float]], dims: int, gram: int):
                 score.append(min(1.0, max(0.0, float(cosine[best]))))
             rest = [(n, batch.column(n)) for n in batch.schema.names if n != "text"]
             yield pa.RecordBatch.from_arrays(
-                [c for _, c in rest] + [pa.array(pred, pa.string()), pa.array(score, pa.float64())],
-                names=[n for n, _ in rest] + ["lang_pred", "score"])
+                [c for _, c in rest] + [pa.array(pred, pa.string()), pa.array(score, pa.float64())] + [pa.array(grams, pa.int64())] * sizes,
+                names=[n for n, _ in rest] + ["lang_pred", "score"] + ["grams"] * sizes)
 
     return run
 
@@ -224,9 +233,13 @@ def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
 
 
+def _to_learn(docs: DataFrame) -> DataFrame:
+    return docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
+
+
 def learned(docs: DataFrame) -> dict[str, list[float]]:
     """Prototypes from the rows that aren't held out."""
-    return learn(docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id"))))
+    return learn(_to_learn(docs))
 
 
 def op1_language(spark, sf_dir: str) -> DataFrame:
@@ -237,25 +250,48 @@ def op1_language(spark, sf_dir: str) -> DataFrame:
 
 #: Chance that a text unrelated to all languages passes in the pipeline.
 CHANCE = 0.001
-#: A text of fewer characters has too few n-grams to be told from chance, even in a learned language: one deviation is enough.
-SHORT = 100
-
-
+#: How much likelier a document is of a learned language than of none, before its text is seen.
+PRIOR = 100
+#: How far cosines of a language's texts spread about the expected one; 0.10 to 0.13 was measured from 20 to 200 n-grams.
+SPREAD = 0.12
 def least_score(languages: int, dims: int = 1024) -> float:
     """The cosine that the largest of so many unrelated ones, normal with deviation dims**-0.5, exceeds by CHANCE."""
     return NormalDist().inv_cdf((1 - CHANCE) ** (1 / max(1, languages))) * dims**-0.5
 
 
+def expected_score(grams: np.ndarray, share: float) -> np.ndarray:
+    """The cosine that a text of so many n-grams of a language has with its prototype, on the mean.
+
+    share: the chance that two n-grams of the language are equal. A text's n-grams meet those of the
+    language n * share times over, and each other too: (n * share / (1 + n * share)) ** 0.5."""
+    met = grams * share
+    return np.sqrt(met / (1 + met))
+
+
+def likely_score(expected: np.ndarray, dims: int = 1024) -> np.ndarray:
+    """The cosine from which on a text is rather of the language than of none, by the ratio of likelihoods and PRIOR.
+
+    Cosines of the language's texts spread by SPREAD about the expected one, those of unrelated texts by
+    dims**-0.5 about 0: the log-ratio is a quadratic in the cosine, of which this is the upper root."""
+    a, b = dims / 2 - 0.5 / SPREAD**2, expected / SPREAD**2
+    c = log(PRIOR * dims**-0.5 / SPREAD) - 0.5 * (expected / SPREAD) ** 2
+    return np.maximum((np.sqrt(np.maximum(b * b - 4 * a * c, 0)) - b) / (2 * a), 0.0)
+
+
 def keep_known(docs: DataFrame) -> DataFrame:
     """Pipeline stage: documents of a recognised language, all columns as they are; those of none go.
 
-    Null texts and texts without a letter go. Repeated rows stay or go together. If nothing can be
-    learned (no row has a language), all go; an empty table stays empty."""
+    A text stays if its cosine is above what unrelated texts reach by chance, or, where its few n-grams
+    can't be expected to reach that in a learned language either, if with this cosine it is likelier of
+    that language than of none. The smaller of both bounds is one rule for texts of any length, and
+    grows with the number of n-grams. Null texts and texts without a letter go. Repeated rows stay or go together. If nothing can be learned (no row has a
+    language), all go; an empty table stays empty."""
     bound_batches(docs.sparkSession)
-    prototypes = learned(docs)
-    least = least_score(len(prototypes))
+    profiles = _profiles(_to_learn(docs))
+    prototypes, least = {k: v[:-1] for k, v in profiles.items()}, least_score(len(profiles))
+    share = {k: sum(x * x for x in v[:-1]) / (len(v) - 1) / v[-1] ** 2 for k, v in profiles.items()} | {"und": 0.0}
 
-    def run(batches, inner=_predict(prototypes, 1024, 3)):
+    def run(batches, inner=_predict(prototypes, 1024, 3, sizes=True)):
         seen = deque()
 
         def watched():
@@ -264,9 +300,9 @@ def keep_known(docs: DataFrame) -> DataFrame:
                 yield batch
 
         for out in inner(watched()):  # one for each batch, in order
-            batch = seen.popleft()
-            sizes = pc.fill_null(pc.utf8_length(batch["text"]), 0).to_pylist()
-            rows = zip(out["lang_pred"].to_pylist(), out["score"].to_pylist(), sizes, strict=True)
-            yield batch.filter(pa.array([p != "und" and s >= (least if n >= SHORT else 1024**-0.5) for p, s, n in rows], pa.bool_()))
+            lang = out["lang_pred"].to_pylist()
+            bound = np.minimum(least, likely_score(expected_score(out["grams"].to_numpy(), np.array([share[k] for k in lang]))))
+            known = np.array([k != "und" for k in lang], bool) & (out["score"].to_numpy() >= bound)
+            yield seen.popleft().filter(pa.array(known, pa.bool_()))
 
     return docs.mapInArrow(tidy(run), docs.schema)
