@@ -115,10 +115,12 @@ def nan_check(spark, sf_dir):
     return panel(spark, sf_dir).groupBy("user_id").agg(F.bool_or(F.col("value").isNull()).alias("any_missing"), r6(F.sum(a.finite("value"))).alias("filled"))
 
 
-@query("SELECT CAST(e AS INTEGER) AS epoch, CAST(CASE WHEN e <= 3 THEN 12 ELSE least(((e - 1 - 3) // 4 + 1) * 2, 12) END AS INTEGER) AS length FROM range(1, 41) r(e)")
+@query(f"""WITH {PANEL} SELECT user_id, CAST(t AS INTEGER) AS epoch, CAST(CASE WHEN t <= 3 THEN 12 ELSE least(((t - 1 - 3) // 4 + 1) * 2, 12) END AS INTEGER) AS length,
+  CASE WHEN t % 12 < CASE WHEN t <= 3 THEN 12 ELSE least(((t - 1 - 3) // 4 + 1) * 2, 12) END THEN round(value, 6) END AS counted FROM panel""")
 def curriculum(spark, sf_dir):
-    df = spark.range(1, 41).select(F.col("id").cast("int").alias("epoch"))
-    return df.withColumn("length", tm.curriculum_length(F.col("epoch"), 3, 4, 2, 12))
+    """How much of the horizon counts in each epoch, a series' step standing for one; and its value, if its place in the horizon counts."""
+    df = panel(spark, sf_dir).withColumn("length", tm.curriculum_length(F.col("t"), 3, 4, 2, 12))
+    return df.select("user_id", F.col("t").cast("int").alias("epoch"), "length", F.when(F.col("t") % 12 < F.col("length"), r6("value")).alias("counted"))
 
 
 @query(f"""WITH {PANEL}, w AS (SELECT user_id, t, count(*) OVER (PARTITION BY user_id) AS n, [coalesce(lag(value, 3) OVER s, 0), coalesce(lag(value, 2) OVER s, 0), coalesce(lag(value) OVER s, 0), coalesce(value, 0)] AS v
@@ -244,9 +246,9 @@ def future_index(spark, sf_dir):
     return df.select("user_id", "k", F.expr("last + make_interval(0, 0, 0, 0, 0, k * m, 0)").alias("ts"))
 
 
-@query("""SELECT CAST(s AS INTEGER) AS step, round(CASE WHEN s < 10 THEN s / 10.0 ELSE greatest(0, 0.5 * (1 + cos(pi() * (s - 10) / 90.0))) END, 6) AS cosine,
-  round(CASE WHEN s < 10 THEN s / 10.0 WHEN (s - 10) / 90.0 >= 1 THEN 0 ELSE greatest(0, 0.5 * (1 + cos(pi() * (2 * ((s - 10) / 90.0) - floor(2 * ((s - 10) / 90.0)))))) END, 6) AS restarts
-  FROM range(0, 101) r(s)""")
+@query(f"""WITH {PANEL}, s AS (SELECT user_id, t AS s FROM panel) SELECT user_id, CAST(s AS INTEGER) AS step, round(CASE WHEN s < 10 THEN s / 10.0 ELSE greatest(0, 0.5 * (1 + cos(pi() * (s - 10) / 50.0))) END, 6) AS cosine,
+  round(CASE WHEN s < 10 THEN s / 10.0 WHEN (s - 10) / 50.0 >= 1 THEN 0 ELSE greatest(0, 0.5 * (1 + cos(pi() * (2 * ((s - 10) / 50.0) - floor(2 * ((s - 10) / 50.0)))))) END, 6) AS restarts FROM s""")
 def lr_cosine(spark, sf_dir):
-    df = spark.range(0, 101).select(F.col("id").cast("int").alias("step"))
-    return df.select("step", r6(tm.cosine_rate(F.col("step"), 10, 100)).alias("cosine"), r6(tm.restart_rate(F.col("step"), 10, 100)).alias("restarts"))
+    """Learning rates of a series' steps, on a schedule that ends within the longer ones."""
+    df = panel(spark, sf_dir).select("user_id", F.col("t").cast("int").alias("step"))
+    return df.select("user_id", "step", r6(tm.cosine_rate(F.col("step"), 10, 60)).alias("cosine"), r6(tm.restart_rate(F.col("step"), 10, 60)).alias("restarts"))
