@@ -140,8 +140,9 @@ def op7_decontaminate(spark, sf_dir: str) -> DataFrame:
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Pipeline stage: documents without any overlap with the benchmark, all columns as they are.
 
-    Null and empty texts stay; of rows that repeat a doc_id only those with the overlap go; an
-    empty table stays empty, and without items all stay."""
+    An item of at most eight words overlaps with each text that holds all of them in a row, so an item
+    of one word takes every document with that word. Null and empty texts stay; of rows that repeat a
+    doc_id only those with the overlap go; an empty table stays empty, and without items all stay."""
     scratch = Scratch(docs.sparkSession, "leaks")
     dk, tk = free_name(docs, "dk"), free_name(docs, "tk")
     leaks = overlaps(docs, benchmark).select(F.col("doc_id").alias(dk), F.col("text_key").alias(tk)).distinct()

@@ -57,3 +57,9 @@ def test_same_as_brute_force(spark):
     for r in rows:
         same = [docs[r.doc_id][r.doc_start + k] == items[r.item_id][r.item_start + k] for k in range(r.words)]
         assert sum(same) == r.matches >= min(8, len(items[r.item_id])) and 10 * r.matches >= 7 * r.words
+
+
+def test_an_item_of_one_word_takes_every_document_with_it(spark):
+    docs = spark.createDataFrame([(1, "the Word stands here"), (2, "words stand here"), (3, None), (4, "word")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "word"), (2, None), (3, " ")], "item_id long, text string")
+    assert sorted(r.doc_id for r in decontaminate.without_leaks(docs, items).collect()) == [2, 3]
