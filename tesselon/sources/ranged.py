@@ -210,7 +210,8 @@ def write_npy(df: DataFrame, path: str) -> None:
     A task streams a file's rows in order and moves it in place when it is whole, so a repeated task is harmless."""
     shape = df.groupBy("file").agg((F.max("n") + 1).alias("n_all"), (F.max("c") + 1).alias("c_all"), F.max(F.size("values")).alias("width"))
     rows = df.join(shape, "file").select("file", "n", "c", "values", "n_all", "c_all", "width")
-    rows = rows.repartition("file").sortWithinPartitions("file", "n", "c")
+    # by file and width, which dealing by file alone is not: Spark leaves that out where the join has dealt so, and then may read the join's sides by mapper
+    rows = rows.repartition("file", "width").sortWithinPartitions("file", "n", "c")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name = out = None

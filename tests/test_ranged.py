@@ -65,6 +65,22 @@ def test_npy_written_with_gaps(spark, tmp_path):
     assert np.load(tmp_path / "y.npy").tolist() == [[[5, 6]]] and sorted(p.name for p in tmp_path.iterdir()) == ["x.npy", "y.npy"]
 
 
+def test_npy_of_a_shuffled_join_is_whole(spark, tmp_path):
+    df = spark.range(3000).select((F.col("id") % 3).cast("string").alias("file"), F.floor(F.col("id") / 3).cast("int").alias("n"), F.lit(0).alias("c"), F.array(F.col("id").cast("double")).alias("values"))
+    df.repartition(4).write.parquet(f"{tmp_path}/rows")
+    # as with large tables: planned as a shuffled join, and the sizes found small when it runs
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "1k", "spark.sql.adaptive.autoBroadcastJoinThreshold": "20k", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        ranged.write_npy(spark.read.parquet(f"{tmp_path}/rows"), f"{tmp_path}/npy")
+    finally:
+        for k in conf:
+            spark.conf.unset(k)
+    for k in range(3):
+        assert np.array_equal(np.load(tmp_path / f"npy/{k}.npy").reshape(-1), np.arange(1000) * 3 + k)
+
+
 def test_dat_in_order_with_its_shape(spark, tmp_path):
     df = spark.range(1000).select((F.col("id") % 7).cast("int").alias("cell"), "id", F.array(F.col("id").cast("float"), F.lit(None).cast("float"), F.lit(0.5).cast("float")).alias("values"))
     path = f"{tmp_path}/c"
