@@ -84,10 +84,12 @@ def affine_step(batch: DataFrame, state: DataFrame, decay: float) -> DataFrame:
 # draws ---------------------------------------------------------------------------------------
 
 
-def draw_rows(df: DataFrame, keys: list[str], n: int, seed: int = 42) -> DataFrame:
-    """n rows of df: different ones if there are as many, else with repetition; (draw, …) with draw from 0. No rows give none."""
+def draw_rows(df: DataFrame, keys: list[str], n: int, seed: int = 42, repeat: bool | None = None) -> DataFrame:
+    """n rows of df; (draw, …) with draw from 0. No rows give none.
+
+    repeat: with repetition or without (then all rows if there are fewer); by default without if there are as many rows as draws."""
     count = df.count()
-    if count >= n:
+    if count >= n if repeat is None else not repeat:
         rows = registry(subset(df, keys, n, seed), [draw(seed, *keys), *map(F.col, keys)], name="draw")
         return rows.select("draw", *df.columns)
     numbered = registry(df, [F.col(k) for k in keys], name="number_")

@@ -92,8 +92,8 @@ def gumbel_picks(spark, sf_dir):
 @query(f"""WITH r AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS k FROM embeddings), c AS (SELECT count(*) AS n FROM r), d AS (SELECT i AS draw FROM range(5000) x(i))
   SELECT draw, vec_id FROM d JOIN c ON true JOIN r ON r.k = {_p(42, 'n', 'draw')}""")
 def vector_draws(spark, sf_dir):
-    """More draws of vectors than there are: with repetition."""
-    return le.draw_rows(read(spark, sf_dir, "embeddings").select("vec_id"), ["vec_id"], 5000)
+    """Draws of vectors with repetition, however many there are."""
+    return le.draw_rows(read(spark, sf_dir, "embeddings").select("vec_id"), ["vec_id"], 5000, repeat=True)
 
 
 @query(f"""WITH {PANEL}, z AS (SELECT user_id, t, (value - avg(value) OVER w) / (stddev_pop(value) OVER w + 1e-8) AS z FROM panel WINDOW w AS (PARTITION BY user_id)),

@@ -42,6 +42,20 @@ def test_vector_columns(spark):
     assert abs(rows[0].h - math.log(2)) < 1e-12 and rows[0].q == 1e6
 
 
+def test_draws_of_more_vectors_than_draws(spark, tmp_path):
+    import duckdb
+
+    from tesselon.plans import catalog
+
+    spark.range(6000).toDF("vec_id").write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    found = [tuple(r) for r in catalog.queries()["vector_draws"](spark, str(tmp_path)).select("draw", "vec_id").collect()]
+    assert sorted(found) == sorted(con.execute(catalog.oracle_sql()["vector_draws"]).fetchall())
+    few = learning.draw_rows(spark.range(30).toDF("k"), ["k"], 40, repeat=False)
+    assert sorted(r.k for r in few.collect()) == list(range(30))
+
+
 def test_draws(spark):
     df = spark.range(30).toDF("k")
     different = learning.draw_rows(df, ["k"], 30).collect()
