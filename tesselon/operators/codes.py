@@ -18,6 +18,8 @@ from .sizes import small
 BROADCAST_CODES = 1 << 14
 #: Codes that a larger codebook is dealt out around; codes and vectors that meet in one task.
 PIVOTS, CELL_CODES, CELL_VECTORS = 512, 4096, 8192
+#: Numbers of a matrix of scores or distances that a worker holds at once, and rows that it sends at once.
+BLOCK_SCORES, BLOCK_ROWS = 1 << 20, 4096
 #: Two scores are equal if they agree to so many decimals: products in another order differ in the last digits.
 DECIMALS = 9
 
@@ -40,6 +42,13 @@ def _scores(x: np.ndarray, table: np.ndarray, metric: str) -> np.ndarray:
     return 2 * x @ table.T - norm[None] ** 2 - (x * x).sum(1)[:, None]
 
 
+def _slices(b: pa.RecordBatch | pa.Table, width: int) -> Iterator[pa.RecordBatch | pa.Table]:
+    """A batch in parts of so many rows that a matrix of `width` numbers a row has BLOCK_SCORES or fewer."""
+    step = max(1, min(BLOCK_ROWS, BLOCK_SCORES // max(1, width)))
+    for at in range(0, b.num_rows, step):
+        yield b.slice(at, step)
+
+
 def nearest(vectors: DataFrame, codebook: DataFrame, key: str, metric: str = "cosine", most: int = BROADCAST_CODES) -> DataFrame:
     """(key, code, score): the best code for each vector (key, e), of equals the first.
 
@@ -51,8 +60,8 @@ def nearest(vectors: DataFrame, codebook: DataFrame, key: str, metric: str = "co
     ids, table = np.array([r.code for r in book], np.int64), np.array([r.e for r in book], dtype=np.float64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
+        for whole in batches:
+            for b in _slices(whole, len(table)):
                 score = _scores(_stacked(b.column(1)), table, metric)
                 best = np.argmax(np.round(score, DECIMALS), axis=1)
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids[best]), pa.array(score[np.arange(len(best)), best])], names=[key, "code", "score"])
@@ -83,8 +92,8 @@ def nearest_by_pivots(vectors: DataFrame, codebook: DataFrame, key: str, metric:
     centres = _placed(np.array([r.e for r in drawn], np.float64), metric)
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
+        for whole in batches:
+            for b in _slices(whole, len(centres)):
                 d = _distances(_placed(_stacked(b.column("e")), metric), centres)
                 home = d.argmin(axis=1)
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(home, pa.int32()), pa.array(d[np.arange(len(d)), home])], names=[*b.schema.names, "pivot", "far"])
@@ -99,17 +108,17 @@ def nearest_by_pivots(vectors: DataFrame, codebook: DataFrame, key: str, metric:
     rows = vectors.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), F.col("e").cast("array<double>").alias("e"))
     rows = kept(rows.mapInArrow(dealt, f"row long, key {kind}, e array<double>, pivot int, far double"), "vectors")
 
-    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"row": [], "code": [], "score": []})
-        right = right.sort_values("code")
-        ids, table, parts = right["code"].to_numpy(), np.stack(right["e"].to_numpy()), []
-        for at in range(0, len(left), 1024):
-            block = left.iloc[at : at + 1024]
-            score = _scores(np.stack(block["e"].to_numpy()), table, metric)
+    def best(left: pa.Table, right: pa.Table) -> pa.Table:
+        right = right.sort_by("code")
+        ids, found, scores = right["code"].to_numpy(), [], []
+        table = _stacked(right["e"]) if right.num_rows else None
+        for part in _slices(left, right.num_rows) if right.num_rows else ():
+            score = _scores(_stacked(part["e"]), table, metric)
             top = np.argmax(np.round(score, DECIMALS), axis=1)
-            parts.append(pd.DataFrame({"row": block["row"], "code": ids[top], "score": score[np.arange(len(top)), top]}))
-        return pd.concat(parts)
+            found.append(ids[top])
+            scores.append(score[np.arange(len(top)), top])
+        held = [np.concatenate([np.zeros(0, kind), *x]) for x, kind in ((found, np.int64), (scores, np.float64))]
+        return pa.table({"row": left["row"].slice(0, len(held[0])), "code": held[0], "score": held[1]})
 
     def meet(some: DataFrame) -> DataFrame:
         """The best code of each vector among those of the pivots it is given."""
@@ -121,7 +130,7 @@ def nearest_by_pivots(vectors: DataFrame, codebook: DataFrame, key: str, metric:
         right = codes.select("code", "e", "pivot").join(plan, "pivot").withColumn("block", F.pmod(F.xxhash64("code"), F.col("blocks")).cast("int"))
         right = right.withColumn("salt", numbers("salts")).select("code", "e", "pivot", "block", "salt")
         by = ["pivot", "block", "salt"]
-        return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(best, "row long, code long, score double")
+        return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(best, "row long, code long, score double")
 
     def first(found: DataFrame) -> DataFrame:
         order = F.struct(F.round("score", DECIMALS).alias("r"), (-F.col("code")).alias("c"), "score")
@@ -130,9 +139,7 @@ def nearest_by_pivots(vectors: DataFrame, codebook: DataFrame, key: str, metric:
     near = kept(first(meet(rows)), "near")
 
     def elsewhere(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for b in (part for whole in batches for part in _slices(whole, len(centres))):
             x = _placed(_stacked(b.column("e")), metric)
             score, home = b.column("score").to_numpy(), b.column("pivot").to_numpy()
             # how far the best code so far is: of a zero vector, whose cosines are all 0, every cell can hold the first
@@ -142,7 +149,9 @@ def nearest_by_pivots(vectors: DataFrame, codebook: DataFrame, key: str, metric:
             some = d - radius[None] <= within[:, None] + 1e-6 * (1 + d)
             some[np.arange(len(x)), home] = False
             r, p = np.nonzero(some)
-            yield pa.RecordBatch.from_arrays([b.column("row").take(pa.array(r)), b.column("e").take(pa.array(r)), pa.array(p, pa.int32())], names=["row", "e", "pivot"])
+            for at in range(0, len(r), BLOCK_ROWS):  # a vector can go to all pivots: its copies are made as they are sent
+                i = pa.array(r[at : at + BLOCK_ROWS])
+                yield pa.RecordBatch.from_arrays([b.column("row").take(i), b.column("e").take(i), pa.array(p[at : at + BLOCK_ROWS], pa.int32())], names=["row", "e", "pivot"])
 
     more = rows.select("row", "e", "pivot").join(near.select("row", "score"), "row").mapInArrow(elsewhere, "row long, e array<double>, pivot int")
     found = first(near.unionByName(meet(kept(more, "elsewhere"))))

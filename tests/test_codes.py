@@ -1,6 +1,7 @@
 """Nearest codes around pivots and k-means with bounds, against all distances."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -29,6 +30,18 @@ def test_pivots_find_what_all_distances_find(spark, monkeypatch, metric, pivots)
     assert codes.nearest_by_pivots(vectors.where("false"), table, "k", metric, pivots).count() == 0
 
 
+def test_what_goes_to_all_pivots_is_sent_in_parts(spark, monkeypatch):
+    held, frame = {}, type(spark.range(0))
+    monkeypatch.setattr(frame, "mapInArrow", lambda self, f, *a, real=frame.mapInArrow: held.update({f.__name__: f}) or real(self, f, *a))
+    x = np.random.default_rng(5).normal(size=(30, 4))
+    codes.nearest_by_pivots(_table(spark, x, "k"), _table(spark, x, "code"), "k", pivots=30)
+    rows = np.tile(x, (100, 1))
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * 4), pa.array(rows.reshape(-1)))
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(len(rows))), lists, pa.array(np.zeros(len(rows), np.int32)), pa.array(np.full(len(rows), -1.0))], names=["row", "e", "pivot", "score"])
+    sizes = [b.num_rows for b in held["elsewhere"](iter([batch]))]  # a score of -1 leaves all pivots but the vector's own
+    assert sum(sizes) == 29 * len(rows) and max(sizes) <= 4096
+
+
 def lloyd(x, book, rounds, metric):
     place = (lambda y: y / np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-12)) if metric == "cosine" else lambda y: y
     book = place(book)
