@@ -225,7 +225,7 @@ def labelled_read(spark, sf_dir):
 def validity_read(spark, sf_dir):
     """Valid ranges of users' series from side files, by the name of the array: three arrays a user share two side files."""
     path = folder(spark, "validity")
-    users = panel(spark, sf_dir).groupBy("user_id").agg(F.count("*").cast("int").alias("n"))
+    users = kept(panel(spark, sf_dir).groupBy("user_id").agg(F.count("*").cast("int").alias("n")), "users")
     one = lambda a, b: F.array(F.array(F.array(a, b)))
     fields = F.struct(one(F.lit(0), F.col("n") - 1).alias("valid_indices"), one(F.lit(1), F.col("n") - 1).alias("past_feat_dynamic_real_valid_indices"))
     shared = users.select(F.concat(F.lit("u"), "user_id", F.lit(".json")).alias("name"), F.to_json(fields).alias("value"))

@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 from ..operators.sizes import small
 from .ranged import scan_dat
 from .ranged import scan_npy as read_npy  # noqa: F401
+from .scratch import kept
 
 #: Folders of a manifest, by hash of the cell.
 BUCKETS = 64
@@ -82,13 +83,17 @@ def resolve_validity(files: DataFrame, side: DataFrame) -> DataFrame:
     """(path, n, c, start, end): valid ranges of array files (path) by their side files (path, value: JSON).
 
     A file without side file, and a side file without the field that the array's name asks for,
-    are errors that name the file."""
-    found, lost = find_metadata(files, side)
-    if missing := lost.head(1):
-        raise ValueError(f"no side file for {missing[0].path!r}")
-    held = found.join(side.select(F.col("path").alias("meta"), "value"), "meta")
+    are errors that name the file. Side files are read once: what they resolve to is written, and
+    errors are looked for there."""
+    there = side.select(F.col("path").alias("meta"), F.lit(True).alias("there"), "value")
+    tries = _tries(files).join(there, "meta", "left")
+    hit = F.min(F.when(F.col("there"), F.struct("k", "meta", "value"))).alias("hit")
+    held = tries.groupBy("path").agg(hit).select("path", "hit.meta", "hit.value")
     field = validity_field(F.col("path"), F.col("meta") == F.regexp_replace("path", r"\.npy$", ".json"))
-    held = held.select("path", F.from_json(F.element_at(F.from_json("value", "map<string,string>"), field), "array<array<array<int>>>").alias("v"))
+    v = F.from_json(F.element_at(F.from_json("value", "map<string,string>"), field), "array<array<array<int>>>")
+    held = kept(held.select("path", F.col("meta").isNotNull().alias("found"), v.alias("v")), "validity")
+    if missing := held.where("NOT found").head(1):
+        raise ValueError(f"no side file for {missing[0].path!r}")
     if missing := held.where("v IS NULL").head(1):
         raise ValueError(f"no valid ranges for {missing[0].path!r}")
     return _ranges(held)
@@ -208,9 +213,13 @@ def walk_order(path: F.Column) -> list[F.Column]:
     return [F.concat(F.transform(folders, lambda f: F.concat(F.lit("1"), f)), F.array(F.concat(F.lit("0"), F.element_at(parts, -1))))]
 
 
+def _tries(files: DataFrame) -> DataFrame:
+    """(path, k, meta): names that an array file's side file can have, in the order in which they are tried."""
+    direct = F.regexp_replace("path", r"\.npy$", ".json")
+    return files.select("path", F.posexplode(F.array(direct, metadata_path(F.col("path")))).alias("k", "meta"))
+
+
 def find_metadata(files: DataFrame, side: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(found, lost): array files (path) with their side file, directly by name or without the suffix of the kind; those with none."""
-    direct = F.regexp_replace("path", r"\.npy$", ".json")
-    tries = files.select("path", F.posexplode(F.array(direct, metadata_path(F.col("path")))).alias("k", "meta"))
-    hits = tries.join(side.select(F.col("path").alias("meta")), "meta").groupBy("path").agg(F.min_by("meta", "k").alias("meta"))
+    hits = _tries(files).join(side.select(F.col("path").alias("meta")), "meta").groupBy("path").agg(F.min_by("meta", "k").alias("meta"))
     return hits, files.join(hits, "path", "left_anti")

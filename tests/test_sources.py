@@ -1,6 +1,7 @@
 import json
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from tesselon.sources import arrays, ranged, sinks
 from tesselon.streaming import cells
@@ -148,3 +149,20 @@ def test_windows_wrap_around(spark):
     df = spark.createDataFrame([(1, t, float(t)) for t in range(1, 7)] + [(2, 1, 9.0)], "k int, t int, value double")
     rows = {(r.k, r.window): r["values"] for r in patches.attention_windows(df, ["k"], 4, shift=2).collect()}
     assert rows == {(1, 0): [3, 4, 5, 6], (1, 1): [0, 0, 1, 2], (2, 0): [9, 0, 0, 0]}
+
+
+def test_side_files_are_read_once(spark, tmp_path):
+    for k in range(40):
+        (tmp_path / f"a{k}.json").write_text(f'{{"valid_indices": [[[0, {k}]]]}}')
+    files = spark.createDataFrame([(f"a{k}{kind}.npy",) for k in range(40) for kind in ("", "_values")], "path string")
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    side = arrays.read_side_files(spark, str(tmp_path)).select(F.substring_index("path", "/", -1).alias("path"), "value")
+    found = arrays.resolve_validity(files, side.mapInArrow(counted, side.schema)).collect()
+    assert sorted((r.path, r.start, r.end) for r in found) == sorted((f"a{k}{kind}.npy", 0, k) for k in range(40) for kind in ("", "_values"))
+    assert seen.value == 40
