@@ -28,8 +28,6 @@ from .common import Scratch, bound_batches, small, tidy
 
 #: Tokens of a block: that many wait at most before windows are made.
 BLOCK_TOKENS = 2_000_000
-#: Distinct words whose ids a worker keeps.
-CACHED_WORDS = 200_000
 
 #: Sequence ids are a partition's number and, in so many bits, the sequence's.
 _PART = 36
@@ -46,17 +44,15 @@ def default_tokenizer() -> str:
 class ByteBpe:
     """Ids of a byte-level BPE tokenizer file, as 4-byte little-endian strings.
 
-    A space between two visible characters always starts a new piece of the pattern, so words
-    are encoded one by one and kept. Texts with other runs of white space are encoded whole, and
-    those that hold one of the file's special tokens by the tokenizer itself, which gives those
-    their own ids."""
+    Texts are encoded whole: a call for each word, and a look at those kept, takes longer than the
+    merges. Those that hold one of the file's special tokens are encoded by the tokenizer itself,
+    which gives those their own ids."""
 
     def __init__(self, path: str):
         self.path = path
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.fast, self.special = self._ranked(spec), [t["content"] for t in spec.get("added_tokens", [])]
-        self.first, self.after = _Known(self.whole, ""), _Known(self.whole, " ")
 
     @cached_property
     def slow(self):
@@ -83,39 +79,15 @@ class ByteBpe:
         ranks = {bytes(letter[c] for c in token): i for token, i in vocab.items() if token not in special}
         return tiktoken.Encoding("ranked", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
-    def whole(self, text: str) -> bytes:
+    def __call__(self, text: str) -> bytes:
         import numpy as np
 
+        if not text:
+            return b""
         plain = self.fast and not any(t in text for t in self.special)
         ids = self.fast.encode_ordinary(text) if plain else self.slow.encode(text, add_special_tokens=False).ids
         return np.array(ids, "<u4").tobytes()
 
-    def __call__(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if not self.fast or any(t in text for t in self.special):
-            return self.whole(text)
-        words = text.split(" ")
-        try:
-            return b"".join([self.first[words[0]], *map(self.after.__getitem__, words[1:])])
-        except TypeError:  # a word is None: white space beside a space
-            return self.whole(text)
-
-
-class _Known(dict):
-    """Ids of words seen so far; None for what can't stand alone."""
-
-    def __init__(self, whole, space: str):
-        super().__init__()
-        self.whole, self.space = whole, space
-
-    def __missing__(self, word: str) -> bytes | None:
-        odd = not word or word[0].isspace() or word[-1].isspace()
-        found = None if odd else self.whole(self.space + word)
-        if len(word) < 64 and len(self) < CACHED_WORDS:
-            self[word] = found
-        return found
-
 
 class Packer:
     """Windows from documents that come one by one; rows are (doc, start, length, crc, n, sequence, offset, tier, turn in the tier)."""

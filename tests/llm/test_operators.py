@@ -483,3 +483,18 @@ def test_word_hashes_are_those_of_words(monkeypatch):
     assert one == [[alone[w] for w in words(t)] for t in texts] and len(set(alone.values())) == len(alone)
     monkeypatch.setattr(common, "_SEGMENT", 16)  # long texts by segments, words across their ends
     assert [list(x) for x in words_by_row(pa.array(texts))] == one
+
+
+def test_a_text_is_encoded_in_one_call():
+    class Counted:
+        def __init__(self, fast):
+            self.fast, self.calls = fast, 0
+
+        def encode_ordinary(self, text):
+            self.calls += 1
+            return self.fast.encode_ordinary(text)
+
+    bpe = packing.ByteBpe(packing.default_tokenizer())
+    want = bpe.slow.encode("one two  three\nfour five six", add_special_tokens=False).ids
+    bpe.fast = Counted(bpe.fast)
+    assert bpe("one two  three\nfour five six") == b"".join(i.to_bytes(4, "little") for i in want) and bpe.fast.calls == 1
